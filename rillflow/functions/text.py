@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,11 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of a frame, safe for names with dots."""
+    return [quoted(c) for c in df.columns]
+
+
 def id_text(number: Column) -> Column:
     """A floating-point id as integer text; null stays null."""
     return number.cast("bigint").cast("string")
@@ -75,8 +80,9 @@ def number_list(text: Column) -> Column:
 
 def point_list(text: Column) -> Column:
     """``"[(x, y), ...]"`` as an array of structs ``(x, Y)``."""
-    flat = number_list(text)
-    return F.transform(
-        F.sequence(F.lit(0), F.floor(F.size(flat) / 2).cast("int") - 1),
-        lambda i: F.struct(F.get(flat, 2 * i).alias("x"), F.get(flat, 2 * i + 1).alias("Y")),
-    )
+
+    def pairs(flat: Column) -> Column:
+        firsts = F.when(F.size(flat) > 1, F.sequence(F.lit(0), F.size(flat) - 2, F.lit(2)))
+        return F.transform(firsts, lambda i: F.struct(F.get(flat, i).alias("x"), F.get(flat, i + 1).alias("Y")))
+
+    return F.get(F.transform(F.array(number_list(text)), pairs), F.lit(0))

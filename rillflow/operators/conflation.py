@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.geo import albers_to_lonlat
-from rillflow.functions.text import or_none, river_reach_key
+from rillflow.functions.text import columns_of, or_none, river_reach_key
 
 KEY = ["model_id", "huc", "river_reach_rs", "thalweg", "xs_max_elevation"]
 
@@ -42,7 +42,7 @@ def composite_key_lookup(xs: DataFrame, conflation: DataFrame) -> DataFrame:
     covered = xs.join(conflation.select("model_id", "huc").distinct(), ["model_id", "huc"], "left_semi")
     out = covered.join(reach_lookup(conflation, "us"), KEY, "left").join(reach_lookup(conflation, "ds"), KEY, "left")
     ids = [f"{side}_{name}" for side in ("us", "ds") for name in ("reach_id", "network_to_id")]
-    return out.select(*xs.columns, *[or_none(F.col(c)).alias(c) for c in ids])
+    return out.select(*columns_of(xs), *[or_none(F.col(c)).alias(c) for c in ids])
 
 
 def crs_map(xs: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.functions.text import columns_of
 from rillflow.operators.origins import vpu_scope_column
+from rillflow.plans.workspace import materialize
 
 
 def full_outer(mainstem: DataFrame, flowpaths: DataFrame) -> DataFrame:
@@ -34,7 +36,7 @@ def mainstems(network: DataFrame, reach_ids: list | DataFrame) -> DataFrame:
     below = F.col("hydroseq") <= F.col("from_seq")
     in_scope = F.array_contains("vpus", F.col("vpuid"))
     return (
-        network.join(start, "hf_mainstem").where(below & in_scope).select("reach_id", "vpus", *network.columns)
+        network.join(start, "hf_mainstem").where(below & in_scope).select("reach_id", "vpus", *columns_of(network))
     )
 
 
@@ -44,7 +46,7 @@ def _same_order_flowpaths(features: DataFrame, flowpaths: DataFrame) -> DataFram
     on_segment = (
         flowpaths.join(divides, "divide_id")
         .where(F.array_contains("vpus", F.col("vpuid")))
-        .select("reach_id", "vpus", *flowpaths.columns)
+        .select("reach_id", "vpus", *columns_of(flowpaths))
     )
     own = features.where(F.col("hf_id") == F.col("reach_id")).select("reach_id", "divide_id").distinct()
     order = (
@@ -61,7 +63,7 @@ def _lakes_on(segment: DataFrame, lakes: DataFrame) -> DataFrame:
         "reach_id", "vpus", F.col("poi_id").cast("bigint").cast("int").alias("poi_id")
     )
     found = lakes.join(places.distinct(), "poi_id").where(F.array_contains("vpus", F.col("vpuid")))
-    return found.select("reach_id", *lakes.columns)
+    return found.select("reach_id", *columns_of(lakes))
 
 
 def break_at_lakes(features: DataFrame, lakes: DataFrame) -> DataFrame:
@@ -78,19 +80,23 @@ def break_at_lakes(features: DataFrame, lakes: DataFrame) -> DataFrame:
     reaches_with_lakes = lakes.select("reach_id").distinct().withColumn("has_lake", F.lit(True))
     marked = features.join(reaches_with_lakes, "reach_id", "left").join(cut, "reach_id", "left")
     above = F.col("has_lake").isNull() | (F.col("hf_hydroseq") >= F.col("cut"))
-    return marked.where(above).select(*features.columns)
+    return marked.where(above).select(*columns_of(features))
 
 
 def rnr_segment(layers: Mapping[str, DataFrame], reach_ids: list | DataFrame) -> dict:
-    """The layers of the routing segment below each reach, with a ``reach_id`` column."""
+    """The layers of the routing segment below each reach, with a ``reach_id`` column.
+
+    Mainstem rows and the final segment are each used many times, so both are written once.
+    """
     network, flowpaths = layers["network"], layers["flowpaths"]
-    features = mainstems(network, reach_ids)
+    needed = ["reach_id", "vpus", "hf_id", "hf_hydroseq", "divide_id"]
+    features = materialize(mainstems(network, reach_ids).select(*needed), "mainstems")
     first_lakes = _lakes_on(_same_order_flowpaths(features, flowpaths), layers["lakes"])
-    segment = _same_order_flowpaths(break_at_lakes(features, first_lakes), flowpaths)
+    segment = materialize(_same_order_flowpaths(break_at_lakes(features, first_lakes), flowpaths), "segment")
 
     def pick(layer: str, key: str, ids: DataFrame, id_column: str) -> DataFrame:
         wanted = ids.where(F.col(id_column).isNotNull()).select("reach_id", F.col(id_column).alias(key)).distinct()
-        return layers[layer].join(wanted, key).select("reach_id", *layers[layer].columns)
+        return layers[layer].join(wanted, key).select("reach_id", *columns_of(layers[layer]))
 
     places = segment.where(F.col("poi_id").isNotNull()).withColumn("poi_id", F.col("poi_id").cast("bigint").cast("int"))
     ends = segment.select("reach_id", F.explode(F.array("id", "toid")).alias("id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.functions.text import safe_name
+from rillflow.functions.text import columns_of, safe_name
 from rillflow.functions.times import MICROS, clock_text, epoch_micros, from_epoch_micros
 
 RELEASE_ITEM = {
@@ -94,7 +94,7 @@ def with_neighbours(df: DataFrame, key: str, time: str) -> DataFrame:
         F.lead("_first").over(per_key).alias("_after"),
     )
     return inner.join(edges, [key, "_month"]).select(
-        *df.columns, F.coalesce("_prev", "_before").alias("prev_time"), F.coalesce("_next", "_after").alias("next_time")
+        *columns_of(df), F.coalesce("_prev", "_before").alias("prev_time"), F.coalesce("_next", "_after").alias("next_time")
     )
 
 

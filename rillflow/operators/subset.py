@@ -11,7 +11,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.text import id_text
+from rillflow.functions.text import columns_of, id_text, quoted
 from rillflow.operators.origins import origin_rows, vpu_scope_column
 from rillflow.plans.graph import RiverGraph, trace_upstream
 from rillflow.plans.workspace import materialize
@@ -22,7 +22,7 @@ Layers = Mapping[str, DataFrame]
 
 def semi_in(df: DataFrame, column: str, ids: DataFrame, id_column: str = "id") -> DataFrame:
     """Rows whose column is among the ids; Spark broadcasts the ids when they are small."""
-    return df.join(ids.select(F.col(id_column).alias(column)), column, "left_semi").select(*df.columns)
+    return df.join(ids.select(F.col(id_column).alias(column)), column, "left_semi").select(*columns_of(df))
 
 
 def semi_or(df: DataFrame, first: str, second: str, ids: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def semi_or(df: DataFrame, first: str, second: str, ids: DataFrame) -> DataFrame
     for flag, column in (("_hit1", first), ("_hit2", second)):
         mark = known.select(F.col("_id").alias(f"{flag}_id"), F.lit(True).alias(flag))
         hits = hits.join(mark, F.col(column) == F.col(f"{flag}_id"), "left")
-    return hits.where(F.col("_hit1") | F.col("_hit2")).select(*df.columns)
+    return hits.where(F.col("_hit1") | F.col("_hit2")).select(*columns_of(df))
 
 
 def union_ids(*frames: DataFrame) -> DataFrame:
@@ -61,57 +61,59 @@ def subset_ids(graph: RiverGraph, origins: DataFrame) -> DataFrame:
     return union_ids(upstream, itself, outlet).where(F.col("id").isNotNull())
 
 
-def _basins_with(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """``(basin, vpus, ...row)`` for rows whose key is in the basin's ids and whose VPU is in its scope."""
-    wanted = ids.withColumnRenamed("id", key)
-    if "basin" in df.columns:
-        raise ValueError("a layer must not have a basin column")
-    return df.join(wanted, key).where(F.array_contains("vpus", F.col("vpuid"))).select("basin", *df.columns)
-
-
 def basin_scopes(origins: DataFrame) -> DataFrame:
     """``(basin, vpus)``: the VPUs of all origins of a basin and those they may reach into."""
     scope = origins.select("basin", F.explode(vpu_scope_column(F.col("vpuid"))).alias("vpu"))
     return scope.groupBy("basin").agg(F.array_sort(F.collect_set("vpu")).alias("vpus"))
 
 
-def subset_layers(layers: Layers, ids: DataFrame, scopes: DataFrame, names: list[str] | None = None) -> dict:
+def scoped_ids(graph: RiverGraph, origins: DataFrame) -> DataFrame:
+    """``(basin, id, vpus)``: the ids of every basin with the VPUs it may reach into."""
+    return subset_ids(graph, origins).join(basin_scopes(origins), "basin")
+
+
+def _in_basins(df: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """``(basin, vpus, ...row)`` for rows whose key is among a basin's ids and whose VPU is in its scope."""
+    if "basin" in df.columns:
+        raise ValueError("a layer must not have a basin column")
+    wanted = ids.where(quoted(id_column).isNotNull()).select("basin", "vpus", quoted(id_column).alias(key))
+    if id_column != "id":
+        wanted = wanted.distinct()
+    in_scope = F.array_contains("vpus", F.col("vpuid"))
+    return df.join(wanted, key).where(in_scope).select("basin", "vpus", *columns_of(df))
+
+
+def subset_layers(layers: Layers, ids: DataFrame, names: list[str] | None = None) -> dict:
     """The rows of each layer that belong to each basin, keyed by layer name; core layers always included.
 
-    ``ids`` is ``(basin, id)`` and ``scopes`` ``(basin, vpus)``. Network rows are kept if their id *or* the id they
-    drain to is in the basin; the network rows kept then decide divides and lakes, the flowpaths kept decide nexus
-    points.
+    ``ids`` is ``(basin, id, vpus)``, each pair once. Network rows are kept if their id *or* the id they drain to is
+    in the basin; the network rows kept then decide divides and lakes, the flowpaths kept decide nexus points. All
+    frames are lazy, and a layer that is not used costs nothing.
     """
     names = [*CORE_LAYERS, *[n for n in (names or []) if n not in CORE_LAYERS]]
     unknown = set(names) - set(CORE_LAYERS) - set(OPTIONAL_LAYERS)
     if unknown:
         raise ValueError(f"unknown layers: {', '.join(sorted(unknown))}")
-    scoped = ids.join(scopes, "basin")
 
     network = layers["network"]
-    by_id = _basins_with(network, "id", scoped)
-    already = ids.select("basin", "id")
-    by_target = _basins_with(network, "toid", scoped).join(already, ["basin", "id"], "left_anti")
+    by_id = _in_basins(network, "id", ids, "id")
+    by_target = ids.select("basin", "vpus", F.col("id").alias("toid"))
+    by_target = network.join(by_target, "toid").where(F.array_contains("vpus", F.col("vpuid")))
+    by_target = by_target.join(ids.select("basin", "id"), ["basin", "id"], "left_anti")
     kept = by_id.unionByName(by_target)
-    divide_ids = kept.where(F.col("divide_id").isNotNull()).select("basin", F.col("divide_id").alias("id")).distinct()
-    divide_ids = divide_ids.join(scopes, "basin")
-    flowpaths = _basins_with(layers["flowpaths"], "id", scoped)
+    flowpaths = _in_basins(layers["flowpaths"], "id", ids, "id")
 
     out = {"network": kept.withColumn("poi_id", id_text(F.col("poi_id"))), "flowpaths": flowpaths}
-    if "nexus" in names:
-        nexus_ids = flowpaths.select("basin", F.col("toid").alias("id")).distinct().join(scopes, "basin")
-        nexus = _basins_with(layers["nexus"], "id", nexus_ids)
-        out["nexus"] = nexus.withColumn("poi_id", id_text(F.col("poi_id")))
-    out["divides"] = _basins_with(layers["divides"], "divide_id", divide_ids)
-    if "lakes" in names:
-        hf_ids = kept.where(F.col("hf_id").isNotNull()).select("basin", F.col("hf_id").alias("id")).distinct()
-        out["lakes"] = _basins_with(layers["lakes"], "hf_id", hf_ids.join(scopes, "basin"))
-    if "divide-attributes" in names:
-        out["divide-attributes"] = _basins_with(layers["divide-attributes"], "divide_id", divide_ids)
+    nexus = _in_basins(layers["nexus"], "id", flowpaths, "toid")
+    out["nexus"] = nexus.withColumn("poi_id", id_text(F.col("poi_id")))
+    out["divides"] = _in_basins(layers["divides"], "divide_id", kept, "divide_id")
+    for name, key in (("lakes", "hf_id"), ("divide-attributes", "divide_id")):
+        if name in names:
+            out[name] = _in_basins(layers[name], key, kept, key)
     for name in ("flowpath-attributes", "flowpath-attributes-ml", "pois", "hydrolocations"):
         if name in names:
-            out[name] = _basins_with(layers[name], "id", scoped)
-    return out
+            out[name] = _in_basins(layers[name], "id", ids, "id")
+    return {name: frame.drop("vpus") for name, frame in out.items()}
 
 
 def require_rows(subset: dict) -> dict:
@@ -140,8 +142,7 @@ def subset_hydrofabric(
     origins = rows.select(F.col("identifier").cast("string").alias("basin"), "id", "toid", "vpuid")
     if strict and origins.isEmpty():
         raise ValueError(f"No origin found for {id_type} in {identifiers}")
-    ids = materialize(subset_ids(graph, origins), "basin-ids")
-    subset = subset_layers(layers, ids, basin_scopes(origins), names)
+    subset = subset_layers(layers, materialize(scoped_ids(graph, origins), "basin-ids"), names)
     return require_rows(subset) if strict else subset
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.sections import area_below, clean_elevations
-from rillflow.functions.text import number_list, point_list
+from rillflow.functions.sections import channel_between, channel_shape
+from rillflow.functions.text import columns_of, number_list, point_list
 from rillflow.plans.ranking import with_rank
 
 
@@ -43,7 +43,7 @@ def subset_xs(xs: DataFrame, identifier: str | None = None, bbox: tuple | None =
 
 def reference_for_xs(xs: DataFrame, reference: DataFrame) -> DataFrame:
     """Reference rows of the flowpaths that have a cross-section."""
-    return reference.join(xs.select("flowpath_id"), "flowpath_id", "left_semi").select(*reference.columns)
+    return reference.join(xs.select("flowpath_id"), "flowpath_id", "left_semi").select(*columns_of(reference))
 
 
 def reference_in_extent(xs: DataFrame, reference: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -62,7 +62,7 @@ def reference_in_extent(xs: DataFrame, reference: DataFrame, by: list[str] | Non
         & (F.col("min_y") <= F.col("north"))
     )
     if by:
-        return reference.join(extent, by).where(meets).select(*reference.columns)
+        return reference.join(extent, by).where(meets).select(*columns_of(reference))
     box = extent.first()
     if box is None or box.west is None:
         return reference.limit(0)
@@ -74,18 +74,13 @@ def reference_in_extent(xs: DataFrame, reference: DataFrame, by: list[str] | Non
     )
 
 
-def channel_points(transects: DataFrame, points: str = "points", banks: str = "banks") -> DataFrame:
+def _channel() -> Column:
+    return channel_between(F.col("points"), F.get("banks", F.lit(0)), F.get("banks", F.lit(1)))
+
+
+def channel_points(transects: DataFrame) -> DataFrame:
     """Add ``channel``: the points between the banks, elevations cleaned, as an array of ``(x, Y)``."""
-    left, right = F.get(F.col(banks), F.lit(0)), F.get(F.col(banks), F.lit(1))
-    inside = F.filter(F.col(points), lambda p: (p["x"] >= left) & (p["x"] <= right))
-    cleaned = clean_elevations(F.transform("_inside", lambda p: p["Y"]))
-    channel = F.zip_with("_inside", "_cleaned", lambda p, y: F.struct(p["x"].alias("x"), y.alias("Y")))
-    return (
-        transects.withColumn("_inside", inside)
-        .withColumn("_cleaned", cleaned)
-        .withColumn("channel", channel)
-        .drop("_inside", "_cleaned")
-    )
+    return transects.withColumn("channel", _channel())
 
 
 def parse_transects(transects: DataFrame) -> DataFrame:
@@ -99,22 +94,12 @@ def channel_metrics(transects: DataFrame) -> DataFrame:
     """Depth ``Ym``, top width ``TW``, area ``A`` and shape ``r`` of each transect that holds a channel.
 
     A channel needs three points between the banks and 0.25 of relief. ``r = A / (Ym * TW - A)`` is infinite for a
-    rectangle. Work per row only, all in built-in array functions.
+    rectangle. All of it is one expression per row; transects without a channel explode to nothing, which keeps the
+    condition from being pushed down and the geometry from being computed twice.
     """
-    with_channel = channel_points(transects)
-    elevations = F.transform("channel", lambda p: p["Y"])
-    stations = F.transform("channel", lambda p: p["x"])
-    measured = (
-        with_channel.where(F.size("channel") > 2)
-        .withColumn("_top", F.array_max(elevations))
-        .withColumn("Ym", F.col("_top") - F.array_min(elevations))
-        .where(F.col("Ym") >= 0.25)
-        .withColumn("TW", F.array_max(stations) - F.array_min(stations))
-        .withColumn("A", area_below(F.col("channel"), F.col("_top")))
-    )
-    rest = F.col("Ym") * F.col("TW") - F.col("A")
-    r = F.when(rest != 0, F.try_divide("A", rest)).when(F.col("A") > 0, F.lit(float("inf"))).otherwise(float("nan"))
-    return measured.withColumn("r", r).drop("_top", "channel")
+    shapes = F.filter(F.array(channel_shape(_channel())), lambda s: (s["n"] > 2) & (s["Ym"] >= 0.25))
+    measured = transects.withColumn("_shape", F.explode(shapes))
+    return measured.select(*columns_of(transects), *[F.col(f"_shape.{c}").alias(c) for c in ("Ym", "TW", "A", "r")])
 
 
 def middle_row(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.functions.text import columns_of
 from rillflow.functions.geo import polygon_contains
 from rillflow.plans.ranking import ntile_of, row_index, with_rank
 
@@ -162,8 +163,8 @@ def cells_in_polygons(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     candidates = looking.join(tiled.drop("geometry"), ["level", "tx", "ty"]).where(
         F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
     )
-    inside = _exact_hits(candidates.select("cat_id", *cells.columns), polygons, cells.columns)
-    return inside.groupBy(*cells.columns).agg(F.max("cat_id").alias("cat_id"))
+    inside = _exact_hits(candidates.select("cat_id", *columns_of(cells)), polygons, cells.columns)
+    return inside.groupBy(*columns_of(cells)).agg(F.max("cat_id").alias("cat_id"))
 
 
 def _exact_hits(candidates: DataFrame, polygons: DataFrame, columns: list[str], batch: int = 20_000) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillflow.functions.text import columns_of
 from rillflow.plans.workspace import materialize
 
 
@@ -34,14 +35,14 @@ def with_rank(df: DataFrame, group: list[str], order: list[str | Column]) -> Dat
     for i, c in enumerate(group):
         same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
     return rows.join(offsets, same).select(
-        *df.columns, (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("rank"), "group_rows"
+        *columns_of(df), (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("rank"), "group_rows"
     )
 
 
 def row_index(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """Number all rows 1..n in ``order`` without passing them through one task."""
     ranked = with_rank(df, [], order)
-    return ranked.select(*df.columns, F.col("rank").alias(name))
+    return ranked.select(*columns_of(df), F.col("rank").alias(name))
 
 
 def ntile_of(rank: Column, rows: Column, buckets: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 from collections.abc import Iterator
 
@@ -10,45 +11,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rillflow.functions.text import path_part
+from rillflow.functions.text import path_part, quoted
 from rillflow.functions.times import to_naive_utc
 
 # Collection folder -> agency of the gauges in it.
-GAGE_TYPES = {
-    "ENVCA": "envca",
-    "CADWR": "cadwr",
-    "TXDOT": "txdot",
-}
+GAGE_TYPES = {"ENVCA": "ENVCA", "CADWR": "CADWR", "USGS": "TXDOT"}
 
 _SECTION = "struct<river:string,reach:string,xs_id:string,min_elevation:double,max_elevation:double>"
 CONFLATION_TYPE = f"struct<reaches:map<string,struct<us_xs:{_SECTION},ds_xs:{_SECTION},network_to_id:string>>>"
 
 
-def read_gage_csvs(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """Gauge files ``<type>/<collection>/<gauge>_*.csv``: of files with one name only the last folder's counts.
+def newest_files(lines: DataFrame) -> DataFrame:
+    """Of files with one name in several folders, the lines of the file in the last folder; ``path`` is the file's.
 
-    ``schema`` describes the columns, ``dateTime`` among them as text; times may carry any zone and become naive UTC.
-    The newest folder is found over the files' names and joined back, so rows are not sorted per file.
+    The last folder is found over the files, not over their lines, so no file's lines are gathered to compare them.
     """
+    parts = F.split("path", "/")
+    folder = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")
+    files = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    newest = files.groupBy(F.element_at(parts, -1).alias("file")).agg(F.max_by("path", folder).alias("path"))
+    return lines.join(newest.select("path"), "path", "left_semi")
+
+
+def gage_observations(lines: DataFrame) -> DataFrame:
+    """Lines ``(path, dateTime, ...)`` of files ``<type>/<collection>/<gauge>_*.csv`` to ``(id, gage_type, time, ...)``."""
+    types = F.create_map(*[F.lit(v) for pair in GAGE_TYPES.items() for v in pair])
+    name = F.regexp_replace(path_part(F.col("path"), -1), r"\.csv$", "")
+    rest = [c for c in lines.columns if c not in ("path", "dateTime")]
+    return newest_files(lines).select(
+        F.split_part(name, F.lit("_"), F.lit(1)).alias("id"),
+        F.try_element_at(types, path_part(F.col("path"), -3)).alias("gage_type"),
+        to_naive_utc(F.col("dateTime")).alias("time"),
+        *rest,
+    )
+
+
+def read_gage_csvs(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """All gauge files under a folder; ``schema`` describes their columns, ``dateTime`` among them as text."""
     lines = (
         spark.read.schema(schema)
         .option("header", "true")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
         .csv(root)
-        .withColumn("_path", F.col("_metadata.file_path"))
-    )
-    parts = F.split("_path", "/")
-    files = lines.select("_path", F.element_at(parts, -1).alias("_file"), F.slice(parts, 1, F.size(parts) - 1).alias("_dir"))
-    newest = files.groupBy("_file").agg(F.max_by("_path", F.array_join("_dir", "/")).alias("_path"))
-    name = F.regexp_replace(path_part(F.col("_path"), -1), r"\.csv$", "")
-    return (
-        lines.join(newest.select("_path"), "_path", "left_semi")
-        .withColumn("id", F.split_part(name, F.lit("_"), F.lit(1)))
-        .withColumn("gage_type", path_part(F.col("_path"), -3))
-        .withColumn("time", to_naive_utc(F.col("dateTime")))
-        .drop("_path", "dateTime")
     )
+    return gage_observations(lines.select(F.col("_metadata.file_path").alias("path"), "*"))
 
 
 def parse_conflation(documents: DataFrame) -> DataFrame:
@@ -108,23 +115,27 @@ def read_marked_csv(spark: SparkSession, root: str, columns: dict[str, str], mar
     return parse_marked_csv(texts.select(F.col("_metadata.file_path").alias("path"), "value"), columns, marker)
 
 
-def read_param_defaults(spark: SparkSession, csv_dir: str) -> DataFrame:
-    """Module default tables ``<module>_params.csv`` as one table with the module as key.
+def read_param_defaults(
+    spark: SparkSession, root: str, glob: str = "*_params.csv", module: str = r"([^/]+)_params\.csv$"
+) -> DataFrame:
+    """Module default tables as one; ``module`` captures the module's name from the file's path.
 
-    Headers differ between files, so each file is read with its own header and matched by name.
+    Headers differ between files, so each is read with its own and matched by name. There is one file per model.
     """
-    listing = spark.read.format("binaryFile").option("pathGlobFilter", "*_params.csv").load(csv_dir).select("path")
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     out = None
-    for path in sorted(r.path for r in listing.collect()):
-        table = spark.read.option("header", "true").option("quote", '"').csv(path)
+    for path in sorted(r.path for r in listing.load(root).select("path").collect()):
+        table = spark.read.option("header", "true").csv(path)
         table = table.toDF(*[c.strip() for c in table.columns])
-        module = path.rsplit("/", 1)[-1].removesuffix("_params.csv")
+        found = re.search(module, path)
         table = table.select(
-            F.lit(module).alias("module"), F.monotonically_increasing_id().alias("pos"), *[f"`{c}`" for c in table.columns]
+            F.lit(found.group(1) if found else path).alias("module"),
+            F.monotonically_increasing_id().alias("pos"),
+            *[quoted(c) for c in table.columns],
         )
         out = table if out is None else out.unionByName(table, allowMissingColumns=True)
     if out is None:
-        raise ValueError(f"no *_params.csv under {csv_dir}")
+        raise ValueError(f"no {glob} under {root}")
     return out
 
 
