@@ -157,7 +157,7 @@ FROM {lineitem}""",
     "cells": """
 SELECT 'cat-' || (l_partkey + 1) AS divide_id, l_suppkey AS cell_i, l_linenumber AS cell_j,
   l_extendedprice AS value, l_tax + 0.01e0 AS weight, CAST(l_quantity AS bigint) AS class_value,
-  l_discount * 3600 AS aspect
+  l_discount * 3000 + 1 AS aspect
 FROM {lineitem}""",
     "grid": """
 SELECT CAST(l_suppkey * 1000 AS double) AS x, CAST(l_linenumber * 1000 AS double) AS y,

@@ -51,25 +51,33 @@ def python_float(value: Column) -> Column:
     """Double as the shortest decimal text in the style of model configuration files.
 
     Plain digits from 1e-4 up to 1e16, otherwise an exponent of at least two digits; a missing value is ``nan``.
+    Most numbers already have that form in the JVM's own text; only the others take the long way.
     """
-    text = value.cast("double").cast("string")
-    mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.0$", "")
-    exponent = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    plain = F.when(text.contains("E"), _expand(text)).otherwise(text)
-    sign = F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+"))
-    zero = F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit(""))
-    scientific = F.concat(mantissa, F.lit("e"), sign, zero, F.abs(exponent).cast("string"))
+    value = value.cast("double")
+    jvm = value.cast("string")
+    short = ~jvm.contains("E") & (F.length(jvm) <= 17)
     return (
         F.when(value.isNull() | F.isnan(value), F.lit("nan"))
-        .when(exponent.isNull() | exponent.between(-4, 15), plain)
-        .otherwise(scientific)
+        .when(short, jvm)
+        .otherwise(F.get(F.transform(F.array(_fewest_digits(value, jvm)), _plain_or_scientific), F.lit(0)))
     )
 
 
-def _expand(text: Column) -> Column:
-    """``1.5E-4`` as ``0.00015`` through an exact decimal."""
-    digits = text.try_cast(T.DecimalType(38, 20)).cast("string")
-    return F.regexp_replace(F.regexp_replace(digits, r"0+$", ""), r"\.$", ".0")
+def _fewest_digits(value: Column, jvm: Column) -> Column:
+    """The JVM's text may carry a 17th digit; 16 digits are used where they give the same number."""
+    rounded = F.format_string("%.15E", value)
+    return F.when(rounded.try_cast("double") == value, rounded).otherwise(jvm)
+
+
+def _plain_or_scientific(text: Column) -> Column:
+    mantissa = F.regexp_replace(F.split_part(text, F.lit("E"), F.lit(1)), r"\.?0+$", "")
+    exponent = F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    digits = F.regexp_replace(text.try_cast(T.DecimalType(38, 20)).cast("string"), r"0+$", "")
+    plain = F.regexp_replace(digits, r"\.$", ".0")
+    sign = F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+"))
+    zero = F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit(""))
+    scientific = F.concat(mantissa, F.lit("e"), sign, zero, F.abs(exponent).cast("string"))
+    return F.when(exponent.isNull(), text).when(exponent.between(-4, 15), plain).otherwise(scientific)
 
 
 def number_list(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.functions.text import columns_of, safe_name
+from rillflow.functions.text import columns_of, quoted, safe_name
 from rillflow.functions.times import MICROS, clock_text, epoch_micros, from_epoch_micros
 
 RELEASE_ITEM = {
@@ -21,13 +21,13 @@ class NoResults(Exception):
 
 def unpivot_observations(wide: DataFrame) -> DataFrame:
     """One column per gauge to rows ``(time, id, q_cms)``."""
-    gages = [c for c in wide.columns if c != "time"]
+    gages = [quoted(c) for c in wide.columns if c != "time"]
     return wide.unpivot(["time"], gages, "id", "q_cms")
 
 
 def gage_column(wide: DataFrame, gage: str) -> DataFrame:
     """``time`` and one gauge of a wide table."""
-    return wide.select("time", F.col(f"`{gage}`"))
+    return wide.select("time", quoted(gage))
 
 
 def streamflow_range(flow: DataFrame, gages: str | list[str], start, end) -> DataFrame:

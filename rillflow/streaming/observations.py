@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -18,7 +19,8 @@ def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     State is kept per (id, time) and dropped once the watermark has passed it, so a single busy gauge is spread over
     all state partitions and state stays as large as the delay.
     """
-    return stream.withWatermark("time", delay).dropDuplicatesWithinWatermark(["id", "time"])
+    timed = stream.withColumn("_event_time", F.col("time").cast("timestamp")).withWatermark("_event_time", delay)
+    return timed.dropDuplicatesWithinWatermark(["id", "time"]).drop("_event_time")
 
 
 def stream_observations(
