@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables: ``spark.checkpoint.dir``, or a scratch folder in local mode only."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,9 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = "file://" + tempfile.mkdtemp(prefix="rillflow-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = "file://" + tempfile.mkdtemp(prefix="rillflow-")
+    return _LOCAL_DIRS[application]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
