@@ -14,7 +14,7 @@ from rillflow.functions.text import safe_name
 from rillflow.operators import series as ts
 from rillflow.operators import zonal as zn
 from rillflow.operators.conflation import with_lonlat
-from rillflow.plans.workspace import new_path
+from rillflow.plans.workspace import materialize, new_path
 from rillflow.sources.files import gage_observations, parse_marked_csv
 from rillflow.streaming.observations import stream_observations
 
@@ -363,7 +363,8 @@ SELECT c.x, c.y, max(p.cat_id) AS cat_id FROM c JOIN poly p
 )
 def cells_in_polygons(spark, sf):
     cells = td.view(spark, sf, "grid").select("x", "y").distinct()
-    return zn.cells_in_polygons(cells, bounded(diamonds(spark, sf)))
+    polygons = materialize(bounded(diamonds(spark, sf)), "polygons")
+    return zn.cells_in_polygons(cells, polygons)
 
 
 def cells(spark, sf):

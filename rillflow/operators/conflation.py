@@ -9,28 +9,36 @@ from rillflow.functions.geo import albers_to_lonlat
 from rillflow.functions.text import columns_of, or_none, river_reach_key
 
 KEY = ["model_id", "huc", "river_reach_rs", "thalweg", "xs_max_elevation"]
+REACH_IDS = ["us_reach_id", "us_network_to_id", "ds_reach_id", "ds_network_to_id"]
 
 
-def reach_lookup(conflation: DataFrame, side: str) -> DataFrame:
-    """Key columns -> ``(reach_id, network_to_id)`` for the upstream (``us``) or downstream (``ds``) sections.
+def reach_lookup(conflation: DataFrame) -> DataFrame:
+    """Key columns to the reach a section is the upstream (``us``) and the downstream (``ds``) end of.
 
-    A section listed by several reaches goes to the one listed last.
+    A section listed by several reaches goes to the one listed last. Both ends are looked up in one table, so the
+    sections are joined once.
     """
-    xs = f"{side}_xs"
-    rows = conflation.where(F.col(xs).isNotNull()).select(
+    ends = conflation.select(
         "model_id",
         "huc",
-        river_reach_key(F.col(f"{xs}.river"), F.col(f"{xs}.reach"), F.col(f"{xs}.xs_id")).alias("river_reach_rs"),
-        F.col(f"{xs}.min_elevation").alias("thalweg"),
-        F.col(f"{xs}.max_elevation").alias("xs_max_elevation"),
         F.struct("pos", "reach_id", "network_to_id").alias("listed"),
+        F.explode(
+            F.array(
+                F.struct(F.lit("us").alias("side"), F.col("us_xs").alias("xs")),
+                F.struct(F.lit("ds").alias("side"), F.col("ds_xs").alias("xs")),
+            )
+        ).alias("end"),
+    ).where(F.col("end.xs").isNotNull())
+    keyed = ends.select(
+        "model_id",
+        "huc",
+        river_reach_key(F.col("end.xs.river"), F.col("end.xs.reach"), F.col("end.xs.xs_id")).alias("river_reach_rs"),
+        F.col("end.xs.min_elevation").alias("thalweg"),
+        F.col("end.xs.max_elevation").alias("xs_max_elevation"),
+        *[F.when(F.col("end.side") == side, F.col("listed")).alias(side) for side in ("us", "ds")],
     )
-    last = rows.groupBy(*KEY).agg(F.max("listed").alias("last"))
-    return last.select(
-        *KEY,
-        F.col("last.reach_id").alias(f"{side}_reach_id"),
-        F.col("last.network_to_id").alias(f"{side}_network_to_id"),
-    )
+    last = keyed.groupBy(*KEY).agg(F.max("us").alias("us"), F.max("ds").alias("ds"))
+    return last.select(*KEY, *[F.col(c.replace("_", ".", 1)).alias(c) for c in REACH_IDS])
 
 
 def composite_key_lookup(xs: DataFrame, conflation: DataFrame) -> DataFrame:
@@ -40,9 +48,8 @@ def composite_key_lookup(xs: DataFrame, conflation: DataFrame) -> DataFrame:
     (model, HUC) without any conflation are left out.
     """
     covered = xs.join(conflation.select("model_id", "huc").distinct(), ["model_id", "huc"], "left_semi")
-    out = covered.join(reach_lookup(conflation, "us"), KEY, "left").join(reach_lookup(conflation, "ds"), KEY, "left")
-    ids = [f"{side}_{name}" for side in ("us", "ds") for name in ("reach_id", "network_to_id")]
-    return out.select(*columns_of(xs), *[or_none(F.col(c)).alias(c) for c in ids])
+    linked = covered.join(reach_lookup(conflation), KEY, "left")
+    return linked.select(*columns_of(xs), *[or_none(F.col(c)).alias(c) for c in REACH_IDS])
 
 
 def crs_map(xs: DataFrame) -> DataFrame:

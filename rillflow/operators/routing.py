@@ -17,44 +17,40 @@ def full_outer(mainstem: DataFrame, flowpaths: DataFrame) -> DataFrame:
     return mainstem.join(flowpaths, "divide_id", "full")
 
 
-def mainstems(network: DataFrame, reach_ids: list | DataFrame) -> DataFrame:
-    """``(reach_id, vpus, ...network row)``: rows on the reach's mainstem at or below it, in its VPU scope."""
+def mainstems(network: DataFrame, flowpaths: DataFrame, reach_ids: list | DataFrame) -> DataFrame:
+    """``(reach_id, vpus, reach_order, ...network row)``: rows on the reach's mainstem at or below it.
+
+    ``vpus`` is the reach's VPU scope, which the rows lie in, and ``reach_order`` the stream order of the reach itself.
+    """
     reaches = network.where(F.col("hf_id").isNotNull())
     if isinstance(reach_ids, DataFrame):
         reaches = reaches.join(reach_ids.toDF("hf_id"), "hf_id", "left_semi")
     else:
         reaches = reaches.where(F.col("hf_id").isin([float(r) for r in reach_ids]))
     # The first row of a reach decides; the lowest hydroseq makes "first" the same in every run.
-    first = F.min(F.struct(F.col("hydroseq").alias("from_seq"), "hf_mainstem", "vpuid")).alias("start")
+    first = F.min(F.struct(F.col("hydroseq").alias("from_seq"), "hf_mainstem", "vpuid", "divide_id")).alias("start")
     start = reaches.groupBy(F.col("hf_id").cast("bigint").alias("reach_id")).agg(first)
+    orders = flowpaths.groupBy("divide_id").agg(F.min("order").alias("reach_order"))
     start = start.select(
         "reach_id",
         F.col("start.from_seq").alias("from_seq"),
         F.col("start.hf_mainstem").alias("hf_mainstem"),
+        F.col("start.divide_id").alias("divide_id"),
         vpu_scope_column(F.col("start.vpuid")).alias("vpus"),
     )
+    start = start.join(orders, "divide_id").drop("divide_id")
     below = F.col("hydroseq") <= F.col("from_seq")
     in_scope = F.array_contains("vpus", F.col("vpuid"))
-    return (
-        network.join(start, "hf_mainstem").where(below & in_scope).select("reach_id", "vpus", *columns_of(network))
-    )
+    found = network.join(start, "hf_mainstem").where(below & in_scope)
+    return found.select("reach_id", "vpus", "reach_order", *columns_of(network))
 
 
 def _same_order_flowpaths(features: DataFrame, flowpaths: DataFrame) -> DataFrame:
-    """Flowpaths on the mainstem's divides that have the stream order of the reach itself."""
-    divides = features.where(F.col("divide_id").isNotNull()).select("reach_id", "vpus", "divide_id").distinct()
-    on_segment = (
-        flowpaths.join(divides, "divide_id")
-        .where(F.array_contains("vpus", F.col("vpuid")))
-        .select("reach_id", "vpus", *columns_of(flowpaths))
-    )
-    own = features.where(F.col("hf_id") == F.col("reach_id")).select("reach_id", "divide_id").distinct()
-    order = (
-        on_segment.join(own, ["reach_id", "divide_id"], "left_semi")
-        .groupBy("reach_id")
-        .agg(F.min("order").alias("reach_order"))
-    )
-    return on_segment.join(order, "reach_id").where(F.col("order") == F.col("reach_order")).drop("reach_order")
+    """``(reach_id, vpus, ...flowpath)``: flowpaths on the rows' divides that have the stream order of the reach."""
+    divides = features.where(F.col("divide_id").isNotNull())
+    divides = divides.select("reach_id", "vpus", "reach_order", "divide_id").distinct()
+    kept = (F.col("order") == F.col("reach_order")) & F.array_contains("vpus", F.col("vpuid"))
+    return flowpaths.join(divides, "divide_id").where(kept).select("reach_id", "vpus", *columns_of(flowpaths))
 
 
 def _lakes_on(segment: DataFrame, lakes: DataFrame) -> DataFrame:
@@ -69,18 +65,18 @@ def _lakes_on(segment: DataFrame, lakes: DataFrame) -> DataFrame:
 def break_at_lakes(features: DataFrame, lakes: DataFrame) -> DataFrame:
     """Keep a segment's network rows at or above its most upstream lake; segments without lakes are unchanged.
 
-    hydroseq falls going downstream, so the most upstream lake row has the largest ``hf_hydroseq``.
+    hydroseq falls going downstream, so the most upstream lake row has the largest ``hf_hydroseq``. A segment whose
+    lakes match none of its rows keeps nothing.
     """
-    at_lakes = lakes.where(F.col("hf_id").isNotNull()).select("reach_id", "hf_id").distinct()
+    at_lakes = lakes.select("reach_id", "hf_id").distinct()
+    rows = features.select("reach_id", "hf_id", "hf_hydroseq")
     cut = (
-        features.join(at_lakes, ["reach_id", "hf_id"], "left_semi")
+        at_lakes.join(rows, ["reach_id", "hf_id"], "left")
         .groupBy("reach_id")
-        .agg(F.max("hf_hydroseq").alias("cut"))
+        .agg(F.max("hf_hydroseq").alias("cut"), F.lit(True).alias("has_lake"))
     )
-    reaches_with_lakes = lakes.select("reach_id").distinct().withColumn("has_lake", F.lit(True))
-    marked = features.join(reaches_with_lakes, "reach_id", "left").join(cut, "reach_id", "left")
     above = F.col("has_lake").isNull() | (F.col("hf_hydroseq") >= F.col("cut"))
-    return marked.where(above).select(*columns_of(features))
+    return features.join(cut, "reach_id", "left").where(above).select(*columns_of(features))
 
 
 def rnr_segment(layers: Mapping[str, DataFrame], reach_ids: list | DataFrame) -> dict:
@@ -89,8 +85,8 @@ def rnr_segment(layers: Mapping[str, DataFrame], reach_ids: list | DataFrame) ->
     Mainstem rows and the final segment are each used many times, so both are written once.
     """
     network, flowpaths = layers["network"], layers["flowpaths"]
-    needed = ["reach_id", "vpus", "hf_id", "hf_hydroseq", "divide_id"]
-    features = materialize(mainstems(network, reach_ids).select(*needed), "mainstems")
+    needed = ["reach_id", "vpus", "reach_order", "hf_id", "hf_hydroseq", "divide_id"]
+    features = materialize(mainstems(network, flowpaths, reach_ids).select(*needed), "mainstems")
     first_lakes = _lakes_on(_same_order_flowpaths(features, flowpaths), layers["lakes"])
     segment = materialize(_same_order_flowpaths(break_at_lakes(features, first_lakes), flowpaths), "segment")
 

@@ -6,7 +6,7 @@ the result of one call serves a whole region and each layer is read once.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -124,6 +124,25 @@ def require_rows(subset: dict) -> dict:
     return subset
 
 
+class WithinVpus(Mapping):
+    """Layers cut to a few VPUs by a static filter, which prunes folders of layers written by VPU.
+
+    The VPUs are a fixed division of a continent, a few dozen at most.
+    """
+
+    def __init__(self, layers: Layers, vpus: list[str]) -> None:
+        self._layers, self._vpus = layers, vpus
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._layers[name].where(F.col("vpuid").isin(self._vpus))
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._layers)
+
+    def __len__(self) -> int:
+        return len(self._layers)
+
+
 def subset_hydrofabric(
     layers: Layers,
     graph: RiverGraph,
@@ -142,7 +161,10 @@ def subset_hydrofabric(
     origins = rows.select(F.col("identifier").cast("string").alias("basin"), "id", "toid", "vpuid")
     if strict and origins.isEmpty():
         raise ValueError(f"No origin found for {id_type} in {identifiers}")
-    subset = subset_layers(layers, materialize(scoped_ids(graph, origins), "basin-ids"), names)
+    ids = materialize(scoped_ids(graph, origins), "basin-ids")
+    if isinstance(identifiers, list):
+        layers = WithinVpus(layers, [r.vpu for r in ids.select(F.explode("vpus").alias("vpu")).distinct().collect()])
+    subset = subset_layers(layers, ids, names)
     return require_rows(subset) if strict else subset
 
 

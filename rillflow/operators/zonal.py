@@ -123,8 +123,13 @@ def mask_and_orient_grid(cells: DataFrame, rows: int, extent: tuple | None = Non
 
 
 def chain_full_join(tables: list[DataFrame], vpuid: str) -> DataFrame:
-    """All attribute tables of a domain on divide_id, with the groundwater defaults filled in."""
-    joined = reduce(lambda a, b: a.join(b, "divide_id", "full"), tables)
+    """All attribute tables of a domain on divide_id, with the groundwater defaults filled in.
+
+    A chain of full joins shuffles the growing table again at every step. Left joins from the set of all divides give
+    the same rows and keep its partitioning, so each table is shuffled once.
+    """
+    divides = reduce(DataFrame.union, [t.select("divide_id") for t in tables]).distinct()
+    joined = reduce(lambda a, b: a.join(b, "divide_id", "left"), tables, divides)
     # Groundwater parameters of divides without a bucket.
     for column, default in (("mean.Coeff", 0.05), ("mean.Zmax", 1.0), ("mode.Expon", 1.0)):
         if column in joined.columns:

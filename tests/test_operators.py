@@ -15,17 +15,19 @@ DAY = dt.timedelta(days=1)
 
 def test_rank_is_exact_when_one_group_holds_most_rows(spark):
     rng = random.Random(5)
-    rows = [("hot" if i % 3 else f"g{i % 7}", rng.randrange(40), i) for i in range(3000)]
+    rows = [("hot" if i % 3 else f"g{i % 7}" if i % 7 else None, rng.randrange(40), i) for i in range(3000)]
     df = spark.createDataFrame(rows, "g string, v int, i int").repartition(7)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = {(r.g, r.i): (r["rank"], r.group_rows) for r in with_rank(df, ["g"], ["v", "i"]).collect()}
+        ranks = [with_rank(df, ["g"], ["v", "i"], window_rows=limit).collect() for limit in (0, 500, 10_000)]
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     frame = pd.DataFrame(rows, columns=["g", "v", "i"]).sort_values(["g", "v", "i"])
-    frame["rank"] = frame.groupby("g").cumcount() + 1
-    frame["n"] = frame.groupby("g")["i"].transform("count")
-    assert got == {(r.g, r.i): (r.rank, r.n) for r in frame.itertuples()}
+    groups = frame.groupby("g", dropna=False)
+    frame["rank"], frame["n"] = groups.cumcount() + 1, groups["i"].transform("count")
+    expected = {(r.g if isinstance(r.g, str) else None, r.i): (r.rank, r.n) for r in frame.itertuples()}
+    for rows_ranked in ranks:
+        assert {(r.g, r.i): (r["rank"], r.group_rows) for r in rows_ranked} == expected
 
 
 def test_row_index_counts_from_one(spark):
