@@ -166,9 +166,10 @@ def upstream_segments(spark, sf):
     """SELECT 'wb-0' AS origin, 'wb-' || (c_custkey + 1) AS id FROM customer UNION SELECT 'wb-0', 'wb-0'""",
 )
 def upstream_segments_deep_chain(spark, sf):
-    """Everything above the sea in a network as deep as it is long."""
+    """Everything above each outlet of a network as deep as it is long."""
     graph = td.graph(spark, sf, "chain")
-    return gr.upstream_segments(graph, spark.range(1).select(F.lit("wb-0").alias("origin")))
+    outlets = graph.nodes.join(graph.edges.select(F.col("src").alias("id")), "id", "left_anti")
+    return gr.upstream_segments(graph, outlets.select(F.col("id").alias("origin")))
 
 
 @query(

@@ -295,6 +295,18 @@ def albers_to_wgs84(spark, sf):
     return rounded(located.select("divide_id", "lon", "lat"))
 
 
+@query(
+    "lonlat_to_albers",
+    td.ctes("divide-attributes")
+    + " SELECT divide_id, round(centroid_x, 2) AS x, round(centroid_y, 2) AS y FROM divide_attributes",
+)
+def lonlat_to_albers(spark, sf):
+    """There and back again."""
+    located = with_lonlat(td.view(spark, sf, "divide-attributes"), "centroid_x", "centroid_y")
+    x, y = geo.lonlat_to_albers(F.col("lon"), F.col("lat"))
+    return rounded(located.select("divide_id", x.alias("x"), y.alias("y")), 2)
+
+
 @query(
     "unit_conversions",
     td.ctes("divides")

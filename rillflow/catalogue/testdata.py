@@ -6,10 +6,9 @@ items, events and embeddings stand in for observations, cross-sections, raster c
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
-
 from pyspark.sql import DataFrame, SparkSession
 
+from rillflow.plans.frames import Frames
 from rillflow.plans.graph import RiverGraph, build_graph
 
 _PART = """(SELECT k, s, r, odd, CAST(k AS double) AS kd, CAST(odd AS double) AS oddd,
@@ -201,28 +200,9 @@ LAYERS = (
 ).split()
 
 
-class Layers(Mapping):
-    """The ten layers of the tree network, each defined when first asked for."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self._spark, self._sf_dir, self._known = spark, sf_dir, {}
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in LAYERS:
-            raise KeyError(name)
-        if name not in self._known:
-            self._known[name] = view(self._spark, self._sf_dir, name)
-        return self._known[name]
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(LAYERS)
-
-    def __len__(self) -> int:
-        return len(LAYERS)
-
-
-def layers(spark: SparkSession, sf_dir: str) -> Layers:
-    return Layers(spark, sf_dir)
+def layers(spark: SparkSession, sf_dir: str) -> Frames:
+    """The ten layers of the tree network."""
+    return Frames({name: (lambda name=name: view(spark, sf_dir, name)) for name in LAYERS})
 
 
 _GRAPHS: dict[tuple, RiverGraph] = {}

@@ -56,6 +56,16 @@ def albers_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(theta / _N) + _ORIGIN[1], F.degrees(phi)
 
 
+def lonlat_to_albers(lon: Column, lat: Column) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees (NAD83) to EPSG:5070 metres."""
+    sine = F.sin(F.radians(lat))
+    logarithm = F.ln((1 - _E * sine) / (1 + _E * sine)) / (2 * _E)
+    q = (1 - _E2) * (sine / (1 - _E2 * sine * sine) - logarithm)
+    rho = F.sqrt(F.lit(_C) - _N * q) * (_A / _N)
+    theta = F.radians(lon - _ORIGIN[1]) * _N
+    return rho * F.sin(theta), F.lit(_RHO0) - rho * F.cos(theta)
+
+
 def _wkb_points(wkb: bytes) -> np.ndarray:
     """All coordinates of a WKB geometry as an (n, 2) array."""
     found: list[np.ndarray] = []

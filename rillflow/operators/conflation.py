@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.geo import albers_to_lonlat
+from rillflow.functions.geo import albers_to_lonlat, lonlat_to_albers
 from rillflow.functions.text import columns_of, or_none, river_reach_key
 
 KEY = ["model_id", "huc", "river_reach_rs", "thalweg", "xs_max_elevation"]
@@ -63,14 +63,27 @@ def crs_family(name):
     return F.when(name.contains("NAD83") | name.contains("NAD_1983"), F.lit("EPSG:5070"))
 
 
-def consolidate_xs(xs: DataFrame) -> DataFrame:
-    """All models' sections as one table with ``crs`` set, if they share one coordinate family; raises otherwise."""
+# EPSG code of geographic NAD83 coordinates.
+GEOGRAPHIC_NAD83 = 4269
+
+
+def consolidate_xs(xs: DataFrame, x: str | None = None, y: str | None = None) -> DataFrame:
+    """All models' sections as one table with ``crs`` set, if they share one coordinate family; raises otherwise.
+
+    With ``x`` and ``y`` the coordinates of geographic sections are projected; those of projected ones are kept.
+    """
     family = crs_family(F.col("crs_name"))
     checked = xs.agg(
         F.count_distinct(family).alias("families"), F.count_if(family.isNull()).alias("unknown")
     ).first()
     if checked.families != 1 or checked.unknown:
         raise ValueError(f"cannot merge cross-sections of {checked.families} families, {checked.unknown} rows unknown")
+    if x and y:
+        east, north = lonlat_to_albers(F.col(x), F.col(y))
+        geographic = F.col("epsg") == GEOGRAPHIC_NAD83
+        xs = xs.withColumns(
+            {x: F.when(geographic, east).otherwise(F.col(x)), y: F.when(geographic, north).otherwise(F.col(y))}
+        )
     return xs.withColumn("crs", family)
 
 

@@ -444,6 +444,11 @@ TROUTE_NETWORK_COLUMNS = {
     "cs": "ChSlp",
     "alt": "alt",
 }
+TROUTE_DUPLICATE_SEGMENTS = (
+    "717696 1311881 3133581 1010832 1023120 1813525 1531545 1304859 1320604 1233435 11816 1312051 2723765 2613174 "
+    "846266 1304891 1233595 1996602 2822462 2384576 1021504 2360642 1326659 1826754 572364 1336910 1332558 1023054 "
+    "3133527 3053788 3101661 2043487 3056866 1296744 1233515 2045165 1230577 1010164 1031669 1291638 1637751"
+).split()
 
 
 def params_troute(subset: Subset, identifier: str | None = None) -> DataFrame:
@@ -468,6 +473,9 @@ def params_troute(subset: Subset, identifier: str | None = None) -> DataFrame:
                 "comp_param": str(TROUTE_COMPUTE),
                 "output_param": str(TROUTE_OUTPUT),
                 "ntwk_columns": str(TROUTE_NETWORK_COLUMNS),
+                "res_da": str(TROUTE_COMPUTE["data_assimilation_parameters"]["reservoir_da"]),
+                "stream_da": str(TROUTE_COMPUTE["data_assimilation_parameters"]["streamflow_da"]),
+                "dupseg": TROUTE_DUPLICATE_SEGMENTS,
             },
         )
     )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.text import columns_of
 from rillflow.operators.origins import vpu_scope_column
+from rillflow.plans.frames import Frames
 from rillflow.plans.workspace import materialize
 
 
@@ -17,10 +18,10 @@ def full_outer(mainstem: DataFrame, flowpaths: DataFrame) -> DataFrame:
     return mainstem.join(flowpaths, "divide_id", "full")
 
 
-def mainstems(network: DataFrame, flowpaths: DataFrame, reach_ids: list | DataFrame) -> DataFrame:
-    """``(reach_id, vpus, reach_order, ...network row)``: rows on the reach's mainstem at or below it.
+def reach_starts(network: DataFrame, flowpaths: DataFrame, reach_ids: list | DataFrame) -> DataFrame:
+    """``(reach_id, from_seq, hf_mainstem, vpus, reach_order)`` of each reach: where its segment starts.
 
-    ``vpus`` is the reach's VPU scope, which the rows lie in, and ``reach_order`` the stream order of the reach itself.
+    ``vpus`` is its VPU scope and ``reach_order`` the stream order of its own flowpath.
     """
     reaches = network.where(F.col("hf_id").isNotNull())
     if isinstance(reach_ids, DataFrame):
@@ -31,24 +32,28 @@ def mainstems(network: DataFrame, flowpaths: DataFrame, reach_ids: list | DataFr
     first = F.min(F.struct(F.col("hydroseq").alias("from_seq"), "hf_mainstem", "vpuid", "divide_id")).alias("start")
     start = reaches.groupBy(F.col("hf_id").cast("bigint").alias("reach_id")).agg(first)
     orders = flowpaths.groupBy("divide_id").agg(F.min("order").alias("reach_order"))
-    start = start.select(
+    return start.select(
         "reach_id",
         F.col("start.from_seq").alias("from_seq"),
         F.col("start.hf_mainstem").alias("hf_mainstem"),
         F.col("start.divide_id").alias("divide_id"),
         vpu_scope_column(F.col("start.vpuid")).alias("vpus"),
-    )
-    start = start.join(orders, "divide_id").drop("divide_id")
+    ).join(orders, "divide_id").drop("divide_id")
+
+
+def downstream_rows(rows: DataFrame, starts: DataFrame, on: list[str]) -> DataFrame:
+    """``(reach_id, vpus, ...row)``: network rows on a reach's mainstem, at or below it and in its VPU scope.
+
+    ``on`` holds ``hf_mainstem`` and whatever else must be equal; the more, the fewer rows meet.
+    """
     below = F.col("hydroseq") <= F.col("from_seq")
-    in_scope = F.array_contains("vpus", F.col("vpuid"))
-    found = network.join(start, "hf_mainstem").where(below & in_scope)
-    return found.select("reach_id", "vpus", "reach_order", *columns_of(network))
+    found = rows.join(starts, on).where(below & F.array_contains("vpus", F.col("vpuid")))
+    return found.select("reach_id", "vpus", *columns_of(rows))
 
 
-def _same_order_flowpaths(features: DataFrame, flowpaths: DataFrame) -> DataFrame:
-    """``(reach_id, vpus, ...flowpath)``: flowpaths on the rows' divides that have the stream order of the reach."""
-    divides = features.where(F.col("divide_id").isNotNull())
-    divides = divides.select("reach_id", "vpus", "reach_order", "divide_id").distinct()
+def _segment_flowpaths(features: DataFrame, flowpaths: DataFrame) -> DataFrame:
+    """``(reach_id, vpus, ...flowpath)``: flowpaths on the rows' divides that have the stream order of the rows."""
+    divides = features.select("reach_id", "vpus", "reach_order", "divide_id").distinct()
     kept = (F.col("order") == F.col("reach_order")) & F.array_contains("vpus", F.col("vpuid"))
     return flowpaths.join(divides, "divide_id").where(kept).select("reach_id", "vpus", *columns_of(flowpaths))
 
@@ -62,14 +67,15 @@ def _lakes_on(segment: DataFrame, lakes: DataFrame) -> DataFrame:
     return found.select("reach_id", *columns_of(lakes))
 
 
-def break_at_lakes(features: DataFrame, lakes: DataFrame) -> DataFrame:
+def break_at_lakes(features: DataFrame, lakes: DataFrame, lake_rows: DataFrame | None = None) -> DataFrame:
     """Keep a segment's network rows at or above its most upstream lake; segments without lakes are unchanged.
 
-    hydroseq falls going downstream, so the most upstream lake row has the largest ``hf_hydroseq``. A segment whose
-    lakes match none of its rows keeps nothing.
+    hydroseq falls going downstream, so the most upstream lake row has the largest ``hf_hydroseq``. ``lake_rows`` are
+    the network rows in which lakes are looked up, by default the segment's own. A segment whose lakes match none of
+    them keeps nothing.
     """
     at_lakes = lakes.select("reach_id", "hf_id").distinct()
-    rows = features.select("reach_id", "hf_id", "hf_hydroseq")
+    rows = (features if lake_rows is None else lake_rows).select("reach_id", "hf_id", "hf_hydroseq")
     cut = (
         at_lakes.join(rows, ["reach_id", "hf_id"], "left")
         .groupBy("reach_id")
@@ -79,33 +85,48 @@ def break_at_lakes(features: DataFrame, lakes: DataFrame) -> DataFrame:
     return features.join(cut, "reach_id", "left").where(above).select(*columns_of(features))
 
 
-def rnr_segment(layers: Mapping[str, DataFrame], reach_ids: list | DataFrame) -> dict:
+def rnr_segment(layers: Mapping[str, DataFrame], reach_ids: list | DataFrame) -> Frames:
     """The layers of the routing segment below each reach, with a ``reach_id`` column.
 
-    Mainstem rows and the final segment are each used many times, so both are written once.
+    Of the rows below a reach only those of its stream order can be in its segment, and only those at lakes can cut
+    it; the two are joined separately, so a long mainstem is not paired with all its reaches. Starts, segment rows and
+    the final segment are used several times and written once.
     """
-    network, flowpaths = layers["network"], layers["flowpaths"]
-    needed = ["reach_id", "vpus", "reach_order", "hf_id", "hf_hydroseq", "divide_id"]
-    features = materialize(mainstems(network, flowpaths, reach_ids).select(*needed), "mainstems")
-    first_lakes = _lakes_on(_same_order_flowpaths(features, flowpaths), layers["lakes"])
-    segment = materialize(_same_order_flowpaths(break_at_lakes(features, first_lakes), flowpaths), "segment")
+    network, flowpaths, lakes = layers["network"], layers["flowpaths"], layers["lakes"]
+    starts = materialize(reach_starts(network, flowpaths, reach_ids), "reach-starts")
+    rows = network.where(F.col("divide_id").isNotNull()).select(
+        "divide_id", "hf_id", "hf_hydroseq", "hydroseq", "hf_mainstem", "vpuid"
+    )
+    orders = flowpaths.select("divide_id", F.col("order").alias("reach_order")).distinct()
+    features = downstream_rows(rows.join(orders, "divide_id"), starts, ["hf_mainstem", "reach_order"])
+    features = materialize(features.select("reach_id", "vpus", "reach_order", "hf_hydroseq", "divide_id"), "features")
+
+    lake_ids = lakes.where(F.col("hf_id").isNotNull()).select("hf_id")
+    all_rows = network.select("hf_id", "hf_hydroseq", "hydroseq", "hf_mainstem", "vpuid")
+    lake_rows = downstream_rows(all_rows.join(lake_ids, "hf_id", "left_semi"), starts, ["hf_mainstem"])
+    first_lakes = _lakes_on(_segment_flowpaths(features, flowpaths), lakes)
+    above_lakes = break_at_lakes(features, first_lakes, lake_rows)
+    segment = materialize(_segment_flowpaths(above_lakes, flowpaths), "segment")
 
     def pick(layer: str, key: str, ids: DataFrame, id_column: str) -> DataFrame:
         wanted = ids.where(F.col(id_column).isNotNull()).select("reach_id", F.col(id_column).alias(key)).distinct()
         return layers[layer].join(wanted, key).select("reach_id", *columns_of(layers[layer]))
 
-    places = segment.where(F.col("poi_id").isNotNull()).withColumn("poi_id", F.col("poi_id").cast("bigint").cast("int"))
-    ends = segment.select("reach_id", F.explode(F.array("id", "toid")).alias("id"))
-    return {
-        "flowpaths": segment.drop("vpus"),
-        "nexus": pick("nexus", "id", segment, "toid"),
-        "divides": pick("divides", "divide_id", segment, "divide_id"),
-        "divide-attributes": pick("divide-attributes", "divide_id", segment, "divide_id"),
-        "network": pick("network", "id", ends, "id"),
-        "pois": pick("pois", "poi_id", places, "poi_id"),
-        "flowpath-attributes": pick("flowpath-attributes", "id", segment, "id"),
-        "hydrolocations": pick("hydrolocations", "poi_id", places, "poi_id"),
-        "lakes": _lakes_on(segment, layers["lakes"]),
-    }
-
+    def at_places(layer: str) -> DataFrame:
+        place = F.col("poi_id").cast("bigint").cast("int")
+        return pick(layer, "poi_id", segment.select("reach_id", place.alias("poi_id")), "poi_id")
 
+    ends = segment.select("reach_id", F.explode(F.array("id", "toid")).alias("id"))
+    return Frames(
+        {
+            "flowpaths": lambda: segment.drop("vpus"),
+            "nexus": lambda: pick("nexus", "id", segment, "toid"),
+            "divides": lambda: pick("divides", "divide_id", segment, "divide_id"),
+            "divide-attributes": lambda: pick("divide-attributes", "divide_id", segment, "divide_id"),
+            "network": lambda: pick("network", "id", ends, "id"),
+            "pois": lambda: at_places("pois"),
+            "flowpath-attributes": lambda: pick("flowpath-attributes", "id", segment, "id"),
+            "hydrolocations": lambda: at_places("hydrolocations"),
+            "lakes": lambda: _lakes_on(segment, lakes),
+        }
+    )

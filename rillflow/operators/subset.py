@@ -6,13 +6,14 @@ the result of one call serves a whole region and each layer is read once.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.text import columns_of, id_text, quoted
 from rillflow.operators.origins import origin_rows, vpu_scope_column
+from rillflow.plans.frames import Frames
 from rillflow.plans.graph import RiverGraph, trace_upstream
 from rillflow.plans.workspace import materialize
 from rillflow.schemas import CORE_LAYERS, OPTIONAL_LAYERS
@@ -83,7 +84,7 @@ def _in_basins(df: DataFrame, key: str, ids: DataFrame, id_column: str) -> DataF
     return df.join(wanted, key).where(in_scope).select("basin", "vpus", *columns_of(df))
 
 
-def subset_layers(layers: Layers, ids: DataFrame, names: list[str] | None = None) -> dict:
+def subset_layers(layers: Layers, ids: DataFrame, names: list[str] | None = None) -> Frames:
     """The rows of each layer that belong to each basin, keyed by layer name; core layers always included.
 
     ``ids`` is ``(basin, id, vpus)``, each pair once. Network rows are kept if their id *or* the id they drain to is
@@ -95,28 +96,41 @@ def subset_layers(layers: Layers, ids: DataFrame, names: list[str] | None = None
     if unknown:
         raise ValueError(f"unknown layers: {', '.join(sorted(unknown))}")
 
-    network = layers["network"]
-    by_id = _in_basins(network, "id", ids, "id")
-    by_target = ids.select("basin", "vpus", F.col("id").alias("toid"))
-    by_target = network.join(by_target, "toid").where(F.array_contains("vpus", F.col("vpuid")))
-    by_target = by_target.join(ids.select("basin", "id"), ["basin", "id"], "left_anti")
-    kept = by_id.unionByName(by_target)
-    flowpaths = _in_basins(layers["flowpaths"], "id", ids, "id")
-
-    out = {"network": kept.withColumn("poi_id", id_text(F.col("poi_id"))), "flowpaths": flowpaths}
-    nexus = _in_basins(layers["nexus"], "id", flowpaths, "toid")
-    out["nexus"] = nexus.withColumn("poi_id", id_text(F.col("poi_id")))
-    out["divides"] = _in_basins(layers["divides"], "divide_id", kept, "divide_id")
-    for name, key in (("lakes", "hf_id"), ("divide-attributes", "divide_id")):
-        if name in names:
-            out[name] = _in_basins(layers[name], key, kept, key)
-    for name in ("flowpath-attributes", "flowpath-attributes-ml", "pois", "hydrolocations"):
-        if name in names:
-            out[name] = _in_basins(layers[name], "id", ids, "id")
-    return {name: frame.drop("vpus") for name, frame in out.items()}
-
-
-def require_rows(subset: dict) -> dict:
+    def kept_network() -> DataFrame:
+        network = layers["network"]
+        by_id = _in_basins(network, "id", ids, "id")
+        by_target = ids.select("basin", "vpus", F.col("id").alias("toid"))
+        by_target = network.join(by_target, "toid").where(F.array_contains("vpus", F.col("vpuid")))
+        by_target = by_target.join(ids.select("basin", "id"), ["basin", "id"], "left_anti")
+        return by_id.unionByName(by_target)
+
+    def with_id(name: str) -> DataFrame:
+        return _in_basins(layers[name], "id", ids, "id")
+
+    def through_network(name: str, key: str) -> DataFrame:
+        return _in_basins(layers[name], key, base["network"], key)
+
+    base = Frames({"network": kept_network, "flowpaths": lambda: with_id("flowpaths")})
+    makers = {
+        "network": lambda: _with_id_text(base["network"]),
+        "flowpaths": lambda: base["flowpaths"],
+        "nexus": lambda: _with_id_text(_in_basins(layers["nexus"], "id", base["flowpaths"], "toid")),
+        "divides": lambda: through_network("divides", "divide_id"),
+        "lakes": lambda: through_network("lakes", "hf_id"),
+        "divide-attributes": lambda: through_network("divide-attributes", "divide_id"),
+        "flowpath-attributes": lambda: with_id("flowpath-attributes"),
+        "flowpath-attributes-ml": lambda: with_id("flowpath-attributes-ml"),
+        "pois": lambda: with_id("pois"),
+        "hydrolocations": lambda: with_id("hydrolocations"),
+    }
+    return Frames({name: makers[name] for name in names}).each(lambda frame: frame.drop("vpus"))
+
+
+def _with_id_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("poi_id", id_text(F.col("poi_id")))
+
+
+def require_rows(subset: Frames) -> Frames:
     """Fail if the core of a subset is empty, naming the layer."""
     for name in ("network", "flowpaths", "nexus", "divides"):
         if name in subset and subset[name].isEmpty():
@@ -124,25 +138,6 @@ def require_rows(subset: dict) -> dict:
     return subset
 
 
-class WithinVpus(Mapping):
-    """Layers cut to a few VPUs by a static filter, which prunes folders of layers written by VPU.
-
-    The VPUs are a fixed division of a continent, a few dozen at most.
-    """
-
-    def __init__(self, layers: Layers, vpus: list[str]) -> None:
-        self._layers, self._vpus = layers, vpus
-
-    def __getitem__(self, name: str) -> DataFrame:
-        return self._layers[name].where(F.col("vpuid").isin(self._vpus))
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self._layers)
-
-    def __len__(self) -> int:
-        return len(self._layers)
-
-
 def subset_hydrofabric(
     layers: Layers,
     graph: RiverGraph,
@@ -150,7 +145,7 @@ def subset_hydrofabric(
     id_type: str = "hl_uri",
     names: list[str] | None = None,
     strict: bool = False,
-) -> dict:
+) -> Frames:
     """All layers upstream of each identifier; ``basin`` holds the identifier.
 
     The basin ids are written once, because every layer joins them.
@@ -163,22 +158,33 @@ def subset_hydrofabric(
         raise ValueError(f"No origin found for {id_type} in {identifiers}")
     ids = materialize(scoped_ids(graph, origins), "basin-ids")
     if isinstance(identifiers, list):
-        layers = WithinVpus(layers, [r.vpu for r in ids.select(F.explode("vpus").alias("vpu")).distinct().collect()])
+        # A static filter prunes the folders of layers written by VPU. VPUs are a fixed division of a continent, a few
+        # dozen at most.
+        vpus = [r.vpu for r in ids.select(F.explode("vpus").alias("vpu")).distinct().collect()]
+        wide = Frames({name: (lambda name=name: layers[name]) for name in layers})
+        layers = wide.each(lambda frame: frame.where(F.col("vpuid").isin(vpus)))
     subset = subset_layers(layers, ids, names)
     return require_rows(subset) if strict else subset
 
 
-def subset_vpu(layers: Layers, vpuid: str, names: list[str] | None = None, strict: bool = False) -> dict:
+def subset_vpu(layers: Layers, vpuid: str, names: list[str] | None = None, strict: bool = False) -> Frames:
     """All layers of one VPU, which is not widened; lakes and divide attributes go through the network rows."""
     names = [*CORE_LAYERS, *[n for n in (names or []) if n not in CORE_LAYERS]]
-    out = {name: layers[name].where(F.col("vpuid") == vpuid) for name in names}
-    network = out["network"]
-    out["network"] = network.withColumn("poi_id", id_text(F.col("poi_id")))
-    out["nexus"] = out["nexus"].withColumn("poi_id", id_text(F.col("poi_id")))
-    for name, key in (("lakes", "hf_id"), ("divide-attributes", "divide_id")):
-        if name in out:
-            out[name] = semi_in(out[name], key, network.where(F.col(key).isNotNull()), key)
-    return require_rows(out) if strict else out
+
+    def rows(name: str) -> DataFrame:
+        return layers[name].where(F.col("vpuid") == vpuid)
+
+    def through_network(name: str, key: str) -> DataFrame:
+        return semi_in(rows(name), key, rows("network").where(F.col(key).isNotNull()), key)
+
+    special = {
+        "network": lambda: _with_id_text(rows("network")),
+        "nexus": lambda: _with_id_text(rows("nexus")),
+        "lakes": lambda: through_network("lakes", "hf_id"),
+        "divide-attributes": lambda: through_network("divide-attributes", "divide_id"),
+    }
+    found = Frames({name: special.get(name, lambda name=name: rows(name)) for name in names})
+    return require_rows(found) if strict else found
 
 
 def basin_summary(subset: Mapping[str, DataFrame]) -> DataFrame:

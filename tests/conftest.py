@@ -13,6 +13,7 @@ def spark():
     session = local_session(4, "rillflow-tests", "4g")
     session.sparkContext.setLogLevel("ERROR")
     session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.maxMetadataStringLength", "1000")
     yield session
     session.stop()
 

@@ -163,6 +163,56 @@ def test_snow17_document(spark):
     assert lines[-1] == "adc11: 1.0" and len(lines) == 26
 
 
+@pytest.fixture(scope="module")
+def catchment(spark):
+    names = [*params.CFE_ATTRIBUTES.values(), "mode.ISLTYP", "mode.IVGTYP", "mean.elevation", "mean.slope", "circ_mean.aspect"]
+    values = {name: 0.5 + i for i, name in enumerate(names)}
+    values.update({"mode.IVGTYP": 16.0, "mode.ISLTYP": 7.0, "mean.elevation": 50000.0, "centroid_x": 0.0, "centroid_y": 0.0})
+    columns = [F.lit(v).alias(n) for n, v in values.items()]
+    twi = F.lit('[{"v":0.6137,"frequency":0.2501},{"v":2.558,"frequency":0.2499}]').alias("dist_4.twi")
+    one = spark.range(1)
+    return {
+        "divide-attributes": one.select(F.lit("g").alias("basin"), F.lit("cat-1").alias("divide_id"), *columns, twi),
+        "divides": one.select(F.lit("g").alias("basin"), F.lit("cat-1").alias("divide_id"), F.lit(2.0).alias("areasqkm"), F.lit(1.2345).alias("lengthkm")),
+    }
+
+
+def document(df, module):
+    (row,) = bmi.render_bmi_configs(df, module).collect()
+    assert (row.basin, row.catchment, row.module) == ("g", "cat-1", module)
+    return row.content.split("\n")
+
+
+def test_documents_of_all_models(spark, catchment):
+    calibrated = spark.createDataFrame([("cat-1", -0.2, 0.66, 0.00002)], "divide_id string, " + ", ".join(f"{n} double" for n in params.XINANJIANG))
+    noah = document(params.params_noah_owp(catchment), "noahowp")
+    assert "isltyp=7.0" in noah and "vegtyp=16" in noah and "sfctyp=2" in noah and noah[-1] == "zwt=-2.0 [m]"
+    assert noah[0] == "dt=3600.0 [s]" and "dzsnso=0.0,0.0,0.0,0.1,0.3,0.6,1.0 [m]" in noah and len(noah) == 46
+    ueb = document(params.params_ueb(catchment), "ueb")
+    height = 6356766 * 500 / (6356766 + 500)
+    pressure = round(101325 * (1 - 0.0065 * height / 288.15) ** (9.80665 / (0.0065 * 287.05287)), 4)
+    assert ueb[4] == "elevation: 500.0" and ueb[5] == f"standard_atm_pressure: {pressure}" and ueb[-1] == "dec_temp_range: 10.71597"
+    lstm = document(params.params_lstm(catchment), "lstm")
+    assert lstm[:3] == ["area_sqkm: 2.0", "basin_id: g", "basin_name: "] and lstm[-1] == "verbose: 0"
+    lasam = document(params.params_lasam(catchment, True), "lasam")
+    assert "use_closed_form_G=False" in lasam and "sft_coupled=True" in lasam and lasam[-1] == "soil_z=10,30,100.0,200.0[cm]"
+    cfe = document(params.params_cfe(catchment, calibrated, "CFE-X"), "cfe")
+    assert "x_Xinanjiang_shape_parameter: 2e-05" in cfe and "urban_decimal_fraction: 0.01" in cfe and "nash_storage: 0.0,0.0" in cfe
+    top = document(params.params_topmodel(catchment), "topmodel")
+    assert "twi=[{'v': 0.6137, 'frequency': 0.2501}, {'v': 2.558, 'frequency': 0.2499}]" in top
+    assert "num_topodex_values=2" in top and "dist_from_outlet=1234.0" in top and "t0=7.5e-05" in top
+    troute = document(params.params_troute(catchment), "troute")
+    assert "'geo_file_path': 'gauge_g.gpkg'" in troute[2] and len(troute) == 5
+    assert document(params.params_smp(catchment), "smp")[0] == "verbosity=none"
+    assert document(params.params_sacsma(catchment), "sacsma")[1] == "hru_area: 2.0"
+
+
+def test_divides_without_calibration_disappear(spark, catchment):
+    other = spark.createDataFrame([("cat-9", *[1.0] * 11)], "divide_id string, " + ", ".join(f"{n} double" for n in params.SACSMA_CALIBRATED))
+    assert params.params_sacsma(catchment, other).isEmpty()
+    assert params.params_sacsma(catchment).count() == 1
+
+
 def square(x, y, size):
     corners = [x, y, x + size, y, x + size, y + size, x, y + size, x, y]
     return struct.pack("<BIII10d", 1, 3, 1, 5, *corners)
