@@ -161,9 +161,10 @@ def subset_hydrofabric(
         # A static filter prunes the folders of layers written by VPU. VPUs are a fixed division of a continent, a few
         # dozen at most.
         vpus = [r.vpu for r in ids.select(F.explode("vpus").alias("vpu")).distinct().collect()]
-        wide = Frames({name: (lambda name=name: layers[name]) for name in layers})
-        layers = wide.each(lambda frame: frame.where(F.col("vpuid").isin(vpus)))
-    subset = subset_layers(layers, ids, names)
+        near = Frames({name: (lambda name=name: layers[name].where(F.col("vpuid").isin(vpus))) for name in layers})
+        subset = subset_layers(near, ids, names)
+    else:
+        subset = subset_layers(layers, ids, names)
     return require_rows(subset) if strict else subset
 
 
