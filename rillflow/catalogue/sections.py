@@ -159,11 +159,11 @@ _TIES = ["source_river_station", "order_key", "min_y", "TW", "Ym", "xs_max_eleva
     order_key, min_y, "TW", "Ym", xs_max_elevation, model) AS rn, count(*) OVER (PARTITION BY flowpath_id) AS n FROM xs),
 m AS (SELECT flowpath_id, avg(r) FILTER (WHERE isfinite(r)) AS r, avg("TW") AS tw, avg("Ym") AS y
   FROM xs GROUP BY flowpath_id)
-SELECT m.flowpath_id, round(m.r, 6) AS r, round(m.tw, 6) AS "TW", round(m.y, 6) AS "Y", o.river_station,
+SELECT m.flowpath_id, round(m.r, 10) AS r, round(m.tw, 10) AS "TW", round(m.y, 10) AS "Y", o.river_station,
   o.source_river_station, o.model FROM m JOIN o ON o.flowpath_id = m.flowpath_id AND o.rn = (o.n + 1) // 2""",
 )
 def representative_xs(spark, sf):
-    return rounded(xsec.representative_xs(sections(spark, sf), ["source_river_station", "model"], _TIES))
+    return rounded(xsec.representative_xs(sections(spark, sf), ["source_river_station", "model"], _TIES), 10)
 
 
 @query(

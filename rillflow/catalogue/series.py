@@ -502,13 +502,13 @@ def bucket_weights(spark, sf):
 def catchment_mask(spark, sf):
     """A label per grid cell, row 1 at the top; part of the grid lies in no catchment."""
     grid = td.view(spark, sf, "grid").select("col_no", "row_no").distinct()
-    return grid.withColumn("cat_id", (F.col("col_no") * 3 + F.col("row_no")) % 40 - 3)
+    return grid.withColumn("cat_id", (F.col("col_no") * 3 + F.col("row_no")) % 6)
 
 
 _GW = """WITH w AS (SELECT l_suppkey AS i_index, CAST(l_linenumber AS BIGINT) AS j_index, l_orderkey % 500 AS "IDmask",
   l_quantity AS weight FROM lineitem),
 mask AS (SELECT DISTINCT l_suppkey AS col_no, CAST(l_linenumber AS BIGINT) AS row_no,
-  (l_suppkey * 3 + l_linenumber) % 40 - 3 AS cat_id FROM lineitem),
+  (l_suppkey * 3 + l_linenumber) % 6 AS cat_id FROM lineitem),
 j AS (SELECT w.*, m.cat_id FROM w LEFT JOIN mask m ON m.col_no = w.i_index AND 8 - m.row_no = w.j_index AND m.cat_id > 0),
 s AS (SELECT "IDmask", cat_id, sum(weight) AS sumwt FROM j GROUP BY 1, 2),
 top AS (SELECT *, max(sumwt) OVER (PARTITION BY "IDmask") AS m FROM s),
