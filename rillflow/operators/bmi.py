@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rillflow.functions.sections import let
 from rillflow.functions.text import python_float
 
 
@@ -178,8 +179,6 @@ soil_params.depth: {soil_params_depth}[m]""",
 
 def _as_text(df: DataFrame, name: str) -> Column:
     kind, column = df.schema[name].dataType, F.col(name)
-    if isinstance(kind, T.DoubleType):
-        return python_float(column)
     if isinstance(kind, T.BooleanType):
         return F.when(column, F.lit("True")).otherwise(F.lit("False"))
     if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.DoubleType):
@@ -192,14 +191,25 @@ def render_bmi_configs(params: DataFrame, module: str) -> DataFrame:
     if module not in TEMPLATES:
         raise ValueError(f"no configuration format for module {module!r}")
     pieces = re.split(r"\{(\w+)\}", TEMPLATES[module])
-    parts = [F.lit(p) if i % 2 == 0 else _as_text(params, p) for i, p in enumerate(pieces) if i % 2 or p]
+    numbers = [n for n in dict.fromkeys(pieces[1::2]) if isinstance(params.schema[n].dataType, T.DoubleType)]
+
+    def content(texts: Column) -> Column:
+        """The lines, with the numbers' texts given as an array."""
+        filled = {n: F.get(texts, F.lit(i)) for i, n in enumerate(numbers)}
+        named = [filled[p] if p in filled else _as_text(params, p) for p in pieces[1::2]]
+        fixed = [F.lit(p) for p in pieces[::2]]
+        return F.concat(*[part for pair in zip(fixed, [*named, F.lit("")], strict=True) for part in pair])
+
+    # All numbers of a document are formatted by one expression, evaluated once per row.
+    texts = F.transform(F.array(*[F.col(n) for n in numbers]), python_float)
+    document = let(texts, content) if numbers else content(F.array())
     keys = [c for c in ("basin",) if c in params.columns]
     return params.select(
         *keys,
         "catchment",
         F.lit(module).alias("module"),
         F.concat("catchment", F.lit(f"_bmi_config_{module}.txt")).alias("file_name"),
-        F.concat(*parts).alias("content"),
+        document.alias("content"),
     )
 
 
