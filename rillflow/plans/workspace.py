@@ -1,31 +1,32 @@
 """Where intermediate tables are written.
 
 Iterative plans cut their lineage by writing a Parquet table to the folder the cluster shares between executors
-(``spark.checkpoint.dir``), so a lost executor costs a re-read and never a replay of the whole iteration.
+(``spark.checkpoint.dir``), so a lost executor costs a re-read and never a replay of the whole iteration. The library
+has no folder of its own: where the setting is absent (tests, local runs) the caller names one with ``use_folder``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
 
-_LOCAL_DIRS: dict[str, str] = {}
+
+def use_folder(spark: SparkSession, url: str) -> None:
+    """Name the folder for a local session that was started without ``spark.checkpoint.dir``."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster names its shared folder in spark.checkpoint.dir")
+    _LOCAL[spark.sparkContext.applicationId] = url.rstrip("/")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: ``spark.checkpoint.dir``, or a scratch folder in local mode only."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder for intermediate tables: ``spark.checkpoint.dir``, or what ``use_folder`` named."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
+    if not configured:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _LOCAL_DIRS:
-        _LOCAL_DIRS[application] = "file://" + tempfile.mkdtemp(prefix="rillflow-")
-    return _LOCAL_DIRS[application]
+    return configured.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -42,3 +43,15 @@ def materialize(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     path = path or new_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing lazy reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folder = shared_dir(spark)
+        for file in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            if "/rillflow/" not in file:
+                raise ValueError(f"{file} is not an intermediate table of {folder}")
+            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -18,5 +20,6 @@ def local_session(cores: int | str = "*", app: str = "rillflow", memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="rillflow-"))
         .getOrCreate()
     )

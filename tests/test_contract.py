@@ -1,7 +1,9 @@
+import os
+
 import pytest
 
 import __spark_entry__ as contract
-from rillflow.plans.workspace import shared_dir
+from rillflow.plans.workspace import discard, materialize, shared_dir, use_folder
 
 
 def test_every_oracle_has_a_query():
@@ -22,7 +24,22 @@ class Session:
         self.conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
 
 
-def test_shared_folder_is_required_on_a_cluster():
-    assert shared_dir(Session("local[2]")) == shared_dir(Session("local[2]"))
+def test_shared_folder_is_required():
+    for master in ("spark://host:7077", "local[2]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(Session(master))
+
+
+def test_only_a_local_session_may_name_its_own_folder():
+    use_folder(Session("local[3]"), "file:///scratch/")
+    assert shared_dir(Session("local[3]")) == "file:///scratch"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(Session("spark://host:7077"))
+        use_folder(Session("spark://host:7077"), "file:///scratch")
+
+
+def test_intermediate_tables_are_deleted(spark):
+    table = materialize(spark.range(3), "gone")
+    path = table.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)
+    discard(table)
+    assert not os.path.exists(path)
