@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from rillflow.llm.decontaminate import benchmark_matches
 from rillflow.llm.exact_dedup import exact_duplicates
 from rillflow.llm.mixing import poisson_mix, target_rates
+from rillflow.llm.near_dedup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,8 @@ FROM near GROUP BY doc_id, item_id""",
 )
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return benchmark_matches(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op4_near_dedup")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return near_duplicates(table(spark, sf, "documents"))
