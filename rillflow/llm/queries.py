@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rillflow.llm.decontaminate import benchmark_matches
 from rillflow.llm.exact_dedup import exact_duplicates
+from rillflow.llm.line_dedup import remove_repeated_lines
 from rillflow.llm.mixing import poisson_mix, target_rates
 from rillflow.llm.near_dedup import near_duplicates
+from rillflow.llm.substring_dedup import remove_copies
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +101,43 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_near_dedup")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
+
+
+@query(
+    "op8_substring_dedup",
+    r"""
+WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(words[s + 1 : s + 13], ' ') AS seq
+            FROM (SELECT doc_id, words, unnest(range(0, len(words) - 12)) AS s FROM t WHERE len(words) >= 13)),
+firsts AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY seq) AS least FROM windows),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM firsts WHERE least < doc_id),
+lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
+                list_filter(words, lambda w, i: gone IS NULL OR NOT list_contains(gone, i - 1)) AS words
+         FROM t LEFT JOIN lists USING (doc_id))
+SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(words, ' '), '')) AS kept_sha256 FROM kept""",
+)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_copies(table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query(
+    "op1_line_dedup",
+    r"""
+WITH t AS (SELECT *, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, i - 1 AS i, trim(regexp_replace(lines[i], '[\x09-\x0D]', ' ', 'g')) AS line
+          FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM t)),
+pairs AS (SELECT doc_id, i, lead(i) OVER w AS j, line, lead(line) OVER w AS next
+          FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+places AS (SELECT doc_id, i, j, min((doc_id, i)) OVER (PARTITION BY line, next) AS first FROM pairs WHERE j IS NOT NULL),
+gone AS (SELECT doc_id, unnest([i, j]) AS i FROM places WHERE (doc_id, i) > first),
+lists AS (SELECT doc_id, list(DISTINCT i) AS gone FROM gone GROUP BY doc_id),
+kept AS (SELECT t.*, gone, array_to_string(list_filter(lines, lambda s, i: NOT list_contains(gone, i - 1)), chr(10)) AS rest
+         FROM t LEFT JOIN lists USING (doc_id))
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(rest, '') END AS text, lang, source,
+       CASE WHEN gone IS NULL THEN n_chars ELSE length(coalesce(rest, '')) END AS n_chars,
+       coalesce(len(gone), 0)::INT AS n_removed_lines
+FROM kept""",
+)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeated_lines(table(spark, sf, "documents"))
