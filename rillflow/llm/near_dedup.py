@@ -9,8 +9,8 @@ the standard deviation 3.4). Candidates are compared on their full sets.
 
 Pairs of a large bucket are not listed. Texts with equal sets are one class with one representative. The members of a
 bucket are compared with a few centres of it and what turns out linked is joined into components; only pairs of
-different components are left. Where a bucket still has many, it is split by the keys of its other blocks, which a pair
-has to share as well, until few are left.
+different components are left. In a bucket of more than SMALL members such pairs have to meet in a rare shingle as well,
+which loses none (prefix filter) and spares a large group the comparison of everyone with everyone.
 """
 
 from __future__ import annotations
@@ -32,10 +32,8 @@ BLOCKS, BLOCK = 14, 5
 VALUES = BLOCKS * BLOCK
 SKETCH = 64
 MAX_DIFFERENT = 35
-#: Centres of a bucket, and members up to which all pairs between its components are compared.
-CENTRES, SMALL = 4, 32
-#: Buckets are split at most so often; then pairs between components are compared whatever the size.
-SPLITS = 3
+#: Centres of a bucket, and members up to which all pairs between its components are looked at.
+CENTRES, SMALL = 4, 64
 
 _FACTOR, _TERM = constants(VALUES, 11), constants(VALUES, 12)
 _ONE, _TWO = constants(2, 13)
@@ -184,7 +182,6 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Links between representatives that connect all that similar pairs connect."""
-    spark = docs.sparkSession
     fields = "id long, keys array<long>, s0 long, s1 long, s2 long, s3 long"
     filed = materialize(reps.where("n_shingles > 0").select("id", "signature").mapInPandas(_filed, fields), "filed")
     sketch = filed.drop("keys")
@@ -197,31 +194,49 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     pairs = materialize(_near(rows, centres), "pairs")
     links = _confirmed(docs, pairs, percent)
 
-    rest = None
-    for split in range(SPLITS + 1):
-        rows = _labelled(rows, links)
-        sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-        sizes = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n")).where("roots > 1")
-        mixed = materialize(rows.join(sizes, "key"), "mixed-buckets")
-        if mixed.isEmpty():
-            break
-        small = mixed if split == SPLITS else mixed.where(f"n <= {SMALL}")
-        few = small.alias("r").join(small.alias("c"), (F.col("r.key") == F.col("c.key")) & (F.col("r.id") < F.col("c.id")) & (F.col("r.root") != F.col("c.root")) & (_different("r", "c") <= MAX_DIFFERENT))
-        few = few.select(F.col("r.id").alias("a"), F.col("c.id").alias("b"))
-        rest = few if rest is None else rest.unionAll(few)
-        if split == SPLITS:
-            break
-        large = mixed.where(f"n > {SMALL}")
-        finer = large.select("id", F.col("key").alias("under")).join(filed.select("id", F.explode("keys").alias("k")), "id")
-        finer = _crowded(finer.select("id", F.xxhash64("under", "k").alias("key")).distinct())
-        rows = materialize(finer.join(sketch, "id"), "finer-buckets")
-        if rows.isEmpty():
-            break
-    if rest is not None:
-        new = materialize(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            links = links.unionAll(_confirmed(docs, new, percent))
-    return links
+    rows = _labelled(rows, links)
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n")).where("roots > 1")
+    mixed = materialize(rows.join(sizes, "key"), "mixed-buckets")
+    small = mixed.where(f"n <= {SMALL}")
+    few = small.alias("r").join(small.alias("c"), (F.col("r.key") == F.col("c.key")) & _apart())
+    few = few.select(F.col("r.id").alias("a"), F.col("c.id").alias("b"))
+    large = mixed.where(f"n > {SMALL}").select("id", "root", "s0", "s1", "s2", "s3").distinct()
+    rest = few.unionAll(_rare_pairs(docs, materialize(large, "large-buckets"), percent)).distinct()
+    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _confirmed(docs, rest, percent)
+    discard(filed, centres, pairs, mixed, rest)
+    return links.unionAll(more)
+
+
+def _apart() -> Column:
+    """Members r and c of a bucket that are not connected yet and have near sketches, each pair once."""
+    return (F.col("r.id") < F.col("c.id")) & (F.col("r.root") != F.col("c.root")) & (_different("r", "c") <= MAX_DIFFERENT)
+
+
+def _rare_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of unconnected members that share one of their rarest shingles, as every similar pair does.
+
+    With n shingles, two sets of enough similarity share one of the n - ceil(percent * n / 100) + 1 that come first in
+    each, in any order common to all. Rarest first, a text that was edited too much has only its own there and meets
+    nobody, however many near copies its bucket holds.
+    """
+    sets = materialize(_sets(docs, members.select("id")).join(members.select("id"), "id", "left_semi"), "large-sets")
+    each = sets.select("id", F.explode("shingles").alias("shingle"))
+    counts = materialize(each.groupBy("shingle").agg(F.count("*").alias("n")), "shingle-counts")
+    order = each.join(counts, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("o"))
+    first = F.size("o") - F.ceil(F.size("o") * percent / 100).cast("int") + 1
+    prefix = order.select("id", F.size("o").alias("n"), F.posexplode(F.slice("o", F.lit(1), first)).alias("at", "o"))
+    prefix = prefix.select("id", "n", "at", F.col("o.shingle").alias("shingle")).join(members, "id")
+    prefix = materialize(prefix, "prefixes")
+    several = prefix.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
+    prefix = materialize(prefix.join(several, "shingle", "left_semi"), "shared-prefixes")
+    # from the first shingle that two sets share on, both need as many as they have to share
+    enough = F.least(F.col("r.n") - F.col("r.at"), F.col("c.n") - F.col("c.at")) * (100 + percent) >= percent * (F.col("r.n") + F.col("c.n"))
+    met = prefix.alias("r").join(prefix.alias("c"), (F.col("r.shingle") == F.col("c.shingle")) & enough & _apart())
+    met = materialize(met.select(F.col("r.id").alias("a"), F.col("c.id").alias("b")).distinct(), "met")
+    discard(sets, counts, prefix)
+    return met
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
