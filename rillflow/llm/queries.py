@@ -11,7 +11,9 @@ from rillflow.llm.exact_dedup import exact_duplicates
 from rillflow.llm.line_dedup import remove_repeated_lines
 from rillflow.llm.mixing import poisson_mix, target_rates
 from rillflow.llm.near_dedup import near_duplicates
+from rillflow.llm.quality import fit_quality, quality_scores
 from rillflow.llm.substring_dedup import remove_copies
+from rillflow.llm.toxicity import fit_toxicity, toxicity_scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +143,15 @@ FROM kept""",
 )
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_lines(table(spark, sf, "documents"))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return toxicity_scores(docs, fit_toxicity(docs, table(spark, sf, "labels")))
+
+
+@query("op6_quality")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return quality_scores(docs, fit_quality(docs, table(spark, sf, "labels")))
