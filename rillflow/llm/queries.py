@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from rillflow.llm.decontaminate import benchmark_matches
 from rillflow.llm.exact_dedup import exact_duplicates
+from rillflow.llm.html_text import fit_weights, main_text
 from rillflow.llm.line_dedup import remove_repeated_lines
 from rillflow.llm.mixing import poisson_mix, target_rates
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.quality import fit_quality, quality_scores
+from rillflow.llm.secrets import find_secrets
 from rillflow.llm.substring_dedup import remove_copies
 from rillflow.llm.toxicity import fit_toxicity, toxicity_scores
 
@@ -155,3 +158,19 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return quality_scores(docs, fit_quality(docs, table(spark, sf, "labels")))
+
+
+@query("op7_html_text")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    pages = table(spark, sf, "pages")
+    return main_text(pages, fit_weights(pages))
+
+
+@query("op9_secrets")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return find_secrets(table(spark, sf, "documents"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
