@@ -34,6 +34,8 @@ SKETCH = 64
 MAX_DIFFERENT = 35
 #: Centres of a bucket, and members up to which all pairs between its components are looked at.
 CENTRES, SMALL = 4, 64
+#: Counters that order shingles by rarity. Shingles share them, which any order common to all texts may.
+SLOTS = 1 << 18
 
 _FACTOR, _TERM = constants(VALUES, 11), constants(VALUES, 12)
 _ONE, _TWO = constants(2, 13)
@@ -222,12 +224,22 @@ def _rare_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     nobody, however many near copies its bucket holds.
     """
     sets = materialize(_sets(docs, members.select("id")).join(members.select("id"), "id", "left_semi"), "large-sets")
-    each = sets.select("id", F.explode("shingles").alias("shingle"))
-    counts = materialize(each.groupBy("shingle").agg(F.count("*").alias("n")), "shingle-counts")
-    order = each.join(counts, "shingle").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "shingle"))).alias("o"))
-    first = F.size("o") - F.ceil(F.size("o") * percent / 100).cast("int") + 1
-    prefix = order.select("id", F.size("o").alias("n"), F.posexplode(F.slice("o", F.lit(1), first)).alias("at", "o"))
-    prefix = prefix.select("id", "n", "at", F.col("o.shingle").alias("shingle")).join(members, "id")
+    slot = F.pmod("shingle", F.lit(SLOTS))
+    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toPandas()  # SLOTS at most
+    table = np.zeros(SLOTS, np.int64)
+    table[counts["slot"]] = counts["n"]
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    def rarest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            first = []
+            for s in frame["shingles"]:
+                order = np.lexsort((s, shared.value[s % SLOTS]))
+                first.append(s[order[: len(s) - -(-len(s) * percent // 100) + 1]])
+            yield pd.DataFrame({"id": frame["id"], "n": frame["shingles"].str.len(), "first": first})
+
+    prefix = sets.mapInPandas(rarest, "id long, n int, first array<long>").join(members, "id")
+    prefix = prefix.select("id", "n", "root", "s0", "s1", "s2", "s3", F.posexplode("first").alias("at", "shingle"))
     prefix = materialize(prefix, "prefixes")
     several = prefix.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
     prefix = materialize(prefix.join(several, "shingle", "left_semi"), "shared-prefixes")
@@ -235,7 +247,7 @@ def _rare_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     enough = F.least(F.col("r.n") - F.col("r.at"), F.col("c.n") - F.col("c.at")) * (100 + percent) >= percent * (F.col("r.n") + F.col("c.n"))
     met = prefix.alias("r").join(prefix.alias("c"), (F.col("r.shingle") == F.col("c.shingle")) & enough & _apart())
     met = materialize(met.select(F.col("r.id").alias("a"), F.col("c.id").alias("b")).distinct(), "met")
-    discard(sets, counts, prefix)
+    discard(sets, prefix)
     return met
 
 
