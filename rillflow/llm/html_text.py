@@ -1,7 +1,7 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-A page is a sequence of words and tags. Each word scores by where it stands (in a link, in running text, in the kind of
-container around it), each tag by its name; the scores are logarithms of how much more often such a token is inside the
+A page is a sequence of words and tags. Each word scores by where it stands (in a link, in running text, in a container
+that is left out, inside or outside a marked article), each tag by its name and place; the scores are logarithms of how much more often such a token is inside the
 content of labelled pages than outside. Content words come out positive, tags and words of menus negative, and one linear
 scan finds the contiguous region with the largest sum. Containers that are never part of an article (menus, headers,
 footers, sidebars, notices, adverts, forms, comments of readers) are left out of the region's text.
@@ -59,7 +59,8 @@ def tokens(html: str) -> list[tuple[str, str, str, bool, bool]]:
     def text(raw: str) -> None:
         if raw.strip():
             skipped, content, link = state()
-            out.append(("text", raw, "skipped" if skipped else "link" if link else "plain", skipped, content))
+            where = "skipped" if skipped else "link" if link else "plain"
+            out.append(("text", raw, where + " inside" * content, skipped, content))
         elif raw:
             out.append(("text", raw, "", *state()[:2]))
 
@@ -75,7 +76,7 @@ def tokens(html: str) -> list[tuple[str, str, str, bool, bool]]:
             out.append(("text", " ", "", skipped, content))
         elif m[2]:
             depth = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name), None)
-            out.append(("tag" if inline else "break", name, "/" + name, skipped, content))
+            out.append(("tag" if inline else "break", name, "/" + name + " inside" * content, skipped, content))
             if depth is not None and not (inline and any(o[0] not in INLINE for o in open_[depth + 1 :])):
                 del open_[depth:]
         else:
@@ -90,7 +91,7 @@ def tokens(html: str) -> list[tuple[str, str, str, bool, bool]]:
                     del open_[depth:]
                     skips = (state()[0]) or bool(names and SKIPPED_NAME.search(names))
             inside = content or name in CONTENT
-            out.append(("tag" if inline else "break", name, name, skips, inside))
+            out.append(("tag" if inline else "break", name, name + " inside" * inside, skips, inside))
             if name not in VOID and not m[4].endswith("/"):
                 open_.append((name, skips, inside, link or name == "a"))
     text(html[at:])
@@ -109,11 +110,23 @@ def count_features(pages: list[str | None]) -> tuple[Counter, Counter]:
     return inside, outside
 
 
+def _score(kind: str, count: int, feature: str, weights: dict[str, float]) -> float:
+    """Words: what was learned, positive in running text, nothing where an article holds something to leave out. Tags: negative."""
+    if not feature:
+        return 0.0
+    if kind != "text":
+        return min(max(weights.get("tag " + feature, -0.5), -1.0), -0.05)
+    where, _, inside = feature.partition(" ")
+    if where == "skipped":
+        return 0.0 if inside else count * min(weights.get("word " + feature, -1.0), -0.5)
+    learned = weights.get("word " + feature, 1.0 if where == "plain" else 0.2)
+    return count * (max(learned, 0.5) if where == "plain" or inside else learned)
+
+
 def extract(html: str | None, weights: dict[str, float]) -> str:
     """The text of the best region of a page: its blocks in order, one a line."""
     found = tokens(html or "")
-    word = {f: weights.get("word " + f, -1.0 if f == "skipped" else 0.2 if f == "link" else 1.0) for f in ("skipped", "link", "plain")}
-    scores = np.array([(len(v.split()) * word[f] if f else 0.0) if k == "text" else min(weights.get("tag " + f, -0.5), -0.05) for k, v, f, _, _ in found])
+    scores = np.array([_score(kind, len(value.split()) if kind == "text" else 1, feature, weights) for kind, value, feature, _, _ in found])
     if not len(scores):
         return ""
     sums = np.concatenate([[0.0], np.cumsum(scores)])
@@ -160,10 +173,6 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     weights = {}
     for r in counts:
         odds = float(np.log((r["inside"] + 0.5) / inside) - np.log((r["outside"] + 0.5) / outside))
-        if r["feature"] == "word plain":
-            odds = max(odds, 0.5)  # a word of running text always speaks for content
-        elif r["feature"] == "word skipped":
-            odds = min(odds, -0.5)
         weights[r["feature"]] = max(-3.0, min(3.0, odds))
     return weights
 
