@@ -35,7 +35,7 @@ MAX_DIFFERENT = 35
 #: Centres of a bucket, and members up to which all pairs between its components are looked at.
 CENTRES, SMALL = 4, 64
 #: Counters that order shingles by rarity. Shingles share them, which any order common to all texts may.
-SLOTS = 1 << 18
+SLOTS, SLOT_PART = 1 << 16, 1 << 10
 
 _FACTOR, _TERM = constants(VALUES, 11), constants(VALUES, 12)
 _ONE, _TWO = constants(2, 13)
@@ -216,6 +216,21 @@ def _apart() -> Column:
     return (F.col("r.id") < F.col("c.id")) & (F.col("r.root") != F.col("c.root")) & (_different("r", "c") <= MAX_DIFFERENT)
 
 
+def _slot_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One partition's counters, in SLOTS / SLOT_PART rows."""
+    counts, some = np.zeros(SLOTS, np.int64), False
+    for frame in frames:
+        for s in frame["shingles"]:
+            np.add.at(counts, s % SLOTS, 1)
+            some = True
+    if some:
+        yield pd.DataFrame({"part": np.arange(SLOTS // SLOT_PART), "counts": list(counts.reshape(-1, SLOT_PART))})
+
+
+def _slot_sums(frame: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"part": frame["part"].iloc[:1], "counts": [np.sum(np.stack(frame["counts"].to_numpy()), axis=0)]})
+
+
 def _rare_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of unconnected members that share one of their rarest shingles, as every similar pair does.
 
@@ -224,10 +239,8 @@ def _rare_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     nobody, however many near copies its bucket holds.
     """
     sets = materialize(_sets(docs, members.select("id")).join(members.select("id"), "id", "left_semi"), "large-sets")
-    slot = F.pmod("shingle", F.lit(SLOTS))
-    counts = sets.select(F.explode("shingles").alias("shingle")).groupBy(slot.alias("slot")).agg(F.count("*").alias("n")).toPandas()  # SLOTS at most
-    table = np.zeros(SLOTS, np.int64)
-    table[counts["slot"]] = counts["n"]
+    parts = sets.mapInPandas(_slot_counts, "part int, counts array<long>").groupBy("part").applyInPandas(_slot_sums, "part int, counts array<long>")
+    table = np.concatenate([r["counts"] for r in parts.orderBy("part").collect()] or [np.zeros(SLOTS, np.int64)])  # SLOTS numbers
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def rarest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
