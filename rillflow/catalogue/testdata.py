@@ -7,6 +7,7 @@ items, events and embeddings stand in for observations, cross-sections, raster c
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rillflow.plans.frames import Frames
 from rillflow.plans.graph import RiverGraph, build_graph
@@ -209,10 +210,16 @@ _GRAPHS: dict[tuple, RiverGraph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str, kind: str = "tree") -> RiverGraph:
-    """The tree's or the chain's graph, built once per application and data folder, as for a network version."""
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    """The tree's or the chain's graph, built once per application and version of the data, as for a network version."""
+    files = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("_metadata.file_modification_time").alias("t"))
+    key = (spark.sparkContext.applicationId, sf_dir, kind, str(files.agg(F.max("t"), F.count("*")).first()))
     if key not in _GRAPHS:
         prefix = "chain_" if kind == "chain" else ""
         flowpaths, network = (view(spark, sf_dir, prefix + n) for n in ("flowpaths", "network"))
         _GRAPHS[key] = build_graph(flowpaths, network)
     return _GRAPHS[key]
+
+
+def forget_graphs() -> None:
+    """Build graphs anew, so that their cost is measured."""
+    _GRAPHS.clear()

@@ -118,22 +118,27 @@ def wkb_bounds(geometry: pd.Series) -> pd.DataFrame:
 
 
 def _polygon_rings(wkb: bytes) -> list[np.ndarray]:
-    """Rings of a 2-d WKB polygon or multipolygon."""
+    """Rings, in x and y, of a WKB polygon or multipolygon with or without z, m and a reference system."""
     rings: list[np.ndarray] = []
 
     def geometry(at: int) -> int:
         order = "<" if wkb[at] == 1 else ">"
-        kind, count = struct.unpack_from(f"{order}II", wkb, at + 1)
-        at += 9
+        (code,) = struct.unpack_from(f"{order}I", wkb, at + 1)
+        at += 5 + 4 * bool(code & 0x20000000)
+        plain = code & 0x0FFFFFFF
+        kind, extra = plain % 1000, plain // 1000
+        width = 2 + max(bool(code & 0x80000000) + bool(code & 0x40000000), extra - extra // 2)
+        (count,) = struct.unpack_from(f"{order}I", wkb, at)
+        at += 4
         for _ in range(count):
             if kind == 3:
                 (size,) = struct.unpack_from(f"{order}I", wkb, at)
-                rings.append(np.frombuffer(wkb, dtype=f"{order}f8", count=2 * size, offset=at + 4).reshape(size, 2))
-                at += 4 + 16 * size
+                rings.append(np.frombuffer(wkb, dtype=f"{order}f8", count=width * size, offset=at + 4).reshape(size, width)[:, :2])
+                at += 4 + 8 * width * size
             elif kind == 6:
                 at = geometry(at)
             else:
-                raise ValueError(f"not a polygon: WKB type {kind}")
+                raise ValueError(f"not a polygon: WKB type {code}")
         return at
 
     geometry(0)

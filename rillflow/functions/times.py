@@ -58,7 +58,7 @@ def hour_of(time: Column) -> Column:
 
 
 def to_naive_utc(text: Column) -> Column:
-    """Timestamp text with or without a zone as naive UTC; text without a zone is taken as UTC."""
+    """Timestamp text with or without a zone as naive UTC; text without a zone is UTC, text that is no time fails."""
     offset = r"([+-]\d{2}):?(\d{2})$"
     has_zone = text.rlike(r"\d(Z|\s?[+-]\d{2}:?\d{2})$") & text.rlike(":")
     zoned = F.regexp_replace(text, r"\s?" + offset, "$1:$2")
@@ -67,7 +67,10 @@ def to_naive_utc(text: Column) -> Column:
         .when(text.rlike(":"), F.concat(text, F.lit(":00Z")))
         .otherwise(F.concat(text, F.lit("T00:00:00Z")))
     )
+    zoned = F.regexp_replace(zoned, r"([T ]\d{1,2}:\d{2})(Z|[+-])", "$1:00$2")
     instant = F.when(has_zone, zoned).otherwise(assumed).try_cast("timestamp")
+    failed = F.raise_error(F.concat(F.lit("no time: "), text)).cast("timestamp")
+    instant = F.when(text.isNotNull() & instant.isNull(), failed).otherwise(instant)
     return from_epoch_micros(F.unix_micros(instant))
 
 

@@ -42,6 +42,10 @@ def _commits(spark: SparkSession, root: str) -> DataFrame:
     return table_log(spark, root).where(F.col("operation") != "tag")
 
 
+#: Folder of a snapshot's rows; not allowed as a column.
+_BATCH = "rillflow_batch"
+
+
 def _write_log(spark: SparkSession, root: str, **values) -> None:
     row = tuple(values.get(f.name) for f in _LOG.fields)
     entry = spark.createDataFrame([row], _LOG).withColumn("written_at", F.current_timestamp())
@@ -56,12 +60,18 @@ def _commit(df: DataFrame, root: str, operation: str, message: str, partition_by
     spark = df.sparkSession
     latest = _latest(spark, root)
     snapshot = latest.snapshot_id + 1 if latest else 1
-    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(f"{root}/data/batch={snapshot}")
+    if _BATCH in df.columns:
+        raise ValueError(f"the column name {_BATCH} is reserved")
     schema, batches = df.schema, [snapshot]
     if operation == "append" and latest:
         known = T.StructType.fromJson(json.loads(latest.schema))
+        for field in df.schema.fields:
+            if field.name in known.names and field.dataType != known[field.name].dataType:
+                held, given = known[field.name].dataType.simpleString(), field.dataType.simpleString()
+                raise ValueError(f"column {field.name} is {held}, not {given}")
         added = [f for f in df.schema.fields if f.name not in known.names]
         schema, batches = T.StructType([*known.fields, *added]), [*latest.batches, snapshot]
+    df.write.mode("errorifexists").partitionBy(*partition_by).parquet(f"{root}/data/{_BATCH}={snapshot}")
     _write_log(
         spark,
         root,
@@ -104,7 +114,7 @@ def as_of(spark: SparkSession, root: str, snapshot_id: int | None = None, tag: s
     if commit is None:
         raise ValueError(f"no snapshot {snapshot_id} in {root}")
     schema = T.StructType.fromJson(json.loads(commit.schema))
-    paths = [f"{root}/data/batch={b}" for b in commit.batches]
+    paths = [f"{root}/data/{_BATCH}={b}" for b in commit.batches]
     return spark.read.option("basePath", f"{root}/data").schema(schema).parquet(*paths).select(
         *[F.col(f"`{n}`") for n in schema.names]
     )

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rillflow.functions.text import columns_of
 from rillflow.functions.geo import polygon_contains
 from rillflow.plans.ranking import ntile_of, row_index, with_rank
+from rillflow.plans.workspace import materialize
 
 NODATA = -9999.0
 
@@ -142,9 +143,11 @@ def cat_ids(divides: DataFrame, order: list[str]) -> DataFrame:
     return row_index(divides, order, "cat_id")
 
 
-def cells_in_polygons(cells: DataFrame, polygons: DataFrame) -> DataFrame:
+def cells_in_polygons(cells: DataFrame, polygons: DataFrame, outside: bool = False) -> DataFrame:
     """``(cell columns, cat_id)``: the polygon holding each cell centre; the largest ``cat_id`` where they overlap.
 
+    Cells that repeat each keep their row. ``outside`` also keeps cells in no polygon, with a null ``cat_id``.
+
     Polygons ``(cat_id, geometry, min_x, min_y, max_x, max_y)`` are filed under square tiles about as large as
     themselves, at most four each; a cell looks into its tile of each size in use. That makes it an equi-join, with
     the envelope and then the exact test on the few candidates left.
@@ -162,14 +165,16 @@ def cells_in_polygons(cells: DataFrame, polygons: DataFrame) -> DataFrame:
     # Levels are powers of two between the smallest and largest polygon, a few dozen at the very most.
     levels = [r.level for r in sized.select("level").distinct().collect()]
     if not levels:
-        return cells.limit(0).withColumn("cat_id", F.lit(None).cast("bigint"))
-    looking = cells.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
+        return (cells if outside else cells.limit(0)).withColumn("cat_id", F.lit(None).cast("bigint"))
+    cells = materialize(cells.withColumn("_cell", F.monotonically_increasing_id()), "cells")
+    looking = cells.select("_cell", "x", "y").withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
     looking = looking.withColumn("tx", tile("x")).withColumn("ty", tile("y"))
     candidates = looking.join(tiled.drop("geometry"), ["level", "tx", "ty"]).where(
         F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
     )
-    inside = _exact_hits(candidates.select("cat_id", *columns_of(cells)), polygons, cells.columns)
-    return inside.groupBy(*columns_of(cells)).agg(F.max("cat_id").alias("cat_id"))
+    inside = _exact_hits(candidates.select("cat_id", "_cell", "x", "y"), polygons, ["_cell", "x", "y"])
+    largest = inside.groupBy("_cell").agg(F.max("cat_id").alias("cat_id"))
+    return cells.join(largest, "_cell", "left" if outside else "inner").drop("_cell")
 
 
 def _exact_hits(candidates: DataFrame, polygons: DataFrame, columns: list[str], batch: int = 20_000) -> DataFrame:
@@ -180,7 +185,7 @@ def _exact_hits(candidates: DataFrame, polygons: DataFrame, columns: list[str],
     """
     crowded = candidates.groupBy("cat_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > batch)
     parts = crowded.select("cat_id", F.ceil(F.col("n") / batch).alias("parts"))
-    part = F.pmod(F.xxhash64("x", "y"), F.coalesce("parts", F.lit(1).cast("bigint")))
+    part = F.pmod(F.xxhash64(*columns), F.coalesce("parts", F.lit(1).cast("bigint")))
     batches = (
         candidates.join(parts, "cat_id", "left")
         .groupBy("cat_id", part.alias("part"))

@@ -51,6 +51,7 @@ def read_gage_csvs(spark: SparkSession, root: str, schema: str) -> DataFrame:
     lines = (
         spark.read.schema(schema)
         .option("header", "true")
+        .option("enforceSchema", "false")  # a header that differs from the schema fails
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
         .csv(root)
@@ -83,15 +84,14 @@ def read_conflation_json(spark: SparkSession, root: str) -> DataFrame:
 def parse_marked_csv(documents: DataFrame, columns: dict[str, str], marker: str = "#SERIES DATA#") -> DataFrame:
     """Documents ``(path, value)`` whose table starts with a header line after a marker line.
 
-    ``columns`` maps header names to types; the order in the file does not matter. A document without the marker
-    fails the query.
+    ``columns`` maps header names to types; the order in the file does not matter and a line may have any number of
+    cells. A document without the marker, or whose header lacks a column, fails the query.
     """
-    width = 64
-    cells = ", ".join(f"c{i} string" for i in range(width))
 
     def fields(line):
-        row = F.from_csv(line, cells, {"mode": "PERMISSIVE"})
-        return F.array(*[row[f"c{i}"] for i in range(width)])
+        cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)  # commas outside quotes
+        plain = F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), '""', '"'))
+        return F.transform(plain, lambda c: F.nullif(c, F.lit("")))
 
     lines = documents.withColumn("_lines", F.split("value", r"\r?\n"))
     lines = lines.withColumn("_at", F.array_position(F.transform("_lines", lambda x: x.contains(marker)), True))
@@ -104,7 +104,8 @@ def parse_marked_csv(documents: DataFrame, columns: dict[str, str], marker: str
 
     def value(name: str, kind: str):
         at = F.array_position("_header", F.lit(name)).cast("int")
-        return F.get("_cells", at - 1).try_cast(kind).alias(name)
+        absent = F.raise_error(F.concat(F.lit(f"no column {name} in "), F.col("path"))).cast("int")
+        return F.get("_cells", F.when(at > 0, at - 1).otherwise(absent)).try_cast(kind).alias(name)
 
     return rows.select("path", "row_no", *[value(n, k) for n, k in columns.items()])
 

@@ -10,7 +10,7 @@ from rillflow.functions.times import date_in_name, year_in_name
 
 def concat_time(spark: SparkSession, root: str, by: str = "date") -> DataFrame:
     """Cell tables of many dates, the date (or year) of each taken from its file or folder name."""
-    cells = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
+    cells = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
     path = F.col("_metadata.file_path")
     if by == "year":
         return cells.withColumn("year", year_in_name(path))

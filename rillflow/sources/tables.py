@@ -86,6 +86,6 @@ def normalize_schema(df: DataFrame) -> DataFrame:
 
 
 def read_partitioned_collection(spark: SparkSession, root: str, pattern: str, key: str) -> DataFrame:
-    """Many Parquet files as one table; ``key`` is what ``pattern`` captures from the file's path."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
+    """Many Parquet files as one table of all their columns; ``key`` is what ``pattern`` captures from the file's path."""
+    files = spark.read.option("mergeSchema", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(root)
     return files.withColumn(key, F.regexp_extract("_metadata.file_path", pattern, 1))

@@ -13,27 +13,29 @@ def observation_stream(spark: SparkSession, source: str, schema: StructType, fmt
     return spark.readStream.schema(schema).format(fmt).load(source)
 
 
-def deduplicated(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """One row per gauge and time among those that arrive within ``delay`` of each other.
+def append_new(batch: DataFrame, out: str) -> None:
+    """Append the rows whose gauge and time the table does not hold yet, however late they come.
 
-    State is kept per (id, time) and dropped once the watermark has passed it, so a single busy gauge is spread over
-    all state partitions and state stays as large as the delay.
+    The table is stored by month, and only months that the batch touches are looked into. A batch that is repeated after
+    a failure adds nothing twice.
     """
-    timed = stream.withColumn("_event_time", F.col("time").cast("timestamp")).withWatermark("_event_time", delay)
-    return timed.dropDuplicatesWithinWatermark(["id", "time"]).drop("_event_time")
+    spark = batch.sparkSession
+    batch = batch.dropDuplicates(["id", "time"]).withColumn("month", F.date_format("time", "yyyy-MM"))
+    months = [r["month"] for r in batch.select("month").distinct().collect()]  # a few for each arrival
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        held = spark.read.schema(batch.schema).parquet(out).select("id", "time", "month").alias("held")
+        held = held.where(F.col("month").isin([m for m in months if m is not None]) | F.col("month").isNull())
+        same = F.col("new.id").eqNullSafe(F.col("held.id")) & F.col("new.time").eqNullSafe(F.col("held.time"))
+        batch = batch.alias("new").join(held, same, "left_anti")
+    batch.write.mode("append").partitionBy("month").parquet(out)
 
 
 def stream_observations(
-    spark: SparkSession,
-    source: str,
-    schema: StructType,
-    out: str,
-    checkpoint: str,
-    delay: str = "1 day",
-    continuous: bool = False,
+    spark: SparkSession, source: str, schema: StructType, out: str, checkpoint: str, continuous: bool = False
 ) -> StreamingQuery:
-    """Append new observations to a Parquet table, each file once; runs until all files are read, or goes on."""
-    rows = deduplicated(observation_stream(spark, source, schema), delay)
-    writer = rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    """Append new observations to a Parquet table, each gauge and time once; until all files are read, or for good."""
+    rows = observation_stream(spark, source, schema)
+    writer = rows.writeStream.foreachBatch(lambda batch, _: append_new(batch, out)).option("checkpointLocation", checkpoint)
     writer = writer.trigger(processingTime="1 minute") if continuous else writer.trigger(availableNow=True)
-    return writer.start(out)
+    return writer.start()
