@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.idfilter import may_be_among
 from rillflow.plans.workspace import materialize
 
 #: A run of so many lines is found wherever it occurs again.
@@ -59,15 +60,18 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     space. It stays where it first occurs, by doc_id and place, and goes everywhere else, also further down in the same
     document. A document that loses all its lines stays with an empty text; one without repeated runs is unchanged, a
     null text too. Rows with a null id are unchanged and count as no place. Rows that repeat id and text are treated
-    alike and don't count as earlier than each other. ``n_removed_lines`` is added.
+    alike and don't count as earlier than each other. ``n_removed_lines`` is added. Only texts that may lose lines are
+    moved, the others pass through where they lie.
     """
     windows = repeated_windows(docs, run)
     gone = windows.groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_gone"))
     gone = materialize(gone, "repeated-lines").withColumnsRenamed({"doc_id": "_id", "version": "_version"})
     texts = docs.drop("n_removed_lines", "_gone", "_id", "_version")
-    joined = texts.join(gone, (texts["doc_id"] == F.col("_id")) & (F.xxhash64(texts["text"]) == F.col("_version")), "left")
+    among = may_be_among(gone.select(F.col("_id").alias("id")))(F.col("doc_id"))
+    untouched = texts.where(~among).withColumn("n_removed_lines", F.lit(0))
+    joined = texts.where(among).join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_version")), "left")
     kept = F.array_join(F.filter(_lines(F.col("text")), lambda s, i: ~F.array_contains("_gone", i)), "\n")
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)
     n = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long")) if "n_chars" in docs.columns else None
     out = joined.withColumns({"text": text, "n_removed_lines": F.coalesce(F.size("_gone"), F.lit(0))} | ({"n_chars": n} if n is not None else {}))
-    return out.select(*texts.columns, "n_removed_lines")
+    return untouched.unionAll(out.select(*texts.columns, "n_removed_lines"))

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rillflow.llm.components import components
+from rillflow.llm.idfilter import bitmap, chosen, slot_of
 from rillflow.llm.tokens import Words, batches, constants, mix, runs
 from rillflow.plans.workspace import discard, materialize
 
@@ -129,31 +130,17 @@ def _crowded(rows: DataFrame) -> DataFrame:
     return rows.where("before <> id OR after <> id").drop("before", "after")
 
 
-def _ids_filter(ids: DataFrame, bits: int) -> list[tuple[int, bytes]]:
-    """A bitmap of ``bits`` bits with the hashes of the ids, in pieces: its size does not depend on how many there are."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1  # pieces count from 1, as do the bits of all of them
-    rows = ids.groupBy(F.bitmap_bucket_number(slot).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    return [(r["piece"], bytes(r["bits"])) for r in rows.collect()]
-
-
-def _sets(docs: DataFrame, ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, shingles) of the documents with these ids, and of a few more; texts are read where they lie, not moved."""
-    spark = docs.sparkSession
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for piece, part in _ids_filter(ids, bits):
-        bitmap[(piece - 1) * 4096 : piece * 4096] = np.frombuffer(part, np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap)  # bits / 8 bytes
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids))  # of a fixed size
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            slot = frame["slot"].to_numpy(np.int64)
-            chosen = frame[(shared.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1]
-            for part in batches(iter([chosen])):
+            for part in batches(iter([frame[chosen(shared.value, frame["slot"].to_numpy(np.int64))]])):
                 sets = shingle_sets(part["text"].tolist())
                 yield pd.DataFrame({"id": part["doc_id"], "shingles": [s.view(np.int64) for s in sets]})
 
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    found = docs.select("doc_id", "text", slot.alias("slot")).where("doc_id is not null")
+    found = docs.select("doc_id", "text", slot_of(F.col("doc_id")).alias("slot")).where("doc_id is not null")
     return found.mapInPandas(work, "id long, shingles array<long>")
 
 
