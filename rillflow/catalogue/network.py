@@ -175,12 +175,10 @@ def upstream_segments_deep_chain(spark, sf):
 @query(
     "upstream_adjacency",
     td.ctes("flowpaths", "network")
-    + f""", {_EDGES} SELECT dst AS id, CAST(0 AS BIGINT) AS part, count(*) AS n_upstream,
-  string_agg(src, ',' ORDER BY src) AS upstream FROM edges GROUP BY dst""",
+    + f", {_EDGES} SELECT dst AS id, count(*) OVER (PARTITION BY dst) AS n_upstream, src AS upstream FROM edges",
 )
 def upstream_adjacency(spark, sf):
-    lists = gr.upstream_adjacency(td.graph(spark, sf).edges)
-    return lists.withColumn("upstream", F.array_join("upstream", ","))
+    return gr.upstream_adjacency(td.graph(spark, sf).edges)
 
 
 @query(

@@ -310,10 +310,68 @@ def crs_map(spark, sf):
     return cf.crs_map(sections(spark, sf))
 
 
-@query("consolidate_xs", td.ctes("xs") + "SELECT crs, huc, count(*) AS n FROM (SELECT *, 'EPSG:5070' AS crs FROM xs) GROUP BY crs, huc")
+def _t(lat: str) -> str:
+    return f"(tan(pi() / 4 - ({lat}) / 2) / pow((1 - e * sin({lat})) / (1 + e * sin({lat})), e / 2))"
+
+
+def _m(lat: str) -> str:
+    return f"(cos({lat}) / sqrt(1 - e2 * pow(sin({lat}), 2)))"
+
+
+def _q(lat: str) -> str:
+    return f"((1 - e2) * (sin({lat}) / (1 - e2 * pow(sin({lat}), 2)) - ln((1 - e * sin({lat})) / (1 + e * sin({lat}))) / (2 * e)))"
+
+
+# Survey points in four systems, to geodetic coordinates and from there to the common projection.
+_PROJECTED = f"""WITH p AS (SELECT DISTINCT l_linenumber % 4 AS kind, (l_partkey % 100)::DOUBLE AS i, (l_suppkey % 10)::DOUBLE AS j FROM lineitem),
+e AS (SELECT 6378137e0 AS a, f / (2 - f) AS n, f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e FROM (SELECT 1e0 / 298.257222101e0 AS f)),
+k AS (SELECT *, radians(29.5e0) AS a1, radians(45.5e0) AS a2, radians(31e0 + 53e0 / 60) AS s1, radians(30e0 + 7e0 / 60) AS s2,
+  radians(29e0 + 2e0 / 3) AS s0, a / (1 + n) * (1 + pow(n, 2) / 4 + pow(n, 4) / 64) AS rect FROM e),
+k2 AS (SELECT *, (pow({_m("a1")}, 2) - pow({_m("a2")}, 2)) / ({_q("a2")} - {_q("a1")}) AS an,
+  (ln({_m("s1")}) - ln({_m("s2")})) / (ln({_t("s1")}) - ln({_t("s2")})) AS sn FROM k),
+k3 AS (SELECT *, pow({_m("a1")}, 2) + an * {_q("a1")} AS ac, a * {_m("s1")} / (sn * pow({_t("s1")}, sn)) AS sf FROM k2),
+utm AS (SELECT *, (3300000 + j * 10000) / (0.9996e0 * rect) AS xi, (400000 + i * 2000 - 500000) / (0.9996e0 * rect) AS eta
+  FROM p, k3 WHERE kind = 2),
+b AS (SELECT *, n / 2 - 2 * pow(n, 2) / 3 + 37 * pow(n, 3) / 96 AS b1, pow(n, 2) / 48 + pow(n, 3) / 15 AS b2, 17 * pow(n, 3) / 480 AS b3 FROM utm),
+u AS (SELECT kind, i, j, -99 AS centre, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) AS xi,
+  eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) AS eta FROM b),
+conic AS (SELECT *, (2000000 + i * 5000) * 1200e0 / 3937 - 700000 AS dx,
+  sf * pow({_t("s0")}, sn) - ((9800000 + j * 50000) * 1200e0 / 3937 - 3000000) AS dy FROM p, k3 WHERE kind = 3),
+chi AS (SELECT kind, i, j, asin(sin(xi) / cosh(eta)) AS chi, radians(-99e0) + atan2(sinh(eta), cos(xi)) AS lam FROM u
+  UNION ALL SELECT kind, i, j, pi() / 2 - 2 * atan(pow(sqrt(dx * dx + dy * dy) / sf, 1 / sn)), radians(-100e0 - 1e0 / 3) + atan2(dx, dy) / sn FROM conic),
+geo AS (SELECT kind, i, j, lam, chi + (e2 / 2 + 5 * pow(e2, 2) / 24 + pow(e2, 3) / 12 + 13 * pow(e2, 4) / 360) * sin(2 * chi)
+    + (7 * pow(e2, 2) / 48 + 29 * pow(e2, 3) / 240 + 811 * pow(e2, 4) / 11520) * sin(4 * chi)
+    + (7 * pow(e2, 3) / 120 + 81 * pow(e2, 4) / 1120) * sin(6 * chi) + 4279 * pow(e2, 4) / 161280 * sin(8 * chi) AS phi FROM chi, k3
+  UNION ALL SELECT kind, i, j, radians(-100 + i / 10), radians(30 + j / 2) FROM p WHERE kind = 1),
+polar AS (SELECT kind, i, j, an * (lam + radians(96e0)) AS theta, a * sqrt(ac - an * {_q("phi")}) / an AS rho,
+  a * sqrt(ac - an * {_q("radians(23e0)")}) / an AS rho0 FROM geo, k3)
+"""
+
+
+@query(
+    "consolidate_xs",
+    _PROJECTED
+    + """SELECT 'EPSG:5070' AS crs, 5070 AS epsg, i, j, round(i * 1000, 3) AS x, round(j * 1000, 3) AS y FROM p WHERE kind = 0
+UNION ALL SELECT 'EPSG:5070', CASE kind WHEN 1 THEN 4269 WHEN 2 THEN 26914 ELSE 2277 END, i, j,
+  round(rho * sin(theta), 3), round(rho0 - rho * cos(theta), 3) FROM polar""",
+)
 def consolidate_xs(spark, sf):
-    merged = cf.consolidate_xs(sections(spark, sf))
-    return merged.groupBy("crs", "huc").agg(F.count(F.lit(1)).alias("n"))
+    """Sections surveyed in four systems: the common one, degrees, a UTM zone and a State Plane zone in feet."""
+    kind, i, j = F.col("l_linenumber") % 4, (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 10).cast("double")
+    points = td.driver_table(spark, sf, "lineitem").select(kind.alias("kind"), i.alias("i"), j.alias("j")).distinct()
+
+    def by_kind(*values):
+        return F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in enumerate(values)])
+
+    surveyed = points.select(
+        "i",
+        "j",
+        F.lit("NAD83").alias("crs_name"),
+        by_kind(*map(F.lit, (5070, 4269, 26914, 2277))).alias("epsg"),
+        by_kind(F.col("i") * 1000, F.col("i") / 10 - 100, F.col("i") * 2000 + 400_000, F.col("i") * 5000 + 2_000_000).alias("x"),
+        by_kind(F.col("j") * 1000, F.col("j") / 2 + 30, F.col("j") * 10_000 + 3_300_000, F.col("j") * 50_000 + 9_800_000).alias("y"),
+    )
+    return rounded(cf.consolidate_xs(surveyed, "x", "y").select("crs", "epsg", "i", "j", "x", "y"), 3)
 
 
 @query(

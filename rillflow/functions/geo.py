@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Mapping
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -66,6 +68,104 @@ def lonlat_to_albers(lon: Column, lat: Column) -> tuple[Column, Column]:
     return rho * F.sin(theta), F.lit(_RHO0) - rho * F.cos(theta)
 
 
+#: Metres in a US survey foot.
+US_FOOT = 1200 / 3937
+
+
+@dataclass(frozen=True)
+class Lambert:
+    """A conformal conic system with two standard parallels on GRS80; origin and offsets in degrees and metres."""
+
+    lon: float
+    lat: float
+    parallels: tuple[float, float]
+    east: float
+    north: float
+    unit: float = 1.0
+
+    def cone(self) -> tuple[float, float, float]:
+        """Cone constant, radius at the pole's scale (a F) and radius at the origin."""
+
+        def t(lat: float) -> float:
+            sine = math.sin(math.radians(lat))
+            return math.tan(math.pi / 4 - math.radians(lat) / 2) / ((1 - _E * sine) / (1 + _E * sine)) ** (_E / 2)
+
+        one, two = self.parallels
+        m1, m2 = (math.sqrt(_m2(math.radians(p))) for p in self.parallels)
+        n = (math.log(m1) - math.log(m2)) / (math.log(t(one)) - math.log(t(two)))
+        scale = _A * m1 / (n * t(one) ** n)
+        return n, scale, scale * t(self.lat) ** n
+
+
+# State Plane zones of Texas (EPSG codes in US survey feet, and in metres).
+_TEXAS = (
+    (2275, 32137, Lambert(-101.5, 34.0, (36 + 11 / 60, 34.65), 200_000, 1_000_000)),
+    (2276, 32138, Lambert(-98.5, 31 + 2 / 3, (33 + 29 / 30, 32 + 2 / 15), 600_000, 2_000_000)),
+    (2277, 32139, Lambert(-(100 + 1 / 3), 29 + 2 / 3, (31 + 53 / 60, 30 + 7 / 60), 700_000, 3_000_000)),
+    (2278, 32140, Lambert(-99.0, 27 + 5 / 6, (30 + 17 / 60, 28 + 23 / 60), 600_000, 4_000_000)),
+    (2279, 32141, Lambert(-98.5, 25 + 2 / 3, (27 + 5 / 6, 26 + 1 / 6), 300_000, 5_000_000)),
+)
+STATE_PLANE = {feet: replace(zone, unit=US_FOOT) for feet, _, zone in _TEXAS} | {metres: zone for _, metres, zone in _TEXAS}
+
+# EPSG codes of NAD83 UTM zones (26900 + zone), and the system's scale and offset.
+UTM_FIRST, UTM_LAST = 26901, 26923
+_UTM_SCALE, _UTM_EAST = 0.9996, 500_000.0
+
+# Series from conformal to geodetic latitude (Snyder 1987, eq. 3-5).
+_CONFORMAL = (
+    _E2 / 2 + 5 * _E2**2 / 24 + _E2**3 / 12 + 13 * _E2**4 / 360,
+    7 * _E2**2 / 48 + 29 * _E2**3 / 240 + 811 * _E2**4 / 11520,
+    7 * _E2**3 / 120 + 81 * _E2**4 / 1120,
+    4279 * _E2**4 / 161280,
+)
+
+# Inverse transverse Mercator (Krueger 1912), to the third power of the third flattening.
+_THIRD = _F / (2 - _F)
+_RECTIFYING = _A / (1 + _THIRD) * (1 + _THIRD**2 / 4 + _THIRD**4 / 64)
+_BETA = (
+    _THIRD / 2 - 2 * _THIRD**2 / 3 + 37 * _THIRD**3 / 96,
+    _THIRD**2 / 48 + _THIRD**3 / 15,
+    17 * _THIRD**3 / 480,
+)
+
+
+def geodetic_latitude(conformal: Column) -> Column:
+    """Latitude in degrees of a conformal latitude in radians."""
+    phi = conformal
+    for step, factor in enumerate(_CONFORMAL, start=1):
+        phi = phi + factor * F.sin(2 * step * conformal)
+    return F.degrees(phi)
+
+
+def utm_to_conformal(x: Column, y: Column, zone: Column) -> tuple[Column, Column]:
+    """Metres of a northern NAD83 UTM zone to longitude in degrees and conformal latitude in radians."""
+    xi, eta = y / (_UTM_SCALE * _RECTIFYING), (x - _UTM_EAST) / (_UTM_SCALE * _RECTIFYING)
+    up, right = xi, eta
+    for step, factor in enumerate(_BETA, start=1):
+        up = up - factor * F.sin(2 * step * xi) * F.cosh(2 * step * eta)
+        right = right - factor * F.cos(2 * step * xi) * F.sinh(2 * step * eta)
+    lon = F.degrees(F.atan2(F.sinh(right), F.cos(up))) + zone * 6 - 183
+    return lon, F.asin(F.sin(up) / F.cosh(right))
+
+
+def lambert_to_conformal(x: Column, y: Column, code: Column, zones: Mapping[int, Lambert]) -> tuple[Column, Column]:
+    """Coordinates of the conic system that ``code`` names in ``zones`` to longitude and conformal latitude, likewise.
+
+    The constants of all zones are one literal map, so a table of many zones is still one expression.
+    """
+    numbers = F.create_map(*[
+        F.lit(v)
+        for key, zone in zones.items()
+        for v in (key, [*zone.cone(), zone.lon, float(zone.east), float(zone.north), zone.unit])
+    ])
+    of = F.try_element_at(numbers, code.cast("int"))
+    n, scale, origin, lon, east, north, unit = (of[i] for i in range(7))
+    right, down = x * unit - east, origin - (y * unit - north)
+    rho = F.sqrt(right * right + down * down) * F.signum(n)
+    theta = F.atan2(right * F.signum(n), down * F.signum(n))
+    return F.degrees(theta / n) + lon, F.lit(math.pi / 2) - 2 * F.atan(F.pow(rho / scale, 1 / n))
+
+
 def _wkb_points(wkb: bytes) -> np.ndarray:
     """All coordinates of a WKB geometry as an (n, 2) array."""
     found: list[np.ndarray] = []

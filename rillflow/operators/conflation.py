@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.geo import albers_to_lonlat, lonlat_to_albers
+from rillflow.functions.geo import STATE_PLANE, UTM_FIRST, UTM_LAST, Lambert
+from rillflow.functions.geo import albers_to_lonlat, geodetic_latitude, lambert_to_conformal, lonlat_to_albers, utm_to_conformal
 from rillflow.functions.text import columns_of, or_none, river_reach_key
 
 KEY = ["model_id", "huc", "river_reach_rs", "thalweg", "xs_max_elevation"]
@@ -63,28 +66,36 @@ def crs_family(name):
     return F.when(name.contains("NAD83") | name.contains("NAD_1983"), F.lit("EPSG:5070"))
 
 
-# EPSG code of geographic NAD83 coordinates.
-GEOGRAPHIC_NAD83 = 4269
+# EPSG codes of geographic NAD83 coordinates and of the common system.
+GEOGRAPHIC_NAD83, ALBERS = 4269, 5070
 
 
-def consolidate_xs(xs: DataFrame, x: str | None = None, y: str | None = None) -> DataFrame:
-    """All models' sections as one table with ``crs`` set, if they share one coordinate family; raises otherwise.
+def consolidate_xs(xs: DataFrame, x: str, y: str, zones: Mapping[int, Lambert] = STATE_PLANE) -> DataFrame:
+    """All models' sections as one table in EPSG:5070, with ``x`` and ``y`` projected and ``crs`` set.
 
-    With ``x`` and ``y`` the coordinates of geographic sections are projected; those of projected ones are kept.
+    Rows say their system in ``epsg``: 5070 itself, geographic NAD83, a NAD83 UTM zone, or a conic zone of ``zones``,
+    which a caller extends by the zones of its surveys. Sections whose ``crs_name`` is not of the NAD83 family are left
+    out. A section of the family with another code, or none, fails the job, as it can't be labelled with a system it
+    was not projected to. Null coordinates stay null.
     """
-    family = crs_family(F.col("crs_name"))
-    checked = xs.agg(
-        F.count_distinct(family).alias("families"), F.count_if(family.isNull()).alias("unknown")
-    ).first()
-    if checked.families != 1 or checked.unknown:
-        raise ValueError(f"cannot merge cross-sections of {checked.families} families, {checked.unknown} rows unknown")
-    if x and y:
-        east, north = lonlat_to_albers(F.col(x), F.col(y))
-        geographic = F.col("epsg") == GEOGRAPHIC_NAD83
-        xs = xs.withColumns(
-            {x: F.when(geographic, east).otherwise(F.col(x)), y: F.when(geographic, north).otherwise(F.col(y))}
-        )
-    return xs.withColumn("crs", family)
+    known = xs.where(crs_family(F.col("crs_name")).isNotNull())
+    code, a, b = F.col("epsg").cast("int"), F.col(x).cast("double"), F.col(y).cast("double")
+    is_utm, is_conic = code.between(UTM_FIRST, UTM_LAST), code.isin(*zones)
+    utm, conic = utm_to_conformal(a, b, code - (UTM_FIRST - 1)), lambert_to_conformal(a, b, code, zones)
+    # each step is a column of its own: what it repeats is computed once
+    known = known.withColumns({
+        "_survey_lon": F.when(code == GEOGRAPHIC_NAD83, a).when(is_utm, utm[0]).when(is_conic, conic[0]),
+        "_survey_conformal": F.when(is_utm, utm[1]).when(is_conic, conic[1]),
+    })
+    known = known.withColumn("_survey_lat", F.when(code == GEOGRAPHIC_NAD83, b).otherwise(geodetic_latitude(F.col("_survey_conformal"))))
+    albers = lonlat_to_albers(F.col("_survey_lon"), F.col("_survey_lat"))
+    unknown = F.raise_error(F.concat(F.lit("no projection for EPSG code "), F.coalesce(code.cast("string"), F.lit("null")))).cast("double")
+
+    def projected(i: int, same: Column) -> Column:
+        return F.when(code == ALBERS, same).when((code == GEOGRAPHIC_NAD83) | is_utm | is_conic, albers[i]).otherwise(unknown)
+
+    out = known.withColumns({x: projected(0, a), y: projected(1, b), "crs": F.lit(f"EPSG:{ALBERS}")})
+    return out.select(*columns_of(xs.drop("crs")), "crs")
 
 
 def with_lonlat(df: DataFrame, x: str, y: str) -> DataFrame:

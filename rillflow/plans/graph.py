@@ -99,21 +99,10 @@ def upstream_segments(graph: RiverGraph, origins: DataFrame, origin: str = "orig
     return trace_upstream(graph, origins.join(has_upstream, origin, "left_semi"), origin)
 
 
-def upstream_adjacency(edges: DataFrame, list_size: int = 10_000) -> DataFrame:
-    """``(id, part, n_upstream, upstream)``: the flowpaths that drain directly to each flowpath.
+def upstream_adjacency(edges: DataFrame) -> DataFrame:
+    """``(id, n_upstream, upstream)``: a row for each flowpath that drains directly to ``id``, and how many there are.
 
-    Almost every flowpath has one part. Those with more than ``list_size`` tributaries (the sea takes every coastal
-    river) are spread over several parts by hash, so no task ever holds an unbounded list.
+    The sea takes every coastal river, so the tributaries are rows and never a list; the count is a partial aggregate.
     """
-    crowded = (
-        edges.groupBy("dst")
-        .agg(F.count(F.lit(1)).alias("degree"))
-        .where(F.col("degree") > list_size)
-        .select("dst", F.ceil(F.col("degree") / list_size).alias("parts"))
-    )
-    part = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1).cast("bigint")))
-    return (
-        edges.join(crowded, "dst", "left")
-        .groupBy(F.col("dst").alias("id"), part.alias("part"))
-        .agg(F.count(F.lit(1)).alias("n_upstream"), F.sort_array(F.collect_list("src")).alias("upstream"))
-    )
+    counts = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n_upstream"))
+    return edges.join(counts, "dst").select(F.col("dst").alias("id"), "n_upstream", F.col("src").alias("upstream"))

@@ -1,9 +1,11 @@
 import datetime as dt
+import math
 import random
 import struct
 
 import pandas as pd
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from rillflow.functions import geo
@@ -126,11 +128,33 @@ def test_flat_or_short_transects_are_no_channel(spark):
     assert got[4].r == float("inf")
 
 
-def test_merge_needs_one_known_coordinate_family(spark):
-    both = spark.createDataFrame([("NAD83 / X",), ("NAD_1983_Y",)], "crs_name string")
-    assert conflation.consolidate_xs(both).count() == 2
-    with pytest.raises(ValueError, match="cannot merge"):
-        conflation.consolidate_xs(spark.createDataFrame([("NAD83 / X",), ("WGS 84",)], "crs_name string"))
+def lambert_forward(lon, lat, zone):
+    """Conic coordinates in metres, by the textbook's forward formulas."""
+    n, scale, origin = zone.cone()
+    e, sine = math.sqrt(0.00669438002290), math.sin(math.radians(lat))
+    t = math.tan(math.pi / 4 - math.radians(lat) / 2) / ((1 - e * sine) / (1 + e * sine)) ** (e / 2)
+    theta = n * math.radians(lon - zone.lon)
+    return zone.east + scale * t**n * math.sin(theta), zone.north + origin - scale * t**n * math.cos(theta)
+
+
+def test_sections_are_projected_by_their_own_system(spark):
+    zone = geo.STATE_PLANE[32139]
+    x, y = lambert_forward(-97.25, 30.75, zone)
+    tower = (-79.387139, 43.642567)  # known to lie at 630084 east, 4833438 north of zone 17
+    rows = [
+        ("NAD83", 4269, -97.25, 30.75), ("NAD83", 4269, *tower), ("NAD83 / Conus Albers", 5070, 5.0, 6.0),
+        ("NAD83 / Texas Central", 32139, x, y), ("NAD_1983_StatePlane", 2277, x / geo.US_FOOT, y / geo.US_FOOT),
+        ("NAD83 / UTM 17N", 26917, 630084.0, 4833438.0), ("WGS 84", 4326, 1.0, 2.0), ("NAD83", 4269, None, 1.0),
+    ]
+    df = spark.createDataFrame(rows, "crs_name string, epsg int, px double, py double")
+    got = [(r.epsg, r.px, r.py) for r in conflation.consolidate_xs(df, "px", "py").collect()]
+    assert len(got) == 7 and (5070, 5.0, 6.0) in got and sum(px is None for _, px, _ in got) == 1
+    known = {(e, i): (px, py) for i, (e, px, py) in enumerate(got)}
+    for other in ((32139, 3), (2277, 4)):
+        assert known[other] == pytest.approx(known[(4269, 0)], abs=1e-4)
+    assert known[(26917, 5)] == pytest.approx(known[(4269, 1)], abs=1.5)
+    with pytest.raises(PySparkException, match="no projection for EPSG code 2256"):
+        conflation.consolidate_xs(spark.createDataFrame([("NAD83 / Montana", 2256, 1.0, 1.0)], df.schema), "px", "py").collect()
 
 
 def test_layer_mean_skips_missing_and_defaults_to_zero(spark):
