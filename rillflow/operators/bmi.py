@@ -12,10 +12,6 @@ from rillflow.functions.sections import let
 from rillflow.functions.text import python_float
 
 
-def _colon_lines(names: str) -> str:
-    return "\n".join(f"{n}: {{{n}}}" for n in names.split())
-
-
 # The lines of each configuration file, with the parameter columns in braces.
 TEMPLATES = {
     "sft": """verbosity={verbosity}
@@ -29,22 +25,67 @@ soil_params.quartz={quartz}
 ice_fraction_scheme={ice_fraction_scheme}
 soil_z={soil_z}[m]
 soil_temperature={soil_temperature}[K]""",
-    "snow17": _colon_lines(
-        "hru_id hru_area latitude elev scf mf_max mf_min uadj si pxtemp nmf tipm mbase plwhc daygm adc1 adc2 adc3 "
-        "adc4 adc5 adc6 adc7 adc8 adc9 adc10 adc11"
-    ),
+    "snow17": """hru_id: {hru_id}
+hru_area: {hru_area}
+latitude: {latitude}
+elev: {elev}
+scf: {scf}
+mf_max: {mf_max}
+mf_min: {mf_min}
+uadj: {uadj}
+si: {si}
+pxtemp: {pxtemp}
+nmf: {nmf}
+tipm: {tipm}
+mbase: {mbase}
+plwhc: {plwhc}
+daygm: {daygm}
+adc1: {adc1}
+adc2: {adc2}
+adc3: {adc3}
+adc4: {adc4}
+adc5: {adc5}
+adc6: {adc6}
+adc7: {adc7}
+adc8: {adc8}
+adc9: {adc9}
+adc10: {adc10}
+adc11: {adc11}""",
     "smp": """verbosity={verbosity}
 soil_params.smcmax={smcmax}
 soil_params.b={b}
 soil_params.satpsi={satpsi}
 soil_z={soil_z}[m]
 soil_moisture_fraction_depth={soil_moisture_fraction_depth}[m]""",
-    "sacsma": _colon_lines(
-        "hru_id hru_area uztwm uzfwm lztwm lzfpm lzfsm adimp uzk lzpk lzsk zperc rexp pctim pfree riva side rserv"
-    ),
-    "lstm": _colon_lines(
-        "area_sqkm basin_id basin_name elev_mean inital_state lat lon slope_mean timestep train_cfg_file verbose"
-    ),
+    "sacsma": """hru_id: {hru_id}
+hru_area: {hru_area}
+uztwm: {uztwm}
+uzfwm: {uzfwm}
+lztwm: {lztwm}
+lzfpm: {lzfpm}
+lzfsm: {lzfsm}
+adimp: {adimp}
+uzk: {uzk}
+lzpk: {lzpk}
+lzsk: {lzsk}
+zperc: {zperc}
+rexp: {rexp}
+pctim: {pctim}
+pfree: {pfree}
+riva: {riva}
+side: {side}
+rserv: {rserv}""",
+    "lstm": """area_sqkm: {area_sqkm}
+basin_id: {basin_id}
+basin_name: {basin_name}
+elev_mean: {elev_mean}
+inital_state: {inital_state}
+lat: {lat}
+lon: {lon}
+slope_mean: {slope_mean}
+timestep: {timestep}
+train_cfg_file: {train_cfg_file}
+verbose: {verbose}""",
     "lasam": """verbosity={verbosity}
 soil_params_file={soil_params_file}
 layer_thickness={layer_thickness}
@@ -137,11 +178,24 @@ infex={infex}
 xk0={xk0}
 hf={hf}
 dth={dth}""",
-    "ueb": _colon_lines(
-        "aspect slope longitude latitude elevation standard_atm_pressure jan_temp_range feb_temp_range mar_temp_range "
-        "apr_temp_range may_temp_range jun_temp_range jul_temp_range aug_temp_range sep_temp_range oct_temp_range "
-        "nov_temp_range dec_temp_range"
-    ),
+    "ueb": """aspect: {aspect}
+slope: {slope}
+longitude: {longitude}
+latitude: {latitude}
+elevation: {elevation}
+standard_atm_pressure: {standard_atm_pressure}
+jan_temp_range: {jan_temp_range}
+feb_temp_range: {feb_temp_range}
+mar_temp_range: {mar_temp_range}
+apr_temp_range: {apr_temp_range}
+may_temp_range: {may_temp_range}
+jun_temp_range: {jun_temp_range}
+jul_temp_range: {jul_temp_range}
+aug_temp_range: {aug_temp_range}
+sep_temp_range: {sep_temp_range}
+oct_temp_range: {oct_temp_range}
+nov_temp_range: {nov_temp_range}
+dec_temp_range: {dec_temp_range}""",
     "cfe": """forcing_file: {forcing_file}
 verbosity: {verbosity}
 surface_partitioning_scheme: {surface_partitioning_scheme}

@@ -119,6 +119,7 @@ def params_sft(subset: Subset, use_schaake: bool = False) -> DataFrame:
     return _catchments(
         _constants(
             _soil_means(subset),
+            # Fixed values of the configuration file.
             {
                 "verbosity": "none",
                 "soil_moisture_bmi": 1,
@@ -133,6 +134,7 @@ def params_sft(subset: Subset, use_schaake: bool = False) -> DataFrame:
     )
 
 
+# Snow-17 defaults; the calibrated ones come first.
 SNOW17_CALIBRATED = {"mfmax": 1.0, "mfmin": 0.2, "uadj": 0.05}
 
 SNOW17_CONSTANTS = {
@@ -164,7 +166,7 @@ def params_snow17(subset: Subset, calibrated: DataFrame | None = None) -> DataFr
     return _catchments(_constants(renamed, {**SNOW17_CONSTANTS, "hru_id": F.col("divide_id")}))
 
 
-# Soil storage settings of the model that soil moisture profiles are coupled with.
+# Soil storage settings of the model that soil moisture profiles are coupled with.
 SMP_COUPLED = {
     "CFE-S": {"soil_storage_model": "conceptual", "soil_storage_depth": "2.0"},
     "CFE-X": {"soil_storage_model": "conceptual", "soil_storage_depth": "2.0"},
@@ -190,11 +192,12 @@ SMP_STORAGE = (
 def params_smp(subset: Subset, extra_module: str | None = None) -> DataFrame:
     """Soil moisture profiles, coupled with one of CFE-S, CFE-X, TopModel, LASAM or with none."""
     if extra_module and extra_module not in SMP_COUPLED:
-        raise ValueError(f"Passing unsupported module into endpoint: {extra_module}")
+        raise ValueError(f"soil moisture profiles cannot be coupled with {extra_module}; known are {', '.join(SMP_COUPLED)}")
     coupled = SMP_COUPLED.get(extra_module, {})
     return _catchments(
         _constants(
             _soil_means(subset),
+            # Fixed values of the configuration file.
             {
                 "verbosity": "none",
                 "soil_z": [0.1, 0.3, 1.0, 2.0],
@@ -213,6 +216,7 @@ def params_lstm(subset: Subset, basin_id: str | None = None) -> DataFrame:
     return _catchments(
         _constants(
             base.withColumnRenamed("areasqkm", "area_sqkm"),
+            # Fixed values of the configuration file.
             {
                 "basin_id": _identifier(base, basin_id),
                 "basin_name": "",
@@ -238,6 +242,7 @@ def params_lasam(subset: Subset, sft_included: bool, soil_params_file: str = "vG
     return _catchments(
         _constants(
             _named(subset[ATTRIBUTES], {"layer_soil_type": "mode.ISLTYP"}),
+            # Fixed values of the configuration file.
             {
                 "verbosity": "none",
                 "soil_params_file": soil_params_file,
@@ -444,11 +449,50 @@ TROUTE_NETWORK_COLUMNS = {
     "cs": "ChSlp",
     "alt": "alt",
 }
-TROUTE_DUPLICATE_SEGMENTS = (
-    "717696 1311881 3133581 1010832 1023120 1813525 1531545 1304859 1320604 1233435 11816 1312051 2723765 2613174 "
-    "846266 1304891 1233595 1996602 2822462 2384576 1021504 2360642 1326659 1826754 572364 1336910 1332558 1023054 "
-    "3133527 3053788 3101661 2043487 3056866 1296744 1233515 2045165 1230577 1010164 1031669 1291638 1637751"
-).split()
+# Segments that the routing network lists twice.
+TROUTE_DUPLICATE_SEGMENTS = [
+    "717696",
+    "1311881",
+    "3133581",
+    "1010832",
+    "1023120",
+    "1813525",
+    "1531545",
+    "1304859",
+    "1320604",
+    "1233435",
+    "11816",
+    "1312051",
+    "2723765",
+    "2613174",
+    "846266",
+    "1304891",
+    "1233595",
+    "1996602",
+    "2822462",
+    "2384576",
+    "1021504",
+    "2360642",
+    "1326659",
+    "1826754",
+    "572364",
+    "1336910",
+    "1332558",
+    "1023054",
+    "3133527",
+    "3053788",
+    "3101661",
+    "2043487",
+    "3056866",
+    "1296744",
+    "1233515",
+    "2045165",
+    "1230577",
+    "1010164",
+    "1031669",
+    "1291638",
+    "1637751",
+]
 
 
 def params_troute(subset: Subset, identifier: str | None = None) -> DataFrame:
@@ -611,7 +655,7 @@ XINANJIANG = (
 def params_cfe(subset: Subset, calibrated: DataFrame, version: str, sft_included: bool = False) -> DataFrame:
     """CFE in its Xinanjiang (CFE-X) or Schaake (CFE-S) version, for the divides with calibrated parameters."""
     if version not in ("CFE-X", "CFE-S"):
-        raise ValueError(f"Passing unsupported cfe_version into endpoint: {version}")
+        raise ValueError(f"CFE has the versions CFE-X and CFE-S, not {version}")
     attributes = subset[ATTRIBUTES]
     missing = [c for c in CFE_ATTRIBUTES.values() if c not in attributes.columns]
     if missing:

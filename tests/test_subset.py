@@ -52,7 +52,7 @@ def test_vpu_subset_takes_optional_layers(layers, layer):
 
 def test_unknown_vpu_raises(layers):
     with pytest.raises(ValueError, match="No network found"):
-        sub.subset_vpu(layers, "fake_vpu", strict=True)
+        sub.subset_vpu(layers, "99", strict=True)
 
 
 def test_relationship_check_finds_a_lost_divide(layers):
