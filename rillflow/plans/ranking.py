@@ -9,53 +9,15 @@ from rillflow.functions.text import columns_of
 from rillflow.plans.workspace import materialize
 
 
-# Groups up to this size are ranked by a plain window: they fit a task with room to spare.
-WINDOW_ROWS = 1_000_000
-
-
-def with_rank(
-    df: DataFrame, group: list[str], order: list[str | Column], window_rows: int = WINDOW_ROWS
-) -> DataFrame:
+def with_rank(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
     """Add ``rank`` (1, 2, ... within the group, by ``order``) and ``group_rows``.
 
-    ``row_number().over(partitionBy(group))`` sorts each group in one task, which is fine until one of them holds a
-    third of the table. Group sizes are counted first; groups above ``window_rows`` are ranked across tasks.
-    """
-    if not group:
-        return _rank_across_tasks(df, group, order)
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    large = materialize(sizes.where(F.col("_n") > window_rows).drop("_n"), "large-groups")
-    if large.isEmpty():
-        return _rank_by_window(df, group, order)
-    listed = large.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)])
-    same = _same_group(group)
-    small = _rank_by_window(df.join(listed, same, "left_anti"), group, order)
-    return small.unionByName(_rank_across_tasks(df.join(listed, same, "left_semi"), group, order))
-
-
-def _same_group(group: list[str]) -> Column:
-    same = F.lit(True)
-    for i, c in enumerate(group):
-        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
-    return same
-
-
-def _rank_by_window(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
-    whole = Window.partitionBy(*group)
-    rank = F.row_number().over(whole.orderBy(*order)).cast("bigint")
-    return df.withColumns({"rank": rank, "group_rows": F.count(F.lit(1)).over(whole)})
-
-
-def _rank_across_tasks(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
-    """Ranks from a table range-partitioned by group *and* order, so that a large group spans many partitions.
-
-    A row's rank is its offset in its sorted partition plus the rows of the group in earlier partitions. Only
-    (group, partition) counts go through a window. The sorted table is written first, so a retried task cannot move
-    rows between partitions.
+    The table is range-partitioned by group, ``order`` *and* a hash of the row, so neither a group nor a value that holds
+    a third of the rows lands in one task; rows equal in ``order`` are ranked by the hash, alike on every run. A row's
+    rank is its offset in its sorted partition plus the rows of the group in earlier partitions; only (group, partition)
+    counts go through a window. The sorted table is written first, so a retried task cannot move rows between partitions.
     """
-    keys = [F.col(c) for c in group]
-    ordered = df.repartitionByRange(*keys, *order)
-    ordered = ordered.sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id())
+    ordered = _spread(df, group, order).withColumn("_at", F.monotonically_increasing_id())
     rows = materialize(ordered, "ranked").withColumn("_part", F.shiftright("_at", 33))
     counts = rows.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
@@ -72,6 +34,20 @@ def _rank_across_tasks(df: DataFrame, group: list[str], order: list[str | Column
     )
 
 
+def _spread(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
+    """Rows in range partitions, and sorted in them, by group, order and a hash of the whole row."""
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    keys = [*[F.col(c) for c in group], *order, F.xxhash64(*hashed)]
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
+def _same_group(group: list[str]) -> Column:
+    same = F.lit(True)
+    for i, c in enumerate(group):
+        same = same & F.col(c).eqNullSafe(F.col(f"_g{i}"))
+    return same
+
+
 def row_index(df: DataFrame, order: list[str | Column], name: str) -> DataFrame:
     """Number all rows 1..n in ``order`` without passing them through one task."""
     ranked = with_rank(df, [], order)
