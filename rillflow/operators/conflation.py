@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rillflow.functions.geo import STATE_PLANE, UTM_FIRST, UTM_LAST, Lambert
 from rillflow.functions.geo import albers_to_lonlat, geodetic_latitude, lambert_to_conformal, lonlat_to_albers, utm_to_conformal
 from rillflow.functions.text import columns_of, or_none, river_reach_key
+from rillflow.plans.workspace import materialize
 
 KEY = ["model_id", "huc", "river_reach_rs", "thalweg", "xs_max_elevation"]
 REACH_IDS = ["us_reach_id", "us_network_to_id", "ds_reach_id", "ds_network_to_id"]
@@ -48,8 +49,9 @@ def composite_key_lookup(xs: DataFrame, conflation: DataFrame) -> DataFrame:
     """Add the upstream and downstream reach of each section, ``None`` as text where there is none.
 
     The elevations are part of the key and compared exactly, as both sides copy them from one model. Sections of a
-    (model, HUC) without any conflation are left out.
+    (model, HUC) without any conflation are left out. The parsed conflation is written once, as both joins read it.
     """
+    conflation = materialize(conflation.select("model_id", "huc", "pos", "reach_id", "network_to_id", "us_xs", "ds_xs"), "conflation")
     covered = xs.join(conflation.select("model_id", "huc").distinct(), ["model_id", "huc"], "left_semi")
     linked = covered.join(reach_lookup(conflation), KEY, "left")
     return linked.select(*columns_of(xs), *[or_none(F.col(c)).alias(c) for c in REACH_IDS])
