@@ -56,6 +56,18 @@ def streamflow_request(spark, sf):
     return rounded(ts.streamflow_request(flow, "8", "2024-01-01 00:00:00", "2024-12-31 00:00:00"))
 
 
+@query(
+    "streamflow_request_open",
+    _FLOW
+    + """SELECT time, round(q_cms, 6) AS q_cms FROM flow
+WHERE id = '8' AND time >= '2024-01-05 06:00:00' AND q_cms IS NOT NULL""",
+)
+def streamflow_request_open(spark, sf):
+    """From a time given as text on, of a gauge whose second series is empty."""
+    flow = streamflow(spark, sf).withColumn("q_cms_denoted_3", F.lit(None).cast("double"))
+    return rounded(ts.streamflow_request(flow, "8", "2024-01-05 06"))
+
+
 @query(
     "streamflow_info",
     _FLOW

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.text import columns_of, quoted, safe_name
-from rillflow.functions.times import MICROS, clock_text, epoch_micros, from_epoch_micros
+from rillflow.functions.times import MICROS, clock_text, epoch_micros, from_epoch_micros, parse_time_strict
+from rillflow.plans.workspace import materialize
 
 RELEASE_ITEM = {
     "parameterGroup": "Lake/Reservoir Outflow",
@@ -30,22 +31,32 @@ def gage_column(wide: DataFrame, gage: str) -> DataFrame:
     return wide.select("time", quoted(gage))
 
 
-def streamflow_range(flow: DataFrame, gages: str | list[str], start, end) -> DataFrame:
-    """Observed flow of a gauge (or several) between two times, both ends included.
+def _bound(time) -> Column:
+    if isinstance(time, Column):
+        return time
+    return parse_time_strict(F.lit(time)) if isinstance(time, str) else F.lit(time).cast("timestamp_ntz")
 
-    Times are timestamps or Columns. Conditions on plain columns, so they reach the scan.
+
+def streamflow_range(flow: DataFrame, gages: str | list[str], start=None, end=None) -> DataFrame:
+    """Observed flow of a gauge (or several) between two times, both ends included; None leaves an end open.
+
+    Times are timestamps, Columns or text in a spelling that :func:`parse_time_strict` reads, where a year, month, day
+    or hour alone means its start; other text fails the query. Conditions on plain columns, so they reach the scan.
     """
     wanted = F.col("id") == gages if isinstance(gages, str) else F.col("id").isin(gages)
-    start, end = (t if isinstance(t, Column) else F.lit(t).cast("timestamp_ntz") for t in (start, end))
-    return flow.where(wanted & F.col("time").between(start, end) & F.col("q_cms").isNotNull())
+    if start is not None:
+        wanted = wanted & (F.col("time") >= _bound(start))
+    if end is not None:
+        wanted = wanted & (F.col("time") <= _bound(end))
+    return flow.where(wanted & F.col("q_cms").isNotNull())
 
 
-def streamflow_request(flow: DataFrame, gage: str, start, end) -> DataFrame:
+def streamflow_request(flow: DataFrame, gage: str, start=None, end=None) -> DataFrame:
     """A gauge's range as a download: raises when empty, and drops the second series when it holds nothing."""
     rows = streamflow_range(flow, gage, start, end)
     found = rows.agg(F.count(F.lit(1)).alias("n"), F.count("q_cms_denoted_3").alias("second")).first()
     if not found.n:
-        raise NoResults(f"No data was found for {gage} in the specified time range")
+        raise NoResults(f"gauge {gage} has no flow between these times")
     columns = ["time", "q_cms"] + (["q_cms_denoted_3"] if found.second else [])
     return rows.select(*columns)
 
@@ -104,7 +115,8 @@ def upsample_daily_nearest(
     """Daily observations on a regular grid, each grid time taking the nearest observation (the later on a tie).
 
     The grid of a series runs from the start of its first day to the end of its last. Every observation generates
-    the grid times it is nearest to, so nothing is searched. Series that are not daily fail the query.
+    the grid times it is nearest to, so nothing is searched. Series that are not daily fail the query. The observations
+    are written once, because their neighbours are found in two groupings.
     """
     step = step_minutes * 60 * MICROS
     day = 86400 * MICROS
@@ -114,18 +126,19 @@ def upsample_daily_nearest(
 
     daily = observations
     if "timestep" in observations.columns:
-        other = F.raise_error(F.concat(F.lit("Cannot interpolate non-daily values. Timestep is: "), F.col("timestep")))
+        other = F.raise_error(F.concat(F.lit("only daily series can be refined, this one is: "), F.col("timestep")))
         ok = F.when(F.col("timestep") == "daily", F.col(time)).otherwise(other.cast("timestamp_ntz"))
         daily = observations.withColumn(time, ok)
-    near = with_neighbours(daily, key, time).withColumn("_t", epoch_micros(F.col(time)))
+    near = with_neighbours(materialize(daily, "daily"), key, time).withColumn("_t", epoch_micros(F.col(time)))
     prev, after = epoch_micros(F.col("prev_time")), epoch_micros(F.col("next_time"))
     own_day = F.floor(F.col("_t") / F.lit(day)).cast("bigint") * day
     first = F.coalesce(ceil_steps(prev + F.col("_t"), 2 * step), ceil_steps(own_day, step))
     beyond = F.coalesce(ceil_steps(F.col("_t") + after, 2 * step), ceil_steps(own_day + day, step))
-    steps = F.when(beyond > first, F.sequence(first, beyond - 1))
-    grid = near.withColumn("_step", F.explode(steps))
+    near = near.withColumns({"_first": first, "_beyond": beyond}).where("_beyond > _first")
+    ends = [from_epoch_micros(c * step) for c in (F.col("_first"), F.col("_beyond") - 1)]
+    grid = near.withColumn("_time", F.explode(F.sequence(*ends, F.make_dt_interval(mins=F.lit(step_minutes)))))
     rest = [c for c in observations.columns if c not in (key, time)]
-    return grid.select(key, from_epoch_micros(F.col("_step") * step).alias(time), *rest)
+    return grid.select(key, F.col("_time").alias(time), *rest)
 
 
 def timeslice_rows(grid: DataFrame, key: str = "id", time: str = "time", flow: str = "result") -> DataFrame:
@@ -151,9 +164,9 @@ def single_release_item(items: DataFrame):
     """The one release item of a location; raises if there is none or more than one."""
     found = valid_release_items(items).limit(2).collect()
     if not found:
-        raise ValueError("Cannot find reservoir data. No releases found for location")
+        raise ValueError("the location lists no total release")
     if len(found) > 1:
-        raise ValueError("Cannot determine the catalogue item. Multiple entries.")
+        raise ValueError("the location lists several total releases")
     return found[0]
 
 

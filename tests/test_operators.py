@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rillflow.functions import geo
 from rillflow.operators import bmi, conflation, params, series, versions, xs, zonal
-from rillflow.plans.ranking import ntile_of, row_index, with_rank
+from rillflow.plans.ranking import _spread, ntile_of, row_index, with_rank
 
 DAY = dt.timedelta(days=1)
 
@@ -21,15 +21,28 @@ def test_rank_is_exact_when_one_group_holds_most_rows(spark):
     df = spark.createDataFrame(rows, "g string, v int, i int").repartition(7)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        ranks = [with_rank(df, ["g"], ["v", "i"], window_rows=limit).collect() for limit in (0, 500, 10_000)]
+        ranked = with_rank(df, ["g"], ["v", "i"]).collect()
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     frame = pd.DataFrame(rows, columns=["g", "v", "i"]).sort_values(["g", "v", "i"])
     groups = frame.groupby("g", dropna=False)
     frame["rank"], frame["n"] = groups.cumcount() + 1, groups["i"].transform("count")
     expected = {(r.g if isinstance(r.g, str) else None, r.i): (r.rank, r.n) for r in frame.itertuples()}
-    for rows_ranked in ranks:
-        assert {(r.g, r.i): (r["rank"], r.group_rows) for r in rows_ranked} == expected
+    assert {(r.g, r.i): (r["rank"], r.group_rows) for r in ranked} == expected
+
+
+def test_equal_values_are_ranked_in_several_tasks(spark):
+    rows = spark.range(20_000).select(F.lit("g").alias("g"), F.when(F.col("id") % 10 > 0, 7).otherwise(F.col("id")).alias("v"), "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in _spread(rows, ["g"], ["v"]).groupBy(F.spark_partition_id()).count().collect()]
+        ranked = with_rank(rows, ["g"], ["v"]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(sizes) < 2 * 20_000 / len(sizes)
+    assert sorted(r["rank"] for r in ranked) == list(range(1, 20_001)) and {r.group_rows for r in ranked} == {20_000}
+    by_rank = [r.v for r in sorted(ranked, key=lambda r: r["rank"])]
+    assert by_rank == sorted(by_rank)
 
 
 def test_row_index_counts_from_one(spark):
@@ -80,7 +93,7 @@ def test_two_days_have_192_slices_and_ties_go_to_the_later_day(spark):
 
 def test_series_that_are_not_daily_fail(spark):
     df = spark.createDataFrame([("s", dt.datetime(2023, 4, 1), 1.0, "hourly")], "id string, time timestamp_ntz, result double, timestep string")
-    with pytest.raises(Exception, match="Cannot interpolate non-daily values"):
+    with pytest.raises(Exception, match="only daily series"):
         series.upsample_daily_nearest(df).collect()
 
 
@@ -99,9 +112,9 @@ def test_release_item_must_be_single(spark):
     good = (*series.RELEASE_ITEM.values(), 1)
     other = ("Lake/Reservoir Outflow", "Lake/Reservoir Release - Total", "m3", 2)
     assert series.single_release_item(spark.createDataFrame([good, other], columns)).id == 1
-    with pytest.raises(ValueError, match="No releases"):
+    with pytest.raises(ValueError, match="no total release"):
         series.single_release_item(spark.createDataFrame([other], columns))
-    with pytest.raises(ValueError, match="Multiple"):
+    with pytest.raises(ValueError, match="several total releases"):
         series.single_release_item(spark.createDataFrame([good, good], columns))
 
 
