@@ -178,9 +178,9 @@ def test_layer_mean_skips_missing_and_defaults_to_zero(spark):
 
 def test_unsupported_model_options_raise(spark):
     empty = {"divide-attributes": spark.createDataFrame([], "divide_id string")}
-    with pytest.raises(ValueError, match="unsupported module"):
+    with pytest.raises(ValueError, match="cannot be coupled"):
         params.params_smp(empty, "HBV")
-    with pytest.raises(ValueError, match="unsupported cfe_version"):
+    with pytest.raises(ValueError, match="CFE has the versions"):
         params.params_cfe(empty, empty["divide-attributes"], "CFE-Z")
     with pytest.raises(ValueError, match="divide attributes lack"):
         params.params_cfe(empty, empty["divide-attributes"], "CFE-S")
