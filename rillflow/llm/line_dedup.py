@@ -4,7 +4,7 @@ Of every window of RUN consecutive lines the line with the smallest hash is kept
 lines or more that occurs twice shares a fingerprint at the same place of it. Fingerprints that occur once are dropped.
 Around the others the match is extended both ways: each window that a fingerprint stands for is compared as a whole with
 the first place that has it, and windows that follow each other make up the repeated run, which is deleted at its later
-places.
+places. A caller can have long lines count as runs by themselves.
 """
 
 from __future__ import annotations
@@ -17,33 +17,48 @@ from rillflow.plans.workspace import materialize
 
 #: A run of so many lines is found wherever it occurs again.
 RUN = 2
+#: Words that make a line long enough to be a run by itself, for callers that ask for it.
+WORDS = 13
 
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _filled(text: Column) -> Column:
-    """(at, one, two) of the lines that aren't blank: the line's number and two hashes of it without outer white space."""
+def _filled(text: Column, words: int | None = None) -> Column:
+    """(at, one, two) of the lines that aren't blank: the line's number and two hashes of it without outer white space.
+
+    With ``words`` also ``long``, whether the line has so many words.
+    """
     lines = F.transform(_lines(text), lambda s, i: F.struct(i.alias("at"), F.trim(F.regexp_replace(s, r"[\x09-\x0D]", " ")).alias("line")))
     lines = F.filter(lines, lambda s: s["line"] != "")
-    return F.transform(lines, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["line"]).alias("one"), F.xxhash64(F.lit(1), s["line"]).alias("two")))
 
+    def long(line: Column) -> list[Column]:
+        return [] if words is None else [(F.size(F.split(line, r"\x20+")) >= words).alias("long")]
+
+    return F.transform(lines, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["line"]).alias("one"), F.xxhash64(F.lit(1), s["line"]).alias("two"), *long(s["line"])))
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
+
+def repeated_windows(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """(doc_id, version, at): line numbers of every window of ``run`` filled lines that occurs earlier.
 
-    Earlier is a smaller doc_id, or the same text further up. ``version`` tells texts with the same id apart.
+    Earlier is a smaller doc_id, or the same text further up. ``version`` tells texts with the same id apart. With
+    ``words`` a line of so many words is a window too, and so is a whole text of fewer than ``run`` lines.
     """
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), _filled(F.col("text")).alias("lines"))
-    texts = texts.where(F.size("lines") >= run)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), _filled(F.col("text"), words).alias("lines"))
+    texts = texts.where(F.size("lines") >= (run if words is None else 1))
 
-    def window(i: Column) -> Column:
-        lines = F.slice("lines", i + 1, run)
+    def window(lines: Column) -> Column:
         ones, twos = F.transform(lines, lambda s: s["one"]), F.transform(lines, lambda s: s["two"])
         return F.struct(F.array_min(ones).alias("print"), F.xxhash64(ones).alias("one"), F.xxhash64(twos).alias("two"), F.transform(lines, lambda s: s["at"]).alias("at"))
 
-    windows = F.transform(F.sequence(F.lit(0), F.size("lines") - run), window)
+    starts = F.sequence(F.lit(0), F.size("lines") - run)
+    if words is not None:  # of long lines alone each is found by itself
+        starts = F.filter(starts, lambda i: F.exists(F.slice("lines", i + 1, run), lambda s: ~s["long"]))
+    windows = F.transform(starts, lambda i: window(F.slice("lines", i + 1, run)))
+    if words is not None:
+        alone = F.transform(F.filter("lines", lambda s: s["long"]), lambda s: window(F.array(s)))
+        windows = F.concat(alone, F.when(F.size("lines") < run, F.array(window(F.col("lines")))).otherwise(windows))
     windows = materialize(texts.select("doc_id", "version", F.explode(windows).alias("w")).select("doc_id", "version", "w.*"), "line-windows")
     place = F.struct("doc_id", "version", F.col("at")[0].alias("at"))
     prints = windows.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("print")
@@ -53,7 +68,7 @@ def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
     return windows.join(firsts, ["print", "one", "two"]).where(place > F.col("first")).select("doc_id", "version", "at")
 
 
-def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """``docs`` without the lines of runs that occur earlier; text and n_chars are what is left, all other columns kept.
 
     A run is ``run`` or more consecutive lines, blank ones between them not counted, that are equal but for outer white
@@ -62,8 +77,12 @@ def remove_repeated_lines(docs: DataFrame, run: int = RUN) -> DataFrame:
     null text too. Rows with a null id are unchanged and count as no place. Rows that repeat id and text are treated
     alike and don't count as earlier than each other. ``n_removed_lines`` is added. Only texts that may lose lines are
     moved, the others pass through where they lie.
+
+    Without ``words`` a line that repeats between different neighbours stays, and so does a text of fewer than ``run``
+    lines. With it a line of ``words`` or more words is a run by itself, wherever it stands, and so is the whole of a
+    text of fewer than ``run`` lines; shorter lines go in runs only.
     """
-    windows = repeated_windows(docs, run)
+    windows = repeated_windows(docs, run, words)
     gone = windows.groupBy("doc_id", "version").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("_gone"))
     gone = materialize(gone, "repeated-lines").withColumnsRenamed({"doc_id": "_id", "version": "_version"})
     texts = docs.drop("n_removed_lines", "_gone", "_id", "_version")

@@ -10,7 +10,7 @@ import corpus_pipeline
 from rillflow.llm.decontaminate import benchmark_matches
 from rillflow.llm.exact_dedup import exact_duplicates
 from rillflow.llm.html_text import fit_weights, main_text
-from rillflow.llm.line_dedup import remove_repeated_lines
+from rillflow.llm.line_dedup import WORDS, remove_repeated_lines
 from rillflow.llm.mixing import poisson_mix, target_rates
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.quality import fit_quality, quality_scores
@@ -148,6 +148,32 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeated_lines(table(spark, sf, "documents"))
 
 
+@query(
+    "op1_line_dedup_long",
+    r"""
+WITH t AS (SELECT *, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, i - 1 AS i, trim(regexp_replace(lines[i], '[\x09-\x0D]', ' ', 'g')) AS line
+          FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM t)),
+filled AS (SELECT *, len(string_split_regex(line, '\x20+')) AS words, count(*) OVER (PARTITION BY doc_id) AS n
+           FROM lines WHERE line <> ''),
+pairs AS (SELECT doc_id, i, lead(i) OVER w AS j, line, lead(line) OVER w AS next
+          FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+places AS (SELECT doc_id, i, j, min((doc_id, i)) OVER (PARTITION BY line, next) AS first FROM pairs WHERE j IS NOT NULL),
+alone AS (SELECT doc_id, i, min((doc_id, i)) OVER (PARTITION BY line) AS first FROM filled WHERE words >= 13 OR n = 1),
+gone AS (SELECT doc_id, unnest([i, j]) AS i FROM places WHERE (doc_id, i) > first
+         UNION ALL SELECT doc_id, i FROM alone WHERE (doc_id, i) > first),
+lists AS (SELECT doc_id, list(DISTINCT i) AS gone FROM gone GROUP BY doc_id),
+kept AS (SELECT t.*, gone, array_to_string(list_filter(lines, lambda s, i: NOT list_contains(gone, i - 1)), chr(10)) AS rest
+         FROM t LEFT JOIN lists USING (doc_id))
+SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(rest, '') END AS text, lang, source,
+       CASE WHEN gone IS NULL THEN n_chars ELSE length(coalesce(rest, '')) END AS n_chars,
+       coalesce(len(gone), 0)::INT AS n_removed_lines
+FROM kept""",
+)
+def op1_long(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeated_lines(table(spark, sf, "documents"), words=WORDS)
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")

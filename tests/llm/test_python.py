@@ -140,6 +140,24 @@ def test_remove_repeated_lines(spark, run):
     assert sorted(str(r.text) for r in line_dedup.remove_repeated_lines(docs(spark, twice)).collect()) == ["", "a\nb", "a\nb", "a\nb"]
 
 
+@pytest.mark.parametrize("run", [2, 4])
+def test_long_lines_and_short_texts_are_runs_by_themselves(spark, run):
+    draw, words = random.Random(5), line_dedup.WORDS
+    pool = [" ".join(draw.choices("abcdefgh", k=k)) for k in (1, 2, words - 1, words, words, 60)]
+    rows = [(i, "\n".join(draw.choice([*pool, "", str(draw.random()), " " + pool[4].replace(" ", " \t")]) for _ in range(draw.choice([1, 1, 2, 3, 9])))) for i in range(60)]
+    rows += [(60, None), (61, ""), (62, "\n" + pool[5] + "\n"), (63, pool[0]), (64, pool[0] + "\n"), (65, "new\n" + pool[3] + "\nnewer")]
+    first, want = {}, {}
+    for i, t in rows:
+        lines = [re.sub(r"[\x09-\x0D]", " ", s).strip(" ") for s in (t or "").split("\n")]
+        filled = [k for k, s in enumerate(lines) if s]
+        windows = [filled[a : a + run] for a in range(len(filled) - run + 1)] or [filled] * bool(filled)
+        windows += [[k] for k in filled if len(lines[k].split()) >= words]
+        want[i] = {k for at in windows if first.setdefault(tuple(lines[k] for k in at), (i, at)) != (i, at) for k in at}
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.remove_repeated_lines(docs(spark, rows), run, words).collect()}
+    assert got == {i: (t if not want[i] else "\n".join(s for k, s in enumerate(t.split("\n")) if k not in want[i]), len(want[i])) for i, t in rows}
+    assert got[62] == ("\n", 1) and got[64] == ("", 1) and got[65] == ("new\nnewer", 1)
+
+
 def test_secrets(spark):
     key = "Zk3vQ9xT1mW8rB5nJ7pL2dF6hG4sC0yA"
     hexes = "0123456789abcdef01234567"
