@@ -35,10 +35,17 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head nav header footer aside form button menu dialog".split())
 CONTENT = frozenset("article main".split())
-SKIPPED_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|sidebar|side|menu|nav\w*|breadcrumbs?|header|footer|foot|"
+WHOLE = frozenset("html body main article".split())
+_NAME = (
+    r"(?:ads?|advert[^\W_]*|banner|sponsor[^\W_]*|promo[^\W_]*|sidebar|side|menu|nav[^\W_]*|breadcrumbs?|header|footer|foot|"
     r"comments?|disqus|replies|responses|cookies?|consent|notices?|popup|modal|newsletter|subscribe|signup|login|share|"
-    r"sharing|social|related|recommended|widget|copyright|toolbar|pagination|pager|skip)(?:$|[\s_-])",
+    r"sharing|social|related|recommended|widget|copyright|toolbar|pagination|pager|skip)"
+)
+#: A whole name of a class, id or role: one word, or words that say which part of the page it is, as in site-footer or
+#: comments-list. Names that say how a page is laid out (no-sidebar, has-header, comments-open) are others.
+SKIPPED_NAME = re.compile(
+    rf"(?<!\S)(?:(?:site|page|main|global|top|bottom|primary|secondary)[_-]+)?{_NAME}"
+    rf"(?:[_-]+(?:{_NAME}|\d+(?:x\d+)?|area|bar|block|box|buttons?|container|content|form|icons?|inner|items?|links?|list|posts?|reply|respond|section|slot|unit|wrap|wrapper))*(?!\S)",
     re.IGNORECASE,
 )
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -48,9 +55,22 @@ def tokens(html: str) -> list[tuple[str, str, str, bool, bool]]:
     """(kind, value, feature, skipped, content) in page order: kind is ``text``, ``tag`` or ``break``.
 
     An element that is left open ends with the element around it, at an end tag of an outer element or with the page.
+    Names say nothing about html, body, main and article elements, but for an article within an article (a reader's
+    comment), nor about elements that hold all the main and article elements of a page. Where others stand elsewhere, an
+    element of such a name that holds articles is a list of teasers or comments and left out.
+    """
+    out, holders, elsewhere = _tokens(html)
+    return _tokens(html, holders)[0] if holders and not elsewhere else out
+
+
+def _tokens(html: str, spared: frozenset[int] | set[int] = frozenset()) -> tuple[list[tuple[str, str, str, bool, bool]], set[int], bool]:
+    """The tokens; where elements start that are left out by name and hold main or article elements; whether there are
+    such elements that are not left out. The names of elements that start at ``spared`` are not looked at.
     """
+    holders: set[int] = set()
+    elsewhere = False
     out: list[tuple[str, str, str, bool, bool]] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # name, skipped, content, link
+    open_: list[tuple[str, bool, bool, bool, int | None]] = []  # name, skipped, content, link, start if left out by name
     at = 0
 
     def state() -> tuple[bool, bool, bool]:
@@ -81,7 +101,9 @@ def tokens(html: str) -> list[tuple[str, str, str, bool, bool]]:
                 del open_[depth:]
         else:
             names = " ".join(filter(None, (x for g in NAMED.findall(m[4]) for x in g))) if m[4] else ""
-            skips = skipped or name in SKIPPED or bool(names and SKIPPED_NAME.search(names))
+            whole = name in WHOLE and not (name == "article" and any(o[0] == name for o in open_))
+            named = bool(names and not whole and m.start() not in spared and SKIPPED_NAME.search(names))
+            skips = skipped or name in SKIPPED or named
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
                 like = {"td": ("td", "th"), "th": ("td", "th"), "dt": ("dt", "dd"), "dd": ("dt", "dd")}.get(name, (name,))
                 depth = len(open_) - 1
@@ -89,13 +111,18 @@ def tokens(html: str) -> list[tuple[str, str, str, bool, bool]]:
                     depth -= 1
                 if depth >= 0 and open_[depth][0] in like:
                     del open_[depth:]
-                    skips = (state()[0]) or bool(names and SKIPPED_NAME.search(names))
+                    skips = state()[0] or named
+            if name in CONTENT and not content:
+                if not skipped:
+                    elsewhere = True
+                elif not any(o[0] in SKIPPED for o in open_):
+                    holders.update(o[4] for o in open_ if o[4] is not None)
             inside = content or name in CONTENT
             out.append(("tag" if inline else "break", name, name + " inside" * inside, skips, inside))
             if name not in VOID and not m[4].endswith("/"):
-                open_.append((name, skips, inside, link or name == "a"))
+                open_.append((name, skips, inside, link or name == "a", m.start() if named else None))
     text(html[at:])
-    return out
+    return out, holders, elsewhere
 
 
 def count_features(pages: list[str | None]) -> tuple[Counter, Counter]:

@@ -198,6 +198,23 @@ def test_main_text(spark):
     assert html_text.main_text(empty, html_text.fit_weights(empty)).count() == 0
 
 
+def test_names_of_layouts_leave_nothing_out():
+    fit = lambda html: html_text.extract(html, {})
+    text = "A title\nmany words of running text"
+    inner = "<h1>A title</h1><p>many words of running text</p>"
+    for names in ("single-post no-sidebar", "has-header", "comments-open", "content with-sidebar", "sidebar-right"):
+        assert fit(f'<html><body class="{names}"><article>{inner}</article></body></html>') == text
+        assert fit(f'<body><div class="{names}">{inner}</div></body>') == text
+    for names in ("sidebar", "widget", "footer"):
+        assert fit(f'<html class="{names}"><body id="{names}"><main class="{names}">{inner}</main></body></html>') == text
+        assert fit(f'<div id="{names}"><div class="x {names}"><article class="{names}">{inner}</article></div></div>') == text
+    for names in ("sidebar", "x ad", "site-footer", "comments-area", "ad-300x250", "Cookie-Notice", "nav_menu"):
+        assert fit(f'<article>{inner}<div class="{names}">other words</div></article>') == text
+    teasers = '<div class="related"><article>one teaser</article><article>more of them</article></div>'
+    assert fit(f"<article>{inner}<article class='comment'>a reader</article></article>{teasers}") == text
+    assert fit(f'<article>{inner}</article><aside class="widget"><article>a teaser</article></aside>') == text
+
+
 @pytest.mark.parametrize("name", ["toxicity", "quality"])
 def test_classifiers_on_held_out_rows(spark, name):
     sf = "/root/testdata/sf0.01"
