@@ -6,7 +6,9 @@ content of labelled pages than outside. Content words come out positive, tags an
 scan finds the contiguous region with the largest sum. Containers that are never part of an article (menus, headers,
 footers, sidebars, notices, adverts, forms, comments of readers) are left out of the region's text.
 
-Labelled pages are those that mark their content themselves, with an article or main element.
+Labelled pages are those that mark their content themselves, with an article or main element. Other pages are scored by
+what is learned from the same labelled pages as if they had no mark. There a tag says little, as content may lie in the
+elements that menus lie in: one word of running text outweighs the tags around it.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ SKIPPED_NAME = re.compile(
     rf"(?:[_-]+(?:{_NAME}|\d+(?:x\d+)?|area|bar|block|box|buttons?|container|content|form|icons?|inner|items?|links?|list|posts?|reply|respond|section|slot|unit|wrap|wrapper))*(?!\S)",
     re.IGNORECASE,
 )
+#: Of a page without a mark, the most that a tag takes off; scores that differ by less than TIE are equal.
+LEAST_TAG, TIE = -0.05, 1e-9
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 
 
@@ -137,12 +141,21 @@ def count_features(pages: list[str | None]) -> tuple[Counter, Counter]:
     return inside, outside
 
 
-def _score(kind: str, count: int, feature: str, weights: dict[str, float]) -> float:
-    """Words: what was learned, positive in running text, nothing where an article holds something to leave out. Tags: negative."""
+def _score(kind: str, count: int, feature: str, weights: dict[str, float], marked: bool) -> float:
+    """Words: what was learned, positive in running text, nothing where an article holds something to leave out. Tags: negative.
+
+    On pages that aren't ``marked`` a word of running text scores 1 at least and a tag no less than LEAST_TAG.
+    """
     if not feature:
         return 0.0
+    if not marked:
+        if kind != "text":
+            return min(max(weights.get("bare tag " + feature, LEAST_TAG), LEAST_TAG), LEAST_TAG / 10)
+        if feature == "skipped":
+            return count * min(weights.get("bare word skipped", -1.0), -0.5)
+        return count * (max(weights.get("bare word plain", 1.0), 1.0) if feature == "plain" else weights.get("bare word link", 0.2))
     if kind != "text":
-        return min(max(weights.get("tag " + feature, -0.5), -1.0), -0.05)
+        return min(max(weights.get("tag " + feature, LEAST_TAG if feature.endswith(" inside") else -0.5), -1.0), -0.05)
     where, _, inside = feature.partition(" ")
     if where == "skipped":
         return 0.0 if inside else count * min(weights.get("word " + feature, -1.0), -0.5)
@@ -153,15 +166,17 @@ def _score(kind: str, count: int, feature: str, weights: dict[str, float]) -> fl
 def extract(html: str | None, weights: dict[str, float]) -> str:
     """The text of the best region of a page: its blocks in order, one a line."""
     found = tokens(html or "")
-    scores = np.array([_score(kind, len(value.split()) if kind == "text" else 1, feature, weights) for kind, value, feature, _, _ in found])
+    marked = any(content for *_, content in found)
+    scores = np.array([_score(kind, len(value.split()) if kind == "text" else 1, feature, weights, marked) for kind, value, feature, _, _ in found])
     if not len(scores):
         return ""
     sums = np.concatenate([[0.0], np.cumsum(scores)])
     least = np.minimum.accumulate(sums[:-1])
-    end = int(np.argmax(sums[1:] - least)) + 1
-    if sums[end] - least[end - 1] <= 0:
+    gains = sums[1:] - least
+    end = int(np.flatnonzero(gains >= gains.max() - TIE)[-1]) + 1  # of regions that score the same the longest
+    if gains.max() <= 0:
         return ""
-    start = int(np.argmin(sums[:end]))
+    start = int(np.flatnonzero(sums[:end] <= least[end - 1] + TIE)[0])
     while start > 0 and found[start - 1][0] != "break":  # a block is taken whole
         start -= 1
     while end < len(found) and found[end][0] != "break":
@@ -195,12 +210,21 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
 
     counts = chosen.select("html").mapInPandas(work, "feature string, inside long, outside long")
     counts = counts.groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).orderBy(F.desc(F.col("inside") + F.col("outside"))).limit(500).collect()
-    words = [r for r in counts if r["feature"].startswith("word ")]
-    inside, outside = sum(r["inside"] for r in words) + 1, sum(r["outside"] for r in words) + 1
+    return log_odds([tuple(r) for r in counts])
+
+
+def log_odds(counts: list[tuple[str, int, int]]) -> dict[str, float]:
+    """Scores of features counted (feature, inside, outside): as they are, and as ``bare`` ones, blind to the article's mark."""
+    bare: dict[str, list[int]] = {}
+    for feature, *n in counts:
+        both = bare.setdefault("bare " + feature.removesuffix(" inside"), [0, 0])
+        both[:] = [both[0] + n[0], both[1] + n[1]]
+    words = [n for feature, *n in counts if feature.startswith("word ")]
+    inside, outside = (sum(n[i] for n in words) + 1 for i in (0, 1))
     weights = {}
-    for r in counts:
-        odds = float(np.log((r["inside"] + 0.5) / inside) - np.log((r["outside"] + 0.5) / outside))
-        weights[r["feature"]] = max(-3.0, min(3.0, odds))
+    for feature, n in [*((f, n) for f, *n in counts), *bare.items()]:
+        odds = float(np.log((n[0] + 0.5) / inside) - np.log((n[1] + 0.5) / outside))
+        weights[feature] = max(-3.0, min(3.0, odds))
     return weights
 
 

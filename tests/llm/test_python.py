@@ -215,6 +215,16 @@ def test_names_of_layouts_leave_nothing_out():
     assert fit(f'<article>{inner}</article><aside class="widget"><article>a teaser</article></aside>') == text
 
 
+def test_pages_without_a_mark_lose_no_short_blocks(spark):
+    pages = spark.createDataFrame([(i, "u", PAGE) for i in range(20)], "page_id long, url string, html string")
+    blocks = ["Of", "A first paragraph of some words", "And", "one more paragraph, with as many words", "So it is.", "Of."]
+    for weights in ({}, html_text.fit_weights(pages), {"word plain": 0.5, "tag p": -1.0, "tag /p": -1.0, "tag h1": -1.0, "tag /h1": -1.0}):
+        for content in ("<h1>{}</h1><p>{}</p><h2>{}</h2><p>{}</p><p>{}</p><p>{}</p>", "<div>{}</div>" * 6, "<section><h6>{}</h6><blockquote>{}</blockquote></section>" * 3, "<p><em>{}</em></p>" * 6):
+            page = f"<body><nav><a href='/'>Menu one</a> <a href='/'>two</a></nav><div id='c'><div>{content.format(*blocks)}</div></div><footer>the foot of a page</footer>"
+            assert html_text.extract(page, weights) == "\n".join(blocks)
+            assert html_text.extract(page.replace("<div id='c'>", "<main>").replace("</div><footer", "</main><footer"), {}) == "\n".join(blocks)
+
+
 @pytest.mark.parametrize("name", ["toxicity", "quality"])
 def test_classifiers_on_held_out_rows(spark, name):
     sf = "/root/testdata/sf0.01"
