@@ -72,15 +72,34 @@ def crs_family(name):
 GEOGRAPHIC_NAD83, ALBERS = 4269, 5070
 
 
+def _projectable(code: Column, zones: Mapping[int, Lambert]) -> Column:
+    """Whether coordinates of an EPSG code can be projected."""
+    return F.coalesce(code.isin(ALBERS, GEOGRAPHIC_NAD83, *zones) | code.between(UTM_FIRST, UTM_LAST), F.lit(False))
+
+
+def _set_aside(zones: Mapping[int, Lambert]) -> Column:
+    """Whether a section has a code that can't be projected and names a system of another family than NAD83."""
+    other = F.col("crs_name").isNotNull() & crs_family(F.col("crs_name")).isNull()
+    return other & ~_projectable(F.col("epsg").cast("int"), zones)
+
+
+def unprojected_xs(xs: DataFrame, zones: Mapping[int, Lambert] = STATE_PLANE) -> DataFrame:
+    """The sections that ``consolidate_xs`` doesn't return: as they are, with a null ``crs``.
+
+    The two have all rows of ``xs``, so its count says how many are not in the common system.
+    """
+    return xs.where(_set_aside(zones)).withColumn("crs", F.lit(None).cast("string")).select(*columns_of(xs.drop("crs")), "crs")
+
+
 def consolidate_xs(xs: DataFrame, x: str, y: str, zones: Mapping[int, Lambert] = STATE_PLANE) -> DataFrame:
     """All models' sections as one table in EPSG:5070, with ``x`` and ``y`` projected and ``crs`` set.
 
     Rows say their system in ``epsg``: 5070 itself, geographic NAD83, a NAD83 UTM zone, or a conic zone of ``zones``,
-    which a caller extends by the zones of its surveys. Sections whose ``crs_name`` is not of the NAD83 family are left
-    out. A section of the family with another code, or none, fails the job, as it can't be labelled with a system it
-    was not projected to. Null coordinates stay null.
+    which a caller extends by the zones of its surveys. They are projected by it, whatever ``crs_name`` says. Another
+    code, or none, fails the job, as such a section can't be labelled with a system it was not projected to; but if its
+    ``crs_name`` is of another family than NAD83, it is one of ``unprojected_xs`` instead. Null coordinates stay null.
     """
-    known = xs.where(crs_family(F.col("crs_name")).isNotNull())
+    known = xs.where(~_set_aside(zones))
     code, a, b = F.col("epsg").cast("int"), F.col(x).cast("double"), F.col(y).cast("double")
     is_utm, is_conic = code.between(UTM_FIRST, UTM_LAST), code.isin(*zones)
     utm, conic = utm_to_conformal(a, b, code - (UTM_FIRST - 1)), lambert_to_conformal(a, b, code, zones)

@@ -170,6 +170,22 @@ def test_sections_are_projected_by_their_own_system(spark):
         conflation.consolidate_xs(spark.createDataFrame([("NAD83 / Montana", 2256, 1.0, 1.0)], df.schema), "px", "py").collect()
 
 
+def test_no_section_vanishes(spark):
+    rows = [
+        (1, "NAD83", 4269, -97.25, 30.75), (2, None, 4269, -97.25, 30.75), (3, "GRS 1980 degrees", 4269, -97.25, 30.75),
+        (4, None, 5070, 5.0, 6.0), (5, "WGS 84", 4326, 1.0, 2.0), (6, "WGS 84", None, 1.0, 2.0), (7, "WGS 84", 5070, None, 2.0),
+    ]
+    df = spark.createDataFrame(rows, "id int, crs_name string, epsg int, px double, py double")
+    got = {r.id: r for r in conflation.consolidate_xs(df, "px", "py").collect()}
+    left = conflation.unprojected_xs(df).collect()
+    assert sorted(got) == [1, 2, 3, 4, 7] and {r.crs for r in got.values()} == {"EPSG:5070"}
+    assert (got[1].px, got[1].py) == (got[2].px, got[2].py) == (got[3].px, got[3].py) and abs(got[1].px) > 1000
+    assert sorted((r.id, r.epsg, r.px, r.crs) for r in left if r.epsg) == [(5, 4326, 1.0, None)] and len(left) == 2
+    for name, code in ((None, 4326), ("NAD83", None), (None, None)):
+        with pytest.raises(PySparkException, match="no projection for EPSG code"):
+            conflation.consolidate_xs(spark.createDataFrame([(1, name, code, 1.0, 1.0)], df.schema), "px", "py").collect()
+
+
 def test_layer_mean_skips_missing_and_defaults_to_zero(spark):
     df = spark.createDataFrame([("a", 1.0, None), ("b", None, None)], "divide_id string, `mean.x_1` double, `mean.x_2` double")
     got = df.select(params.layer_mean(df, "mean.x").alias("m"), params.layer_mean(df, "none").alias("z")).collect()
