@@ -356,22 +356,42 @@ UNION ALL SELECT 'EPSG:5070', CASE kind WHEN 1 THEN 4269 WHEN 2 THEN 26914 ELSE
   round(rho * sin(theta), 3), round(rho0 - rho * cos(theta), 3) FROM polar""",
 )
 def consolidate_xs(spark, sf):
-    """Sections surveyed in four systems: the common one, degrees, a UTM zone and a State Plane zone in feet."""
-    kind, i, j = F.col("l_linenumber") % 4, (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 10).cast("double")
-    points = td.driver_table(spark, sf, "lineitem").select(kind.alias("kind"), i.alias("i"), j.alias("j")).distinct()
+    """Sections surveyed in four systems, each projected; places that several sections share are listed once."""
+    return projected_sections(spark, sf).select("crs", "epsg", "i", "j", "x", "y").distinct()
+
+
+def projected_sections(spark, sf):
+    """All sections, surveyed by their number in the common system, degrees, a UTM zone or a State Plane zone in feet."""
 
     def by_kind(*values):
         return F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in enumerate(values)])
 
-    surveyed = points.select(
-        "i",
-        "j",
-        F.lit("NAD83").alias("crs_name"),
-        by_kind(*map(F.lit, (5070, 4269, 26914, 2277))).alias("epsg"),
-        by_kind(F.col("i") * 1000, F.col("i") / 10 - 100, F.col("i") * 2000 + 400_000, F.col("i") * 5000 + 2_000_000).alias("x"),
-        by_kind(F.col("j") * 1000, F.col("j") / 2 + 30, F.col("j") * 10_000 + 3_300_000, F.col("j") * 50_000 + 9_800_000).alias("y"),
+    i, j = F.col("min_x") % 100, F.col("min_y") % 10
+    surveyed = sections(spark, sf).withColumns({"kind": F.col("xs_id") % 4, "i": i, "j": j})
+    surveyed = surveyed.withColumns({
+        "epsg": by_kind(*map(F.lit, (5070, 4269, 26914, 2277))),
+        "x": by_kind(F.col("i") * 1000, F.col("i") / 10 - 100, F.col("i") * 2000 + 400_000, F.col("i") * 5000 + 2_000_000),
+        "y": by_kind(F.col("j") * 1000, F.col("j") / 2 + 30, F.col("j") * 10_000 + 3_300_000, F.col("j") * 50_000 + 9_800_000),
+    })
+    return cf.consolidate_xs(surveyed, "x", "y").withColumns({c: F.round(c, 3) for c in ("x", "y")})
+
+
+@query(
+    "consolidate_xs_rows",
+    _PROJECTED
+    + """, places AS (SELECT 5070 AS epsg, kind, i, j, round(i * 1000, 3) AS x, round(j * 1000, 3) AS y FROM p WHERE kind = 0
+UNION ALL SELECT CASE kind WHEN 1 THEN 4269 WHEN 2 THEN 26914 ELSE 2277 END, kind, i, j,
+  round(rho * sin(theta), 3), round(rho0 - rho * cos(theta), 3) FROM polar)
+SELECT 'model-' || (l_suppkey % 20) AS model, lpad(CAST(l_suppkey % 7 AS VARCHAR), 8, '0') AS huc,
+  'river ' || l_returnflag AS river, 'reach ' || l_linestatus AS reach, l_linenumber AS xs_id, l_orderkey AS order_key,
+  CAST(l_partkey + 1 AS VARCHAR) AS flowpath_id, l_discount AS thalweg, l_tax AS xs_max_elevation, 'EPSG:5070' AS crs, epsg, x, y
+FROM lineitem JOIN places ON kind = l_linenumber % 4 AND i = l_partkey % 100 AND j = l_suppkey % 10""",
+)
+def consolidate_xs_rows(spark, sf):
+    """Every section with its key and its projected coordinates."""
+    return projected_sections(spark, sf).select(
+        "model", "huc", "river", "reach", "xs_id", "order_key", "flowpath_id", "thalweg", "xs_max_elevation", "crs", "epsg", "x", "y"
     )
-    return rounded(cf.consolidate_xs(surveyed, "x", "y").select("crs", "epsg", "i", "j", "x", "y"), 3)
 
 
 @query(

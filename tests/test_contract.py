@@ -16,6 +16,16 @@ def test_flagship_runs(spark):
     assert df.count() == 20
 
 
+def test_every_section_is_projected(spark):
+    sf = "/root/testdata/sf0.001"
+    items = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    rows = contract.queries()["consolidate_xs_rows"](spark, sf).collect()
+    assert len(rows) == items > 4000 and {r.epsg for r in rows} == {5070, 4269, 26914, 2277}
+    assert all(r.huc and r.model and r.order_key is not None and r.x is not None and r.y is not None for r in rows)
+    places = {(r.epsg, r.x, r.y) for r in rows}
+    assert places == {(r.epsg, r.x, r.y) for r in contract.queries()["consolidate_xs"](spark, sf).collect()}
+
+
 class Session:
     """Stands in for a session without ``spark.checkpoint.dir``."""
 
