@@ -1,10 +1,10 @@
-"""Line deduplication by winnowing over line hashes.
+"""Line deduplication by the windows of line hashes.
 
-Of every window of RUN consecutive lines the line with the smallest hash is kept as a fingerprint, so any run of RUN
-lines or more that occurs twice shares a fingerprint at the same place of it. Fingerprints that occur once are dropped.
-Around the others the match is extended both ways: each window that a fingerprint stands for is compared as a whole with
-the first place that has it, and windows that follow each other make up the repeated run, which is deleted at its later
-places. A caller can have long lines count as runs by themselves.
+Every window of RUN consecutive lines is filed under its smallest line hash, so any run of RUN lines or more that occurs
+twice has a window under the same hash twice. Hashes that occur once are dropped. This is not winnowing: nothing is
+selected and no match extended. Under the others each window is compared as a whole with the first place that has it,
+and windows that follow each other make up the repeated run, which is deleted at its later places. A caller can have
+long lines count as runs by themselves.
 """
 
 from __future__ import annotations
