@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from rillflow.llm.decontaminate import benchmark_matches
+from rillflow.llm.divergence import source_divergence
 from rillflow.llm.exact_dedup import exact_duplicates
 from rillflow.llm.html_text import fit_weights, main_text
 from rillflow.llm.line_dedup import WORDS, remove_repeated_lines
@@ -15,8 +16,10 @@ from rillflow.llm.mixing import poisson_mix, target_rates
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.quality import fit_quality, quality_scores
 from rillflow.llm.secrets import find_secrets
+from rillflow.llm.sharding import shard_documents
 from rillflow.llm.substring_dedup import remove_copies
 from rillflow.llm.toxicity import fit_toxicity, toxicity_scores
+from rillflow.llm.whitening import whitened_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -197,6 +200,66 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     return find_secrets(table(spark, sf, "documents"))
 
 
+@query(
+    "op11_jump_shards",
+    r"""
+WITH RECURSIVE docs AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes, md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+keys AS (SELECT DISTINCT digest, ('0x' || substr(digest, 1, 16))::UBIGINT::HUGEINT AS state FROM docs),
+walk AS (SELECT digest, 0::BIGINT AS spot, (state * 2862933555777941757 + 1) % 18446744073709551616 AS state FROM keys
+         UNION ALL
+         SELECT digest, floor((spot + 1) * (2147483648.0 / ((state >> 33) + 1)::DOUBLE))::BIGINT,
+                (state * 2862933555777941757 + 1) % 18446744073709551616
+         FROM walk WHERE floor((spot + 1) * (2147483648.0 / ((state >> 33) + 1)::DOUBLE)) < 25),
+places AS (SELECT digest, (max(spot) FILTER (spot < 24))::INT AS shard, max(spot)::INT AS grown_shard FROM walk GROUP BY digest),
+polynomial AS (SELECT list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i:
+                      xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END), b)) AS steps),
+sums AS (SELECT doc_id, digest, octet_length(bytes)::BIGINT + 8 AS size,
+                xor(list_reduce(list_transform(regexp_extract_all(hex(bytes), '..'), lambda x: ('0x' || x)::BIGINT),
+                                lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS text_crc32
+         FROM docs, polynomial)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY substr(digest, 1, 16), doc_id, text_crc32, size) - 1 AS slot, grown_shard
+FROM sums JOIN places USING (digest)""",
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return shard_documents(table(spark, sf, "documents"))
+
+
+@query(
+    "op12_source_divergence",
+    rf"""
+WITH docs AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                     regexp_extract_all({LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+words AS (SELECT id, lang, source, unnest(words) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+cells AS (SELECT g.lang, g.source, k.term FROM groups g JOIN kept k USING (lang)),
+counted AS (SELECT lang, source, term, count(*) AS n FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+counts AS (SELECT lang, source, term, coalesce(n, 0)::HUGEINT AS n FROM cells LEFT JOIN counted USING (lang, source, term)),
+shares AS (SELECT lang, source, term, n, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang, source) + 5 * v) AS p
+           FROM counts JOIN sizes USING (lang)),
+whole AS (SELECT lang, term, 1 + (1000000000 * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+          FROM (SELECT lang, term, sum(n)::HUGEINT AS n FROM counts GROUP BY ALL) JOIN sizes USING (lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+         FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value
+          FROM shares JOIN whole USING (lang, term) WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank
+           FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""",
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return source_divergence(table(spark, sf, "documents"))
+
+
+@query("op13_whitening")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return whitened_components(table(spark, sf, "embeddings"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
