@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.columns import id_back, id_text
 from rillflow.llm.tokens import batches
 
 #: Pages that weights are learned from, about; all of a smaller table.
@@ -241,4 +242,5 @@ def main_text(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
             text = [extract(h, weights) for h in frame["html"]]
             yield pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(work, "page_id long, url string, text string, n_chars long")
+    found = pages.select(id_text("page_id"), "url", "html").mapInPandas(work, "page_id string, url string, text string, n_chars long")
+    return id_back(found, "page_id")

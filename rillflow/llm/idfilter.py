@@ -9,8 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a bitmap, 2 MB. With very many ids more rows pass that have none of them, never fewer.
-BITS = 1 << 24
+#: The fewest and the most bits of a bitmap, 2 and 128 MB. Beyond some 10 ** 8 ids ever more rows pass that have none of
+#: them, never fewer.
+BITS, MOST_BITS = 1 << 24, 1 << 30
+
+
+def bits_for(ids: DataFrame) -> int:
+    """Ten bits for each id, as a power of two, within bounds."""
+    return min(MOST_BITS, max(BITS, 1 << (10 * ids.count()).bit_length()))
 
 
 def slot_of(id_: Column, bits: int = BITS) -> Column:
@@ -32,8 +38,9 @@ def chosen(bits: np.ndarray, slot: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
-def may_be_among(ids: DataFrame, bits: int = BITS) -> Callable[[Column], Column]:
-    """A test of an id column: true for every one of ``ids``, and for a few others."""
+def may_be_among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of an id column: true for every one of ``ids``, and for a few others; never null."""
+    bits = bits_for(ids)
     shared = ids.sparkSession.sparkContext.broadcast(bitmap(ids, bits))  # bits / 8 bytes
 
     @F.pandas_udf("boolean")

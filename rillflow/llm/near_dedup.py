@@ -23,8 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rillflow.llm.columns import id_back, id_text
 from rillflow.llm.components import components
-from rillflow.llm.idfilter import bitmap, chosen, slot_of
+from rillflow.llm.idfilter import bitmap, bits_for, chosen, slot_of
 from rillflow.llm.tokens import Words, batches, constants, mix, runs
 from rillflow.plans.workspace import discard, materialize
 
@@ -132,7 +133,8 @@ def _crowded(rows: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, shingles) of the documents with these ids, and of a few more; texts are read where they lie, not moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids))  # of a fixed size
+    bits = bits_for(ids)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(ids, bits))  # bits / 8 bytes
 
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -140,7 +142,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 sets = shingle_sets(part["text"].tolist())
                 yield pd.DataFrame({"id": part["doc_id"], "shingles": [s.view(np.int64) for s in sets]})
 
-    found = docs.select("doc_id", "text", slot_of(F.col("doc_id")).alias("slot")).where("doc_id is not null")
+    found = docs.select("doc_id", "text", slot_of(F.col("doc_id"), bits).alias("slot")).where("doc_id is not null")
     return found.mapInPandas(work, "id long, shingles array<long>")
 
 
@@ -260,8 +262,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     wherever one of them is. Other columns are not read. Equality of sets is judged by their size and 128 bits of hash,
     shingles by 64 bits.
     """
-    profiles = docs.select("doc_id", "text").mapInPandas(_profiles, "doc_id long, n_shingles long, one long, two long, signature binary")
-    profiles = materialize(profiles, "profiles")
+    profiles = docs.select(id_text(), "text").mapInPandas(_profiles, "doc_id string, n_shingles long, one long, two long, signature binary")
+    profiles = materialize(id_back(profiles), "profiles")
     same = ["n_shingles", "one", "two"]
     some = profiles.where("doc_id is not null AND n_shingles > 0")
     reps = some.groupBy(*same).agg(F.min("doc_id").alias("id"), F.min("signature").alias("signature"))

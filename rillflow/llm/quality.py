@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.columns import id_back, id_text
 from rillflow.llm.samples import fold, labelled_texts
 from rillflow.llm.tokens import Words, batches
 from rillflow.plans.workspace import discard, materialize
@@ -157,6 +158,6 @@ def quality_scores(docs: DataFrame, model: QualityModel) -> DataFrame:
         for frame in batches(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": model.scores(frame["text"].tolist())})
 
-    scored = docs.select("doc_id", "text").mapInPandas(work, "doc_id long, score double")
+    scored = id_back(docs.select(id_text(), "text").mapInPandas(work, "doc_id string, score double"))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(True))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rillflow.llm.columns import id_back, id_text
 from rillflow.llm.samples import fold, labelled_texts
 from rillflow.llm.tokens import Words, batches
 from rillflow.plans.workspace import discard, materialize
@@ -126,6 +127,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25) -> np.n
             rest = votes - mean
             sd = np.sqrt((rest**2).sum(axis=0)) + 1e-9
             together = np.clip(rest.T @ rest / np.outer(sd, sd), 0, 1)
+            np.fill_diagonal(together, 1)  # a voter that never varies goes by itself
             weight = 1 / together.sum(axis=0)
         odds = np.log(prior / (1 - prior)) + votes @ (side * weight * np.log(right / (1 - right)))
         odds = odds + (2 * labels - 1) * np.log(trust / (1 - trust))
@@ -196,17 +198,20 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel) -> DataFrame:
         for frame in batches(frames):
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": model.scores(frame["text"].tolist())})
 
-    scored = docs.select("doc_id", "text").mapInPandas(work, "doc_id long, score double")
+    scored = id_back(docs.select(id_text(), "text").mapInPandas(work, "doc_id string, score double"))
     held = F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(True))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """``docs`` without the rows whose text scores 0.5 or more; all columns stay as they are."""
-    columns = docs.columns
+    """``docs`` without the rows whose text scores 0.5 or more; all columns stay as they are, and only texts leave the JVM.
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames):
-            yield frame[model.scores(frame["text"].tolist()) < 0.5]
+    Null and empty texts stay, as a text without a vote scores less; repeated rows go or stay together.
+    """
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        parts = [model.scores(part["text"].tolist()) < 0.5 for part in batches(iter([texts.to_frame("text")]))]
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0, bool))
 
-    return docs.mapInPandas(work, docs.schema).select(*columns)
+    return docs.where(clean(F.col("text")))
