@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rillflow.llm.columns import unused
 from rillflow.plans.workspace import materialize
 
 
@@ -59,11 +60,12 @@ def poisson_mix(docs: DataFrame, rates: DataFrame, seed: str = "mix") -> DataFra
     and long ones are treated alike; an empty table gives an empty one.
     """
     docs = docs.drop("copy", "shuffle_key")
-    table = materialize(distribution(rates), "poisson").select(F.col("source").alias("_source"), F.col("cdf").alias("_cdf"))
+    of, cdf, draw, n = (unused(c, docs) for c in ("rate_source", "rate_cdf", "rate_draw", "rate_copies"))
+    table = materialize(distribution(rates), "poisson").select(F.col("source").alias(of), F.col("cdf").alias(cdf))
     name = F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    drawn = docs.withColumn("_u", unit_hash(name)).join(table, F.col("source").eqNullSafe(F.col("_source")))
-    count = F.size(F.filter("_cdf", lambda c: c < F.col("_u")))
-    copies = drawn.withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    drawn = docs.withColumn(draw, unit_hash(name)).join(table, F.col("source").eqNullSafe(F.col(of)))
+    count = F.size(F.filter(cdf, lambda c: c < F.col(draw)))
+    copies = drawn.withColumn(n, count).where(F.col(n) > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(n))))
     key = F.md5(F.concat(name, F.lit(":"), F.col("copy").cast("string")))
-    copies = copies.withColumn("shuffle_key", key).drop("_source", "_cdf", "_u", "_n")
+    copies = copies.withColumn("shuffle_key", key).drop(of, cdf, draw, n)
     return copies.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
