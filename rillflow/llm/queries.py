@@ -11,7 +11,7 @@ from rillflow.llm.decontaminate import benchmark_matches
 from rillflow.llm.divergence import source_divergence
 from rillflow.llm.exact_dedup import exact_duplicates
 from rillflow.llm.html_text import fit_weights, main_text
-from rillflow.llm.line_dedup import WORDS, remove_repeated_lines
+from rillflow.llm.line_dedup import remove_repeated_lines
 from rillflow.llm.mixing import poisson_mix, target_rates
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.quality import fit_quality, quality_scores
@@ -87,11 +87,11 @@ item_keys AS (SELECT item_id, n, k, pos, array_to_string(words[pos + 1 : pos + k
 doc_keys AS (SELECT doc_id, k, pos, len(words) AS words, array_to_string(words[pos + 1 : pos + k], ' ') AS shingle
              FROM (SELECT doc_id, words, k, unnest(range(0, len(words) - k + 1)) AS pos
                    FROM docs, (SELECT DISTINCT k FROM item_sizes) WHERE len(words) >= k)),
-places AS (SELECT DISTINCT doc_id, i.item_id, i.n, i.k, greatest(least(d.pos - i.pos, d.words - i.n), 0) AS start
-           FROM doc_keys d JOIN item_keys i ON d.shingle = i.shingle AND d.k = i.k),
-bags AS (SELECT doc_id, p.item_id, start, list_transform(range(0, least(n, len(words) - start) - k + 1),
-                lambda j: array_to_string(words[start + j + 1 : start + j + k], ' ')) AS bag
-         FROM places p JOIN docs USING (doc_id)),
+pairs AS (SELECT DISTINCT doc_id, i.item_id, i.n, i.k FROM doc_keys d JOIN item_keys i ON d.shingle = i.shingle AND d.k = i.k),
+doc_bags AS (SELECT doc_id, k, list(shingle ORDER BY pos) AS shingles FROM doc_keys GROUP BY doc_id, k),
+bags AS (SELECT doc_id, p.item_id, start, shingles[start + 1 : start + n - k + 1] AS bag
+         FROM (SELECT doc_id, item_id, n, k, shingles, unnest(range(0, greatest(len(shingles) + k - 1 - n, 0) + 1)) AS start
+               FROM pairs JOIN doc_bags USING (doc_id, k)) p),
 item_bags AS (SELECT item_id, list(shingle) AS item_bag FROM item_keys GROUP BY item_id),
 sums AS (SELECT doc_id, item_id, start, len(bag) + len(item_bag) AS total,
                 list_sum(list_transform(list_distinct(bag), lambda x: least(len(list_filter(bag, lambda y: y = x)),
@@ -114,15 +114,15 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "op8_substring_dedup",
     r"""
-WITH t AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
-windows AS (SELECT doc_id, s, array_to_string(words[s + 1 : s + 13], ' ') AS seq
-            FROM (SELECT doc_id, words, unnest(range(0, len(words) - 12)) AS s FROM t WHERE len(words) >= 13)),
-firsts AS (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY seq) AS least FROM windows),
-gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM firsts WHERE least < doc_id),
-lists AS (SELECT doc_id, list(i) AS gone FROM gone GROUP BY doc_id),
+WITH t AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (SELECT row, doc_id, s, array_to_string(words[s + 1 : s + 13], ' ') AS seq
+            FROM (SELECT row, doc_id, words, unnest(range(0, len(words) - 12)) AS s FROM t WHERE len(words) >= 13)),
+firsts AS (SELECT row, doc_id, s, min(doc_id) OVER (PARTITION BY seq) AS least FROM windows),
+gone AS (SELECT DISTINCT row, unnest(range(s, s + 13)) AS i FROM firsts WHERE least < doc_id),
+lists AS (SELECT row, list(i) AS gone FROM gone GROUP BY row),
 kept AS (SELECT doc_id, len(words) AS n_words, coalesce(len(gone), 0) AS n_removed,
                 list_filter(words, lambda w, i: gone IS NULL OR NOT list_contains(gone, i - 1)) AS words
-         FROM t LEFT JOIN lists USING (doc_id))
+         FROM t LEFT JOIN lists USING (row))
 SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(words, ' '), '')) AS kept_sha256 FROM kept""",
 )
 def op8(spark: SparkSession, sf: str) -> DataFrame:
@@ -133,28 +133,6 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     "op1_line_dedup",
     r"""
 WITH t AS (SELECT *, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-lines AS (SELECT doc_id, i - 1 AS i, trim(regexp_replace(lines[i], '[\x09-\x0D]', ' ', 'g')) AS line
-          FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM t)),
-pairs AS (SELECT doc_id, i, lead(i) OVER w AS j, line, lead(line) OVER w AS next
-          FROM lines WHERE line <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-places AS (SELECT doc_id, i, j, min((doc_id, i)) OVER (PARTITION BY line, next) AS first FROM pairs WHERE j IS NOT NULL),
-gone AS (SELECT doc_id, unnest([i, j]) AS i FROM places WHERE (doc_id, i) > first),
-lists AS (SELECT doc_id, list(DISTINCT i) AS gone FROM gone GROUP BY doc_id),
-kept AS (SELECT t.*, gone, array_to_string(list_filter(lines, lambda s, i: NOT list_contains(gone, i - 1)), chr(10)) AS rest
-         FROM t LEFT JOIN lists USING (doc_id))
-SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(rest, '') END AS text, lang, source,
-       CASE WHEN gone IS NULL THEN n_chars ELSE length(coalesce(rest, '')) END AS n_chars,
-       coalesce(len(gone), 0)::INT AS n_removed_lines
-FROM kept""",
-)
-def op1(spark: SparkSession, sf: str) -> DataFrame:
-    return remove_repeated_lines(table(spark, sf, "documents"))
-
-
-@query(
-    "op1_line_dedup_long",
-    r"""
-WITH t AS (SELECT *, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, i - 1 AS i, trim(regexp_replace(lines[i], '[\x09-\x0D]', ' ', 'g')) AS line
           FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM t)),
 filled AS (SELECT *, len(string_split_regex(line, '\x20+')) AS words, count(*) OVER (PARTITION BY doc_id) AS n
@@ -173,8 +151,8 @@ SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE coalesce(rest, '') END AS t
        coalesce(len(gone), 0)::INT AS n_removed_lines
 FROM kept""",
 )
-def op1_long(spark: SparkSession, sf: str) -> DataFrame:
-    return remove_repeated_lines(table(spark, sf, "documents"), words=WORDS)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeated_lines(table(spark, sf, "documents"))
 
 
 @query("op2_toxicity")

@@ -1,13 +1,13 @@
 """Substring deduplication by relative Lempel-Ziv factors.
 
-Every document is parsed against the documents with smaller ids: a factor is a run of words copied from one of them, and
-factors of WINDOW words or more are duplicate spans. The reference is indexed in blocks. In every window of WINDOW words
-the four-word run with the smallest hash is its anchor, and windows with equal words have the same anchor at the same
-place; the anchors (a fifth of all positions) cut a document into blocks of up to ten windows, filed by the anchor's
-hash with a short hash of each window. Blocks with an anchor of one document only are dropped unopened. The others are
-opened where they lie, and each window finds the first document that has it. A document is then parsed greedily: its
-windows in order, extended while the next word continues the copy, with each window that lies across a factor's end
-checked by its own entry in the index.
+The reference that documents are parsed against holds every window of WINDOW words once, where it occurs first: in the
+smallest doc_id. It is indexed in blocks. In every window the four-word run with the smallest hash is its anchor, and
+windows with equal words have the same anchor at the same place; the anchors (a fifth of all positions) cut a document
+into blocks of up to ten windows, filed by the anchor's hash with a short hash of each window. Blocks with an anchor of
+one document only are dropped unopened, the others are opened where they lie, and each window finds its place in the
+reference, if that is in another document. A document is then parsed greedily: from a window with such a place a factor
+goes on as long as the document and the reference do, which is the longest factor there, as no other place of the
+reference begins with this window. Windows that lie across a factor's end have entries of their own, so none is missed.
 """
 
 from __future__ import annotations
@@ -22,16 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rillflow.llm.columns import id_back, id_text
 from rillflow.llm.tokens import Words, batches, mix, runs, sliding_min
-from rillflow.plans.workspace import materialize
+from rillflow.plans.workspace import discard, materialize
 
 WINDOW, ANCHOR = 13, 4
 #: Bytes of a window's hash in a block; with the anchor's hash and the place in the block, 104 bits tell windows apart.
 SHORT = 5
+BLOCK_FIELDS = "anchor long, doc_id long, version long, start int, ahead int, windows binary"
+#: An anchor with this part of all blocks, in one of SAMPLE texts, and LEAST times there, takes the way for frequent ones.
+FREQUENT, SAMPLE, LEAST = 1 / 4096, 32, 64
 
 
-def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(anchor, doc_id, start, ahead, windows): the block's first window, how far ahead its anchor is, and the hashes."""
+def _blocks(frames: Iterator[pd.DataFrame], frequent: np.ndarray | None = None, only: bool = False) -> Iterator[pd.DataFrame]:
+    """(anchor, doc_id, version, start, ahead, windows): the block's first window, how far ahead its anchor is, and the hashes.
+
+    With ``frequent`` those of other anchors, or ``only`` those of these.
+    """
     inside = WINDOW - ANCHOR + 1
     for frame in batches(frames):
         words = Words(frame["text"].tolist())
@@ -56,47 +63,89 @@ def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         short = mix(windows[keep] + np.uint64(1)).view(np.uint8).reshape(-1, 8)[:, :SHORT].tobytes()
         bound = np.concatenate([first, [len(keep)]]) * SHORT
         start = keep[first]
-        yield pd.DataFrame({
+        found = pd.DataFrame({
             "anchor": anchors[at[first]].view(np.int64),
             "doc_id": frame["doc_id"].to_numpy()[text[first]],
+            "version": frame["version"].to_numpy()[text[first]],
             "start": (start - words.offsets[text[first]]).astype(np.int32),
             "ahead": (at[first] - start).astype(np.int32),
             "windows": [short[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)],
         })
+        yield found if frequent is None else found[np.isin(found["anchor"].to_numpy(), frequent) == only]
 
 
-def copied_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, source): every window of 13 words that a smaller ``doc_id`` has, with the smallest such id."""
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    fields = "anchor long, doc_id long, start int, ahead int, windows binary"
-    blocks = texts.mapInPandas(_blocks, fields)
+def _least_places(blocks: DataFrame) -> DataFrame:
+    """(doc_id, version, start, source, place): each window of ``blocks`` that begins in a smaller doc_id, and where first."""
     same = Window.partitionBy("anchor")
     shared = blocks.withColumn("least", F.min("doc_id").over(same)).withColumn("most", F.max("doc_id").over(same)).where("least < most")
+    first = F.min(F.struct("doc_id", "version", "start")).over(Window.partitionBy("anchor", "ahead", "window"))
+    each = _opened(shared).withColumn("first", first)
+    return each.where("first.doc_id < doc_id").select("doc_id", "version", "start", F.col("first.doc_id").alias("source"), F.col("first.start").alias("place"))
+
+
+def _opened(blocks: DataFrame) -> DataFrame:
+    """A row for each window of the blocks: (anchor, ahead, window) tell its words, (doc_id, version, start) its place."""
     count = (F.length("windows") / SHORT).cast("int")
-    opened = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("windows"), i * SHORT + 1, F.lit(SHORT)).alias("window")))
-    each = shared.select("anchor", "doc_id", "start", "ahead", F.explode(opened).alias("w"))
-    each = each.select("anchor", "doc_id", (F.col("start") + F.col("w.at")).alias("start"), (F.col("ahead") - F.col("w.at")).alias("ahead"), "w.window")
-    first = F.min("doc_id").over(Window.partitionBy("anchor", "ahead", "window"))
-    return each.withColumn("source", first).where("source < doc_id").select("doc_id", "start", "source")
+    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("at"), F.substring(F.col("windows"), i * SHORT + 1, F.lit(SHORT)).alias("window")))
+    each = blocks.select("anchor", "doc_id", "version", "start", "ahead", F.explode(windows).alias("w"))
+    return each.select("anchor", "doc_id", "version", (F.col("start") + F.col("w.at")).alias("start"), (F.col("ahead") - F.col("w.at")).alias("ahead"), "w.window")
+
+
+def _least_places_of_frequent(blocks: DataFrame) -> DataFrame:
+    """The same for anchors with very many blocks: opened at once, with partial sums and a join that Spark can split."""
+    each = _opened(blocks)
+    keys = ["anchor", "ahead", "window"]
+    firsts = each.groupBy(*keys).agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.max("doc_id").alias("most")).where("first.doc_id < most")
+    found = each.join(firsts, keys).where("first.doc_id < doc_id")
+    return found.select("doc_id", "version", "start", F.col("first.doc_id").alias("source"), F.col("first.start").alias("place"))
+
+
+def _frequent(texts: DataFrame) -> np.ndarray:
+    """The anchors with a FREQUENT part of all blocks or more, in a SAMPLE part of the texts; at most 1 / FREQUENT.
+
+    They only say which of two ways a block takes to the same result.
+    """
+    part = texts.where(F.pmod(F.xxhash64("doc_id", "version"), F.lit(SAMPLE)) == 0)
+    counts = part.mapInPandas(_blocks, BLOCK_FIELDS).groupBy("anchor").count()
+    counts = materialize(counts.where("count > 1"), "anchors")
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    found = counts.where(F.col("count") >= max(FREQUENT * total, LEAST)).select("anchor").collect()
+    discard(counts)
+    return np.array([r["anchor"] for r in found], np.int64)
+
+
+def copied_windows(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, start, source, place): every window of 13 words that also begins in a smaller ``doc_id``.
+
+    ``source`` is the smallest such id and ``place`` the window's first word there; ``version`` tells texts with the same
+    id apart.
+    """
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    frequent = _frequent(texts)
+    found = _least_places(texts.mapInPandas(lambda frames: _blocks(frames, frequent), BLOCK_FIELDS))
+    if not len(frequent):
+        return found
+    often = materialize(texts.mapInPandas(lambda frames: _blocks(frames, frequent, only=True), BLOCK_FIELDS), "frequent-blocks")
+    return found.unionAll(_least_places_of_frequent(often))
 
 
-def factors(starts: np.ndarray, sources: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, words, source) of the greedy parse of a document whose copied windows begin at ``starts`` (ascending).
+def factors(starts: np.ndarray, sources: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(start, words, source, place) of the greedy parse of a document whose copied windows begin at ``starts`` (ascending).
 
-    A factor goes on while the next window begins one word later and has the same source; the window that ends a factor
-    and begins the next is in the index itself, so no window across a boundary is missed.
+    A factor goes on while the next window begins one word later here and in the same source. It is as long as the
+    reference allows, and the windows across its end begin the next factors, so factors may overlap.
     """
     if not len(starts):
         return []
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(sources) != 0)]))
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(sources) != 0) | (np.diff(places) != 1)]))
     last = np.concatenate([new[1:], [len(starts)]]) - 1
-    return [(int(starts[a]), int(starts[b] - starts[a]) + WINDOW, int(sources[a])) for a, b in zip(new, last, strict=True)]
+    return [(int(starts[a]), int(starts[b] - starts[a]) + WINDOW, int(sources[a]), int(places[a])) for a, b in zip(new, last, strict=True)]
 
 
 def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     pack = zstandard.ZstdCompressor(level=1)
     for frame in frames:
-        yield pd.DataFrame({"doc_id": frame["doc_id"], "packed": [pack.compress((t or "").encode("utf-8", "replace")) for t in frame["text"]]})
+        yield frame[["doc_id", "version"]].assign(packed=[pack.compress((t or "").encode("utf-8", "replace")) for t in frame["text"]])
 
 
 def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,18 +154,18 @@ def _parsed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = [unpack.decompress(p).decode() for p in whole["packed"]]
         for frame in batches(iter([whole.drop(columns="packed").assign(text=texts)])):
             words, rows = Words(frame["text"].tolist()), []
-            for i, (starts, sources) in enumerate(zip(frame["starts"], frame["sources"], strict=True)):
+            for i, copied in enumerate(frame["copied"]):
                 gone, found = np.zeros(int(words.offsets[i + 1] - words.offsets[i]), bool), []
-                if starts is not None:
-                    starts, sources = np.asarray(starts, np.int64), np.asarray(sources, np.int64)
+                if copied is not None:
+                    starts, sources, places = (np.array([c[k] for c in copied], np.int64) for k in ("start", "source", "place"))
                     order = np.argsort(starts, kind="stable")
-                    found = factors(starts[order], sources[order])
-                    for a, k, _ in found:
+                    found = factors(starts[order], sources[order], places[order])
+                    for a, k, *_ in found:
                         gone[a : a + k] = True
                 kept = words.kept(i, ~gone)
                 rows.append((len(gone), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode(), found))
             n, removed, digest, kept, found = map(list, zip(*rows, strict=True))
-            spans = [[{"start": a, "words": k, "source": s} for a, k, s in f] for f in found]
+            spans = [[{"start": a, "words": k, "source": s, "place": p} for a, k, s, p in f] for f in found]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "n_words": n, "n_removed": removed, "kept_sha256": digest, "kept": kept, "factors": spans})
 
 
@@ -126,13 +175,14 @@ def remove_copies(docs: DataFrame) -> DataFrame:
     Words are separated by white space and compared unchanged. A word goes if it lies in a window of 13 consecutive
     words whose sequence also starts in a document with a smaller ``doc_id``; windows are judged on the input. Returns
     doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space, in UTF-8), kept (that text) and the
-    factors (start, words, source), which may overlap. A null text has no words. Rows with a null id lose nothing and
-    nothing is copied from them; rows that repeat an id are versions of one document and lose what any of them copied,
-    so far as they are that long. Other columns are not read.
+    factors (start, words, source, place), which may overlap: ``source`` is the smallest id that has a factor's windows,
+    ``place`` the first word there. A null text has no words. Rows with a null id lose nothing and nothing is copied
+    from them; rows that repeat an id are versions of one document, each judged by its own text, and none is a copy of
+    another. Other columns are not read.
     """
-    copied = copied_windows(docs).groupBy("doc_id").agg(F.collect_list("start").alias("starts"), F.collect_list("source").alias("sources"))
+    copied = copied_windows(docs).groupBy("doc_id", "version").agg(F.collect_set(F.struct("start", "source", "place")).alias("copied"))
     copied = materialize(copied, "copied-windows")
-    packed = docs.select("doc_id", "text").mapInPandas(_packed, "doc_id long, packed binary")
-    joined = packed.join(copied, "doc_id", "left")
-    fields = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<start:int,words:int,source:long>>"
-    return joined.mapInPandas(_parsed, fields)
+    packed = docs.select(id_text(), F.xxhash64("text").alias("version"), "text").mapInPandas(_packed, "doc_id string, version long, packed binary")
+    joined = id_back(packed).join(copied, ["doc_id", "version"], "left").withColumn("doc_id", id_text())
+    fields = "doc_id string, n_words long, n_removed long, kept_sha256 string, kept string, factors array<struct<start:int,words:int,source:long,place:int>>"
+    return id_back(joined.mapInPandas(_parsed, fields))

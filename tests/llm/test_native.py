@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from rillflow.llm.decontaminate import benchmark_matches
+from rillflow.llm.decontaminate import benchmark_matches, simhash
 from rillflow.llm.exact_dedup import exact_duplicates
 from rillflow.llm.mixing import poisson_mix, target_rates
 
@@ -111,3 +112,58 @@ def test_benchmark_matches(spark):
     }
     assert benchmark_matches(docs(spark, []), bench).count() == 0
     assert benchmark_matches(df, bench.limit(0)).count() == 0
+
+
+def bag(words):
+    k = min(len(words), 5)
+    return Counter(tuple(words[i : i + k]) for i in range(len(words) - k + 1))
+
+
+def expected_matches(rows, items, percent=75):
+    """The best window of every document and item, over every start."""
+    out = {}
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    for i, t in rows:
+        for j, u in items:
+            doc, item = words(t), words(u)
+            if i is None or j is None or not item or len(doc) < min(len(item), 5):
+                continue
+            k, want = min(len(item), 5), bag(item)
+            for start in range(max(len(doc) - len(item), 0) + 1):
+                window = doc[start : start + len(item)]
+                have = Counter(tuple(window[a : a + k]) for a in range(len(window) - k + 1))
+                common = (have & want).total()
+                joint = (have | want).total()
+                if 100 * common >= percent * joint and out.get((i, j), (0, 0))[0] < common / joint:
+                    out[i, j] = (common / joint, start)
+    return out
+
+
+def test_benchmark_matches_over_every_start(spark):
+    """Copies of items with words put in, taken out and changed, up to the threshold itself."""
+    draw = random.Random(8)
+    items = [(j, " ".join(f"w{draw.randrange(3000)}" for _ in range(n))) for j, n in enumerate([16, 17, 30, 44, 44, 60, 60, 90, 4, 2])]
+    items += [(20, "la " * 30), (21, "do re mi " * 12), (22, " ".join(items[5][1].split()[:44]))]
+    rows = []
+    for i in range(150):
+        text = draw.choice(items[:8])[1].split()
+        for _ in range(draw.randrange(5)):
+            at = draw.randrange(len(text) + 1)
+            text[at : at + draw.choice([0, 1])] = [f"x{draw.randrange(9)}"] * draw.choice([0, 1, 2, 4])
+        rows.append((i, " ".join([f"p{k}" for k in range(draw.choice([0, 3, 80]))] + text + [f"q{k}" for k in range(draw.choice([0, 80]))])))
+    item = items[6][1].split()
+    inserted = [w for k, x in enumerate(item) for w in ([f"new{k}", f"more{k}"] if k in (1, 2, 58) else []) + [x]]
+    rows += [(200, " ".join(["pad"] * 9 + inserted + ["pad"] * 9)), (201, "la " * 25), (202, "re mi do " * 40), (203, items[8][1]), (204, "")]
+    df = docs(spark, [(i, t, "s") for i, t in rows]).withColumns({c: F.lit(1) for c in ("n", "hits", "need", "bag", "starts", "words", "copy")})
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in benchmark_matches(df, bench).collect()}
+    want = expected_matches(rows, items)
+    assert got == want and len(want) > 80 and min(s for s, _ in want.values()) < 0.77
+
+
+def test_simhash_is_the_majority_of_each_bit(spark):
+    draw = random.Random(4)
+    bags = [[draw.randrange(-(2**63), 2**63) for _ in range(n)] for n in (1, 2, 5, 40)]
+    got = spark.createDataFrame([(b,) for b in bags], "b array<long>").select("b", simhash(F.col("b")).alias("s")).collect()
+    for r in got:
+        assert r.s % 2**64 == sum(1 << k for k in range(64) if 2 * sum(x >> k & 1 for x in r.b) > len(r.b))

@@ -95,33 +95,58 @@ def expected_copies(rows):
     return out
 
 
-def test_remove_copies(spark):
+@pytest.mark.parametrize("least", [64, 2])
+def test_remove_copies(spark, monkeypatch, least):
+    """With anchors frequent that two sampled blocks have, most windows take that way."""
+    monkeypatch.setattr(substring_dedup, "LEAST", least)
+    monkeypatch.setattr(substring_dedup, "SAMPLE", 32 if least > 2 else 1)
     rows = near_copies()
     got = substring_dedup.remove_copies(docs(spark, rows)).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == expected_copies(rows)
     words = {i: (t or "").encode().split() for i, t in rows}
-    factors = [(r.doc_id, f) for r in got for f in r.factors]
-    assert len(factors) > 20 and all(f.words >= 13 and f.source < i for i, f in factors)
-    for i, f in factors:  # each window of a factor starts in its source
-        there = {tuple(words[f.source][s : s + 13]) for s in range(len(words[f.source]))}
-        assert all(tuple(words[i][s : s + 13]) in there for s in range(f.start, f.start + f.words - 12))
+    first = {}
+    for i, w in sorted(words.items()):
+        for s in range(len(w) - 12):
+            first.setdefault(tuple(w[s : s + 13]), (i, s))
+    count = 0
+    for r in got:
+        want, w = [], words[r.doc_id]
+        for s in range(len(w) - 12):
+            source, place = first[tuple(w[s : s + 13])]
+            if source < r.doc_id:
+                if want and want[-1][0] + want[-1][1] == s + 12 and want[-1][2] == source and want[-1][3] + want[-1][1] == place + 12:
+                    want[-1][1] += 1
+                else:
+                    want.append([s, 13, source, place])
+        assert [[f.start, f.words, f.source, f.place] for f in r.factors] == want
+        count += len(want)
+        for f in r.factors:  # a copy of what the reference has there, and not one word longer
+            assert w[f.start : f.start + f.words] == words[f.source][f.place : f.place + f.words]
+    assert count > 20
+
+
+def test_remove_copies_from_versions_and_nothing(spark):
+    rows = near_copies()
     assert substring_dedup.remove_copies(docs(spark, [])).count() == 0
     lone = [(None, rows[0][1]), (3, "a " * 20)]
     assert [r.n_removed for r in substring_dedup.remove_copies(docs(spark, lone)).collect()] == [0, 0]
+    a, b = (" ".join(f"{x}{i}" for i in range(20)) for x in "ab")
+    got = substring_dedup.remove_copies(docs(spark, [(1, a), (2, a), (2, b), (2, a + " " + b), (None, a), (3, b), (3, None)])).collect()
+    assert Counter((r.doc_id, r.kept, r.n_removed) for r in got) == Counter(
+        [(1, a, 0), (2, "", 20), (2, b, 0), (2, b, 20), (None, a, 0), (3, "", 20), (3, "", 0)])
 
 
-def expected_lines(rows, run):
-    seen, out = {}, {}
+def expected_lines(rows, run=line_dedup.RUN, words=line_dedup.WORDS):
+    """By id: the text that is left, and how many lines went; rows by id."""
+    first, out = {}, {}
     for i, t in rows:
-        lines = (t or "").split("\n")
-        filled = [(k, re.sub(r"[\x09-\x0D]", " ", s).strip(" ")) for k, s in enumerate(lines)]
-        filled = [(k, s) for k, s in filled if s]
-        gone = set()
-        for a in range(len(filled) - run + 1):
-            window = filled[a : a + run]
-            if seen.setdefault(tuple(s for _, s in window), (i, a)) != (i, a):
-                gone |= {k for k, _ in window}
-        out[i] = (t, 0) if not gone else ("\n".join(s for k, s in enumerate(lines) if k not in gone), len(gone))
+        split = (t or "").split("\n")
+        lines = [re.sub(r"[\x09-\x0D]", " ", s).strip(" ") for s in split]
+        filled = [k for k, s in enumerate(lines) if s]
+        windows = [filled[a : a + run] for a in range(len(filled) - run + 1)] or [filled] * bool(filled)
+        windows += [[k] for k in filled if len(lines[k].split()) >= words]
+        gone = {k for at in windows if first.setdefault(tuple(lines[k] for k in at), (i, at)) != (i, at) for k in at}
+        out[i] = ("\n".join(s for k, s in enumerate(split) if k not in gone) if gone else t, len(gone))
     return out
 
 
@@ -146,18 +171,68 @@ def test_long_lines_and_short_texts_are_runs_by_themselves(spark, run):
     pool = [" ".join(draw.choices("abcdefgh", k=k)) for k in (1, 2, words - 1, words, words, 60)]
     rows = [(i, "\n".join(draw.choice([*pool, "", str(draw.random()), " " + pool[4].replace(" ", " \t")]) for _ in range(draw.choice([1, 1, 2, 3, 9])))) for i in range(60)]
     rows += [(60, None), (61, ""), (62, "\n" + pool[5] + "\n"), (63, pool[0]), (64, pool[0] + "\n"), (65, "new\n" + pool[3] + "\nnewer")]
-    first, want = {}, {}
-    for i, t in rows:
-        lines = [re.sub(r"[\x09-\x0D]", " ", s).strip(" ") for s in (t or "").split("\n")]
-        filled = [k for k, s in enumerate(lines) if s]
-        windows = [filled[a : a + run] for a in range(len(filled) - run + 1)] or [filled] * bool(filled)
-        windows += [[k] for k in filled if len(lines[k].split()) >= words]
-        want[i] = {k for at in windows if first.setdefault(tuple(lines[k] for k in at), (i, at)) != (i, at) for k in at}
-    got = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.remove_repeated_lines(docs(spark, rows), run, words).collect()}
-    assert got == {i: (t if not want[i] else "\n".join(s for k, s in enumerate(t.split("\n")) if k not in want[i]), len(want[i])) for i, t in rows}
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.remove_repeated_lines(docs(spark, rows), run).collect()}
+    assert got == expected_lines(rows, run)
     assert got[62] == ("\n", 1) and got[64] == ("", 1) and got[65] == ("new\nnewer", 1)
 
 
+def test_a_passage_in_one_line_goes_wherever_it_stands_again(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, passage), (2, passage), (3, f"before\n{passage}\nafter"), (4, f"{passage}\nlater\n{passage}")]
+    clash = docs(spark, rows).withColumns({c: F.lit("mine") for c in ("run_id", "run_version", "run_gone", "run_lines", "_run_id", "n_removed_lines")})
+    df = line_dedup.remove_repeated_lines(clash)
+    assert {r.doc_id: (r.text, r.n_removed_lines, r.run_gone, r._run_id) for r in df.collect()} == {
+        1: (passage, 0, "mine", "mine"), 2: ("", 1, "mine", "mine"), 3: ("before\nafter", 1, "mine", "mine"), 4: ("later", 2, "mine", "mine")}
+
+
+def test_fingerprints_are_window_minima_filed_once(spark):
+    """Every window belongs to one fingerprint, the place of its smallest hash; runs are extended as far as they match."""
+    rows = [(1, "\n".join("abcdefgh")), (2, "x\n" + "\n".join("bcdef") + "\ny\ng\nh"), (3, "lone")]
+    prints = line_dedup.fingerprints(docs(spark, rows), 3).collect()
+    places = Counter((r.doc_id, w["at"][0]) for r in prints for w in r.windows)
+    assert places == Counter([(1, i) for i in range(6)] + [(2, i) for i in range(7)] + [(3, 0)])
+    assert max(Counter((r.doc_id, r.print) for r in prints).values()) == 1 and len(prints) < 14
+    runs = line_dedup.repeated_runs(docs(spark, rows), 3).collect()
+    assert [(r.doc_id, [(x["first"], x["last"], sorted(x["lines"]), x["source_id"]) for x in r.runs]) for r in runs] == [(2, [(1, 5, [1, 2, 3, 4, 5], 1)])]
+    split = rows[:1] + [(2, "a\nb\nc\nz\nf\ng\nh")]
+    runs = line_dedup.repeated_runs(docs(spark, split), 3).collect()
+    assert [[(x["first"], x["last"]) for x in r.runs] for r in runs] == [[(0, 2), (4, 6)]]
+
+
+def test_a_text_of_very_many_lines(spark):
+    lines = [f"line {i}" for i in range(30_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:20_000], "new", *lines[20_000:]]))]
+    got = {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.remove_repeated_lines(docs(spark, rows)).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("new", 30_000)}
+
+
+BIG = [None, 2**60 + 1, 2**60 + 2]
+
+
+def test_large_ids_beside_null_ids(spark):
+    """A batch of ids with a null keeps every digit."""
+    rows = [(i, f"text number {k} of its own with words enough") for k, i in enumerate(BIG)]
+    frame = docs(spark, rows).coalesce(1)
+    labels = spark.createDataFrame([(2**60 + 1, 1, 1), (2**60 + 2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.ToxicityModel(np.zeros(0, np.uint64), np.array([0.0, 0.0, 0.0, -4.0]))
+    found = [
+        toxicity.toxicity_scores(frame, model),
+        toxicity.drop_toxic(frame, model),
+        quality.quality_scores(frame, quality.fit_quality(frame, labels)),
+        secrets.find_secrets(frame),
+        near_dedup.near_duplicates(frame),
+        substring_dedup.remove_copies(frame),
+        line_dedup.remove_repeated_lines(frame),
+    ]
+    for df in found:
+        assert df.schema["doc_id"].dataType.simpleString() == "bigint"
+        assert Counter(r.doc_id for r in df.collect()) == Counter(BIG), df.columns
+    near = {r.doc_id: r.component_id for r in found[4].collect()}
+    assert near == {i: i for i in BIG}
+    pages = spark.createDataFrame([(i, "u", "<p>x</p>") for i in BIG], "page_id long, url string, html string").coalesce(1)
+    assert Counter(r.page_id for r in html_text.main_text(pages, {}).collect()) == Counter(BIG)
+
+
 def test_secrets(spark):
     key = "Zk3vQ9xT1mW8rB5nJ7pL2dF6hG4sC0yA"
     hexes = "0123456789abcdef01234567"
@@ -267,7 +342,7 @@ def test_pipeline_against_brute_force(spark):
     kept = corpus_pipeline.toxicity(spark, texts, sf)
     assert kept.columns == texts.columns
     rows = sorted((r.doc_id, r.text) for r in kept.collect())
-    lines = {i: t for i, (t, _) in expected_lines(rows, line_dedup.RUN).items()}
+    lines = {i: t for i, (t, _) in expected_lines(rows).items()}
     groups = expected_components(list(lines.items()))
     near = {i: t for i, t in lines.items() if groups[i][2]}
     word = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
