@@ -9,6 +9,7 @@ from rillflow.catalogue.registry import query, rounded
 from rillflow.operators import origins as org
 from rillflow.operators import routing
 from rillflow.operators import subset as sub
+from rillflow.operators import totals
 from rillflow.plans import graph as gr
 from rillflow.plans.ranking import row_index
 
@@ -53,7 +54,11 @@ FROM (SELECT basin, count(*) AS catchments, sum(areasqkm) AS areasqkm FROM divs
 LEFT JOIN (SELECT basin, count(DISTINCT hl_uri) AS n FROM hls GROUP BY basin) h ON d.basin = h.basin""",
 )
 def basin_summary(spark, sf):
-    return rounded(sub.basin_summary(basins(spark, sf, ["hydrolocations"])))
+    """Every gauge's basin, nested ones too, without a row for each catchment of each basin."""
+    layers = td.layers(spark, sf)
+    rows = org.origin_rows(layers["network"], "hl_uri")
+    starts = rows.select(F.col("identifier").alias("basin"), "id", "toid", "vpuid")
+    return rounded(totals.basin_totals(layers, td.graph(spark, sf), starts))
 
 
 @query("basin_hydrolocations", _BASINS + "SELECT DISTINCT basin, hl_uri FROM hls WHERE hl_uri IS NOT NULL")

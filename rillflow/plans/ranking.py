@@ -34,6 +34,35 @@ def with_rank(df: DataFrame, group: list[str], order: list[str | Column]) -> Dat
     )
 
 
+def running(df: DataFrame, group: list[str], order: list[str | Column], totals: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with running aggregates: ``totals`` names each one and gives its kind, sum or max, and its column.
+
+    A row's value covers the rows of its group up to and including it, by ``order`` and then a hash of the row; nulls
+    add nothing. Rows are spread as for :func:`with_rank`; each partition's own part runs in a window of
+    its rows, and what earlier partitions add comes from one row for each group and partition.
+    """
+    ordered = _spread(df, group, order).withColumn("_at", F.monotonically_increasing_id())
+    rows = materialize(ordered, "running").withColumn("_part", F.shiftright("_at", 33))
+    inside = Window.partitionBy(*group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    kinds = {"sum": F.sum, "max": F.max}
+    rows = rows.select("*", *[kinds[kind](column).over(inside).alias(f"_own_{name}") for name, (kind, column) in totals.items()])
+    parts = rows.groupBy(*group, "_part").agg(*[F.max_by(f"_own_{name}", "_at").alias(f"_own_{name}") for name in totals])
+    before = Window.partitionBy(*(group or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+    offsets = parts.select(
+        *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)],
+        F.col("_part").alias("_p"),
+        *[kinds[kind](f"_own_{name}").over(before).alias(f"_before_{name}") for name, (kind, _) in totals.items()],
+    )
+
+    def whole(name: str, kind: str) -> Column:
+        own, earlier = F.col(f"_own_{name}"), F.col(f"_before_{name}")
+        return F.coalesce(own + earlier if kind == "sum" else F.greatest(own, earlier), own, earlier).alias(name)
+
+    joined = rows.join(offsets, (F.col("_part") == F.col("_p")) & _same_group(group))
+    return joined.select(*columns_of(df), *[whole(name, kind) for name, (kind, _) in totals.items()])
+
+
 def _spread(df: DataFrame, group: list[str], order: list[str | Column]) -> DataFrame:
     """Rows in range partitions, and sorted in them, by group, order and a hash of the whole row."""
     hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]

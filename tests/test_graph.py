@@ -116,13 +116,44 @@ def test_trace_equals_search_on_random_graphs_with_and_without_cycles(spark, see
     assert set(rows) == expected
 
 
-def test_deep_chain_needs_few_rounds(spark):
+def random_forest(rng, n, wide):
+    """Parents by number: mostly one deep stem, or many rivers into few nodes."""
+    down = {i: (rng.randrange(max(0, i - 3), i) if not wide else rng.randrange(min(i, 4))) for i in range(1, n)}
+    return {i: t for i, t in down.items() if rng.random() > 0.03}
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_labels_are_nested_ranges(spark, wide):
+    n, down = 400, random_forest(random.Random(7), 400, wide)
+    nodes = materialize(spark.createDataFrame([(f"n{i}",) for i in range(n)], "id string"), "nodes")
+    edges = [(f"n{a}", f"n{b}", "x") for a, b in down.items()] + [("n0", "unknown", "x")]
+    graph = graph_from_tables(nodes, materialize(spark.createDataFrame(edges, "src string, dst string, nexus string"), "edges"))
+    labels = {int(r.id[1:]): (r.first, r.last) for r in graph.labels.collect()}
+    assert sorted(f for f, _ in labels.values()) == list(range(n))
+    number = {f: i for i, (f, _) in labels.items()}
+    for i, (first, last) in labels.items():
+        assert {number[k] for k in range(first, last + 1)} == brute_force(down, i)
+
+
+def test_deep_chain_needs_few_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr("rillflow.plans.graph.materialize", lambda df, name: written.append(name) or materialize(df, name))
     graph = build_graph(*tables(spark, *chain(1, 300)))
-    assert len(graph.jumps) <= 10
+    assert written.count("jumps") == 5  # 4 ** 5 > 300
     origin = spark.createDataFrame([("wb-0",)], "origin string")
     assert upstream_segments(graph, origin).count() == 301
 
 
+def test_ranges_meet_points_once_each(spark):
+    from rillflow.plans.graph import BLOCK, within
+
+    points = spark.createDataFrame([(i * 97, "g" if i % 2 else "h") for i in range(200)], "at long, g string")
+    edge = [(0, BLOCK - 1), (BLOCK, BLOCK), (5, 9 * BLOCK + 3), (3, 2), (BLOCK * 2 - 1, BLOCK * 2)]
+    ranges = spark.createDataFrame([(a, b, "g") for a, b in edge], "lo long, hi long, g string")
+    got = sorted((r.lo, r.hi, r["at"]) for r in within(ranges, points, "at", "lo", "hi", ("g",)).collect())
+    assert got == sorted((a, b, i * 97) for a, b in edge for i in range(1, 200, 2) if a <= i * 97 <= b)
+
+
 def test_adjacency_has_a_row_for_each_tributary(spark):
     edges = spark.createDataFrame([(f"wb-{i:03d}", "wb-0", "x") for i in range(1, 101)] + [("wb-200", "wb-001", "x")], "src string, dst string, nexus string")
     rows = sorted(tuple(r) for r in upstream_adjacency(edges).collect())
