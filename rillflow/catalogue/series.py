@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from rillflow.catalogue import testdata as td
 from rillflow.catalogue.registry import query, rounded
@@ -349,21 +350,21 @@ _DIAMOND = (
 )
 
 
-def diamonds(spark, sf):
-    cx, cy, half = (F.expr(e).cast("double") for e in _DIAMOND)
+@F.pandas_udf(BinaryType())
+def diamond_outline(x: pd.Series, y: pd.Series, r: pd.Series) -> pd.Series:
+    import struct
 
-    @F.pandas_udf("binary")
-    def outline(x: pd.Series, y: pd.Series, r: pd.Series) -> pd.Series:
-        import struct
+    def ring(a, b, c):
+        points = [a - c, b, a, b + c, a + c, b, a, b - c, a - c, b]
+        return struct.pack("<BIII10d", 1, 3, 1, 5, *points)
 
-        def ring(a, b, c):
-            points = [a - c, b, a, b + c, a + c, b, a, b - c, a - c, b]
-            return struct.pack("<BIII10d", 1, 3, 1, 5, *points)
+    return pd.Series([ring(a, b, c) for a, b, c in zip(x, y, r, strict=True)])
 
-        return pd.Series([ring(a, b, c) for a, b, c in zip(x, y, r, strict=True)])
 
+def diamonds(spark, sf):
+    cx, cy, half = (F.expr(e).cast("double") for e in _DIAMOND)
     part = td.driver_table(spark, sf, "part")
-    return part.select((F.col("p_partkey") + 1).alias("cat_id"), outline(cx, cy, half).alias("geometry"))
+    return part.select((F.col("p_partkey") + 1).alias("cat_id"), diamond_outline(cx, cy, half).alias("geometry"))
 
 
 def bounded(df):
@@ -387,7 +388,7 @@ SELECT c.x, c.y, max(p.cat_id) AS cat_id FROM c JOIN poly p
 )
 def cells_in_polygons(spark, sf):
     cells = td.view(spark, sf, "grid").select("x", "y").distinct()
-    polygons = materialize(bounded(diamonds(spark, sf)), "polygons")
+    polygons = materialize(diamonds(spark, sf), "polygons")
     return zn.cells_in_polygons(cells, polygons)
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 # EPSG:5070, Albers equal-area on GRS80 for the conterminous United States.
 _A = 6378137.0
@@ -245,17 +245,39 @@ def _polygon_rings(wkb: bytes) -> list[np.ndarray]:
     return rings
 
 
-@F.pandas_udf(ArrayType(BooleanType()))
-def polygon_contains(geometry: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
-    """Which points of the arrays lie inside a WKB polygon (even-odd rule, so holes count as outside)."""
+_EDGES = ArrayType(StructType([StructField(n, DoubleType()) for n in ("ax", "ay", "bx", "by")]))
 
-    def hits(wkb: bytes, px: np.ndarray, py: np.ndarray) -> np.ndarray:
-        inside = np.zeros(len(px), dtype=bool)
-        for ring in _polygon_rings(wkb):
-            for (ax, ay), (bx, by) in zip(ring[:-1], ring[1:], strict=True):
-                if ay != by:
-                    crosses = (ay > py) != (by > py)
-                    inside ^= crosses & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
-        return inside
 
-    return pd.Series([hits(g, np.asarray(x, float), np.asarray(y, float)) for g, x, y in zip(geometry, xs, ys)])
+def _area(ring: np.ndarray) -> float:
+    """Signed area of a closed ring, positive if it runs anticlockwise; its place does not cost it digits."""
+    x, y = (ring - ring[0]).T
+    return float((x[:-1] * y[1:] - x[1:] * y[:-1]).sum() / 2)
+
+
+def _inside(x: float, y: float, ring: np.ndarray) -> bool:
+    a, b = ring[:-1], ring[1:]
+    crosses = (a[:, 1] > y) != (b[:, 1] > y)
+    a, b = a[crosses], b[crosses]
+    return bool((x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0]).sum() % 2)
+
+
+def _oriented(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Rings with what they enclose on their left: those in an odd number of others are holes and run clockwise."""
+    out = []
+    for i, ring in enumerate(rings):
+        x, y = (ring[0] + ring[1]) / 2 if len(ring) > 1 else ring[0]
+        hole = sum(_inside(x, y, other) for j, other in enumerate(rings) if j != i and len(other) > 3) % 2 == 1
+        out.append(ring if (_area(ring) < 0) == hole else ring[::-1])
+    return out
+
+
+@F.pandas_udf(_EDGES)
+def polygon_edges(geometry: pd.Series) -> pd.Series:
+    """The edges of a WKB polygon, with the polygon on their left, holes included; none for a missing one."""
+
+    def edges(wkb: bytes | None) -> list[tuple[float, ...]]:
+        rings = [] if wkb is None else [r.astype(float) for r in _polygon_rings(wkb)]
+        parts = [np.hstack([r[:-1], r[1:]]) for r in _oriented(rings) if len(r) > 1]
+        return [tuple(e) for e in np.concatenate(parts).tolist()] if parts else []
+
+    return pd.Series([edges(g) for g in geometry])

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.text import columns_of
-from rillflow.functions.geo import polygon_contains
+from rillflow.operators.coverage import PER_BLOCK, centre_spans
+from rillflow.plans.graph import within
 from rillflow.plans.ranking import ntile_of, row_index, with_rank
 from rillflow.plans.workspace import materialize
 
@@ -146,57 +147,28 @@ def cat_ids(divides: DataFrame, order: list[str]) -> DataFrame:
 def cells_in_polygons(cells: DataFrame, polygons: DataFrame, outside: bool = False) -> DataFrame:
     """``(cell columns, cat_id)``: the polygon holding each cell centre; the largest ``cat_id`` where they overlap.
 
-    Cells that repeat each keep their row. ``outside`` also keeps cells in no polygon, with a null ``cat_id``.
+    Cells that repeat each keep their row. ``outside`` also keeps cells in no polygon, with a null ``cat_id``. Polygons
+    are ``(cat_id, geometry)``.
 
-    Polygons ``(cat_id, geometry, min_x, min_y, max_x, max_y)`` are filed under square tiles about as large as
-    themselves, at most four each; a cell looks into its tile of each size in use. That makes it an equi-join, with
-    the envelope and then the exact test on the few candidates left.
+    Scanlines: the edges of all polygons are met with the rows of cells, which gives the stretches of each row inside a
+    polygon. A stretch is cut into blocks of some cells and meets the cells of its row by block, so that neither a large
+    polygon nor a long row is one task's, and a cell is compared only with polygons that reach its block.
     """
-    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"), F.lit(1e-9))
-    sized = polygons.withColumn("level", F.ceil(F.log2(size)).cast("int"))
-    width = F.pow(F.lit(2.0), F.col("level"))
-
-    def tile(c: str) -> Column:
-        return F.floor(F.col(c) / width).cast("bigint")
-
-    tiled = sized.withColumn("tx", F.explode(F.sequence(tile("min_x"), tile("max_x")))).withColumn(
-        "ty", F.explode(F.sequence(tile("min_y"), tile("max_y")))
-    )
-    # Levels are powers of two between the smallest and largest polygon, a few dozen at the very most.
-    levels = [r.level for r in sized.select("level").distinct().collect()]
-    if not levels:
-        return (cells if outside else cells.limit(0)).withColumn("cat_id", F.lit(None).cast("bigint"))
     cells = materialize(cells.withColumn("_cell", F.monotonically_increasing_id()), "cells")
-    looking = cells.select("_cell", "x", "y").withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels])))
-    looking = looking.withColumn("tx", tile("x")).withColumn("ty", tile("y"))
-    candidates = looking.join(tiled.drop("geometry"), ["level", "tx", "ty"]).where(
-        F.col("x").between(F.col("min_x"), F.col("max_x")) & F.col("y").between(F.col("min_y"), F.col("max_y"))
-    )
-    inside = _exact_hits(candidates.select("cat_id", "_cell", "x", "y"), polygons, ["_cell", "x", "y"])
+    placed = cells.select("_cell", "x", "y").where("x is not null and y is not null")
+    rows = materialize(placed.groupBy("y").agg(F.count(F.lit(1)).alias("n")), "cell-rows")
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.min("y").alias("low"), F.max("y").alias("high")).first()
+    across = placed.agg(F.min("x").alias("low"), F.max("x").alias("high")).first()
+    if not size["rows"]:
+        return (cells if outside else cells.limit(0)).withColumn("cat_id", F.lit(None).cast("bigint")).drop("_cell")
+    width = (across["high"] - across["low"]) * PER_BLOCK * size["rows"] / size["n"] or 1.0
+    # stretches beyond all cells would be cut for nothing
+    spans = centre_spans(polygons, rows, size["low"], size["high"]).withColumns({"x_from": F.greatest("x_from", F.lit(across["low"])), "x_to": F.least("x_to", F.lit(across["high"] + width))})
+    inside = within(spans, placed, "x", "x_from", "x_to", ("y",), block=width, keep=True).where(F.col("x") < F.col("x_to"))
     largest = inside.groupBy("_cell").agg(F.max("cat_id").alias("cat_id"))
     return cells.join(largest, "_cell", "left" if outside else "inner").drop("_cell")
 
 
-def _exact_hits(candidates: DataFrame, polygons: DataFrame, columns: list[str], batch: int = 20_000) -> DataFrame:
-    """Candidates ``(cat_id, ...columns)`` whose point is in the polygon.
-
-    Candidates meet their polygon in batches, so a long outline travels once per batch rather than once per cell; a
-    polygon with many candidates has many batches.
-    """
-    crowded = candidates.groupBy("cat_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > batch)
-    parts = crowded.select("cat_id", F.ceil(F.col("n") / batch).alias("parts"))
-    part = F.pmod(F.xxhash64(*columns), F.coalesce("parts", F.lit(1).cast("bigint")))
-    batches = (
-        candidates.join(parts, "cat_id", "left")
-        .groupBy("cat_id", part.alias("part"))
-        .agg(F.collect_list(F.struct(*columns)).alias("cells"))
-        .join(polygons.select("cat_id", "geometry"), "cat_id")
-    )
-    hits = batches.withColumn("hit", polygon_contains("geometry", F.col("cells.x"), F.col("cells.y")))
-    pairs = hits.select("cat_id", F.explode(F.arrays_zip("cells", "hit")).alias("c")).where("c.hit")
-    return pairs.select("cat_id", "c.cells.*")
-
-
 def grid_weight_join(weights: DataFrame, mask: DataFrame, rows: int) -> DataFrame:
     """Bucket weights with the catchment of their grid cell; weights count rows from the bottom, the mask from the top."""
     labelled = mask.where(F.col("cat_id") > 0).select(

@@ -143,15 +143,18 @@ def trace_upstream(graph: RiverGraph, origins: DataFrame, origin: str = "origin"
 BLOCK = 1024
 
 
-def within(ranges: DataFrame, points: DataFrame, at: str, first: str, last: str, on: tuple[str, ...] = ()) -> DataFrame:
+def within(
+    ranges: DataFrame, points: DataFrame, at: str, first: str, last: str, on: tuple[str, ...] = (), block: float = BLOCK, keep: bool = False
+) -> DataFrame:
     """Pairs of a range (columns ``first`` to ``last``) and a point (column ``at``) inside it with equal ``on``.
 
-    Column ``at`` itself is left out if ``ranges`` has one of that name; other names have to differ.
+    Ranges are cut at the multiples of ``block``, so that they meet points by equality. Column ``at`` is left out unless
+    it is to be kept; other names have to differ.
     """
-    block = lambda c: F.floor(F.col(c) / BLOCK)
-    cut = ranges.where(F.col(first) <= F.col(last)).withColumn("_block", F.explode(F.sequence(block(first), block(last))))
-    placed = points.withColumn("_point", F.col(at)).withColumn("_block", block(at))
-    placed = placed.drop(at) if at in ranges.columns else placed
+    number = lambda c: F.floor(F.col(c) / block)
+    cut = ranges.where(F.col(first) <= F.col(last)).withColumn("_block", F.explode(F.sequence(number(first), number(last))))
+    placed = points.withColumn("_point", F.col(at)).withColumn("_block", number(at))
+    placed = placed if keep else placed.drop(at)
     return cut.join(placed, [*on, "_block"]).where(F.col("_point").between(F.col(first), F.col(last))).drop("_block", "_point")
 
 

@@ -286,14 +286,6 @@ def test_cells_find_their_polygon_and_holes_are_outside(spark):
     assert {r.cat_id for r in covered.collect()} == {4} and covered.count() == 5
 
 
-def test_batches_of_candidates_keep_every_hit(spark):
-    cells = spark.range(500).select((F.col("id") % 25 + 0.5).alias("x"), F.floor(F.col("id") / 25).alias("y") + 0.5)
-    cells = cells.toDF("x", "y")
-    polygon = spark.createDataFrame([(7, square(0, 0, 30))], "cat_id bigint, geometry binary")
-    candidates = cells.select(F.lit(7).cast("bigint").alias("cat_id"), "x", "y")
-    assert zonal._exact_hits(candidates, polygon, ["x", "y"], batch=40).count() == 500
-
-
 def test_zonal_statistics_of_special_values(spark):
     rows = [("a", -4.0, 1.0), ("a", -1.0, 1.0), ("b", -1.0, 1.0), ("b", 1.0, 1.0), ("c", 350.0, 1.0), ("c", 10.0, 1.0), ("d", None, 1.0)]
     cells = spark.createDataFrame(rows, "divide_id string, value double, weight double")
