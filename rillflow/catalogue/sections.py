@@ -11,6 +11,8 @@ from rillflow.functions.sections import area_below
 from rillflow.operators import conflation as cf
 from rillflow.operators import xs as xsec
 from rillflow.operators.series import append_rows
+from rillflow import sinks
+from rillflow.plans.workspace import new_path
 from rillflow.sources.files import parse_conflation
 
 
@@ -149,6 +151,32 @@ def reference_in_extent(spark, sf):
     return found.select("flowpath_id", "lengthkm")
 
 
+@query(
+    "reference_in_extents",
+    td.ctes("xs", "reference_flowpaths")
+    + """, e AS (SELECT domain, model, min(min_x) w, min(min_y) s, max(max_x) e, max(max_y) n FROM xs GROUP BY domain, model)
+SELECT domain, model, flowpath_id, lengthkm FROM reference_flowpaths, e
+WHERE max_x >= e.w AND min_x <= e.e AND max_y >= e.s AND min_y <= e.n""",
+)
+def reference_in_extents(spark, sf):
+    """The flowpaths around the sections of each model of each domain."""
+    found = xsec.reference_in_extent(sections(spark, sf), td.view(spark, sf, "reference_flowpaths"), ["domain", "model"])
+    return found.select("domain", "model", "flowpath_id", "lengthkm")
+
+
+@query(
+    "xs_within_bbox_by_place",
+    td.ctes("xs")
+    + 'SELECT flowpath_id, min_x, min_y, max_x, max_y FROM xs WHERE min_y >= 10 AND min_x >= 20 AND max_y <= 60 AND max_x <= 150',
+)
+def xs_within_bbox_by_place(spark, sf):
+    """The same box from sections that were written in the order of their places."""
+    path = new_path(spark, "xs-by-place")
+    sinks.write_xs_by_place(sections(spark, sf), path)
+    found = xsec.subset_xs(spark.read.parquet(path), bbox=(10, 20, 60, 150))
+    return found.select("flowpath_id", "min_x", "min_y", "max_x", "max_y")
+
+
 _TIES = ["source_river_station", "order_key", "min_y", "TW", "Ym", "xs_max_elevation", "model"]
 
 

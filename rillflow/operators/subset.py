@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillflow.functions.text import columns_of, id_text, quoted
@@ -206,33 +206,45 @@ def basin_hydrolocations(subset: Mapping[str, DataFrame]) -> DataFrame:
     return subset["hydrolocations"].where(F.col("hl_uri").isNotNull()).select("basin", "hl_uri").distinct()
 
 
+#: What check_relationships looks for: the name, the kind of key, the layer and column that must be in the other's.
+REFERENCES = (
+    ("flowpaths.id in network", "flowpath", ("flowpaths", "id"), ("network", "id")),
+    ("network flowpath in flowpaths", "flowpath", ("network", "flowpath"), ("flowpaths", "id")),
+    ("flowpaths.toid in nexus", "nexus", ("flowpaths", "toid"), ("nexus", "id")),
+    ("flowpaths.divide_id in divides", "divide", ("flowpaths", "divide_id"), ("divides", "divide_id")),
+    ("divides.divide_id in network", "divide", ("divides", "divide_id"), ("network", "divide_id")),
+    ("divide-attributes in divides", "divide", ("divide-attributes", "divide_id"), ("divides", "divide_id")),
+    ("pois in network", "poi", ("pois", "poi_id"), ("network", "poi_id")),
+)
+
+
 def check_relationships(layers: Mapping[str, DataFrame]) -> DataFrame:
-    """``(check, violations)`` for the references between the layers of a subset or a whole domain."""
-
-    def missing(name: str, child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> DataFrame:
-        ids = child.where(F.col(key).isNotNull()).select(F.col(key).alias("_k")).distinct()
-        lost = ids.join(parent.select(F.col(parent_key).alias("_k")), "_k", "left_anti")
-        return lost.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), "violations")
-
-    network, flowpaths, nexus, divides = (layers[n] for n in CORE_LAYERS)
-    network_places = network.where(F.col("id").startswith("wb-"))
-    checks = [
-        missing("flowpaths.id in network", flowpaths, "id", network, "id"),
-        missing("network flowpath in flowpaths", network_places, "id", flowpaths, "id"),
-        missing("flowpaths.toid in nexus", flowpaths, "toid", nexus, "id"),
-        missing("flowpaths.divide_id in divides", flowpaths, "divide_id", divides, "divide_id"),
-        missing("divides.divide_id in network", divides, "divide_id", network, "divide_id"),
-    ]
-    if "divide-attributes" in layers:
-        attributes = layers["divide-attributes"]
-        checks.append(missing("divide-attributes in divides", attributes, "divide_id", divides, "divide_id"))
-    if "pois" in layers:
-        places = network.select(F.col("poi_id").cast("double").alias("poi_id"))
-        pois = layers["pois"].select(F.col("poi_id").cast("double").alias("poi_id"))
-        checks.append(missing("pois in network", pois, "poi_id", places, "poi_id"))
-    extra_vpus = network.agg(F.greatest(F.count_distinct("vpuid") - 1, F.lit(0)).alias("violations"))
-    checks.append(extra_vpus.select(F.lit("single VPU").alias("check"), "violations"))
-    out = checks[0]
-    for check in checks[1:]:
-        out = out.unionByName(check)
-    return out
+    """``(check, violations)`` for the references between the layers of a subset or a whole domain.
+
+    Every key of every layer is a row ``(kind, key, bit)``; one grouping by key tells which layers have it, and a
+    reference is broken by each key with the bit of the one layer and without that of the other.
+    """
+    checks = [c for c in REFERENCES if c[2][0] in layers and c[3][0] in layers]
+    sides = list(dict.fromkeys((kind, *side) for _, kind, *both in checks for side in both))
+    bits = {side: 1 << i for i, side in enumerate([*sides, ("vpu", "network", "vpuid")])}
+
+    def text(layer: str, column: str) -> Column:
+        if column == "flowpath":
+            return F.when(F.col("id").startswith("wb-"), F.col("id"))
+        return F.col(column).cast("double").cast("string") if column == "poi_id" else F.col(column).cast("string")
+
+    rows = None
+    for layer in dict.fromkeys(side[1] for side in bits):
+        keys = [F.struct(F.lit(kind).alias("kind"), text(of, c).alias("key"), F.lit(bit).alias("bit")) for (kind, of, c), bit in bits.items() if of == layer]
+        part = layers[layer].select(F.explode(F.array(*keys)).alias("k")).select("k.*").where("key is not null")
+        rows = part if rows is None else rows.unionAll(part)
+    seen = rows.groupBy("kind", "key").agg(F.bit_or("bit").alias("bits"))
+
+    def has(kind: str, side: tuple[str, str]) -> Column:
+        return F.col("bits").bitwiseAND(F.lit(bits[kind, *side])) != 0
+
+    broken = [F.count_if((F.col("kind") == kind) & has(kind, child) & ~has(kind, parent)).alias(name) for name, kind, child, parent in checks]
+    vpus = F.greatest(F.count_if(F.col("kind") == "vpu") - 1, F.lit(0)).alias("single VPU")
+    counts = seen.agg(*broken, vpus)
+    each = [F.struct(F.lit(name).alias("check"), quoted(name).alias("violations")) for name in counts.columns]
+    return counts.select(F.explode(F.array(*each)).alias("c")).select("c.*")

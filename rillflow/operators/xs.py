@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillflow.functions.sections import channel_between, channel_shape
@@ -46,32 +46,69 @@ def reference_for_xs(xs: DataFrame, reference: DataFrame) -> DataFrame:
     return reference.join(xs.select("flowpath_id"), "flowpath_id", "left_semi").select(*columns_of(reference))
 
 
-def reference_in_extent(xs: DataFrame, reference: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Reference flowpaths whose envelope meets the envelope of all cross-sections (of each ``by`` group).
+def extents(xs: DataFrame, each: list[str] | None = None) -> DataFrame:
+    """``(*each, min_x, min_y, max_x, max_y)``: the envelope of all sections, or of those of each group."""
+    bounds = [f(c).alias(c) for f, c in ((F.min, "min_x"), (F.min, "min_y"), (F.max, "max_x"), (F.max, "max_y"))]
+    return xs.groupBy(*(each or [])).agg(*bounds)
 
-    The extent is one row (or one per group), so it is attached as a scalar; nothing is paired.
+
+def reference_in_extent(xs: DataFrame, reference: DataFrame, each: list[str] | None = None) -> DataFrame:
+    """``(*each, reference columns)``: reference flowpaths whose envelope meets that of the sections.
+
+    Without ``each`` there is one envelope, of all sections. With it there is one for each group, and a flowpath comes
+    with every group that it meets. Envelopes that only touch meet; sections and flowpaths without one meet nothing.
     """
-    extent = xs.groupBy(*(by or [])).agg(
-        F.min("min_x").alias("west"), F.min("min_y").alias("south"), F.max("max_x").alias("east"),
-        F.max("max_y").alias("north"),
-    )
-    meets = (
-        (F.col("max_x") >= F.col("west"))
-        & (F.col("min_x") <= F.col("east"))
-        & (F.col("max_y") >= F.col("south"))
-        & (F.col("min_y") <= F.col("north"))
-    )
-    if by:
-        return reference.join(extent, by).where(meets).select(*columns_of(reference))
-    box = extent.first()
-    if box is None or box.west is None:
-        return reference.limit(0)
-    return reference.where(
-        (F.col("max_x") >= box.west)
-        & (F.col("min_x") <= box.east)
-        & (F.col("max_y") >= box.south)
-        & (F.col("min_y") <= box.north)
-    )
+    met = meeting_rectangles(extents(xs, each), reference, each or [])
+    return met.select(*[F.col(f"`{c}`") for c in (each or [])], *columns_of(reference))
+
+
+_BOUNDS = ("min_x", "min_y", "max_x", "max_y")
+
+
+def meeting_rectangles(few: DataFrame, many: DataFrame, names: list[str]) -> DataFrame:
+    """Pairs of the rectangles of two frames that meet: ``names`` of the first, all columns of the second.
+
+    A rectangle's level is the power of two that its longer side fits into, so at its level it lies in four tiles at the
+    most. Each is filed under the tiles of its own level and of the larger ones that the other frame has, and a pair meets
+    by equal tiles at the larger of their two levels, in the tile of the lower left corner of what they share: once.
+    """
+    bounds = [F.col(c).alias(f"_{c}") for c in _BOUNDS]
+    left = few.where(" and ".join(f"{c} is not null" for c in _BOUNDS)).select(*[F.col(f"`{c}`") for c in names], *bounds)
+    left = left.withColumn("_level", _level("_"))
+    right = many.where(" and ".join(f"{c} is not null" for c in _BOUNDS)).withColumn("_level", _level(""))
+    # for each level in use, the larger ones of the other frame: a few dozen rows
+    levels = [frame.select("_level").distinct() for frame in (left, right)]
+    upward = [_larger(levels[0], levels[1]), _larger(levels[1], levels[0])]
+
+    def filed(frame: DataFrame, larger: DataFrame, prefix: str, home: str) -> DataFrame:
+        known = frame.join(larger, "_level")
+        own = known.withColumn("_at", F.explode(F.array_union(F.array("_level"), "_levels")))
+        own = own.withColumn(home, F.col("_at") == F.col("_level")).drop("_levels", "_level")
+        for tile, low, high in (("_tx", "min_x", "max_x"), ("_ty", "min_y", "max_y")):
+            own = own.withColumn(tile, F.explode(F.sequence(_tile(f"{prefix}{low}"), _tile(f"{prefix}{high}"))))
+        return own
+
+    pairs = filed(left, upward[0], "_", "_home1").join(filed(right, upward[1], "", "_home2"), ["_at", "_tx", "_ty"])
+    meet = (F.col("max_x") >= F.col("_min_x")) & (F.col("min_x") <= F.col("_max_x")) & (F.col("max_y") >= F.col("_min_y")) & (F.col("min_y") <= F.col("_max_y"))
+    corner = (_tile(F.greatest("min_x", "_min_x")) == F.col("_tx")) & (_tile(F.greatest("min_y", "_min_y")) == F.col("_ty"))
+    return pairs.where((F.col("_home1") | F.col("_home2")) & meet & corner)
+
+
+def _larger(own: DataFrame, other: DataFrame) -> DataFrame:
+    """``(_level, _levels)``: for each level of ``own`` the larger ones of ``other``, gathered from the top down."""
+    both = own.withColumn("_mine", F.lit(True)).unionByName(other.withColumn("_mine", F.lit(False)))
+    above = Window.partitionBy(F.lit(1)).orderBy(F.desc("_level")).rangeBetween(Window.unboundedPreceding, -1)
+    gathered = both.withColumn("_levels", F.collect_set(F.when(~F.col("_mine"), F.col("_level"))).over(above))
+    return gathered.where("_mine").select("_level", "_levels")
+
+
+def _level(prefix: str) -> Column:
+    x, y = (F.col(f"{prefix}max_{c}") - F.col(f"{prefix}min_{c}") for c in "xy")
+    return F.ceil(F.log2(F.greatest(x, y, F.lit(1e-9)).cast("double"))).cast("int")
+
+
+def _tile(value: Column | str) -> Column:
+    return F.floor((F.col(value) if isinstance(value, str) else value) / F.pow(F.lit(2.0), F.col("_at"))).cast("bigint")
 
 
 def _channel() -> Column:
