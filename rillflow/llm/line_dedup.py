@@ -83,13 +83,15 @@ def repeated_windows(docs: DataFrame, run: int = RUN, words: int = WORDS) -> Dat
     prints = materialize(fingerprints(docs, run, words), "fingerprints")
     place = F.struct("doc_id", "version", F.col("windows")[0]["at"][0].alias("at"))
     several = prints.groupBy("print").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("print")
+    several = materialize(several, "repeated-prints")  # a table of its own, so that Spark can split a frequent one
     shared = prints.join(several, "print", "left_semi").select("doc_id", "version", F.explode("windows").alias("w"))
     shared = materialize(shared.select("doc_id", "version", "w.*"), "shared-windows")
     place = F.struct("doc_id", "version", F.col("at")[0].alias("at"))
     firsts = shared.groupBy("one", "two").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    firsts = materialize(firsts, "first-places")
     again = shared.join(firsts, ["one", "two"]).where(place > F.col("first"))
     again = materialize(again.select("doc_id", "version", "at", F.col("first.doc_id").alias("source_id")), "repeated-windows")
-    discard(prints, shared)
+    discard(prints, several, shared, firsts)
     return again
 
 
