@@ -14,6 +14,7 @@ from rillflow.operators.series import append_rows
 from rillflow import sinks
 from rillflow.plans.workspace import new_path
 from rillflow.sources.files import parse_conflation
+from rillflow.sources.files import read_conflation_json as read_files
 
 
 def sections(spark, sf):
@@ -246,15 +247,19 @@ def metadata_join(spark, sf):
 _HUC = "lpad(CAST(l_suppkey % 7 AS VARCHAR), 8, '0')"
 
 
+def conflated_sections(spark, sf):
+    return sections(spark, sf).withColumn("model", F.concat_ws("-", "model", F.floor(F.col("order_key") / 20_000)))
+
+
 def conflation(spark, sf):
-    """One document per (model, HUC): a reach per line item without tax, with its sections as end points."""
-    one = sections(spark, sf).where(F.col("xs_max_elevation") == 0)
+    """One document per (model, HUC): its reaches, with their sections as end points; models grow in number, not in size."""
+    one = conflated_sections(spark, sf)
     end = F.struct("river", "reach", F.col("xs_id").cast("string").alias("xs_id"), F.col("thalweg").alias("min_elevation"),
                    F.col("xs_max_elevation").alias("max_elevation"), F.lit("x").alias("note"))
     reaches = one.groupBy("model", "huc", "river", "reach", "xs_id", "thalweg", "xs_max_elevation").agg(
         F.max("order_key").alias("k")
     )
-    reach_id = F.concat_ws("-", "k", "xs_id", F.col("river"), F.col("reach"), F.col("thalweg").cast("string"))
+    reach_id = F.concat_ws("-", "k", "xs_id", F.col("river"), F.col("reach"), F.col("thalweg").cast("string"), F.col("xs_max_elevation").cast("string"))
     body = F.struct(
         end.alias("us_xs"),
         F.when(F.col("xs_id") % 2 == 0, end).alias("ds_xs"),
@@ -266,16 +271,19 @@ def conflation(spark, sf):
             F.struct(F.map_from_entries(F.sort_array(F.collect_list(F.struct(reach_id, body)))).alias("reaches"))
         ).alias("value")
     )
-    path = F.concat(F.lit("s3://store/huc_"), "huc", F.lit("/source_models/"), "model", F.lit("/conflation.json"))
-    return documents.select(path.alias("path"), "value")
+    parts = [F.concat(F.lit("huc_"), "huc").alias("huc"), F.lit("source_models").alias("kind"), "model", F.lit("conflation.json").alias("file")]
+    return documents.select(*parts, "value")
+
+
+def with_path(documents):
+    return documents.select(F.concat_ws("/", F.lit("s3://store"), "huc", "kind", "model", "file").alias("path"), "value")
 
 
-_REACHES = f"""WITH x AS (SELECT 'model-' || (l_suppkey % 20) AS model_id, {_HUC} AS huc, 'river ' || l_returnflag AS river,
+_REACHES = f"""WITH x AS (SELECT 'model-' || (l_suppkey % 20) || '-' || (l_orderkey // 20000) AS model_id, {_HUC} AS huc, 'river ' || l_returnflag AS river,
   'reach ' || l_linestatus AS reach, l_linenumber AS xs_id, l_discount AS thalweg, l_tax AS mx, l_orderkey, l_partkey
   FROM lineitem),
-reaches AS (SELECT model_id, huc, river, reach, xs_id, thalweg, mx, max(l_orderkey) AS k FROM x WHERE mx = 0
-  GROUP BY ALL),
-named AS (SELECT *, k || '-' || xs_id || '-' || river || '-' || reach || '-' || CAST(thalweg AS VARCHAR) AS reach_id
+reaches AS (SELECT model_id, huc, river, reach, xs_id, thalweg, mx, max(l_orderkey) AS k FROM x GROUP BY ALL),
+named AS (SELECT *, k || '-' || xs_id || '-' || river || '-' || reach || '-' || CAST(thalweg AS VARCHAR) || '-' || CAST(mx AS VARCHAR) AS reach_id
   FROM reaches)
 """
 
@@ -287,7 +295,11 @@ named AS (SELECT *, k || '-' || xs_id || '-' || river || '-' || reach || '-' ||
   thalweg AS us_min, CASE WHEN xs_id % 2 = 0 THEN reach END AS ds_reach FROM named""",
 )
 def read_conflation_json(spark, sf):
-    rows = parse_conflation(conflation(spark, sf))
+    """Documents are written, a file each, and read."""
+    root = new_path(spark, "conflation")
+    places = ["huc", "kind", "model", "file"]
+    conflation(spark, sf).repartition(*places).write.partitionBy(*places).text(root)
+    rows = read_files(spark, root, written=True)
     return rows.select(
         "model_id",
         "huc",
@@ -312,10 +324,10 @@ FROM x LEFT JOIN named r ON r.model_id = x.model_id AND r.huc = x.huc AND r.rive
 WHERE (x.model_id, x.huc) IN (SELECT (model_id, huc) FROM reaches)""",
 )
 def composite_key_lookup(spark, sf):
-    xs = sections(spark, sf).withColumnRenamed("model", "model_id")
+    xs = conflated_sections(spark, sf).withColumnRenamed("model", "model_id")
     linked = cf.composite_key_lookup(
         xs.select("model_id", "huc", "river_reach_rs", "thalweg", "xs_max_elevation", "order_key", "flowpath_id", "xs_id"),
-        parse_conflation(conflation(spark, sf)),
+        parse_conflation(with_path(conflation(spark, sf))),
     )
     return linked.select(
         "model_id",

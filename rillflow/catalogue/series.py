@@ -16,7 +16,7 @@ from rillflow.operators import series as ts
 from rillflow.operators import zonal as zn
 from rillflow.operators.conflation import with_lonlat
 from rillflow.plans.workspace import materialize, new_path
-from rillflow.sources.files import gage_observations, parse_marked_csv
+from rillflow.sources import files, grids
 from rillflow.streaming.observations import stream_observations
 
 
@@ -173,17 +173,22 @@ SELECT 'G' || (e.user_id % 500) AS id,
 FROM e JOIN f ON f.user_id = e.user_id AND e.collection = f.last""",
 )
 def read_gage_csvs(spark, sf):
-    """Lines of gauge files in two collections; a gauge's later collection replaces the earlier one."""
+    """Gauge files in two collections are written and read; a gauge's later collection replaces the earlier one."""
     events = td.driver_table(spark, sf, "events")
     folder = F.element_at(F.array(F.lit("ENVCA"), F.lit("CADWR"), F.lit("USGS")), (F.col("user_id") % 3 + 1).cast("int"))
     collection = F.when(F.col("event_type") == "error", "2024-01").otherwise("2024-02")
     name = F.concat(F.lit("G"), (F.col("user_id") % 500).cast("string"), F.lit("_"), F.col("user_id"), F.lit(".csv"))
     lines = events.select(
-        F.concat_ws("/", F.lit("s3://gages"), folder, collection, name).alias("path"),
+        folder.alias("folder"),
+        collection.alias("collection"),
+        name.alias("file"),
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("-08:00")).alias("dateTime"),
         F.col("value").alias("q_cms"),
     )
-    return rounded(gage_observations(lines))
+    root = new_path(spark, "gages")
+    places = ["folder", "collection", "file"]
+    lines.repartition(*places).write.partitionBy(*places).option("header", "true").csv(root)
+    return rounded(files.read_gage_csvs(spark, root, "dateTime string, q_cms double", written=True))
 
 
 @query(
@@ -192,7 +197,7 @@ def read_gage_csvs(spark, sf):
   value AS "Result" FROM events""",
 )
 def read_marked_csv(spark, sf):
-    """One download per user: preamble, marker, header, rows."""
+    """One download per user is written, with preamble, marker, header and rows, and read in splits."""
     events = td.driver_table(spark, sf, "events")
     line = F.concat_ws(
         ",",
@@ -200,12 +205,15 @@ def read_marked_csv(spark, sf):
         F.col("value"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss"),
     )
-    preamble = "Reservoir, a\nunits cfs\n#SERIES DATA#\nTimestep,Result,Datetime (UTC)\n"
-    documents = events.groupBy(F.concat(F.lit("station-"), "user_id").alias("path")).agg(
-        F.concat(F.lit(preamble), F.array_join(F.sort_array(F.collect_list(line)), "\n"), F.lit("\n")).alias("value")
-    )
-    rows = parse_marked_csv(documents, {"Datetime (UTC)": "string", "Timestep": "string", "Result": "double"})
-    return rows.select(F.col("path").alias("station"), F.col("`Datetime (UTC)`").alias("at"), "Timestep", "Result")
+    station = F.concat(F.lit("station-"), "user_id").alias("station")
+    top = F.posexplode(F.array(*map(F.lit, ["Reservoir, a", "units cfs", "#SERIES DATA#", "Timestep,Result,Datetime (UTC)"])))
+    heads = events.select(station).distinct().select("station", top.alias("at", "value"))
+    lines = heads.unionByName(events.select(station, F.lit(9).alias("at"), line.alias("value")))
+    root = new_path(spark, "downloads")
+    lines.repartition("station").sortWithinPartitions("station", "at").drop("at").write.partitionBy("station").text(root)
+    rows = files.read_marked_csv(spark, root, {"Datetime (UTC)": "string", "Timestep": "string", "Result": "double"})
+    station = F.regexp_extract("path", "station=([^/]*)", 1).alias("station")
+    return rows.select(station, F.col("`Datetime (UTC)`").alias("at"), "Timestep", "Result")
 
 
 @query(
@@ -251,15 +259,28 @@ def to_naive_utc(spark, sf):
     )
 
 
-@query(
-    "concat_time",
-    "SELECT l_orderkey, CAST(l_shipdate AS DATE) AS date, CAST(year(l_shipdate) AS INTEGER) AS year FROM lineitem",
-)
-def concat_time(spark, sf):
-    """Dates and years found in raster file names."""
+def rasters(spark, sf):
+    """The folder of a raster for each month, named by its first day."""
     items = td.driver_table(spark, sf, "lineitem")
-    name = F.concat(F.lit("nlcd_v2_"), F.date_format("l_shipdate", "yyyyMMdd"), F.lit("_ldasin.tif"))
-    return items.select("l_orderkey", times.date_in_name(name).alias("date"), times.year_in_name(name).alias("year"))
+    month = F.concat(F.lit("nlcd_v2_"), F.date_format("l_shipdate", "yyyyMM01"), F.lit("_ldasin.tif"))
+    cells = items.select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("value"), F.dayofmonth("l_shipdate").alias("day"), month.alias("of"))
+    root = new_path(spark, "rasters")
+    cells.repartition("of").write.partitionBy("of").parquet(root)
+    return root
+
+
+@query("concat_time", "SELECT l_orderkey, l_linenumber, l_extendedprice AS value, CAST(l_shipdate AS DATE) AS date FROM lineitem")
+def concat_time(spark, sf):
+    """Rasters are written and read; a cell's date is the one that its file is named by, and the day in it."""
+    cells = grids.concat_time(spark, rasters(spark, sf))
+    return cells.select("l_orderkey", "l_linenumber", "value", F.date_add("date", F.col("day") - 1).alias("date"))
+
+
+@query("concat_time_year", "SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS cells, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY ALL")
+def concat_time_year(spark, sf):
+    """The same rasters by year."""
+    cells = grids.concat_time(spark, rasters(spark, sf), "year")
+    return cells.groupBy("year").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("value"), 2).alias("total"))
 
 
 @query("sanitize", """SELECT p_partkey, regexp_replace(p_name, '[^A-Za-z0-9_]', '_', 'g') AS file FROM part""")

@@ -32,7 +32,7 @@ def river_reach_key(river: Column, reach: Column, xs_id: Column) -> Column:
     return F.concat_ws(" ", river, reach, xs_id)
 
 
-def path_part(path: Column, position: int) -> Column:
+def path_part(path: Column, position: int | Column) -> Column:
     """A part of a slash-separated path; negative positions count from the end."""
     return F.element_at(F.split(path, "/"), position)
 

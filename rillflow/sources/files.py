@@ -7,7 +7,7 @@ import sqlite3
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,21 +33,29 @@ def newest_files(lines: DataFrame) -> DataFrame:
     return lines.join(newest.select("path"), "path", "left_semi")
 
 
+def _named(part: Column) -> Column:
+    """A part of a path, without the column that a partitioned writer puts before it."""
+    return F.regexp_replace(part, "^[^=/]*=", "")
+
+
 def gage_observations(lines: DataFrame) -> DataFrame:
     """Lines ``(path, dateTime, ...)`` of files ``<type>/<collection>/<gauge>_*.csv`` to ``(id, gage_type, time, ...)``."""
     types = F.create_map(*[F.lit(v) for pair in GAGE_TYPES.items() for v in pair])
-    name = F.regexp_replace(path_part(F.col("path"), -1), r"\.csv$", "")
+    name = F.regexp_replace(_named(path_part(F.col("path"), -1)), r"\.csv$", "")
     rest = [c for c in lines.columns if c not in ("path", "dateTime")]
     return newest_files(lines).select(
         F.split_part(name, F.lit("_"), F.lit(1)).alias("id"),
-        F.try_element_at(types, path_part(F.col("path"), -3)).alias("gage_type"),
+        F.try_element_at(types, _named(path_part(F.col("path"), -3))).alias("gage_type"),
         to_naive_utc(F.col("dateTime")).alias("time"),
         *rest,
     )
 
 
-def read_gage_csvs(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """All gauge files under a folder; ``schema`` describes their columns, ``dateTime`` among them as text."""
+def read_gage_csvs(spark: SparkSession, root: str, schema: str, written: bool = False) -> DataFrame:
+    """All gauge files under a folder; ``schema`` describes their columns, ``dateTime`` among them as text.
+
+    With ``written`` a file is a folder of parts, as Spark writes them.
+    """
     lines = (
         spark.read.schema(schema)
         .option("header", "true")
@@ -56,7 +64,13 @@ def read_gage_csvs(spark: SparkSession, root: str, schema: str) -> DataFrame:
         .option("pathGlobFilter", "*.csv")
         .csv(root)
     )
-    return gage_observations(lines.select(F.col("_metadata.file_path").alias("path"), "*"))
+    return gage_observations(lines.select(_file(written).alias("path"), "*"))
+
+
+def _file(written: bool) -> Column:
+    """The path of the file that a row is from, or of the folder that Spark wrote it to."""
+    path = F.col("_metadata.file_path")
+    return F.regexp_replace(path, "/[^/]*$", "") if written else path
 
 
 def parse_conflation(documents: DataFrame) -> DataFrame:
@@ -65,55 +79,80 @@ def parse_conflation(documents: DataFrame) -> DataFrame:
     Model and HUC are the folder names second and fourth from the end of the path. Only the linking fields are read.
     """
     parsed = documents.select(
-        path_part(F.col("path"), -2).alias("model_id"),
-        F.get(F.split(path_part(F.col("path"), -4), "_"), F.lit(1)).alias("huc"),
+        _named(path_part(F.col("path"), -2)).alias("model_id"),
+        F.get(F.split(_named(path_part(F.col("path"), -4)), "_"), F.lit(1)).alias("huc"),
         F.from_json("value", CONFLATION_TYPE).alias("doc"),
     )
     reaches = parsed.select("model_id", "huc", F.posexplode("doc.reaches").alias("pos", "reach_id", "reach"))
     return reaches.select("model_id", "huc", "pos", "reach_id", "reach.us_xs", "reach.ds_xs", "reach.network_to_id")
 
 
-def read_conflation_json(spark: SparkSession, root: str) -> DataFrame:
-    """All conflation files under a folder, one document per file."""
-    texts = (
-        spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(root, wholetext=True)
-    )
-    return parse_conflation(texts.select(F.col("_metadata.file_path").alias("path"), "value"))
+def read_conflation_json(spark: SparkSession, root: str, written: bool = False) -> DataFrame:
+    """All conflation files under a folder, one document per file; one model's document is read whole.
+
+    With ``written`` a document is a line of a file in a folder of its own, as Spark writes it.
+    """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*" if written else "*.json")
+    texts = reader.text(root, wholetext=not written)
+    return parse_conflation(texts.select(_file(written).alias("path"), "value"))
 
 
-def parse_marked_csv(documents: DataFrame, columns: dict[str, str], marker: str = "#SERIES DATA#") -> DataFrame:
-    """Documents ``(path, value)`` whose table starts with a header line after a marker line.
+def numbered_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """``(path, line_no, value)``: the lines of all files under a folder, numbered from 0 in each file.
 
-    ``columns`` maps header names to types; the order in the file does not matter and a line may have any number of
-    cells. A document without the marker, or whose header lacks a column, fails the query.
+    Files are read in splits, so a long one is many tasks' work. A line's place in its split follows from the order in
+    which a task reads it; what the splits before it hold is counted once, a row for each split.
     """
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    lines = reader.text(root).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_at"),
+        "value",
+    )
+    splits = lines.groupBy("path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_before"))
+    number = F.col("_before") + F.col("_at") - F.col("_first")
+    return lines.join(splits, ["path", "_start"]).select("path", number.alias("line_no"), "value")
+
 
-    def fields(line):
-        cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)  # commas outside quotes
-        plain = F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), '""', '"'))
-        return F.transform(plain, lambda c: F.nullif(c, F.lit("")))
+def _cells(line: Column) -> Column:
+    """The cells of a CSV line: commas inside quotes do not separate, doubled quotes are one, empty cells are null."""
+    cells = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    plain = F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r'^"(.*)"$', "$1"), '""', '"'))
+    return F.transform(plain, lambda c: F.nullif(c, F.lit("")))
 
-    lines = documents.withColumn("_lines", F.split("value", r"\r?\n"))
-    lines = lines.withColumn("_at", F.array_position(F.transform("_lines", lambda x: x.contains(marker)), True))
+
+def parse_marked_csv(lines: DataFrame, columns: dict[str, str], marker: str = "#SERIES DATA#") -> DataFrame:
+    """``(path, row_no, ...columns)`` of files whose table starts with a header line after a marker line.
+
+    ``lines`` is ``(path, line_no, value)``. ``columns`` maps header names to types; the order in the file does not
+    matter and a line may have any number of cells. The header of each file is found among its lines and joined to the
+    others, which stay where they are. A file without the marker, or whose header lacks a column, fails the query.
+    """
+    lines = lines.withColumn("value", F.regexp_replace("value", r"\r$", ""))
+    marked = lines.groupBy("path").agg(F.min(F.when(F.col("value").contains(marker), F.col("line_no"))).alias("_marker"))
     missing = F.raise_error(F.concat(F.lit(f"{marker} not found in "), F.col("path"))).cast("bigint")
-    lines = lines.withColumn("_at", F.when(F.col("_at") > 0, F.col("_at")).otherwise(missing))
-    lines = lines.withColumn("_header", fields(F.get("_lines", F.col("_at").cast("int"))))
-    body = F.slice("_lines", F.col("_at").cast("int") + 2, F.greatest(F.size("_lines"), F.lit(1)))
-    rows = lines.select("path", "_header", F.posexplode(body).alias("row_no", "_line"))
-    rows = rows.where(F.trim("_line") != "").withColumn("_cells", fields(F.col("_line")))
+    marked = marked.select("path", F.coalesce("_marker", missing).alias("_marker"))
+    rows = lines.join(marked, "path").where(F.col("line_no") > F.col("_marker"))
+    header = rows.where(F.col("line_no") == F.col("_marker") + 1).select("path", _cells(F.col("value")).alias("_header"))
 
-    def value(name: str, kind: str):
+    def place(name: str) -> Column:
         at = F.array_position("_header", F.lit(name)).cast("int")
         absent = F.raise_error(F.concat(F.lit(f"no column {name} in "), F.col("path"))).cast("int")
-        return F.get("_cells", F.when(at > 0, at - 1).otherwise(absent)).try_cast(kind).alias(name)
+        return F.when(at > 0, at - 1).otherwise(absent)
 
-    return rows.select("path", "row_no", *[value(n, k) for n, k in columns.items()])
+    places = header.select("path", *[place(n).alias(f"_at{i}") for i, n in enumerate(columns)])
+    body = rows.where((F.col("line_no") > F.col("_marker") + 1) & (F.trim("value") != ""))
+    body = body.join(places, "path").withColumn("_cells", _cells(F.col("value")))
+    values = [F.get("_cells", F.col(f"_at{i}")).try_cast(kind).alias(n) for i, (n, kind) in enumerate(columns.items())]
+    return body.select("path", (F.col("line_no") - F.col("_marker") - 2).alias("row_no"), *values)
 
 
 def read_marked_csv(spark: SparkSession, root: str, columns: dict[str, str], marker: str = "#SERIES DATA#") -> DataFrame:
-    """All such files under a folder; one file is one station's download."""
-    texts = spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True)
-    return parse_marked_csv(texts.select(F.col("_metadata.file_path").alias("path"), "value"), columns, marker)
+    """All such files under a folder; one file is one station's download, and may be larger than a task can hold."""
+    return parse_marked_csv(numbered_lines(spark, root), columns, marker)
 
 
 def read_param_defaults(

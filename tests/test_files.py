@@ -102,3 +102,31 @@ def test_dates_from_raster_file_names(spark, shared):
     spark.range(2).write.parquet(f"{shared}/grids/20240131_ldasin")
     got = grids.concat_time(spark, f"{shared}/grids").select("date").distinct().collect()
     assert [str(r.date) for r in got] == ["2024-01-31"]
+
+
+def test_a_marked_file_larger_than_a_split(spark, tmp_path):
+    """Many splits of one file, the marker near the end of one of them, beside files of one split; no file is one string."""
+    rows = [f'"L{i}, x",{i}.5,2024-01-01' for i in range(3000)]
+    write(str(tmp_path), "big.csv", "a,b\n" * 700 + "#SERIES DATA#\r\nLocation,Result,Day\n" + "\n".join(rows) + "\n\n")
+    write(str(tmp_path), "deep/er/small.csv", "#SERIES DATA#\nDay,Result\n2024-02-01,7\n#SERIES DATA#\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1111")
+    spark.conf.set("spark.sql.files.openCostInBytes", "64")
+    try:
+        lines = files.numbered_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() >= 1 and lines.where("line_no = 700").select("value").first()
+        numbers = sorted((r.path.rsplit("/", 1)[1], r.line_no) for r in lines.collect())
+        assert numbers == [("big.csv", i) for i in range(3703)] + [("small.csv", i) for i in range(4)]
+        got = files.read_marked_csv(spark, str(tmp_path), {"Day": "string", "Result": "double"}).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    big = sorted((r.row_no, r.Result, r.Day) for r in got if r.path.endswith("big.csv"))
+    assert big == [(i, i + 0.5, "2024-01-01") for i in range(3000)]
+    assert [(r.row_no, r.Result, r.Day) for r in sorted(got, key=lambda r: r.row_no) if r.path.endswith("small.csv")] == [(0, 7.0, "2024-02-01"), (1, None, "#SERIES DATA#")]
+
+
+def test_dates_come_from_the_name_of_the_file_alone(spark, shared):
+    cells = spark.createDataFrame([(1, 2.0)], "x int, value double")
+    cells.withColumn("of", F.lit("lc_20110101.tif")).write.partitionBy("of").parquet(f"{shared}/run-19990909/grids")
+    assert [str(r.date) for r in grids.concat_time(spark, f"{shared}/run-19990909/grids").select("date").collect()] == ["2011-01-01"]
