@@ -10,7 +10,6 @@ from rillflow.functions import times
 from rillflow.functions.geo import _polygon_rings
 from rillflow.operators import versions, zonal
 from rillflow.sources import files, tables
-from rillflow.streaming.observations import stream_observations
 
 
 def test_marked_table_of_seventy_columns(spark, tmp_path):
@@ -29,17 +28,6 @@ def test_collection_has_columns_of_every_file(spark, shared):
     assert sorted((r.v, r.extra) for r in rows) == sorted([("1", None)] * 2 + [("2", 5)] * 2, key=str)
 
 
-def test_late_observations_arrive_once(spark, shared):
-    schema = "id string, time timestamp_ntz, value double"
-    typed = spark.createDataFrame([], schema).schema
-    for days in (["2024-01-10"], ["2024-01-11", "2024-01-10"], ["2024-01-01"]):
-        rows = spark.createDataFrame([("g", d, 1.0) for d in days], "id string, time string, value double")
-        rows.withColumn("time", F.to_timestamp_ntz("time")).write.mode("append").parquet(f"{shared}/in")
-        stream_observations(spark, f"{shared}/in", typed, f"{shared}/out", f"{shared}/check").awaitTermination()
-    got = spark.read.schema(typed).parquet(f"{shared}/out").select("time").collect()
-    assert sorted(r.time.day for r in got) == [1, 10, 11]
-
-
 def square(code, dims, order="<", srid=False):
     points = [(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)]
     body = b"".join(struct.pack(f"{order}{dims}d", *p, *[9.0] * (dims - 2)) for p in points)
