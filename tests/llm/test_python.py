@@ -300,6 +300,53 @@ def test_pages_without_a_mark_lose_no_short_blocks(spark):
             assert html_text.extract(page.replace("<div id='c'>", "<main>").replace("</div><footer", "</main><footer"), {}) == "\n".join(blocks)
 
 
+CONTENT = "<h1>A heading</h1><p>The first paragraph tells at some length what the page is about, and why.</p><p>The second goes on with it. It has two sentences.</p><p>Done.</p>"
+
+
+def test_unmarked_pages_lose_footers_menus_and_notices(spark):
+    """Weights from the given pages; what stands apart from the sentences goes, with and without names that say so."""
+    weights = html_text.fit_weights(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    text = "A heading\nThe first paragraph tells at some length what the page is about, and why.\nThe second goes on with it. It has two sentences.\nDone."
+    for page in (
+        "<div>{}</div><div><p>All rights reserved by Example Corp</p><p>Terms of use apply</p></div>",
+        "<div>{}</div><ul class='list'><li><a href='a'>Other story one</a></li><li><a href='b'>Another story</a></li></ul>",
+        "<div class='topbar'>Call us today 555 1234</div><div>{}</div>",
+        "<div>Call us today 555 1234</div><div>{}</div>",
+        "<div>{}</div><div class='legal'>This site is not responsible.</div>",
+        "<div><a href='/'>Home</a> <a href='/b'>Shop</a></div><div><div>{}</div></div><div><div>Follow us</div><div>Imprint</div></div>",
+        "<section>{}</section><section><h3>Share</h3><ul><li><a href='x'>By mail</a></li></ul></section>",
+    ):
+        assert html_text.extract(f"<html><body>{page.format(CONTENT)}</body></html>", weights) == text, page
+
+
+def test_unmarked_copies_of_the_given_pages(spark):
+    """With marks and names taken off, menus and footers in plain containers: no word is lost, and few are added."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    weights, whole, words, added = html_text.fit_weights(pages), 0, 0, 0
+    rows = pages.collect()
+    for r in rows:
+        bare = re.sub(r"<(/?)(?:article|main|nav|footer|header|aside)\b", r"<\1div", r.html)
+        want, got = (html_text.extract(h, weights).split("\n") for h in (r.html, re.sub(r'\s(?:class|id|role)="[^"]*"', "", bare)))
+        assert not set(want) - set(got)
+        whole += want == got
+        words += sum(len(b.split()) for b in want)
+        added += sum(len(b.split()) for b in got if b not in want)
+    assert whole >= 0.95 * len(rows) and added <= 0.005 * words
+
+
+def test_the_scan_finds_the_largest_sum_of_all_regions():
+    draw = random.Random(9)
+    for n in [0, 1, 2, 7, 30] * 20:
+        values = np.array([draw.choice([-3.0, -1.0, -0.5, 0.0, 0.5, 2.0]) for _ in range(n)])
+        sums = {(a, b): values[a:b].sum() for a in range(n) for b in range(a + 1, n + 1)}
+        best = max(sums.values(), default=0.0)
+        region = html_text.best_region(values)
+        if best <= 0:
+            assert region is None
+        else:
+            assert sums[region] == best and region[1] == max(b for (_, b), v in sums.items() if v == best)
+
+
 @pytest.mark.parametrize("name", ["toxicity", "quality"])
 def test_classifiers_on_held_out_rows(spark, name):
     sf = "/root/testdata/sf0.01"
