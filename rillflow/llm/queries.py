@@ -15,7 +15,7 @@ from rillflow.llm.line_dedup import remove_repeated_lines
 from rillflow.llm.mixing import poisson_mix, target_rates
 from rillflow.llm.near_dedup import near_duplicates
 from rillflow.llm.quality import fit_quality, quality_scores
-from rillflow.llm.secrets import find_secrets
+from rillflow.llm.secrets import find_secrets, learn_identifiers
 from rillflow.llm.sharding import shard_documents
 from rillflow.llm.substring_dedup import remove_copies
 from rillflow.llm.toxicity import fit_toxicity, toxicity_scores
@@ -175,7 +175,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op9_secrets")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
-    return find_secrets(table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
+    return find_secrets(docs, learn_identifiers(docs))
 
 
 @query(

@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: many lexicon and pattern voters, a generative label model, a linear classifier.
 
 Lexicon voters are words and word beginnings that labelled toxic texts hold far more often than clean ones, pattern
-voters are shares of a text. A voter that fires votes for toxic (the pattern voter of an unsuspicious text for clean) and
+voters look at how a text is written: shouted, with repeated marks, with masked words, at somebody, full of such words.
+A voter that fires votes for toxic (the pattern voter of an unsuspicious text for clean) and
 abstains otherwise. The label model estimates how often each voter is right, with the given label as one more voter that
 can be wrong, by expectation and maximisation; voters that fire together beyond what the class explains share one vote
 between them. A logistic regression on the voters learns the model's posterior labels and scores every whole text.
@@ -9,6 +10,7 @@ between them. A logistic regression on the voters learns the model's posterior l
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,15 @@ PREFIXES = (4, 5, 6, 8, None)
 #: Lexicon voters, at most; candidates for them.
 VOTERS, CANDIDATES = 400, 20_000
 FOLDS, HELD_OUT = 5, 0
+#: Patterns over the text, each a voter: repeated marks, words in capitals one after the other, letters masked by signs,
+#: and insults' ways to address somebody.
+PATTERNS = [re.compile(p) for p in (r"[!?]{2,}", r"\b[A-Z]{3,} [A-Z]{3,}\b", r"\w[*#@$%]{2,}\w|\b\w[*]+\b", r"(?i)\byou(?: are|'re| all)? (?:an?|such|so|stupid)\b")]
+#: Voters besides the lexicon: two shares of lexicon words, the patterns, and none of all these, which votes for clean.
+OTHERS = len(PATTERNS) + 3
+
+
+def _pattern_votes(texts: list[str | None]) -> np.ndarray:
+    return np.array([[p.search(t or "") is not None for p in PATTERNS] for t in texts], np.float32).reshape(len(texts), len(PATTERNS))
 
 
 def _terms(words: Words) -> list[np.ndarray]:
@@ -93,7 +104,8 @@ def _lexicon(sample: DataFrame) -> np.ndarray:
 def _votes(texts: list[str | None], lexicon: np.ndarray) -> np.ndarray:
     """(texts, lexicon + patterns) array of 0 and 1; the last pattern, of texts without any other vote, is for clean."""
     words = Words(texts, lower=True)
-    out = np.zeros((len(texts), len(lexicon) + 3), np.float32)
+    out = np.zeros((len(texts), len(lexicon) + OTHERS), np.float32)
+    first = len(lexicon)
     if len(lexicon):
         text, entry = _hits(words, lexicon)
         out[text, entry] = 1
@@ -101,9 +113,9 @@ def _votes(texts: list[str | None], lexicon: np.ndarray) -> np.ndarray:
         for h in _terms(words):
             hit |= lexicon[np.searchsorted(lexicon, h).clip(max=len(lexicon) - 1)] == h
         share = np.add.reduceat(np.concatenate([hit, [False]]).astype(np.float64), words.offsets[:-1]) * (words.counts() > 0)
-        out[:, -3] = share >= 2
-        out[:, -2] = share >= 0.01 * np.maximum(words.counts(), 1)
-        out[:, -2] *= share > 0
+        out[:, first] = share >= 2
+        out[:, first + 1] = (share >= 0.01 * np.maximum(words.counts(), 1)) & (share > 0)
+    out[:, first + 2 : -1] = _pattern_votes(texts)
     out[:, -1] = out[:, :-1].sum(axis=1) == 0
     return out
 
@@ -177,9 +189,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Toxi
     counted = sample.mapInPandas(vote, "label int, votes binary").groupBy("label", "votes").count().toPandas()
     discard(sample)
     if not len(counted):
-        return ToxicityModel(lexicon, np.array([0.0] * (len(lexicon) + 3) + [-4.0]))
+        return ToxicityModel(lexicon, np.array([0.0] * (len(lexicon) + OTHERS) + [-4.0]))
     bits = np.frombuffer(b"".join(counted["votes"]), np.uint8).reshape(len(counted), -1)
-    votes = np.unpackbits(bits, axis=1)[:, : len(lexicon) + 3].astype(np.float64)
+    votes = np.unpackbits(bits, axis=1)[:, : len(lexicon) + OTHERS].astype(np.float64)
     times = counted["count"].to_numpy()
     order = np.lexsort([*bits.T, counted["label"].to_numpy()])
     votes, labels_, times = votes[order].repeat(times[order], 0), counted["label"].to_numpy()[order].repeat(times[order]), None

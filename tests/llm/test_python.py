@@ -214,7 +214,7 @@ def test_large_ids_beside_null_ids(spark):
     rows = [(i, f"text number {k} of its own with words enough") for k, i in enumerate(BIG)]
     frame = docs(spark, rows).coalesce(1)
     labels = spark.createDataFrame([(2**60 + 1, 1, 1), (2**60 + 2, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    model = toxicity.ToxicityModel(np.zeros(0, np.uint64), np.array([0.0, 0.0, 0.0, -4.0]))
+    model = toxicity.ToxicityModel(np.zeros(0, np.uint64), np.array([0.0] * toxicity.OTHERS + [-4.0]))
     found = [
         toxicity.toxicity_scores(frame, model),
         toxicity.drop_toxic(frame, model),
@@ -255,6 +255,40 @@ def test_secrets(spark):
     assert secrets.find_secrets(docs(spark, [])).count() == 0
 
 
+def test_novel_spans_touch_no_base_span():
+    """Against every pair of a candidate and a base span; a long dump of keys takes no pairs."""
+    draw = random.Random(6)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    key = lambda n: "".join(draw.choices(letters, k=n))
+    text = " ".join(draw.choice([f"token={key(24)}", f"secret key {key(32)}", f"auth AKIA{key(9).upper()}{key(20)}", "password", f"bearer {'0123456789abcdef' * 2}{key(20)}", key(40)]) for _ in range(400))
+    base = secrets.base_spans(text)
+    got = secrets.novel_spans(text, base)
+    want = []
+    for m in secrets.CANDIDATE.finditer(text):
+        a, b = m.span()
+        if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and secrets.SENSITIVE.search(text, max(0, a - secrets.REACH), a):
+            if not any(s < b and a < e for s, _, e in base) and secrets.novelty(text, a, b) >= secrets.NOVELTY:
+                want.append((a, 3, b))
+    assert got == want and len(base) > 100 and len(got) > 50
+
+
+def test_planted_keys_are_found_and_names_are_not(spark):
+    """Random keys after sensitive words against names of the documents' own in the same places."""
+    draw = random.Random(12)
+    letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789"
+    names = [f"{a}_{b}_{c}{n}" for n, (a, b, c) in enumerate((x, y, z) for x in ("frobnicate", "quuxify", "zarple") for y in ("wibble", "gronk") for z in ("blorft", "snarg"))]
+    keys, rows = {}, []
+    for i in range(300):
+        keys[i] = "".join(draw.choices(letters, k=32))
+        rows.append((i, f"{' '.join(draw.choices(names, k=20))} the credential {keys[i] if i % 2 else draw.choice(names)} is used by {draw.choice(names)}"))
+    frame = docs(spark, rows)
+    learned = secrets.learn_identifiers(frame)
+    assert all(n in learned for n in names) and not any(k in learned for k in keys.values())
+    got = {r.doc_id: r.n_novel for r in secrets.find_secrets(frame, learned).collect()}
+    assert sum(got[i] > 0 for i in range(1, 300, 2)) >= 145 and sum(got[i] > 0 for i in range(0, 300, 2)) == 0
+    assert secrets.learn_identifiers(docs(spark, [])) == secrets.COMMON
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{x}</style><script>var t="</p><p>no";</script></head><body>
 <nav><ul><li><a href="/a">Menu one</a></li><li><a href="/b">Menu</a></li></ul></nav><div class="ad">Buy now.</div>
 <article><h1>A  title</h1><p><b>Bold &lt;text&gt; with\n many&nbsp;words<br>and more of them</b> in the first block<p>Second <a href="x">linked</a> block,
