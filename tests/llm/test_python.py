@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from test_native import expected_matches
 from rillflow.llm import components, html_text, line_dedup, near_dedup, quality, secrets, substring_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -417,19 +418,59 @@ def test_isotonic_is_monotone_and_label_model_beats_single_voters():
     assert ((toxicity.label_model(votes, labels) > 0.5) == truth).mean() > 0.97
 
 
+def poisson_copies(rows):
+    """By id how often a document is repeated; rows of (doc_id, source)."""
+    sizes = Counter(s for _, s in rows)
+    total = sum(n**0.5 for n in sizes.values())
+    out = {}
+    for i, s in rows:
+        rate = sizes[s] ** 0.5 / total * len(rows) / sizes[s]
+        u = (int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        k, p = 0, np.exp(-rate)
+        cdf = p
+        while cdf < u and k < 200:
+            k += 1
+            p *= rate / k
+            cdf += p
+        out[i] = k
+    return {i: k for i, k in out.items() if k}
+
+
 def test_pipeline_against_brute_force(spark):
+    """Every stage's decisions but the classifier's, followed one by one."""
     sf = "/root/testdata/sf0.001"
     texts = spark.read.parquet(f"{sf}/documents.parquet")
     kept = corpus_pipeline.toxicity(spark, texts, sf)
     assert kept.columns == texts.columns
-    rows = sorted((r.doc_id, r.text) for r in kept.collect())
-    lines = {i: t for i, (t, _) in expected_lines(rows).items()}
+    found = {r.doc_id: r for r in kept.collect()}
+    lines = {i: t for i, (t, _) in expected_lines(sorted((i, r.text) for i, r in found.items())).items()}
     groups = expected_components(list(lines.items()))
     near = {i: t for i, t in lines.items() if groups[i][2]}
-    word = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
-    items = [" ".join(word(r.text)) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    clean = {i for i, t in near.items() if not any(f" {item} " in f" {' '.join(word(t))} " for item in items)}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    held = {i for i, _ in expected_matches(near.items(), items)}
+    clean = {i: t for i, t in near.items() if i not in held}
     got = corpus_pipeline.run(spark, sf)
     assert got.columns == [*texts.columns, "copy", "shuffle_key"]
-    ids = {r.doc_id: r.text for r in got.collect()}
-    assert set(ids) <= clean and len(ids) > 0.4 * len(clean) and all(ids[i] == near[i] for i in ids)
+    rows = got.collect()
+    assert Counter(r.doc_id for r in rows) == poisson_copies([(i, found[i].source) for i in clean])
+    assert all(r.text == clean[r.doc_id] and r.n_chars == len(r.text) for r in rows if lines[r.doc_id] != found[r.doc_id].text)
+    assert all(r.text == clean[r.doc_id] for r in rows) and held
+
+
+def test_stages_keep_columns_whose_names_they_use(spark):
+    """Columns named as the inner ones of any stage, ids that are null or large, and no rows at all."""
+    sf = "/root/testdata/sf0.001"
+    names = ["_id", "_version", "_gone", "_n", "_u", "_source", "_cdf", "n_removed_lines", "run_id", "rate_source", "rate_cdf", "rate_draw", "rate_copies", "kept", "component_id", "hashes", "item_id", "start", "a.b", "score"]
+    some = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    ids = some.withColumn("doc_id", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.col("doc_id") + 2**60))
+    frame = ids.withColumns({n: F.lit(f"own {n}") for n in names}).coalesce(1)
+    for docs_ in (frame, frame.limit(0)):
+        docs_ = docs_.withColumn("text", F.col("text"))
+        known = {r.doc_id for r in docs_.collect()}
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs_, sf)
+            more = ["copy", "shuffle_key"] if name == "mix" else []
+            assert out.columns == [*docs_.columns, *more], name
+            rows = out.collect()
+            assert {r.doc_id for r in rows} <= known and (rows or not known), name
+            assert all(r[n] == f"own {n}" for r in rows for n in names), name
