@@ -1,19 +1,25 @@
 """Source divergence audit: how the sources of a language differ in their words.
 
-CountVectorizer finds the vocabulary and turns every document into an exact sparse vector. Terms carry their language, so
-one model holds the vocabulary of each language, with its own minDF, however many languages there are. Entries are summed
-by group, as Summarizer sums vectors but without their zeros. Sources are compared term by term where both have one; what
-a pair of sources has without a common term follows from sums of each side.
+CountVectorizer fits the vocabulary, with minDF and the largest vocabSize. What a language keeps, the terms in at least
+minDF of its documents, has so many documents of all languages too, so one model holds the vocabulary of each language,
+however many there are. By it every document becomes an exact sparse vector; documents are counted from the vectors for
+each language, and entries are summed by group, as Summarizer sums vectors but without their zeros. Sources are compared
+term by term where both have one; what a pair of sources has without a common term follows from sums of each side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rillflow.llm.columns import lower_ascii
-from rillflow.plans.workspace import materialize, new_path
+from rillflow.plans.workspace import materialize
 
 MIN_DOCUMENTS = 30
 #: A term seen nowhere counts as this many.
@@ -23,44 +29,126 @@ SCALE = 1_000_000_000
 TERM_RANKS = 50
 #: The largest vocabulary there can be: no term that is frequent enough is left out.
 MAX_TERMS = 2**31 - 1
-#: What separates terms: everything in ASCII but letters, as a Java pattern.
-_BREAK = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_NUL = "\x00"
+#: Texts that are split together, entries that a task sums at once, and that it passes on together.
+ROWS, HELD, PIECE = 1024, 1 << 20, 1 << 16
+#: What bytes of UTF-8 become before a text is split at spaces: A-Z their small letters, all else in ASCII but a-z a space.
+_BYTES = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
+
+
+def _split(texts: pa.Array) -> pa.Array:
+    """The terms of each text; the whole column is looked up and split at once."""
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    _, offsets, data = texts.buffers()
+    plain = pa.py_buffer(b"" if data is None else _BYTES[np.frombuffer(data, np.uint8)])
+    return pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), [None, offsets, plain], 0, texts.offset))
+
+
+def document_terms(docs: DataFrame) -> DataFrame:
+    """(terms): the terms of each document, and empty ones where a text starts or ends with a break."""
 
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                yield pa.RecordBatch.from_arrays([_split(batch.column(0).slice(at, ROWS))], ["terms"])
 
-def keyed_terms(docs: DataFrame) -> DataFrame:
-    """(lang, source, terms): the terms of each document, after their language and a NUL, which no term holds."""
-    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(of("lang").alias("lang"), of("source").alias("source"), F.split(lower_ascii(F.col("text")), _BREAK).alias("terms"))
-    keyed = F.transform(F.filter("terms", lambda t: t != ""), lambda t: F.concat("lang", F.lit(_NUL), t))
-    return rows.withColumn("terms", keyed)
+    return docs.select("text").mapInArrow(split, "terms array<string>")
 
 
-def document_vectors(terms: DataFrame, min_documents: int) -> tuple[DataFrame, DataFrame]:
-    """Vectors (lang, source, indices, counts) of all documents, and the vocabulary (index, lang, term).
+def fit_vocabulary(docs: DataFrame, min_documents: int) -> list[str]:
+    """The terms of at least ``min_documents`` documents, the model's; a term's place is its index in vectors.
 
-    The vocabulary is the model's, so it lies on the driver: the terms of at least ``min_documents`` documents, a set that
-    grows much more slowly than the documents. An empty term in as many rows keeps the model from having none.
+    They lie on the driver, as CountVectorizer has them, a set that grows much more slowly than the documents. The empty
+    term is added to as many rows, so that there always is one; no vector has it.
     """
-    filler = terms.sparkSession.range(min_documents).select(F.array(F.lit("")).alias("terms"))
+    filler = docs.sparkSession.range(min_documents).select(F.array(F.lit("")).alias("terms"))
     counter = CountVectorizer(inputCol="terms", outputCol="vector", minDF=float(min_documents), vocabSize=MAX_TERMS)
-    model = counter.fit(terms.select("terms").unionAll(filler))
-    path = new_path(terms.sparkSession, "vocabulary")
-    model.write().save(path)
-    stored = terms.sparkSession.read.parquet(f"{path}/data")
-    vocabulary = stored.select(F.posexplode("vocabulary").alias("index", "keyed"))
-    term = F.substring_index("keyed", _NUL, -1)
-    lang = F.substring("keyed", F.lit(1), F.length("keyed") - F.length(term) - 1)
-    vocabulary = vocabulary.where("keyed <> ''").select("index", lang.alias("lang"), term.alias("term"))
-    vector = F.unwrap_udt("vector")
-    vectors = model.transform(terms).select("lang", "source", vector["indices"].alias("indices"), vector["values"].alias("counts"))
-    return vectors, vocabulary
+    return counter.fit(document_terms(docs).unionAll(filler)).vocabulary
+
+
+Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _vectors(texts: pa.Array, vocabulary: pa.Array) -> Vectors:
+    """(row, index, count) of the entries of the texts' vectors, by row and index."""
+    terms = _split(texts)
+    index = pc.index_in(terms.flatten(), vocabulary)
+    row = np.repeat(np.arange(len(terms)), np.diff(terms.offsets.to_numpy()))
+    known = index.is_valid().to_numpy(zero_copy_only=False)
+    keys, counts = np.unique(row[known] * len(vocabulary) + index.drop_null().to_numpy(), return_counts=True)
+    rows, indices = np.divmod(keys, max(len(vocabulary), 1))
+    return rows, indices, counts
 
 
-def group_counts(vectors: DataFrame) -> DataFrame:
-    """(lang, source, index, count): the vectors' entries summed by group."""
-    entries = vectors.select("lang", "source", F.explode(F.arrays_zip("indices", "counts")).alias("e"))
-    return entries.groupBy("lang", "source", F.col("e.indices").alias("index")).agg(F.sum(F.col("e.counts").cast("long")).alias("count"))
+def _with_vocabulary(docs: DataFrame, vocabulary: list[str]) -> tuple[DataFrame, Broadcast]:
+    """(lang, source, text) and the vocabulary for the tasks, as CountVectorizer's model sends it."""
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    words = pa.array([None if w == "" else w for w in vocabulary], pa.string())
+    return docs.select(of("lang"), of("source"), "text"), docs.sparkSession.sparkContext.broadcast(words)
+
+
+def document_vectors(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(lang, source, indices, counts) of every document: its sparse vector over the vocabulary."""
+    rows, words = _with_vocabulary(docs, vocabulary)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                row, index, count = _vectors(part.column(2), words.value)
+                offsets = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (index.astype(np.int32), count.astype(np.int64))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["lang", "source", "indices", "counts"])
+
+    return rows.mapInArrow(each, "lang string, source string, indices array<int>, counts array<long>")
+
+
+def group_counts(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(lang, source, index, count, documents): the vectors' entries summed by group, and how many vectors have one.
+
+    Tasks sum the vectors that they make, in arrays of bounded size, before anything is shuffled.
+    """
+    rows, words = _with_vocabulary(docs, vocabulary)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], int] = {}
+        held: list[Vectors] = []
+        waiting = 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                names = zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                group = np.array([groups.setdefault(g, len(groups)) for g in names], np.int64)
+                row, index, count = _vectors(part.column(2), words.value)
+                held.append(((group[row] << 32) | index, count.astype(np.int64), np.ones(len(row), np.int64)))
+                waiting += len(row)
+                if waiting >= HELD:
+                    held[:] = [_reduced(held)]
+                    waiting = len(held[0][0])
+                    if 2 * waiting >= HELD:
+                        yield from _written(held.pop(), groups)
+                        waiting = 0
+        if held:
+            yield from _written(_reduced(held), groups)
+
+    partial = rows.mapInArrow(summed, "lang string, source string, index int, count long, documents long")
+    return partial.groupBy("lang", "source", "index").agg(*[F.sum(c).alias(c) for c in ("count", "documents")])
+
+
+def _reduced(held: list[Vectors]) -> Vectors:
+    keys, counts, documents = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return keys[first], np.add.reduceat(counts[order], first), np.add.reduceat(documents[order], first)
+
+
+def _written(sums: Vectors, groups: dict[tuple[str, str], int]) -> Iterator[pa.RecordBatch]:
+    names = [pa.array([g[i] for g in groups], pa.string()) for i in (0, 1)]
+    for a in range(0, len(sums[0]), PIECE):
+        keys, counts, documents = (x[a : a + PIECE] for x in sums)
+        columns = [n.take(pa.array(keys >> 32)) for n in names]
+        columns += [pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(counts), pa.array(documents)]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "index", "count", "documents"])
 
 
 def _share(count: Column, total: Column, terms: Column) -> Column:
@@ -80,11 +168,14 @@ def source_divergence(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, term_
     difference, down to rank ``term_ranks``. Ranks go by falling value, then by the item's UTF-8. Repeated rows count as
     often as they occur; other columns are not read; an empty table gives an empty one.
     """
-    terms = keyed_terms(docs)
-    vectors, vocabulary = document_vectors(terms, min_documents)
-    vocabulary = materialize(vocabulary, "vocabulary")
-    groups = materialize(terms.select("lang", "source").distinct(), "groups")
-    counts = materialize(group_counts(vectors), "group-counts")
+    vocabulary = fit_vocabulary(docs, min_documents)
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    groups = materialize(docs.select(of("lang"), of("source")).distinct(), "groups")
+    counts = materialize(group_counts(docs, vocabulary), "group-counts")
+    words = docs.sparkSession.createDataFrame(pa.table({"index": pa.array(range(len(vocabulary)), pa.int32()), "term": pa.array(vocabulary, pa.string())}))
+    held = counts.groupBy("lang", "index").agg(F.sum("documents").alias("documents")).where(F.col("documents") >= min_documents)
+    vocabulary = materialize(held.join(words, "index").select("lang", "index", "term"), "vocabularies")
+    counts = materialize(counts.join(vocabulary.select("lang", "index"), ["lang", "index"], "left_semi").drop("documents"), "kept-counts")
 
     sizes = vocabulary.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     totals = counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
@@ -107,9 +198,9 @@ def _terms(counts: DataFrame, groups: DataFrame, shares: DataFrame, vocabulary:
     """(lang, source, item, value): the terms a source uses more than its language."""
     whole = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("terms").alias("terms"))
     of_lang = counts.groupBy("lang", "index").agg(F.sum("count").alias("count")).join(whole, "lang")
-    of_lang = of_lang.select("index", _share(F.col("count"), F.col("total"), F.col("terms")).alias("q"))
-    above = shares.join(of_lang, "index").where("p > q").select("source", "index", (F.col("p") - F.col("q")).alias("value"))
-    return above.join(vocabulary, "index").select("lang", "source", F.col("term").alias("item"), "value")
+    of_lang = of_lang.select("lang", "index", _share(F.col("count"), F.col("total"), F.col("terms")).alias("q"))
+    above = shares.join(of_lang, ["lang", "index"]).where("p > q").select("lang", "source", "index", (F.col("p") - F.col("q")).alias("value"))
+    return above.join(vocabulary, ["lang", "index"]).select("lang", "source", F.col("term").alias("item"), "value")
 
 
 def _pairs(groups: DataFrame, shares: DataFrame) -> DataFrame:
