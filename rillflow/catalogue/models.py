@@ -431,32 +431,170 @@ def render_cfe(spark, sf):
     return bmi.render_bmi_configs(params.params_cfe(subset(spark, sf), calibrated(spark, sf), "CFE-S", True), "cfe")
 
 
-# Documents with projected coordinates in full precision differ in the last digit between engines, so these are
-# checked by their parameter queries and by the tests.
-@query("render_bmi_snow17")
+# Documents with projected coordinates in full precision differ in the last digit between engines, so these are compared
+# line by line, the numbers that depend on the catchment rounded and taken out of the text.
+def _numbered(module: str, lines: list[tuple[str, str | None]], source: str) -> str:
+    """Lines are given as SQL: the text without its number, and the number."""
+    structs = ", ".join(f"{{'pos': {i}, 'text': {t}, 'number': round(({n or 'NULL'})::DOUBLE, 6)}}" for i, (t, n) in enumerate(lines))
+    return (
+        _SQL
+        + f"""SELECT basin, catchment, file_name, l.pos AS pos, l.text AS text, l.number AS number
+FROM (SELECT basin, catchment, catchment || '_bmi_config_{module}.txt' AS file_name, unnest([{structs}]) AS l FROM ({source}))"""
+    )
+
+
+def _text(line: str) -> tuple[str, None]:
+    return "'" + line.replace("'", "''") + "'", None
+
+
+def document_lines(documents, names: str):
+    """(basin, catchment, file_name, pos, text, number): the lines of documents, rounded numbers apart for some names."""
+    pattern = rf"^({names.replace(' ', '|')})(: |=)(-?[0-9][0-9.eE+-]*)"
+    lines = documents.select("basin", "catchment", "file_name", F.posexplode(F.split("content", "\n")).alias("pos", "line"))
+    number = F.round(F.nullif(F.regexp_extract("line", pattern, 3), F.lit("")).cast("double"), 6)
+    return lines.select("basin", "catchment", "file_name", "pos", F.regexp_replace("line", pattern, "$1$2").alias("text"), number.alias("number"))
+
+
+_PLACE = f"round({LAT_SQL}, 6)", f"round({LON_SQL}, 6)"
+_PRESSURE = "round_even(101325 * pow(1 - 0.0065 * (6356766 * z / (6356766 + z)) / 288.15, 9.80665 / (0.0065 * 287.05287)), 4)"
+
+
+@query(
+    "render_bmi_snow17",
+    _numbered(
+        "snow17",
+        [("'hru_id: ' || catchment", None), ("'hru_area: '", "hru_area"), ("'latitude: '", "latitude"), ("'elev: '", "elev"), _text("scf: 1.1"),
+         ("'mf_max: '", "mf_max"), ("'mf_min: '", "mf_min"), ("'uadj: '", "uadj"),
+         *map(_text, ["si: 500.0", "pxtemp: 1.0", "nmf: 0.15", "tipm: 0.1", "mbase: 0.0", "plwhc: 0.03", "daygm: 0.0", "adc1: 0.05"]),
+         *[_text(f"adc{i}: {(i - 1) / 10}") for i in range(2, 12)]],
+        _SNOW + f""", s.mfmax AS mf_max, s.mfmin AS mf_min, s.uadj AS uadj FROM attrs a
+LEFT {_AREA} JOIN sac_params s ON s.divide_id = a.divide_id""",
+    ),
+)
 def render_snow17(spark, sf):
-    return bmi.render_bmi_configs(params.params_snow17(subset(spark, sf), calibrated(spark, sf)), "snow17")
+    documents = bmi.render_bmi_configs(params.params_snow17(subset(spark, sf), calibrated(spark, sf)), "snow17")
+    return document_lines(documents, "hru_area latitude elev mf_max mf_min uadj")
 
 
-@query("render_bmi_lstm")
+@query(
+    "render_bmi_lstm",
+    _numbered(
+        "lstm",
+        [("'area_sqkm: '", "areasqkm"), ("'basin_id: ' || basin", None), _text("basin_name: "), ("'elev_mean: '", "elev"), _text("inital_state: zero"),
+         ("'lat: '", "lat"), ("'lon: '", "lon"), ("'slope_mean: '", "slope"), *map(_text, ["timestep: 1 hour", "train_cfg_file: ", "verbose: 0"])],
+        f"""SELECT a.basin, a.divide_id AS catchment, d.areasqkm, "mean.elevation" * 0.01 AS elev, {_PLACE[0]} AS lat,
+  {_PLACE[1]} AS lon, "mean.slope" AS slope FROM attrs a LEFT {_AREA}""",
+    ),
+)
 def render_lstm(spark, sf):
-    return bmi.render_bmi_configs(params.params_lstm(subset(spark, sf)), "lstm")
+    documents = bmi.render_bmi_configs(params.params_lstm(subset(spark, sf)), "lstm")
+    return document_lines(documents, "area_sqkm elev_mean lat lon slope_mean")
 
 
-@query("render_bmi_lasam", _SQL + """SELECT basin, divide_id AS catchment, 'layer_soil_type=' || CAST("mode.ISLTYP" AS VARCHAR) AS line FROM attrs""")
+@query(
+    "render_bmi_lasam",
+    _numbered(
+        "lasam",
+        [*map(_text, """verbosity=none
+soil_params_file=vG_default_params.dat
+layer_thickness=200.0[cm]
+initial_psi=2000.0[cm]
+timestep=300[sec]
+endtime=1000[hr]
+forcing_resolution=3600[sec]
+ponded_depth_max=1.1[cm]
+use_closed_form_G=False""".split("\n")),
+         ("'layer_soil_type='", '"mode.ISLTYP"'),
+         *map(_text, """max_soil_types=15
+wilting_point_psi=15495.0[cm]
+field_capacity_psi=340.9[cm]
+giuh_ordinates=0.06,0.51,0.28,0.12,0.03
+calib_params=True
+adaptive_timestep=True
+sft_coupled=False
+soil_z=10,30,100.0,200.0[cm]""".split("\n"))],
+        'SELECT basin, divide_id AS catchment, "mode.ISLTYP" FROM attrs',
+    ),
+)
 def render_lasam(spark, sf):
-    documents = bmi.render_bmi_configs(params.params_lasam(subset(spark, sf), False), "lasam")
-    return documents.select("basin", "catchment", F.get(F.split("content", "\n"), F.lit(9)).alias("line"))
+    return document_lines(bmi.render_bmi_configs(params.params_lasam(subset(spark, sf), False), "lasam"), "layer_soil_type")
 
 
-@query("render_bmi_noahowp")
+@query(
+    "render_bmi_noahowp",
+    _numbered(
+        "noahowp",
+        [*map(_text, """dt=3600.0 [s]
+startdate=202408260000
+enddate=202408260000
+forcing_filename=.
+output_filename=.
+parameter_dir=test
+general_table=GENPARM.TBL
+soil_table=SOILPARM.TBL
+noahowp_table=MPTABLE.TBL
+soil_class_name=STAS
+veg_class_name=USGS""".split("\n")),
+         ("'lat= [degrees]'", "lat"), ("'lon= [degrees]'", "lon"), ("'terrain_slope= [degrees]'", '"mean.slope"'),
+         ("'azimuth=  [degrees clockwise from north]'", '"circ_mean.aspect"'),
+         *map(_text, """ZREF=10.0 [m]
+rain_snow_thresh=0.5 [C]
+precip_phase_option=6
+snow_albedo_option=1
+dynamic_veg_option=4
+runoff_option=3
+drainage_option=8
+frozen_soil_option=1
+dynamic_vic_option=1
+radiative_transfer_option=3
+sfc_drag_coeff_option=1
+canopy_stom_resist_option=1
+crop_model_option=0
+snowsoil_temp_time_option=3
+soil_temp_boundary_option=2
+supercooled_water_option=1
+stomatal_resistance_option=1
+evap_srfc_resistance_option=4
+subsurface_option=2""".split("\n")),
+         ("'isltyp='", '"mode.ISLTYP"'), *map(_text, ["nsoil=4", "nsnow=3", "nveg=27"]), ("'vegtyp='", '"mode.IVGTYP"'), _text("croptype=0"),
+         ("'sfctyp='", 'CASE WHEN "mode.IVGTYP" = 16 THEN 2 ELSE 1 END'),
+         *map(_text, """soilcolor=4
+dzsnso=0.0,0.0,0.0,0.1,0.3,0.6,1.0 [m]
+sice=0.0,0.0,0.0,0.0 [m3/m3]
+sh2o=0.3,0.3,0.3,0.3 [m3/m3]
+zwt=-2.0 [m]""".split("\n"))],
+        f'SELECT *, divide_id AS catchment, {_PLACE[0]} AS lat, {_PLACE[1]} AS lon FROM attrs',
+    ),
+)
 def render_noahowp(spark, sf):
-    return bmi.render_bmi_configs(params.params_noah_owp(subset(spark, sf)), "noahowp")
+    documents = bmi.render_bmi_configs(params.params_noah_owp(subset(spark, sf)), "noahowp")
+    return document_lines(documents, "lat lon terrain_slope azimuth isltyp vegtyp sfctyp")
 
 
-@query("render_bmi_ueb")
+@query(
+    "render_bmi_ueb",
+    _numbered(
+        "ueb",
+        [("'aspect: '", '"circ_mean.aspect"'), ("'slope: '", '"mean.slope"'), ("'longitude: '", "lon"), ("'latitude: '", "lat"), ("'elevation: '", "z"),
+         ("'standard_atm_pressure: '", _PRESSURE),
+         *map(_text, """jan_temp_range: 11.04395
+feb_temp_range: 11.79382
+mar_temp_range: 12.72711
+apr_temp_range: 13.67701
+may_temp_range: 13.70334
+jun_temp_range: 13.76782
+jul_temp_range: 13.90212
+aug_temp_range: 13.9958
+sep_temp_range: 14.04895
+oct_temp_range: 13.44001
+nov_temp_range: 11.90162
+dec_temp_range: 10.71597""".split("\n"))],
+        f'SELECT *, divide_id AS catchment, "mean.elevation" * 0.01 AS z, {_PLACE[0]} AS lat, {_PLACE[1]} AS lon FROM attrs',
+    ),
+)
 def render_ueb(spark, sf):
-    return bmi.render_bmi_configs(params.params_ueb(subset(spark, sf)), "ueb")
+    documents = bmi.render_bmi_configs(params.params_ueb(subset(spark, sf)), "ueb")
+    return document_lines(documents, "aspect slope longitude latitude elevation standard_atm_pressure")
 
 
 def defaults(spark, sf):

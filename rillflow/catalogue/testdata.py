@@ -140,7 +140,7 @@ SELECT 'cat-' || (l_partkey + 1) AS divide_id, round(avg(l_quantity), 6) + 20 AS
   """
     + ", ".join(f"max(l_quantity) / {4 + i} AS b{i:02d}" for i in range(1, 13))
     + """
-FROM {lineitem} WHERE l_returnflag <> 'A' GROUP BY l_partkey""",
+FROM {lineitem} GROUP BY l_partkey""",
     "xs": """
 SELECT CAST(l_partkey + 1 AS string) AS flowpath_id, CAST(l_linenumber AS double) AS river_station,
   l_extendedprice AS source_river_station, l_quantity AS "TW", l_discount * 100 AS "Ym",

@@ -150,7 +150,7 @@ def test_ranges_meet_points_once_each(spark):
     points = spark.createDataFrame([(i * 97, "g" if i % 2 else "h") for i in range(200)], "at long, g string")
     edge = [(0, BLOCK - 1), (BLOCK, BLOCK), (5, 9 * BLOCK + 3), (3, 2), (BLOCK * 2 - 1, BLOCK * 2)]
     ranges = spark.createDataFrame([(a, b, "g") for a, b in edge], "lo long, hi long, g string")
-    got = sorted((r.lo, r.hi, r["at"]) for r in within(ranges, points, "at", "lo", "hi", ("g",)).collect())
+    got = sorted((r.lo, r.hi, r["at"]) for r in within(ranges, points, "at", "lo", "hi", ("g",), keep=True).collect())
     assert got == sorted((a, b, i * 97) for a, b in edge for i in range(1, 200, 2) if a <= i * 97 <= b)
 
 
