@@ -372,9 +372,12 @@ k2 AS (SELECT *, (pow({_m("a1")}, 2) - pow({_m("a2")}, 2)) / ({_q("a2")} - {_q("
 k3 AS (SELECT *, pow({_m("a1")}, 2) + an * {_q("a1")} AS ac, a * {_m("s1")} / (sn * pow({_t("s1")}, sn)) AS sf FROM k2),
 utm AS (SELECT *, (3300000 + j * 10000) / (0.9996e0 * rect) AS xi, (400000 + i * 2000 - 500000) / (0.9996e0 * rect) AS eta
   FROM p, k3 WHERE kind = 2),
-b AS (SELECT *, n / 2 - 2 * pow(n, 2) / 3 + 37 * pow(n, 3) / 96 AS b1, pow(n, 2) / 48 + pow(n, 3) / 15 AS b2, 17 * pow(n, 3) / 480 AS b3 FROM utm),
-u AS (SELECT kind, i, j, -99 AS centre, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) AS xi,
-  eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) AS eta FROM b),
+b AS (SELECT *, n / 2 - 2 * pow(n, 2) / 3 + 37 * pow(n, 3) / 96 - pow(n, 4) / 360 AS b1, pow(n, 2) / 48 + pow(n, 3) / 15 - 437 * pow(n, 4) / 1440 AS b2,
+  17 * pow(n, 3) / 480 - 37 * pow(n, 4) / 840 AS b3, 4397 * pow(n, 4) / 161280 AS b4 FROM utm),
+u AS (SELECT kind, i, j, -99 AS centre, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta)
+    - b4 * sin(8 * xi) * cosh(8 * eta) AS xi,
+  eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta)
+    - b4 * cos(8 * xi) * sinh(8 * eta) AS eta FROM b),
 conic AS (SELECT *, (2000000 + i * 5000) * 1200e0 / 3937 - 700000 AS dx,
   sf * pow({_t("s0")}, sn) - ((9800000 + j * 50000) * 1200e0 / 3937 - 3000000) AS dy FROM p, k3 WHERE kind = 3),
 chi AS (SELECT kind, i, j, asin(sin(xi) / cosh(eta)) AS chi, radians(-99e0) + atan2(sinh(eta), cos(xi)) AS lam FROM u
@@ -434,6 +437,65 @@ def consolidate_xs_rows(spark, sf):
     )
 
 
+# The same for a transverse zone, by series about the foot of the meridian, and an oblique one (Snyder 1987).
+_MERCATOR = f"""WITH p AS (SELECT DISTINCT l_linenumber % 2 AS kind, l_partkey % 100 AS i, l_suppkey % 10 AS j FROM lineitem),
+k AS (SELECT *, radians(29.5e0) AS a1, radians(45.5e0) AS a2, radians(30e0) AS o FROM
+  (SELECT 6378137e0 AS a, f * (2 - f) AS e2, sqrt(f * (2 - f)) AS e FROM (SELECT 1e0 / 298.257222101e0 AS f))),
+k2 AS (SELECT *, (pow({_m("a1")}, 2) - pow({_m("a2")}, 2)) / ({_q("a2")} - {_q("a1")}) AS an, e2 / (1 - e2) AS ep,
+  (1 - sqrt(1 - e2)) / (1 + sqrt(1 - e2)) AS e1 FROM k),
+k3 AS (SELECT *, pow({_m("a1")}, 2) + an * {_q("a1")} AS ac FROM k2),
+west AS (SELECT p.*, k3.*, (i - 50) * 500e0 / 0.9999e0 AS dx, o - (3 * e1 / 2 - 9 * pow(e1, 3) / 16) * sin(2 * o) + (15 * pow(e1, 2) / 16 - 15 * pow(e1, 4) / 32) * sin(4 * o)
+  - 35 * pow(e1, 3) / 48 * sin(6 * o) + 315 * pow(e1, 4) / 512 * sin(8 * o)
+  + (j * 30000 + 50000) / 0.9999e0 / (a / (1 + e1) * (1 + pow(e1, 2) / 4 + pow(e1, 4) / 64)) AS mu FROM p, k3 WHERE kind = 0),
+foot AS (SELECT *, mu + (3 * e1 / 2 - 27 * pow(e1, 3) / 32) * sin(2 * mu) + (21 * pow(e1, 2) / 16 - 55 * pow(e1, 4) / 32) * sin(4 * mu)
+  + 151 * pow(e1, 3) / 96 * sin(6 * mu) + 1097 * pow(e1, 4) / 512 * sin(8 * mu) AS f1 FROM west),
+foot2 AS (SELECT *, ep * pow(cos(f1), 2) AS c, pow(tan(f1), 2) AS t, a / sqrt(1 - e2 * pow(sin(f1), 2)) AS n1,
+  a * (1 - e2) / pow(1 - e2 * pow(sin(f1), 2), 1.5) AS r1 FROM foot),
+foot3 AS (SELECT *, dx / n1 AS d FROM foot2),
+tm AS (SELECT kind, i, j, f1 - n1 * tan(f1) / r1 * (d * d / 2 - (5 + 3 * t + 10 * c - 4 * c * c - 9 * ep) * pow(d, 4) / 24
+    + (61 + 90 * t + 298 * c + 45 * t * t - 252 * ep - 3 * c * c) * pow(d, 6) / 720) AS phi,
+  radians(-84e0 - 1e0 / 6) + (d - (1 + 2 * t + c) * pow(d, 3) / 6 + (5 - 2 * c + 28 * t - 3 * c * c + 8 * ep + 24 * t * t) * pow(d, 5) / 120) / cos(f1) AS lam
+  FROM foot3),
+h AS (SELECT *, radians(57e0) AS fc, radians(323 + 7e0 / 60 + 48.3685e0 / 3600) AS al FROM k3),
+h2 AS (SELECT *, sqrt(1 + e2 * pow(cos(fc), 4) / (1 - e2)) AS hb, {_t("fc")} AS t0 FROM h),
+h3 AS (SELECT *, a * hb * 0.9999e0 * sqrt(1 - e2) / (1 - e2 * pow(sin(fc), 2)) AS ha, hb * sqrt(1 - e2) / (cos(fc) * sqrt(1 - e2 * pow(sin(fc), 2))) AS hd FROM h2),
+h4 AS (SELECT *, hd + sqrt(hd * hd - 1) AS hf, asin(sin(al) / hd) AS g0 FROM h3),
+h5 AS (SELECT *, hf * pow(t0, hb) AS hh, radians(-133e0 - 2e0 / 3) - asin((hf - 1 / hf) / 2 * tan(g0)) / hb AS l0 FROM h4),
+skew AS (SELECT p.kind, p.i, p.j, h5.*, (i * 2000 + 750000 - 5000000) * cos(al) - (j * 30000 + 500000 + 5000000) * sin(al) AS v,
+  (j * 30000 + 500000 + 5000000) * cos(al) + (i * 2000 + 750000 - 5000000) * sin(al) AS u FROM p, h5 WHERE kind = 1),
+skew2 AS (SELECT *, sinh(-hb * v / ha) AS s, cosh(hb * v / ha) AS t, sin(hb * u / ha) AS w FROM skew),
+skew3 AS (SELECT *, (w * cos(g0) + s * sin(g0)) / t AS z FROM skew2),
+chi AS (SELECT *, pi() / 2 - 2 * atan(pow(hh / sqrt((1 + z) / (1 - z)), 1 / hb)) AS chi FROM skew3),
+spots AS (SELECT kind, i, j, lam, pi() / 2 - 2 * atan({_t("phi")}) AS chi FROM tm, k3
+  UNION ALL SELECT kind, i, j, l0 - atan2(s * cos(g0) - w * sin(g0), cos(hb * u / ha)) / hb, chi FROM chi),
+geo AS (SELECT kind, i, j, lam, chi + (e2 / 2 + 5 * pow(e2, 2) / 24 + pow(e2, 3) / 12 + 13 * pow(e2, 4) / 360) * sin(2 * chi)
+    + (7 * pow(e2, 2) / 48 + 29 * pow(e2, 3) / 240 + 811 * pow(e2, 4) / 11520) * sin(4 * chi)
+    + (7 * pow(e2, 3) / 120 + 81 * pow(e2, 4) / 1120) * sin(6 * chi) + 4279 * pow(e2, 4) / 161280 * sin(8 * chi) AS phi FROM spots, k3),
+polar AS (SELECT kind, i, j, an * (lam + radians(96e0)) AS theta, a * sqrt(ac - an * {_q("phi")}) / an AS rho,
+  a * sqrt(ac - an * {_q("radians(23e0)")}) / an AS rho0 FROM geo, k3)
+"""
+
+
+@query(
+    "consolidate_xs_mercator",
+    _MERCATOR
+    + """SELECT l_orderkey AS order_key, l_linenumber AS xs_id, CAST(l_partkey + 1 AS VARCHAR) AS flowpath_id,
+  CASE kind WHEN 0 THEN 26967 ELSE 26931 END AS epsg, round(rho * sin(theta), 3) AS x, round(rho0 - rho * cos(theta), 3) AS y
+FROM lineitem JOIN polar ON kind = l_linenumber % 2 AND i = l_partkey % 100 AND j = l_suppkey % 10""",
+)
+def consolidate_xs_mercator(spark, sf):
+    """Sections surveyed in a transverse State Plane zone and in the oblique one, all of them projected."""
+    i, j = (F.col("min_x") % 100).cast("double"), (F.col("min_y") % 10).cast("double")
+    west = F.col("xs_id") % 2 == 0
+    surveyed = sections(spark, sf).withColumns({
+        "epsg": F.when(west, 26967).otherwise(26931),
+        "x": F.when(west, (i - 50) * 500 + 700_000).otherwise(i * 2000 + 750_000),
+        "y": F.when(west, j * 30_000 + 50_000).otherwise(j * 30_000 + 500_000),
+    })
+    projected = cf.consolidate_xs(surveyed, "x", "y")
+    return projected.select("order_key", "xs_id", "flowpath_id", "epsg", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query(
     "append_rows",
     td.ctes("xs", "reference_divides")

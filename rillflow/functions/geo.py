@@ -9,7 +9,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -96,6 +96,9 @@ class Lambert:
         scale = _A * m1 / (n * t(one) ** n)
         return n, scale, scale * t(self.lat) ** n
 
+    def numbers(self) -> tuple[float, ...]:
+        return (self.unit, self.east, self.north, self.lon, *self.cone())
+
 
 # State Plane zones of Texas (EPSG codes in US survey feet, and in metres).
 _TEXAS = (
@@ -105,11 +108,80 @@ _TEXAS = (
     (2278, 32140, Lambert(-99.0, 27 + 5 / 6, (30 + 17 / 60, 28 + 23 / 60), 600_000, 4_000_000)),
     (2279, 32141, Lambert(-98.5, 25 + 2 / 3, (27 + 5 / 6, 26 + 1 / 6), 300_000, 5_000_000)),
 )
-STATE_PLANE = {feet: replace(zone, unit=US_FOOT) for feet, _, zone in _TEXAS} | {metres: zone for _, metres, zone in _TEXAS}
 
-# EPSG codes of NAD83 UTM zones (26900 + zone), and the system's scale and offset.
-UTM_FIRST, UTM_LAST = 26901, 26923
-_UTM_SCALE, _UTM_EAST = 0.9996, 500_000.0
+
+@dataclass(frozen=True)
+class Transverse:
+    """A transverse Mercator system on GRS80; origin in degrees, offsets in metres, scale on the central meridian."""
+
+    lon: float
+    lat: float
+    scale: float
+    east: float
+    north: float = 0.0
+    unit: float = 1.0
+
+    def start(self) -> float:
+        """The rectifying latitude of the origin, in radians (Krueger 1912)."""
+        phi = math.radians(self.lat)
+        sine = math.sin(phi)
+        chi = 2 * math.atan(math.tan(math.pi / 4 + phi / 2) * ((1 - _E * sine) / (1 + _E * sine)) ** (_E / 2)) - math.pi / 2
+        return chi + sum(factor * math.sin(2 * step * chi) for step, factor in enumerate(_ALPHA, start=1))
+
+    def numbers(self) -> tuple[float, ...]:
+        return self.unit, self.east, self.north, self.lon, self.start(), self.scale * _RECTIFYING
+
+
+@dataclass(frozen=True)
+class Oblique:
+    """An oblique Mercator system on GRS80 (Hotine, offsets at the natural origin); centre and azimuth in degrees."""
+
+    lon: float
+    lat: float
+    azimuth: float
+    scale: float
+    east: float
+    north: float
+    unit: float = 1.0
+
+    def constants(self) -> tuple[float, ...]:
+        """A, B and H of the projection, the azimuth at the equator, its longitude in degrees and the azimuth (Snyder 1987)."""
+        phi, alpha = math.radians(self.lat), math.radians(self.azimuth)
+        sine, cosine = math.sin(phi), math.cos(phi)
+        b = math.sqrt(1 + _E2 * cosine**4 / (1 - _E2))
+        a = _A * b * self.scale * math.sqrt(1 - _E2) / (1 - _E2 * sine * sine)
+        t = math.tan(math.pi / 4 - phi / 2) / ((1 - _E * sine) / (1 + _E * sine)) ** (_E / 2)
+        d = max(1.0, b * math.sqrt(1 - _E2) / (cosine * math.sqrt(1 - _E2 * sine * sine)))
+        f = d + math.copysign(math.sqrt(d * d - 1), phi)
+        gamma = math.asin(math.sin(alpha) / d)
+        lon = self.lon - math.degrees(math.asin((f - 1 / f) / 2 * math.tan(gamma)) / b)
+        return a, b, f * t**b, gamma, lon, alpha
+
+    def numbers(self) -> tuple[float, ...]:
+        a, b, h, gamma, lon, azimuth = self.constants()
+        return self.unit, self.east, self.north, lon, azimuth, a, b, h, gamma
+
+
+Zone = Lambert | Transverse | Oblique
+
+# State Plane zones in metres by EPSG code, transverse ones of five states and Alaska's first.
+_MERCATOR = {
+    26929: Transverse(-(85 + 5 / 6), 30.5, 0.99996, 200_000),
+    26930: Transverse(-87.5, 30.0, 1 - 1 / 15_000, 600_000),
+    26931: Oblique(-(133 + 2 / 3), 57.0, 323 + 7 / 60 + 48.3685 / 3600, 0.9999, 5_000_000, -5_000_000),
+    26958: Transverse(-81.0, 24 + 1 / 3, 1 - 1 / 17_000, 200_000),
+    26959: Transverse(-82.0, 24 + 1 / 3, 1 - 1 / 17_000, 200_000),
+    26966: Transverse(-(82 + 1 / 6), 30.0, 0.9999, 200_000),
+    26967: Transverse(-(84 + 1 / 6), 30.0, 0.9999, 700_000),
+    26971: Transverse(-(88 + 1 / 3), 36 + 2 / 3, 0.999975, 300_000),
+    26972: Transverse(-(90 + 1 / 6), 36 + 2 / 3, 1 - 1 / 17_000, 700_000),
+    26973: Transverse(-(85 + 2 / 3), 37.5, 1 - 1 / 30_000, 100_000, 250_000),
+    26974: Transverse(-(87 + 1 / 12), 37.5, 1 - 1 / 30_000, 900_000, 250_000),
+}
+STATE_PLANE: dict[int, Zone] = {feet: replace(zone, unit=US_FOOT) for feet, _, zone in _TEXAS} | {metres: zone for _, metres, zone in _TEXAS} | _MERCATOR
+
+# EPSG codes of NAD83 UTM zones are 26900 + zone, the system's scale and offset are the same in all.
+UTM: dict[int, Zone] = {26900 + zone: Transverse(6.0 * zone - 183, 0.0, 0.9996, 500_000) for zone in range(1, 24)}
 
 # Series from conformal to geodetic latitude (Snyder 1987, eq. 3-5).
 _CONFORMAL = (
@@ -119,13 +191,20 @@ _CONFORMAL = (
     4279 * _E2**4 / 161280,
 )
 
-# Inverse transverse Mercator (Krueger 1912), to the third power of the third flattening.
+# Transverse Mercator (Krueger 1912) to the fourth power of the third flattening, back and forth.
 _THIRD = _F / (2 - _F)
 _RECTIFYING = _A / (1 + _THIRD) * (1 + _THIRD**2 / 4 + _THIRD**4 / 64)
 _BETA = (
-    _THIRD / 2 - 2 * _THIRD**2 / 3 + 37 * _THIRD**3 / 96,
-    _THIRD**2 / 48 + _THIRD**3 / 15,
-    17 * _THIRD**3 / 480,
+    _THIRD / 2 - 2 * _THIRD**2 / 3 + 37 * _THIRD**3 / 96 - _THIRD**4 / 360,
+    _THIRD**2 / 48 + _THIRD**3 / 15 - 437 * _THIRD**4 / 1440,
+    17 * _THIRD**3 / 480 - 37 * _THIRD**4 / 840,
+    4397 * _THIRD**4 / 161280,
+)
+_ALPHA = (
+    _THIRD / 2 - 2 * _THIRD**2 / 3 + 5 * _THIRD**3 / 16 + 41 * _THIRD**4 / 180,
+    13 * _THIRD**2 / 48 - 3 * _THIRD**3 / 5 + 557 * _THIRD**4 / 1440,
+    61 * _THIRD**3 / 240 - 103 * _THIRD**4 / 140,
+    49561 * _THIRD**4 / 161280,
 )
 
 
@@ -137,35 +216,59 @@ def geodetic_latitude(conformal: Column) -> Column:
     return F.degrees(phi)
 
 
-def utm_to_conformal(x: Column, y: Column, zone: Column) -> tuple[Column, Column]:
-    """Metres of a northern NAD83 UTM zone to longitude in degrees and conformal latitude in radians."""
-    xi, eta = y / (_UTM_SCALE * _RECTIFYING), (x - _UTM_EAST) / (_UTM_SCALE * _RECTIFYING)
+def _transverse(xi: Column, eta: Column, lon: Column) -> tuple[Column, Column]:
+    """Rectified coordinates of a transverse system to longitude in degrees and conformal latitude in radians."""
     up, right = xi, eta
     for step, factor in enumerate(_BETA, start=1):
         up = up - factor * F.sin(2 * step * xi) * F.cosh(2 * step * eta)
         right = right - factor * F.cos(2 * step * xi) * F.sinh(2 * step * eta)
-    lon = F.degrees(F.atan2(F.sinh(right), F.cos(up))) + zone * 6 - 183
-    return lon, F.asin(F.sin(up) / F.cosh(right))
-
+    return F.degrees(F.atan2(F.sinh(right), F.cos(up))) + lon, F.asin(F.sin(up) / F.cosh(right))
 
-def lambert_to_conformal(x: Column, y: Column, code: Column, zones: Mapping[int, Lambert]) -> tuple[Column, Column]:
-    """Coordinates of the conic system that ``code`` names in ``zones`` to longitude and conformal latitude, likewise.
 
-    The constants of all zones are one literal map, so a table of many zones is still one expression.
-    """
-    numbers = F.create_map(*[
-        F.lit(v)
-        for key, zone in zones.items()
-        for v in (key, [*zone.cone(), zone.lon, float(zone.east), float(zone.north), zone.unit])
-    ])
-    of = F.try_element_at(numbers, code.cast("int"))
-    n, scale, origin, lon, east, north, unit = (of[i] for i in range(7))
-    right, down = x * unit - east, origin - (y * unit - north)
+def _conic(right: Column, down: Column, lon: Column, n: Column, scale: Column) -> tuple[Column, Column]:
+    """Offsets from the apex of a cone to longitude and conformal latitude, likewise."""
     rho = F.sqrt(right * right + down * down) * F.signum(n)
     theta = F.atan2(right * F.signum(n), down * F.signum(n))
     return F.degrees(theta / n) + lon, F.lit(math.pi / 2) - 2 * F.atan(F.pow(rho / scale, 1 / n))
 
 
+def _skew(q: Column, along: Column, lon: Column, b: Column, h: Column, gamma: Column) -> tuple[Column, Column]:
+    """Skew coordinates of an oblique system, across as an exponential, to longitude and conformal latitude, likewise."""
+    s, t, v = (q - 1 / q) / 2, (q + 1 / q) / 2, F.sin(along)
+    u = (v * F.cos(gamma) + s * F.sin(gamma)) / t
+    turn = F.atan2(s * F.cos(gamma) - v * F.sin(gamma), F.cos(along))
+    return lon - F.degrees(turn) / b, F.lit(math.pi / 2) - 2 * F.atan(F.pow(h / F.sqrt((1 + u) / (1 - u)), 1 / b))
+
+
+def with_survey_lonlat(df: DataFrame, x: str, y: str, code: Column, zones: Mapping[int, Zone]) -> DataFrame:
+    """``df`` with ``_survey_lon`` and ``_survey_lat`` in degrees of coordinates in the system that ``code`` names in ``zones``.
+
+    Null for other codes. The constants of all zones are one literal map, and each step is a column of its own, so that
+    what it repeats is computed once and many zones make no more code than one.
+    """
+    table = F.create_map(*[F.lit(v) for key, zone in zones.items() for v in (key, [float(n) for n in zone.numbers()])])
+    df = df.withColumn("_zone", F.try_element_at(table, code))
+    of = lambda i: F.get("_zone", F.lit(i))
+    families = {kind: [key for key, zone in zones.items() if isinstance(zone, kind)] for kind in (Transverse, Lambert, Oblique)}
+
+    def by_family(transverse: Column, conic: Column, skew: Column) -> Column:
+        places = zip(families.values(), (transverse, conic, skew), strict=True)
+        return F.coalesce(*[F.when(code.isin(keys), place) for keys, place in places if keys], F.lit(None).cast("double"))
+
+    df = df.withColumns({"_right": F.col(x).cast("double") * of(0) - of(1), "_up": F.col(y).cast("double") * of(0) - of(2)})
+    right, up = F.col("_right"), F.col("_up")
+    across, along = right * F.cos(of(4)) - up * F.sin(of(4)), up * F.cos(of(4)) + right * F.sin(of(4))
+    df = df.withColumns({
+        "_p": by_family(up / of(5) + of(4), right, F.exp(-of(6) * across / of(5))),
+        "_q": by_family(right / of(5), of(6) - up, of(6) * along / of(5)),
+    })
+    p, q = F.col("_p"), F.col("_q")
+    found = [_transverse(p, q, of(3)), _conic(p, q, of(3), of(4), of(5)), _skew(p, q, of(3), of(6), of(7), of(8))]
+    df = df.withColumns({"_survey_lon": by_family(*[f[0] for f in found]), "_survey_conformal": by_family(*[f[1] for f in found])})
+    df = df.withColumn("_survey_lat", geodetic_latitude(F.col("_survey_conformal")))
+    return df.drop("_zone", "_right", "_up", "_p", "_q", "_survey_conformal")
+
+
 def _wkb_points(wkb: bytes) -> np.ndarray:
     """All coordinates of a WKB geometry as an (n, 2) array."""
     found: list[np.ndarray] = []

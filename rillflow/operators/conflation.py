@@ -7,8 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillflow.functions.geo import STATE_PLANE, UTM_FIRST, UTM_LAST, Lambert
-from rillflow.functions.geo import albers_to_lonlat, geodetic_latitude, lambert_to_conformal, lonlat_to_albers, utm_to_conformal
+from rillflow.functions.geo import STATE_PLANE, UTM, Zone, albers_to_lonlat, lonlat_to_albers, with_survey_lonlat
 from rillflow.functions.text import columns_of, or_none, river_reach_key
 from rillflow.plans.workspace import materialize
 
@@ -72,18 +71,18 @@ def crs_family(name):
 GEOGRAPHIC_NAD83, ALBERS = 4269, 5070
 
 
-def _projectable(code: Column, zones: Mapping[int, Lambert]) -> Column:
+def _projectable(code: Column, zones: Mapping[int, Zone]) -> Column:
     """Whether coordinates of an EPSG code can be projected."""
-    return F.coalesce(code.isin(ALBERS, GEOGRAPHIC_NAD83, *zones) | code.between(UTM_FIRST, UTM_LAST), F.lit(False))
+    return F.coalesce(code.isin(ALBERS, GEOGRAPHIC_NAD83, *UTM, *zones), F.lit(False))
 
 
-def _set_aside(zones: Mapping[int, Lambert]) -> Column:
+def _set_aside(zones: Mapping[int, Zone]) -> Column:
     """Whether a section has a code that can't be projected and names a system of another family than NAD83."""
     other = F.col("crs_name").isNotNull() & crs_family(F.col("crs_name")).isNull()
     return other & ~_projectable(F.col("epsg").cast("int"), zones)
 
 
-def unprojected_xs(xs: DataFrame, zones: Mapping[int, Lambert] = STATE_PLANE) -> DataFrame:
+def unprojected_xs(xs: DataFrame, zones: Mapping[int, Zone] = STATE_PLANE) -> DataFrame:
     """The sections that ``consolidate_xs`` doesn't return: as they are, with a null ``crs``.
 
     The two have all rows of ``xs``, so its count says how many are not in the common system.
@@ -91,29 +90,26 @@ def unprojected_xs(xs: DataFrame, zones: Mapping[int, Lambert] = STATE_PLANE) ->
     return xs.where(_set_aside(zones)).withColumn("crs", F.lit(None).cast("string")).select(*columns_of(xs.drop("crs")), "crs")
 
 
-def consolidate_xs(xs: DataFrame, x: str, y: str, zones: Mapping[int, Lambert] = STATE_PLANE) -> DataFrame:
+def consolidate_xs(xs: DataFrame, x: str, y: str, zones: Mapping[int, Zone] = STATE_PLANE) -> DataFrame:
     """All models' sections as one table in EPSG:5070, with ``x`` and ``y`` projected and ``crs`` set.
 
-    Rows say their system in ``epsg``: 5070 itself, geographic NAD83, a NAD83 UTM zone, or a conic zone of ``zones``,
-    which a caller extends by the zones of its surveys. They are projected by it, whatever ``crs_name`` says. Another
+    Rows say their system in ``epsg``: 5070 itself, geographic NAD83, a NAD83 UTM zone, or a conic, transverse
+    or oblique zone of ``zones``, which a caller extends by the zones of its surveys. They are projected by it, whatever ``crs_name`` says. Another
     code, or none, fails the job, as such a section can't be labelled with a system it was not projected to; but if its
     ``crs_name`` is of another family than NAD83, it is one of ``unprojected_xs`` instead. Null coordinates stay null.
     """
     known = xs.where(~_set_aside(zones))
     code, a, b = F.col("epsg").cast("int"), F.col(x).cast("double"), F.col(y).cast("double")
-    is_utm, is_conic = code.between(UTM_FIRST, UTM_LAST), code.isin(*zones)
-    utm, conic = utm_to_conformal(a, b, code - (UTM_FIRST - 1)), lambert_to_conformal(a, b, code, zones)
-    # each step is a column of its own: what it repeats is computed once
-    known = known.withColumns({
-        "_survey_lon": F.when(code == GEOGRAPHIC_NAD83, a).when(is_utm, utm[0]).when(is_conic, conic[0]),
-        "_survey_conformal": F.when(is_utm, utm[1]).when(is_conic, conic[1]),
-    })
-    known = known.withColumn("_survey_lat", F.when(code == GEOGRAPHIC_NAD83, b).otherwise(geodetic_latitude(F.col("_survey_conformal"))))
+    systems = UTM | dict(zones)
+    in_zone = code.isin(*systems)
+    known = with_survey_lonlat(known, x, y, code, systems)
+    geographic = code == GEOGRAPHIC_NAD83
+    known = known.withColumns({"_survey_lon": F.when(geographic, a).otherwise(F.col("_survey_lon")), "_survey_lat": F.when(geographic, b).otherwise(F.col("_survey_lat"))})
     albers = lonlat_to_albers(F.col("_survey_lon"), F.col("_survey_lat"))
     unknown = F.raise_error(F.concat(F.lit("no projection for EPSG code "), F.coalesce(code.cast("string"), F.lit("null")))).cast("double")
 
     def projected(i: int, same: Column) -> Column:
-        return F.when(code == ALBERS, same).when((code == GEOGRAPHIC_NAD83) | is_utm | is_conic, albers[i]).otherwise(unknown)
+        return F.when(code == ALBERS, same).when((code == GEOGRAPHIC_NAD83) | in_zone, albers[i]).otherwise(unknown)
 
     out = known.withColumns({x: projected(0, a), y: projected(1, b), "crs": F.lit(f"EPSG:{ALBERS}")})
     return out.select(*columns_of(xs.drop("crs")), "crs")

@@ -128,3 +128,54 @@ def test_envelopes_of_all_geometry_kinds(spark):
     rows = [(g,) for g in (point, line, with_z, polygon, both, None)]
     got = [tuple(r[0]) for r in values(spark, rows, "g binary", geo.wkb_bounds("g"))]
     assert got == [(3, 4, 3, 4), (-5, 2, 1, 9), (0, 0, 1, 2), (0, 0, 4, 3), (0, 0, 4, 4), (None,) * 4]
+
+
+def krueger_forward(lon, lat, zone):
+    """Snyder's series from degrees to metres of a transverse zone, good to a millimetre near its meridian."""
+    e2 = geo._E2
+    ep = e2 / (1 - e2)
+
+    def arc(p):
+        return geo._A * ((1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * p - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * math.sin(2 * p)
+                         + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * math.sin(4 * p) - 35 * e2**3 / 3072 * math.sin(6 * p))
+
+    phi = math.radians(lat)
+    n, t, c = geo._A / math.sqrt(1 - e2 * math.sin(phi) ** 2), math.tan(phi) ** 2, ep * math.cos(phi) ** 2
+    a = math.radians(lon - zone.lon) * math.cos(phi)
+    x = zone.scale * n * (a + (1 - t + c) * a**3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep) * a**5 / 120)
+    y = zone.scale * (arc(phi) - arc(math.radians(zone.lat)) + n * math.tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a**4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep) * a**6 / 720))
+    return x + zone.east, y + zone.north
+
+
+def hotine_forward(lon, lat, zone):
+    a, b, h, gamma, lon0, azimuth = zone.constants()
+    phi, e = math.radians(lat), geo._E
+    t = math.tan(math.pi / 4 - phi / 2) / ((1 - e * math.sin(phi)) / (1 + e * math.sin(phi))) ** (e / 2)
+    q = h / t**b
+    s, tt = (q - 1 / q) / 2, (q + 1 / q) / 2
+    turn = b * math.radians(lon - lon0)
+    v = math.sin(turn)
+    u = (-v * math.cos(gamma) + s * math.sin(gamma)) / tt
+    across = a / (2 * b) * math.log((1 - u) / (1 + u))
+    along = a / b * math.atan2(s * math.cos(gamma) + v * math.sin(gamma), math.cos(turn))
+    return (across * math.cos(azimuth) + along * math.sin(azimuth) + zone.east, along * math.cos(azimuth) - across * math.sin(azimuth) + zone.north)
+
+
+def test_mercator_zones_come_back_from_their_forward_formulas(spark):
+    rows, want = [], {}
+    for code, zone in geo.STATE_PLANE.items():
+        if isinstance(zone, geo.Lambert):
+            continue
+        forward = hotine_forward if isinstance(zone, geo.Oblique) else krueger_forward
+        for k, (dlon, dlat) in enumerate([(0.0, 0.0), (0.7, 1.5), (-1.1, 3.0), (0.4, -0.3)]):
+            lon, lat = zone.lon + dlon, zone.lat + dlat
+            rows.append((code, k, *forward(lon, lat, zone)))
+            want[code, k] = (lon, lat)
+    df = spark.createDataFrame(rows, "code int, k int, x double, y double")
+    found = geo.with_survey_lonlat(df, "x", "y", F.col("code"), geo.STATE_PLANE)
+    got = {(r.code, r.k): (r._survey_lon, r._survey_lat) for r in found.collect()}
+    assert set(got) == set(want) and len(want) == 44
+    for key, place in want.items():
+        assert got[key] == pytest.approx(place, abs=2e-8), key  # two millimetres
+    origin = geo.STATE_PLANE[26967]
+    assert krueger_forward(origin.lon, origin.lat, origin) == (700_000, 0)
