@@ -18,13 +18,19 @@ def _balanced(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def write_layers(layers: dict[str, DataFrame], out: str) -> list[str]:
-    """Each layer that has rows to ``out/<layer>``; names of those written."""
+    """Each layer that has rows to ``out/<layer>``; names of those written.
+
+    A layer's plan runs once; whether it has rows is told by what was written, and an empty folder is taken away.
+    """
     written = []
     for name, df in layers.items():
-        if df.isEmpty():
+        path, spark = f"{out}/{name}", df.sparkSession
+        df.write.mode("overwrite").parquet(path)
+        if spark.read.schema(df.schema).parquet(path).isEmpty():
             log.warning("%s has no rows and is not written", name)
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
             continue
-        df.write.mode("overwrite").parquet(f"{out}/{name}")
         written.append(name)
     return written
 
