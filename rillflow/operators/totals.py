@@ -127,12 +127,9 @@ def basin_totals(layers: Layers, graph: RiverGraph, origins: DataFrame) -> DataF
     places_of = uri_sums.unionAll(uri_more).groupBy("basin").agg(F.sum("n").alias("hydrolocations"))
 
     out = sums.join(places_of, "basin", "left")
-    return materialize(
-        out.select(
-            "basin",
-            F.col("n").alias("catchments"),
-            F.when(F.col("known") > 0, F.col("area").cast("double")).alias("areasqkm"),
-            F.coalesce("hydrolocations", F.lit(0).cast("bigint")).alias("hydrolocations"),
-        ),
-        "basin-totals",
+    return out.select(
+        "basin",
+        F.col("n").alias("catchments"),
+        F.when(F.col("known") > 0, F.col("area").cast("double")).alias("areasqkm"),
+        F.coalesce("hydrolocations", F.lit(0).cast("bigint")).alias("hydrolocations"),
     )

@@ -91,11 +91,11 @@ def label_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame | None:
     down = edges.join(known, "dst", "left_semi").groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("up"))
     table = nodes.select("id").distinct().join(down, "id", "left").withColumn("size", F.lit(1).cast("bigint"))
     table = materialize(table, "sizes")
-    total = table.count()
-    rounds, jumps = 0, []
+    rounds, jumps, total = 0, [], 0
     while True:
-        moving = table.where(F.col("up").isNotNull())
-        if moving.isEmpty():
+        nodes_, moving = table.agg(F.count(F.lit(1)), F.count("up")).first()
+        total = total or nodes_
+        if not moving:
             break
         if 4**rounds > total:  # no way without a cycle is so long
             discard(table, *jumps)
