@@ -165,6 +165,26 @@ def _near(rows: DataFrame, centres: DataFrame) -> DataFrame:
     return pairs.select(F.least("r.id", "c.id").alias("a"), F.greatest("r.id", "c.id").alias("b")).distinct()
 
 
+def _connecting(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links of ``pairs`` that connect all that its similar pairs connect.
+
+    Members of a large group meet many centres of it, mostly the same few. Each is first compared with the one of least
+    hash, which joins most of a group to one centre; of the others only pairs of different components are compared.
+    """
+    hashed = lambda other: F.struct(F.xxhash64(other).alias("h"), "a", "b").alias("pair")
+    sides = pairs.select(F.col("a").alias("id"), hashed("b")).unionAll(pairs.select(F.col("b").alias("id"), hashed("a")))
+    first = sides.groupBy("id").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+    first = materialize(first, "first-pairs")
+    links = _confirmed(docs, first, percent)
+    roots = materialize(components(links), "components")
+    root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+    apart = pairs.join(first, ["a", "b"], "left_anti").join(root("a"), "a", "left").join(root("b"), "b", "left")
+    apart = apart.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    more = _confirmed(docs, materialize(apart, "pairs-apart"), percent)
+    discard(first, roots)
+    return links.unionAll(more)
+
+
 def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     roots = materialize(components(links), "components")
     rows = rows.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left")
@@ -183,7 +203,7 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     centres = rows.groupBy("key").agg(F.array_distinct(F.array(*ranks)).alias("c"))
     centres = materialize(centres.select("key", F.explode("c").alias("c")).select("key", "c.id", "c.s0", "c.s1", "c.s2", "c.s3"), "centres")
     pairs = materialize(_near(rows, centres), "pairs")
-    links = _confirmed(docs, pairs, percent)
+    links = _connecting(docs, pairs, percent)
 
     rows = _labelled(rows, links)
     sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
