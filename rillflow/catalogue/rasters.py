@@ -87,5 +87,6 @@ def zonal_mean_covered(spark, sf):
     items = td.driver_table(spark, sf, "lineitem")
     cells = items.select(F.col("l_linenumber").cast("bigint").alias("row"), (F.col("l_suppkey") % 100).cast("bigint").alias("col"), F.col("l_extendedprice").alias("value"))
     parts = shares(spark, sf).where("round(share, 6) > 0")
-    weighted = cov.covered_cells(cells, parts).withColumnRenamed("cat_id", "divide_id")
+    weighted = cov.covered_cells(zn.merged_cells(cells, ["row", "col"]), parts).withColumnRenamed("cat_id", "divide_id")
+    weighted = weighted.withColumn("weight", F.col("weight") * F.col("n"))
     return zn.zonal(weighted, "mean", "value", "v").select("divide_id", F.round("v", 4).alias("v"))

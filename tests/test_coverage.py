@@ -135,3 +135,17 @@ def test_a_polygon_of_the_whole_domain_makes_no_large_task(spark):
     spans = coverage.centre_spans(polygons, rows, 0.0, 99.0)
     assert spans.where("cat_id = 0").count() == 100
     assert zonal.cells_in_polygons(cells, polygons).where("cat_id = 0").count() == 40_000 - sum(len({(x, y) for x in range(k * 4, min(k * 4 + 3, 400)) for y in range(k, min(k + 3, 100))}) for k in range(1, 90))
+
+
+def test_values_at_one_place_meet_a_divide_once(spark):
+    values = [(r, c, v) for r in range(2) for c in range(3) for v in (1.0 + r, 5.0 * c, float("nan"), None)] + [(0, 5, None)]
+    cells = spark.createDataFrame(values, "row long, col long, value double")
+    shares = spark.createDataFrame([(1, 0, 0, 2, 0.5), (1, 1, 1, 1, 1.0), (2, 0, 5, 5, 1.0)], "cat_id long, row long, first_col long, last_col long, share double")
+
+    def mean(found):
+        return {r.divide_id: r.v for r in zonal.zonal(found.withColumnRenamed("cat_id", "divide_id"), "mean", "value", "v").collect()}
+
+    each = coverage.covered_cells(cells, shares)
+    merged = coverage.covered_cells(zonal.merged_cells(cells, ["row", "col"]), shares)
+    assert each.count() == 17 and merged.count() == 5
+    assert mean(merged.withColumn("weight", F.col("weight") * F.col("n"))) == pytest.approx(mean(each))
