@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillflow.operators.subset import semi_or, subset_ids
+from rillflow.plans import graph as plans_graph
 from rillflow.plans.graph import (
     build_graph,
     connectivity_edges,
@@ -164,3 +165,20 @@ def test_semi_or_keeps_repeated_rows_once_each(spark):
     df = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "a"), ("c", "d")], PAIR)
     ids_frame = spark.createDataFrame([("a",), ("b",), ("a",)], "id string")
     assert semi_or(df, "id", "toid", ids_frame).count() == 3
+
+
+def test_what_grows_with_the_network_is_not_sent_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name, path=None):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialize(df, name, path)
+
+    monkeypatch.setattr(plans_graph, "materialize", kept)
+    built = build_graph(*tables(spark, *chain(1, 40)))
+    origins = built.nodes.select(F.col("id").alias("origin"))
+    plans += [("trace", upstream_segments(built, origins)._jdf.queryExecution().executedPlan().toString())]
+    basins = built.nodes.select(F.col("id").alias("basin"), "id", F.lit("nex-1").alias("toid"))
+    plans += [("subset", subset_ids(built, basins)._jdf.queryExecution().executedPlan().toString())]
+    assert {"jumps", "labels", "trace", "subset"} <= {name for name, _ in plans}
+    assert [name for name, plan in plans if "Broadcast" in plan] == []
