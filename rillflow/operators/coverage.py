@@ -7,6 +7,7 @@ the cells, not with the product of polygons and cells.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,9 +15,12 @@ from pyspark.sql import functions as F
 
 from rillflow.functions.geo import polygon_edges
 from rillflow.plans.graph import within
+from rillflow.plans.workspace import materialize
 
 #: Cells and rows of cells that a block has, on average.
 PER_BLOCK = 64
+#: Pieces of outlines that one task cuts and sums, about.
+PER_TASK = 500_000
 #: Shares are known to this many decimals.
 DIGITS = 12
 
@@ -27,6 +31,12 @@ def edges_of(polygons: DataFrame) -> DataFrame:
     return each.where("ay <> by")
 
 
+def _tasks(pieces: Column, edges: DataFrame) -> int:
+    """How many tasks share the work on ``edges``, an edge counting by the ``pieces`` that it is cut into."""
+    total = edges.agg(F.sum(pieces)).first()[0] or 0
+    return max(edges.sparkSession.sparkContext.defaultParallelism, math.ceil(total / PER_TASK))
+
+
 def centre_spans(polygons: DataFrame, rows: DataFrame, first: float, last: float) -> DataFrame:
     """``(cat_id, y, x_from, x_to)``: for every row of cell centres, the stretches that lie in a polygon (even-odd rule).
 
@@ -35,6 +45,9 @@ def centre_spans(polygons: DataFrame, rows: DataFrame, first: float, last: float
     """
     height = (last - first) * PER_BLOCK / max(rows.count(), 1) or 1.0
     edges = edges_of(polygons).withColumns({"low": F.greatest(F.least("ay", "by"), F.lit(first)), "high": F.least(F.greatest("ay", "by"), F.lit(last + height))})
+    edges = materialize(edges.where("low < high"), "edges")
+    # few polygons lie in few files, but their edges are dealt out before they are cut by rows
+    edges = edges.repartition(_tasks((F.col("high") - F.col("low")) * (PER_BLOCK / height) + 1, edges), "cat_id", "ax", "ay", "bx", "by")
     met = within(edges, rows.select("y"), "y", "low", "high", block=height, keep=True).where(F.col("y") < F.col("high"))
     at = (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
     lists = met.groupBy("cat_id", "y").agg(F.sort_array(F.collect_list(at)).alias("x"))
@@ -64,6 +77,10 @@ def cell_shares(polygons: DataFrame, grid: Grid) -> DataFrame:
         "cat_id",
         *[((F.col(c) - o) / w).alias(n) for c, o, w, n in (("ax", grid.x, grid.width, "u1"), ("ay", grid.y, grid.height, "v1"), ("bx", grid.x, grid.width, "u2"), ("by", grid.y, grid.height, "v2"))],
     ).where("v1 <> v2")
+    scaled = materialize(scaled, "edges")
+    # few polygons lie in few files, but their edges are dealt out before they are cut, and so are the rows of cells
+    tasks = _tasks(F.abs(F.col("v2") - F.col("v1")) + F.abs(F.col("u2") - F.col("u1")) + 2, scaled)
+    scaled = scaled.repartition(tasks, "cat_id", "u1", "v1", "u2", "v2")
     rising = F.col("v2") > F.col("v1")
     up = scaled.select(
         "cat_id",
@@ -72,7 +89,7 @@ def cell_shares(polygons: DataFrame, grid: Grid) -> DataFrame:
     )
     # the part of an edge in each row of cells, and of that in each cell
     last_row = F.greatest(F.ceil("v2") - 1, F.floor("v1"))
-    in_row = up.withColumn("row", F.explode(F.sequence(F.floor("v1"), last_row)))
+    in_row = up.withColumn("row", F.explode(F.sequence(F.floor("v1"), last_row))).repartition(tasks, "cat_id", "row")
     in_row = in_row.withColumns({"low": F.greatest(F.col("v1"), F.col("row").cast("double")), "high": F.least(F.col("v2"), F.col("row") + F.lit(1.0))})
 
     def u_at(v: str) -> Column:

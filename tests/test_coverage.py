@@ -149,3 +149,15 @@ def test_values_at_one_place_meet_a_divide_once(spark):
     merged = coverage.covered_cells(zonal.merged_cells(cells, ["row", "col"]), shares)
     assert each.count() == 17 and merged.count() == 5
     assert mean(merged.withColumn("weight", F.col("weight") * F.col("n"))) == pytest.approx(mean(each))
+
+
+def test_outlines_of_one_file_are_cut_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(coverage, "PER_TASK", 10)
+    polygons = spark.createDataFrame([(i, wkb([box(i + 0.5, 0.5, 20, 20)])) for i in range(3)], "cat_id long, geometry binary").coalesce(1)
+    shares = coverage.cell_shares(polygons, coverage.Grid(0.0, 0.0, 1.0, 1.0))
+    assert shares.rdd.getNumPartitions() >= 12
+    area = F.sum((F.col("last_col") - F.col("first_col") + 1) * F.col("share"))
+    assert [r.a for r in shares.groupBy("cat_id").agg(area.alias("a")).collect()] == pytest.approx([400.0] * 3)
+    rows = spark.range(30).select((F.col("id") + 0.5).alias("y"))
+    spans = coverage.centre_spans(polygons, rows, 0.5, 29.5)
+    assert "REPARTITION_BY_NUM" in spans._jdf.queryExecution().executedPlan().toString() and spans.count() == 60
