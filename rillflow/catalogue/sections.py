@@ -13,6 +13,7 @@ from rillflow.operators import xs as xsec
 from rillflow.operators.series import append_rows
 from rillflow import sinks
 from rillflow.plans.workspace import new_path
+from rillflow.sinks import many_files
 from rillflow.sources.files import parse_conflation
 from rillflow.sources.files import read_conflation_json as read_files
 
@@ -298,7 +299,7 @@ def read_conflation_json(spark, sf):
     """Documents are written, a file each, and read."""
     root = new_path(spark, "conflation")
     places = ["huc", "kind", "model", "file"]
-    conflation(spark, sf).repartition(*places).write.partitionBy(*places).text(root)
+    many_files(conflation(spark, sf), places).text(root)
     rows = read_files(spark, root, written=True)
     return rows.select(
         "model_id",

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from rillflow.functions.text import path_part, quoted
 from rillflow.functions.times import to_naive_utc
+from rillflow.plans.workspace import materialize
 
 # Collection folder -> agency of the gauges in it.
 GAGE_TYPES = {"ENVCA": "ENVCA", "CADWR": "CADWR", "USGS": "TXDOT"}
@@ -54,7 +55,8 @@ def gage_observations(lines: DataFrame) -> DataFrame:
 def read_gage_csvs(spark: SparkSession, root: str, schema: str, written: bool = False) -> DataFrame:
     """All gauge files under a folder; ``schema`` describes their columns, ``dateTime`` among them as text.
 
-    With ``written`` a file is a folder of parts, as Spark writes them.
+    With ``written`` a file is a folder of parts, as Spark writes them. Files are opened once: their lines are kept in
+    the shared folder, as the newest files are found from them too.
     """
     lines = (
         spark.read.schema(schema)
@@ -64,7 +66,7 @@ def read_gage_csvs(spark: SparkSession, root: str, schema: str, written: bool =
         .option("pathGlobFilter", "*.csv")
         .csv(root)
     )
-    return gage_observations(lines.select(_file(written).alias("path"), "*"))
+    return gage_observations(materialize(lines.select(_file(written).alias("path"), "*"), "gage-lines"))
 
 
 def _file(written: bool) -> Column:
@@ -101,7 +103,8 @@ def numbered_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
     """``(path, line_no, value)``: the lines of all files under a folder, numbered from 0 in each file.
 
     Files are read in splits, so a long one is many tasks' work. A line's place in its split follows from the order in
-    which a task reads it; what the splits before it hold is counted once, a row for each split.
+    which a task reads it; what the splits before it hold is counted once, a row for each split. Files are opened once,
+    and their lines kept in the shared folder, as they are both counted and numbered.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     lines = reader.text(root).select(
@@ -110,6 +113,7 @@ def numbered_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame
         F.monotonically_increasing_id().alias("_at"),
         "value",
     )
+    lines = materialize(lines, "lines")
     splits = lines.groupBy("path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
     before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.select("path", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")).alias("_before"))
@@ -152,7 +156,7 @@ def parse_marked_csv(lines: DataFrame, columns: dict[str, str], marker: str = "#
 
 def read_marked_csv(spark: SparkSession, root: str, columns: dict[str, str], marker: str = "#SERIES DATA#") -> DataFrame:
     """All such files under a folder; one file is one station's download, and may be larger than a task can hold."""
-    return parse_marked_csv(numbered_lines(spark, root), columns, marker)
+    return parse_marked_csv(materialize(numbered_lines(spark, root), "numbered-lines"), columns, marker)
 
 
 def read_param_defaults(

@@ -130,3 +130,19 @@ def test_dates_come_from_the_name_of_the_file_alone(spark, shared):
     cells = spark.createDataFrame([(1, 2.0)], "x int, value double")
     cells.withColumn("of", F.lit("lc_20110101.tif")).write.partitionBy("of").parquet(f"{shared}/run-19990909/grids")
     assert [str(r.date) for r in grids.concat_time(spark, f"{shared}/run-19990909/grids").select("date").collect()] == ["2011-01-01"]
+
+
+def test_many_small_files_are_written_by_all_tasks_and_opened_once(spark, shared):
+    rows = spark.range(64).select(F.concat(F.lit("s"), "id").alias("station"), F.lit(0).alias("at"), F.lit("dateTime,q").alias("value"))
+    rows = rows.unionAll(rows.withColumns({"at": F.lit(1), "value": F.lit("2024-01-01 00:00:00+00:00,1.5")}))
+    sinks.many_files(rows, ["station"], "at").option("compression", "none").text(f"{shared}/many")
+    found = spark.read.option("recursiveFileLookup", "true").text(f"{shared}/many").select(F.col("_metadata.file_path").alias("p")).distinct().collect()
+    assert len(found) == 64 and len({r.p.rpartition("/")[2].split("-")[1] for r in found}) > 8
+
+    spark.range(3).select(F.lit("2024-01-01 00:00:00+00:00").alias("dateTime"), F.col("id").cast("double").alias("q")).write.option("header", "true").csv(f"{shared}/gages/USGS/2024/G1_1.csv")
+    read = files.read_gage_csvs(spark, f"{shared}/gages", "dateTime string, q double", written=True)
+    assert read.count() == 3
+    assert "csv" not in read.select("q").inputFiles()[0].rpartition("/")[2] and "FileScan csv" not in read._jdf.queryExecution().executedPlan().toString()
+    lines = files.numbered_lines(spark, f"{shared}/many")
+    assert "FileScan text" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert sorted({r.line_no for r in lines.collect()}) == [0, 1]
