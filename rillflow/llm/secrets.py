@@ -34,8 +34,8 @@ SENSITIVE = re.compile(r"passw|secret|token|api.?key|private.?key|credential|aut
 REACH, AROUND = 48, 512
 #: Compressed bytes that a string adds for each of its own, from which on it is reported.
 NOVELTY = 0.75
-#: Texts that identifiers are learned from, about, how many of them, and in how many of these texts one has to be.
-SAMPLE, NAMES, TEXTS = 20_000, 400, 3
+#: How many identifiers prime the compressor, and in how many texts one has to be.
+NAMES, TEXTS = 400, 3
 IDENTIFIER = r"[A-Za-z_][A-Za-z0-9_]{3,31}"
 # Parts of identifiers that are common everywhere, for texts that have few of their own.
 COMMON = (
@@ -90,15 +90,13 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], names: str = COMMON
     return out
 
 
-def learn_identifiers(docs: DataFrame, sample: int = SAMPLE) -> str:
-    """The identifiers that most texts have, of about ``sample`` texts chosen by their hash; the commonest last.
+def learn_identifiers(docs: DataFrame) -> str:
+    """The identifiers that most texts have, counted over all of them; the commonest last.
 
     At most NAMES names of at most 32 characters, each in TEXTS texts or more: a secret is in fewer. Where there are
     none the common parts stand alone.
     """
-    share = min(1.0, sample / max(docs.count(), 1))
-    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
-    names = chosen.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))).alias("name"))
+    names = docs.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(IDENTIFIER), F.lit(0)))).alias("name"))
     counts = names.groupBy("name").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= TEXTS)
     best = counts.orderBy(F.desc("texts"), "name").limit(NAMES).collect()
     return COMMON + "".join(f"{r['name']} " for r in reversed(best))

@@ -474,3 +474,10 @@ def test_stages_keep_columns_whose_names_they_use(spark):
             rows = out.collect()
             assert {r.doc_id for r in rows} <= known and (rows or not known), name
             assert all(r[n] == f"own {n}" for r in rows for n in names), name
+
+
+def test_identifiers_are_counted_over_all_texts(spark):
+    names = [f"rare_name_{n}" for n in range(300)]
+    rows = spark.range(60_000).select("id", F.when(F.col("id") < 900, F.concat(F.lit("rare_name_"), (F.col("id") % 300).cast("string"))).otherwise("ab 12").alias("text"))
+    learned = secrets.learn_identifiers(rows.select(F.col("id").alias("doc_id"), "text")).split()
+    assert set(names) <= set(learned)
