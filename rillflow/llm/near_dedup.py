@@ -5,7 +5,9 @@ signatures that differ in at most 27 places agree in some block up to one place
 under its five keys of four values, and equal keys find all such pairs. Farther pairs are found unless every block has
 two errors: at a similarity of 0.75 that is 0.367 ** 14, one in a million. Of 64 values four bits each are kept as a
 sketch; two texts whose sketches differ in more than MAX_DIFFERENT places are no candidates (at 0.75 the mean is 15 and
-the standard deviation 3.4). Candidates are compared on their full sets.
+the standard deviation 3.4). Beside it lies the parity of the set's hashes in each of PARITY slots: two sets differ in at
+least as many shingles as slots, so those that differ in too many slots can't be similar, which rules out most pairs
+of 0.5 to 0.7 and loses no link. Candidates are compared on their full sets.
 
 Pairs of a large bucket are not listed. Texts with equal sets are one class with one representative. The members of a
 bucket are compared with a few centres of it and what turns out linked is joined into components; only pairs of
@@ -34,11 +36,18 @@ BLOCKS, BLOCK = 14, 5
 VALUES = BLOCKS * BLOCK
 SKETCH = 64
 MAX_DIFFERENT = 35
+#: Slots of the parity bitmap of a set. With far more shingles than slots it rules out less.
+PARITY = 512
 #: Centres of a bucket, and members up to which all pairs between its components are looked at.
 CENTRES, SMALL = 4, 64
 #: Counters that order shingles by rarity. Shingles share them, which any order common to all texts may.
 SLOTS, SLOT_PART = 1 << 16, 1 << 10
 
+_NIBBLES = [f"s{i}" for i in range(SKETCH // 16)]
+_PARITIES = [f"p{i}" for i in range(PARITY // 64)]
+#: What two texts are judged by before their sets are read: size, sketch and parities.
+_MARKS = ["n", *_NIBBLES, *_PARITIES]
+
 _FACTOR, _TERM = constants(VALUES, 11), constants(VALUES, 12)
 _ONE, _TWO = constants(2, 13)
 
@@ -76,6 +85,18 @@ def sketches(values: np.ndarray) -> np.ndarray:
     return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, PARITY // 64) int64: for each slot whether an odd number of the set's hashes falls into it."""
+    out = np.zeros((len(sets), PARITY // 64), np.int64)
+    for at in range(0, len(sets), 1000):
+        some = sets[at : at + 1000]
+        of = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        slots = (np.concatenate(some) % np.uint64(PARITY)).astype(np.int64)
+        odd = np.bincount(of * PARITY + slots, minlength=len(some) * PARITY) & 1
+        out[at : at + 1000] = np.packbits(odd.astype(np.uint8).reshape(len(some), PARITY), axis=1).view(np.int64)
+    return out
+
+
 def block_keys(values: np.ndarray) -> np.ndarray:
     """(texts, VALUES) int64: for each block and each place in it, a key of the block's other values."""
     blocks = values.reshape(len(values), BLOCKS, BLOCK).astype(np.uint64)
@@ -100,7 +121,7 @@ def _profiles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "n_shingles": [len(s) for s in sets],
             "one": [total(s, _ONE) for s in sets],
             "two": [total(s, _TWO) for s in sets],
-            "signature": [v.tobytes() for v in values],
+            "signature": [v.tobytes() + p.tobytes() for v, p in zip(values, parities(sets), strict=True)],
         })
 
 
@@ -108,22 +129,37 @@ def _filed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for whole in frames:
         for at in range(0, len(whole), 1000):
             frame = whole.iloc[at : at + 1000]
-            values = np.frombuffer(b"".join(frame["signature"]), np.uint16).reshape(-1, VALUES)
-            sketch = sketches(values)
-            yield pd.DataFrame({"id": frame["id"], "keys": list(block_keys(values)), **{f"s{i}": sketch[:, i] for i in range(4)}})
+            stored = np.frombuffer(b"".join(frame["signature"]), np.uint8).reshape(len(frame), -1)
+            values = stored[:, : 2 * VALUES].copy().view(np.uint16)
+            odd = stored[:, 2 * VALUES :].copy().view(np.int64)
+            marks = zip([*_NIBBLES, *_PARITIES], [*sketches(values).T, *odd.T], strict=True)
+            yield pd.DataFrame({"id": frame["id"], "keys": list(block_keys(values)), "n": frame["n"], **dict(marks)})
 
 
 def _different(a: str, b: str) -> Column:
     """In how many places two sketches differ."""
     total = F.lit(0)
-    for i in range(4):
-        x = F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))
+    for name in _NIBBLES:
+        x = F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}"))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
         x = x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111))
         total = total + F.bit_count(x)
     return total
 
 
+def _may_link(a: str, b: str, percent: int) -> Column:
+    """Whether two texts have near sketches and parities that leave similar sets possible.
+
+    Of sizes m and n, enough in common leaves (100 - percent) / (100 + percent) * (m + n) shingles that differ.
+    """
+    slots = F.lit(0)
+    for name in _PARITIES:
+        slots = slots + F.bit_count(F.col(f"{a}.{name}").bitwiseXOR(F.col(f"{b}.{name}")))
+    sizes = F.col(f"{a}.n") + F.col(f"{b}.n")
+    possible = F.greatest(slots, F.abs(F.col(f"{a}.n") - F.col(f"{b}.n"))) * (100 + percent) <= (100 - percent) * sizes
+    return (_different(a, b) <= MAX_DIFFERENT) & possible
+
+
 def _crowded(rows: DataFrame) -> DataFrame:
     """Rows (key, id) whose key has several ids."""
     order = Window.partitionBy("key").orderBy("id")
@@ -158,10 +194,10 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return links
 
 
-def _near(rows: DataFrame, centres: DataFrame) -> DataFrame:
-    """Distinct pairs a < b of a bucket's members and its centres with near sketches."""
+def _near(rows: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a < b of a bucket's members and its centres that may be links."""
     pairs = rows.alias("r").join(centres.alias("c"), F.col("r.key") == F.col("c.key"))
-    pairs = pairs.where((F.col("r.id") != F.col("c.id")) & (_different("r", "c") <= MAX_DIFFERENT))
+    pairs = pairs.where((F.col("r.id") != F.col("c.id")) & _may_link("r", "c", percent))
     return pairs.select(F.least("r.id", "c.id").alias("a"), F.greatest("r.id", "c.id").alias("b")).distinct()
 
 
@@ -173,26 +209,27 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Links between representatives that connect all that similar pairs connect."""
-    fields = "id long, keys array<long>, s0 long, s1 long, s2 long, s3 long"
-    filed = materialize(reps.where("n_shingles > 0").select("id", "signature").mapInPandas(_filed, fields), "filed")
+    fields = ", ".join(["id long", "keys array<long>", *[f"{name} long" for name in _MARKS]])
+    signed = reps.where("n_shingles > 0").select("id", F.col("n_shingles").alias("n"), "signature")
+    filed = materialize(signed.mapInPandas(_filed, fields), "filed")
     sketch = filed.drop("keys")
     crowded = _crowded(filed.select("id", F.explode("keys").alias("key")).distinct())
     rows = materialize(crowded.join(sketch, "id"), "crowded")
 
-    ranks = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id", "s0", "s1", "s2", "s3")) for i in range(CENTRES)]
+    ranks = [F.min(F.struct(F.xxhash64("id", F.lit(i)), "id", *_MARKS)) for i in range(CENTRES)]
     centres = rows.groupBy("key").agg(F.array_distinct(F.array(*ranks)).alias("c"))
-    centres = materialize(centres.select("key", F.explode("c").alias("c")).select("key", "c.id", "c.s0", "c.s1", "c.s2", "c.s3"), "centres")
-    pairs = materialize(_near(rows, centres), "pairs")
+    centres = materialize(centres.select("key", F.explode("c").alias("c")).select("key", "c.id", *[f"c.{name}" for name in _MARKS]), "centres")
+    pairs = materialize(_near(rows, centres, percent), "pairs")
     links = _confirmed(docs, pairs, percent)
 
     rows = _labelled(rows, links)
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("n").alias("n")).where("roots > 1")
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("members"))
+    sizes = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.sum("members").alias("members")).where("roots > 1")
     mixed = materialize(rows.join(sizes, "key"), "mixed-buckets")
-    small = mixed.where(f"n <= {SMALL}")
-    few = small.alias("r").join(small.alias("c"), (F.col("r.key") == F.col("c.key")) & _apart())
+    small = mixed.where(f"members <= {SMALL}")
+    few = small.alias("r").join(small.alias("c"), (F.col("r.key") == F.col("c.key")) & _apart(percent))
     few = few.select(F.col("r.id").alias("a"), F.col("c.id").alias("b"))
-    large = mixed.where(f"n > {SMALL}").select("id", "root", "s0", "s1", "s2", "s3").distinct()
+    large = mixed.where(f"members > {SMALL}").select("id", "root", *_MARKS).distinct()
     rest = few.unionAll(_rare_pairs(docs, materialize(large, "large-buckets"), percent)).distinct()
     rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = _confirmed(docs, rest, percent)
@@ -200,9 +237,9 @@ def _links(docs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return links.unionAll(more)
 
 
-def _apart() -> Column:
-    """Members r and c of a bucket that are not connected yet and have near sketches, each pair once."""
-    return (F.col("r.id") < F.col("c.id")) & (F.col("r.root") != F.col("c.root")) & (_different("r", "c") <= MAX_DIFFERENT)
+def _apart(percent: int) -> Column:
+    """Members r and c of a bucket that are not connected yet and may be a link, each pair once."""
+    return (F.col("r.id") < F.col("c.id")) & (F.col("r.root") != F.col("c.root")) & _may_link("r", "c", percent)
 
 
 def _slot_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -238,16 +275,16 @@ def _rare_pairs(docs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             for s in frame["shingles"]:
                 order = np.lexsort((s, shared.value[s % SLOTS]))
                 first.append(s[order[: len(s) - -(-len(s) * percent // 100) + 1]])
-            yield pd.DataFrame({"id": frame["id"], "n": frame["shingles"].str.len(), "first": first})
+            yield pd.DataFrame({"id": frame["id"], "size": frame["shingles"].str.len(), "first": first})
 
-    prefix = sets.mapInPandas(rarest, "id long, n int, first array<long>").join(members, "id")
-    prefix = prefix.select("id", "n", "root", "s0", "s1", "s2", "s3", F.posexplode("first").alias("at", "shingle"))
+    prefix = sets.mapInPandas(rarest, "id long, size int, first array<long>").join(members, "id")
+    prefix = prefix.select("id", "size", "root", *_MARKS, F.posexplode("first").alias("at", "shingle"))
     prefix = materialize(prefix, "prefixes")
     several = prefix.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("shingle")
     prefix = materialize(prefix.join(several, "shingle", "left_semi"), "shared-prefixes")
     # from the first shingle that two sets share on, both need as many as they have to share
-    enough = F.least(F.col("r.n") - F.col("r.at"), F.col("c.n") - F.col("c.at")) * (100 + percent) >= percent * (F.col("r.n") + F.col("c.n"))
-    met = prefix.alias("r").join(prefix.alias("c"), (F.col("r.shingle") == F.col("c.shingle")) & enough & _apart())
+    enough = F.least(F.col("r.size") - F.col("r.at"), F.col("c.size") - F.col("c.at")) * (100 + percent) >= percent * (F.col("r.size") + F.col("c.size"))
+    met = prefix.alias("r").join(prefix.alias("c"), (F.col("r.shingle") == F.col("c.shingle")) & enough & _apart(percent))
     met = materialize(met.select(F.col("r.id").alias("a"), F.col("c.id").alias("b")).distinct(), "met")
     discard(sets, prefix)
     return met

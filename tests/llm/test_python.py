@@ -69,6 +69,37 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert len({c for _, c, _ in got.values()}) < len(rows) - 20
 
 
+@pytest.mark.parametrize("small", [64, 2])
+def test_far_copies_of_one_text_are_not_compared_with_each_other(spark, monkeypatch, small):
+    """Copies at a similarity of about 0.6 share most buckets, but few of their pairs are candidates."""
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = list(enumerate(" ".join(f"e{i}-{j}" if j in edits else w for j, w in enumerate(base)) for i, edits in
+                          enumerate(set(draw.sample(range(150), 8)) for _ in range(50))))
+    compared, confirmed = [], near_dedup._confirmed
+
+    def counted(docs_, pairs, percent):
+        compared.append(pairs.count())
+        return confirmed(docs_, pairs, percent)
+
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "_confirmed", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == expected_components(rows)
+    assert sum(compared) < 100  # of 1,225 pairs
+
+
+def test_parities_differ_in_no_more_slots_than_sets_in_shingles():
+    draw = np.random.default_rng(4)
+    for size in (1, 40, 400, 4000):
+        hashes = near_dedup.mix(draw.integers(0, 1 << 62, 2 * size, dtype=np.uint64))
+        for common in {0, size // 2, size - size // 10, size}:
+            a, b = np.sort(hashes[:size]), np.sort(hashes[size - common : 2 * size - common])
+            x, y = near_dedup.parities([a, b]).view(np.uint64)
+            assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+    assert near_dedup.parities([]).shape == near_dedup.parities([np.zeros(0, np.uint64)])[:0].shape
+
+
 def test_near_duplicates_without_or_with_repeated_ids(spark):
     text = " ".join(f"w{i}" for i in range(30))
     other = " ".join(f"v{i}" for i in range(30))
