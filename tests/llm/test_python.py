@@ -231,6 +231,22 @@ def test_fingerprints_are_window_minima_filed_once(spark):
     assert [[(x["first"], x["last"]) for x in r.runs] for r in runs] == [[(0, 2), (4, 6)]]
 
 
+def test_windows_of_single_fingerprints_are_not_moved(spark, monkeypatch):
+    """Fingerprints are sieved where they lie, and lines to delete, as many as the texts they are in, are not broadcast."""
+    plans, written = {}, line_dedup.materialize
+
+    def noted(df, name, path=None):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, name, path)
+
+    monkeypatch.setattr(line_dedup, "materialize", noted)
+    rows = [(i, "\n".join([f"line {i}", "a", "b", f"end {i}"])) for i in range(20)]
+    df = line_dedup.remove_repeated_lines(docs(spark, rows))
+    assert {r.doc_id: (r.text, r.n_removed_lines) for r in df.collect()} == expected_lines(rows)
+    assert "Join" not in plans["shared-windows"]
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_a_text_of_very_many_lines(spark):
     lines = [f"line {i}" for i in range(30_000)]
     rows = [(1, "\n".join(lines)), (2, "\n".join([*lines[:20_000], "new", *lines[20_000:]]))]
