@@ -254,10 +254,10 @@ def conflated_sections(spark, sf):
 
 def conflation(spark, sf):
     """One document per (model, HUC): its reaches, with their sections as end points; models grow in number, not in size."""
-    one = conflated_sections(spark, sf)
+    one = conflated_sections(spark, sf).withColumn("place", F.xxhash64("model", "huc"))
     end = F.struct("river", "reach", F.col("xs_id").cast("string").alias("xs_id"), F.col("thalweg").alias("min_elevation"),
                    F.col("xs_max_elevation").alias("max_elevation"), F.lit("x").alias("note"))
-    reaches = one.groupBy("model", "huc", "river", "reach", "xs_id", "thalweg", "xs_max_elevation").agg(
+    reaches = one.groupBy("place", "model", "huc", "river", "reach", "xs_id", "thalweg", "xs_max_elevation").agg(
         F.max("order_key").alias("k")
     )
     reach_id = F.concat_ws("-", "k", "xs_id", F.col("river"), F.col("reach"), F.col("thalweg").cast("string"), F.col("xs_max_elevation").cast("string"))
@@ -267,7 +267,7 @@ def conflation(spark, sf):
         F.concat(F.lit("n"), F.col("k").cast("string")).alias("network_to_id"),
         F.lit(1).alias("metrics"),
     )
-    documents = reaches.groupBy("model", "huc").agg(
+    documents = reaches.groupBy("place", "model", "huc").agg(
         F.to_json(
             F.struct(F.map_from_entries(F.sort_array(F.collect_list(F.struct(reach_id, body)))).alias("reaches"))
         ).alias("value")

@@ -15,12 +15,22 @@ KEY = ["model_id", "huc", "river_reach_rs", "thalweg", "xs_max_elevation"]
 REACH_IDS = ["us_reach_id", "us_network_to_id", "ds_reach_id", "ds_network_to_id"]
 
 
+def _marked(df: DataFrame) -> DataFrame:
+    """Add a hash of the key. Sorts compare it first, and so seldom reach the texts; equal keys have equal marks."""
+    return df.withColumn("_mark", F.xxhash64(*KEY))
+
+
 def reach_lookup(conflation: DataFrame) -> DataFrame:
     """Key columns to the reach a section is the upstream (``us``) and the downstream (``ds``) end of.
 
     A section listed by several reaches goes to the one listed last. Both ends are looked up in one table, so the
     sections are joined once.
     """
+    return _marked_lookup(conflation).drop("_mark")
+
+
+def _marked_lookup(conflation: DataFrame) -> DataFrame:
+    """``reach_lookup`` with the mark of each key, by which rows are grouped and sorted."""
     ends = conflation.select(
         "model_id",
         "huc",
@@ -40,19 +50,22 @@ def reach_lookup(conflation: DataFrame) -> DataFrame:
         F.col("end.xs.max_elevation").alias("xs_max_elevation"),
         *[F.when(F.col("end.side") == side, F.col("listed")).alias(side) for side in ("us", "ds")],
     )
-    last = keyed.groupBy(*KEY).agg(F.max("us").alias("us"), F.max("ds").alias("ds"))
-    return last.select(*KEY, *[F.col(c.replace("_", ".", 1)).alias(c) for c in REACH_IDS])
+    last = _marked(keyed).groupBy("_mark", *KEY).agg(F.max("us").alias("us"), F.max("ds").alias("ds"))
+    return last.select("_mark", *KEY, *[F.col(c.replace("_", ".", 1)).alias(c) for c in REACH_IDS])
 
 
 def composite_key_lookup(xs: DataFrame, conflation: DataFrame) -> DataFrame:
     """Add the upstream and downstream reach of each section, ``None`` as text where there is none.
 
     The elevations are part of the key and compared exactly, as both sides copy them from one model. Sections of a
-    (model, HUC) without any conflation are left out. The parsed conflation is written once, as both joins read it.
+    (model, HUC) without any conflation are left out: those are listed first, so that the sections are shuffled only once,
+    by their key. The parsed conflation is written once, as both joins read it.
     """
     conflation = materialize(conflation.select("model_id", "huc", "pos", "reach_id", "network_to_id", "us_xs", "ds_xs"), "conflation")
-    covered = xs.join(conflation.select("model_id", "huc").distinct(), ["model_id", "huc"], "left_semi")
-    linked = covered.join(reach_lookup(conflation), KEY, "left")
+    place = ["model_id", "huc"]
+    bare = xs.select(*place).distinct().join(conflation.select(*place).distinct(), place, "left_anti")
+    covered = xs.where(F.col("model_id").isNotNull() & F.col("huc").isNotNull()).join(materialize(bare, "bare-places"), place, "left_anti")
+    linked = _marked(covered).join(_marked_lookup(conflation), ["_mark", *KEY], "left")
     return linked.select(*columns_of(xs), *[or_none(F.col(c)).alias(c) for c in REACH_IDS])
 
 
