@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import gzip
 import logging
-
+from collections.abc import Iterable, Iterator
+from functools import partial
+from itertools import groupby
+from operator import itemgetter
+from uuid import uuid4
+
+from pyarrow import ArrowInvalid, ArrowNotImplementedError
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
@@ -30,6 +38,76 @@ def many_files(df: DataFrame, folders: list[str], order: str | None = None) -> D
     return dealt.write.partitionBy(*folders).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
 
 
+def arrow_opens(root: str) -> bool:
+    """Whether tasks can write files under ``root`` by Arrow, which knows fewer stores than Spark does."""
+    try:
+        FileSystem.from_uri(root)
+    except (ArrowInvalid, ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def _blocks(lines: Iterable[str], size: int = 1 << 20) -> Iterator[bytes]:
+    """Lines with their ends, put together to blocks of about ``size`` characters."""
+    block, length = [], 0
+    for line in lines:
+        block += (line, "\n")
+        length += len(line) + 1
+        if length >= size:
+            yield "".join(block).encode()
+            block, length = [], 0
+    yield "".join(block).encode()
+
+
+def _write_file(store: FileSystem, path: str, lines: Iterable[str]) -> None:
+    """One file, which has its name only once it is whole; readers pass over names that begin with an underscore."""
+    folder, _, name = path.rpartition("/")
+    begun = f"{folder}/_{name}.{uuid4().hex}"
+    try:
+        raw = store.open_output_stream(begun, compression=None)
+    except FileNotFoundError:
+        store.create_dir(folder)
+        raw = store.open_output_stream(begun, compression=None)
+    with raw:
+        if name.endswith(".gz"):
+            with gzip.GzipFile("", "wb", 6, raw, 0) as packed:
+                packed.writelines(_blocks(lines))
+        else:
+            for block in _blocks(lines):
+                raw.write(block)
+    try:
+        store.move(begun, path)
+    except OSError:  # a store that does not replace a file, which an earlier attempt of the task wrote
+        store.delete_file(path)
+        store.move(begun, path)
+
+
+def _write_files(rows: Iterable[tuple[str, str]], root: str, header: list[str]) -> None:
+    store, base = FileSystem.from_uri(root)
+    for path, run in groupby(rows, itemgetter(0)):
+        _write_file(store, f"{base}/{path}", (line for lines in (header, map(itemgetter(1), run)) for line in lines))
+
+
+def _place_name(place: str) -> Column:
+    """A value as a part of a path; one that is missing, or that readers would pass over, as Spark's writer names it."""
+    value = F.coalesce(F.nullif(F.col(place).cast("string"), F.lit("")), F.lit("__HIVE_DEFAULT_PARTITION__"))
+    value = F.replace(value, F.lit("/"), F.lit("%2F"))
+    return F.when(value.rlike("^[_.]"), F.concat(F.lit(f"{place}="), value)).otherwise(value)
+
+
+def named_files(rows: DataFrame, places: list[str], root: str, header: str | None = None, whole: bool = False) -> None:
+    """A file ``<root>/<place>/...`` for each value of ``places``, the last of which is its name, of the lines ``value``.
+
+    Each file begins with ``header``; a name that ends in ``.gz`` is packed. Tasks write the files themselves, line by
+    line and by Arrow: Spark's writer takes a folder, a checksum file and, on a local disk, three processes that set
+    permissions for every file. With ``whole`` a file is one row, and rows stay where they are.
+    """
+    lines = rows.select(F.concat_ws("/", *map(_place_name, places)).alias("path"), "value")
+    if not whole:
+        lines = lines.repartition("path").sortWithinPartitions("path")
+    lines.foreachPartition(partial(_write_files, root=root, header=[] if header is None else [header]))
+
+
 def write_layers(layers: dict[str, DataFrame], out: str) -> list[str]:
     """Each layer that has rows to ``out/<layer>``; names of those written.
 

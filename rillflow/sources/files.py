@@ -22,6 +22,16 @@ _SECTION = "struct<river:string,reach:string,xs_id:string,min_elevation:double,m
 CONFLATION_TYPE = f"struct<reaches:map<string,struct<us_xs:{_SECTION},ds_xs:{_SECTION},network_to_id:string>>>"
 
 
+def _few_tasks(files: DataFrame) -> DataFrame:
+    """The rows of many small files, read by fewer tasks.
+
+    Spark counts every file as some megabytes, so that small files are a task for each few of them, and a file or a
+    part of an exchange each for what comes next. At most 32 of Spark's splits are put together.
+    """
+    splits = files.rdd.getNumPartitions()
+    return files.coalesce(max(4 * files.sparkSession.sparkContext.defaultParallelism, splits // 32))
+
+
 def newest_files(lines: DataFrame) -> DataFrame:
     """Of files with one name in several folders, the lines of the file in the last folder; ``path`` is the file's.
 
@@ -66,7 +76,7 @@ def read_gage_csvs(spark: SparkSession, root: str, schema: str, written: bool =
         .option("pathGlobFilter", "*.csv")
         .csv(root)
     )
-    return gage_observations(materialize(lines.select(_file(written).alias("path"), "*"), "gage-lines"))
+    return gage_observations(materialize(_few_tasks(lines.select(_file(written).alias("path"), "*")), "gage-lines"))
 
 
 def _file(written: bool) -> Column:

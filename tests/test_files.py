@@ -1,12 +1,13 @@
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow import sinks
-from rillflow.catalogue import models
+from rillflow.catalogue import models, series
 from rillflow.schemas import contract
 from rillflow.sources import files, grids, tables
 
@@ -146,3 +147,47 @@ def test_many_small_files_are_written_by_all_tasks_and_opened_once(spark, shared
     lines = files.numbered_lines(spark, f"{shared}/many")
     assert "FileScan text" not in lines._jdf.queryExecution().executedPlan().toString()
     assert sorted({r.line_no for r in lines.collect()}) == [0, 1]
+
+
+def test_a_gauge_is_a_file_that_its_task_writes_by_its_name(spark, shared, monkeypatch):
+    """No folder, checksum or unfinished file beside it; a store that Arrow doesn't know gets the folders of Spark's writer."""
+    monkeypatch.setattr(series, "new_path", lambda spark, name: f"{shared}/{name}")
+    rows = sorted(map(tuple, series.read_gage_csvs(spark, "/root/testdata/sf0.001").collect()), key=str)
+    root = shared.removeprefix("file://")
+    found = [os.path.relpath(os.path.join(d, f), f"{root}/gages") for d, _, names in os.walk(f"{root}/gages") for f in names]
+    assert len(found) > 10 and all(re.fullmatch(r"(ENVCA|CADWR|USGS)/2024-0[12]/G\d+_\d+\.csv", f) for f in found)
+    monkeypatch.setattr(series, "new_path", lambda spark, name: f"{shared}/again/{name}")
+    monkeypatch.setattr(series, "arrow_opens", lambda root: False)
+    assert rows == sorted(map(tuple, series.read_gage_csvs(spark, "/root/testdata/sf0.001").collect()), key=str)
+    assert not sinks.arrow_opens("viewfs://store/in") and sinks.arrow_opens(shared)
+
+
+def test_small_files_are_read_by_few_tasks(spark, shared):
+    for i in range(300):
+        write(shared.removeprefix("file://"), f"gages/USGS/2024/G{i}_{i}.csv", f"dateTime,q\n2024-01-01 00:00:00+00:00,{i}.5\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5m")  # a file counts as 4 MB
+    try:
+        read = files.read_gage_csvs(spark, f"{shared}/gages", "dateTime string, q double")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.q for r in read.collect()) == [i + 0.5 for i in range(300)]
+    assert len(read.select("q").inputFiles()) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_named_files_are_whole_and_written_again_by_a_second_attempt(spark, shared):
+    """Lines of a file stay together over blocks and tasks; a missing name is Spark's; a file left unfinished isn't read."""
+    root = shared.removeprefix("file://") + "/named"
+    rows = spark.range(0, 4000, 1, 7).select(
+        F.when(F.col("id") % 4 > 0, F.concat(F.lit("g"), F.col("id") % 4)).alias("gauge"),
+        F.when(F.col("id") % 2 == 0, "a.csv").otherwise("a.csv.gz").alias("file"),
+        F.concat(F.col("id"), F.lit(","), F.repeat(F.lit("x"), 1000)).alias("value"),
+    )
+    for _ in range(2):
+        sinks.named_files(rows, ["gauge", "file"], f"file://{root}", "id,x")
+    write(root, "g1/_a.csv.0123", "id,x\n-1,x\n")
+    names = {"gauge=__HIVE_DEFAULT_PARTITION__/a.csv", "g1/_a.csv.0123", "g1/a.csv.gz", "g2/a.csv", "g3/a.csv.gz"}
+    assert {os.path.relpath(os.path.join(d, f), root) for d, _, found in os.walk(root) for f in found} == names
+    assert len(set(sinks._blocks(["x" * 1000] * 2500))) > 1
+    read = spark.read.schema("id long, x string").option("header", "true").option("recursiveFileLookup", "true").csv(root)
+    assert sorted((r.id, len(r.x)) for r in read.collect()) == [(i, 1000) for i in range(4000)]
