@@ -13,7 +13,7 @@ from rillflow.operators import xs as xsec
 from rillflow.operators.series import append_rows
 from rillflow import sinks
 from rillflow.plans.workspace import new_path
-from rillflow.sinks import many_files
+from rillflow.sinks import arrow_opens, many_files, named_files
 from rillflow.sources.files import parse_conflation
 from rillflow.sources.files import read_conflation_json as read_files
 
@@ -253,25 +253,30 @@ def conflated_sections(spark, sf):
 
 
 def conflation(spark, sf):
-    """One document per (model, HUC): its reaches, with their sections as end points; models grow in number, not in size."""
-    one = conflated_sections(spark, sf).withColumn("place", F.xxhash64("model", "huc"))
-    end = F.struct("river", "reach", F.col("xs_id").cast("string").alias("xs_id"), F.col("thalweg").alias("min_elevation"),
-                   F.col("xs_max_elevation").alias("max_elevation"), F.lit("x").alias("note"))
-    reaches = one.groupBy("place", "model", "huc", "river", "reach", "xs_id", "thalweg", "xs_max_elevation").agg(
-        F.max("order_key").alias("k")
-    )
-    reach_id = F.concat_ws("-", "k", "xs_id", F.col("river"), F.col("reach"), F.col("thalweg").cast("string"), F.col("xs_max_elevation").cast("string"))
-    body = F.struct(
-        end.alias("us_xs"),
-        F.when(F.col("xs_id") % 2 == 0, end).alias("ds_xs"),
-        F.concat(F.lit("n"), F.col("k").cast("string")).alias("network_to_id"),
-        F.lit(1).alias("metrics"),
-    )
-    documents = reaches.groupBy("place", "model", "huc").agg(
-        F.to_json(
-            F.struct(F.map_from_entries(F.sort_array(F.collect_list(F.struct(reach_id, body)))).alias("reaches"))
-        ).alias("value")
-    )
+    """One document per (model, HUC): its reaches, with their sections as end points; models grow in number, not in size.
+
+    Sections are dealt out by place once, for their reaches and the documents, whose text is made where they end up.
+    """
+    told = ["xs_id", "river", "reach", "thalweg", "xs_max_elevation"]
+    dealt = conflated_sections(spark, sf).select("model", "huc", *told, "order_key").repartition("model", "huc")
+    one = dealt.withColumn("place", F.xxhash64("model", "huc"))  # not sent along
+    reaches = one.groupBy("place", "model", "huc", *told).agg(F.max("order_key").alias("k"))
+
+    def entry(r):
+        end = F.struct(r["river"].alias("river"), r["reach"].alias("reach"), r["xs_id"].cast("string").alias("xs_id"), r["thalweg"].alias("min_elevation"),
+                       r["xs_max_elevation"].alias("max_elevation"), F.lit("x").alias("note"))
+        reach_id = F.concat_ws("-", r["k"], r["xs_id"], r["river"], r["reach"], r["thalweg"].cast("string"), r["xs_max_elevation"].cast("string"))
+        body = F.struct(
+            end.alias("us_xs"),
+            F.when(r["xs_id"] % 2 == 0, end).alias("ds_xs"),
+            F.concat(F.lit("n"), r["k"].cast("string")).alias("network_to_id"),
+            F.lit(1).alias("metrics"),
+        )
+        return F.struct(reach_id, body)
+
+    gathered = reaches.groupBy("place", "model", "huc").agg(F.collect_list(F.struct("k", *told)).alias("reaches"))
+    entries = F.sort_array(F.transform("reaches", entry))
+    documents = gathered.withColumn("value", F.to_json(F.struct(F.map_from_entries(entries).alias("reaches"))))
     parts = [F.concat(F.lit("huc_"), "huc").alias("huc"), F.lit("source_models").alias("kind"), "model", F.lit("conflation.json").alias("file")]
     return documents.select(*parts, "value")
 
@@ -296,11 +301,15 @@ named AS (SELECT *, k || '-' || xs_id || '-' || river || '-' || reach || '-' ||
   thalweg AS us_min, CASE WHEN xs_id % 2 = 0 THEN reach END AS ds_reach FROM named""",
 )
 def read_conflation_json(spark, sf):
-    """Documents are written, a file each, and read."""
+    """Documents are written, a packed file each, and read."""
     root = new_path(spark, "conflation")
     places = ["huc", "kind", "model", "file"]
-    many_files(conflation(spark, sf), places).text(root)
-    rows = read_files(spark, root, written=True)
+    by_tasks = arrow_opens(root)
+    if by_tasks:
+        named_files(conflation(spark, sf).withColumn("file", F.concat("file", F.lit(".gz"))), places, root, whole=True)
+    else:
+        many_files(conflation(spark, sf), places).option("compression", "gzip").text(root)
+    rows = read_files(spark, root, written=not by_tasks)
     return rows.select(
         "model_id",
         "huc",

@@ -100,13 +100,13 @@ def parse_conflation(documents: DataFrame) -> DataFrame:
 
 
 def read_conflation_json(spark: SparkSession, root: str, written: bool = False) -> DataFrame:
-    """All conflation files under a folder, one document per file; one model's document is read whole.
+    """All conflation files under a folder, one document per file, packed or not; one model's document is read whole.
 
     With ``written`` a document is a line of a file in a folder of its own, as Spark writes it.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*" if written else "*.json")
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*" if written else "*.{json,json.gz}")
     texts = reader.text(root, wholetext=not written)
-    return parse_conflation(texts.select(_file(written).alias("path"), "value"))
+    return parse_conflation(_few_tasks(texts.select(_file(written).alias("path"), "value")))
 
 
 def numbered_lines(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:

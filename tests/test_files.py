@@ -1,3 +1,4 @@
+import gzip
 import json
 import os
 import re
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rillflow import sinks
-from rillflow.catalogue import models, series
+from rillflow.catalogue import models, sections, series
 from rillflow.schemas import contract
 from rillflow.sources import files, grids, tables
 
@@ -191,3 +192,31 @@ def test_named_files_are_whole_and_written_again_by_a_second_attempt(spark, shar
     assert len(set(sinks._blocks(["x" * 1000] * 2500))) > 1
     read = spark.read.schema("id long, x string").option("header", "true").option("recursiveFileLookup", "true").csv(root)
     assert sorted((r.id, len(r.x)) for r in read.collect()) == [(i, 1000) for i in range(4000)]
+
+
+def test_conflation_documents_are_packed_files_dealt_out_once(spark, shared, monkeypatch):
+    """Sections are shuffled once for their documents, which take a fraction of their text on disk; either writer gives the rows."""
+    sf, got = "/root/testdata/sf0.001", []
+    documents = sections.conflation(spark, sf)
+    assert documents._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    texts = {(r.huc, r.model): r.value for r in documents.collect()}
+    assert len(texts) == documents.count() and all(list(json.loads(t)["reaches"]) == sorted(json.loads(t)["reaches"]) for t in texts.values())
+    for by_arrow in (True, False):
+        monkeypatch.setattr(sections, "arrow_opens", lambda root, by_arrow=by_arrow: by_arrow)
+        monkeypatch.setattr(sections, "new_path", lambda spark, name, by_arrow=by_arrow: f"{shared}/{by_arrow}/{name}")
+        got.append(sorted(map(str, sections.read_conflation_json(spark, sf).collect())))
+    assert got[0] == got[1] and len(got[0]) > 1000
+    root = shared.removeprefix("file://") + "/True/conflation"
+    found = [os.path.join(d, f) for d, _, names in os.walk(root) for f in names]
+    assert len(found) == len(texts) and all(re.fullmatch(r"huc_\d+/source_models/model-\d+-\d+/conflation\.json\.gz", os.path.relpath(f, root)) for f in found)
+    assert sum(map(os.path.getsize, found)) * 2 < sum(map(len, texts.values()))
+
+
+def test_packed_and_plain_conflation_files_are_read(spark, tmp_path):
+    text = json.dumps({"reaches": {"100": {"network_to_id": "7"}}})
+    write(str(tmp_path), "huc_1/models/plain/conflation.json", text)
+    write(str(tmp_path), "huc_1/models/packed/notes.txt.gz", "no document")
+    with gzip.open(tmp_path / "huc_1/models/packed/conflation.json.gz", "wt") as out:
+        out.write(text.replace("100", "101") + "\n")
+    rows = files.read_conflation_json(spark, str(tmp_path)).collect()
+    assert sorted((r.model_id, r.reach_id) for r in rows) == [("packed", "101"), ("plain", "100")]
