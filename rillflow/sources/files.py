@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sqlite3
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +23,18 @@ _SECTION = "struct<river:string,reach:string,xs_id:string,min_elevation:double,m
 CONFLATION_TYPE = f"struct<reaches:map<string,struct<us_xs:{_SECTION},ds_xs:{_SECTION},network_to_id:string>>>"
 
 
+@contextmanager
+def _listing(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by a few tasks for each core meanwhile, where Spark starts a task for each of 10,000 folders."""
+    setting = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def _few_tasks(files: DataFrame) -> DataFrame:
     """The rows of many small files, read by fewer tasks.
 
@@ -105,7 +118,8 @@ def read_conflation_json(spark: SparkSession, root: str, written: bool = False)
     With ``written`` a document is a line of a file in a folder of its own, as Spark writes it.
     """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*" if written else "*.{json,json.gz}")
-    texts = reader.text(root, wholetext=not written)
+    with _listing(spark):
+        texts = reader.text(root, wholetext=not written)
     return parse_conflation(_few_tasks(texts.select(_file(written).alias("path"), "value")))
 
 

@@ -220,3 +220,20 @@ def test_packed_and_plain_conflation_files_are_read(spark, tmp_path):
         out.write(text.replace("100", "101") + "\n")
     rows = files.read_conflation_json(spark, str(tmp_path)).collect()
     assert sorted((r.model_id, r.reach_id) for r in rows) == [("packed", "101"), ("plain", "100")]
+
+
+def test_many_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(100):
+        write(str(tmp_path), f"huc_1/models/m{i}/conflation.json", '{"reaches": {"%d": {"network_to_id": "7"}}}' % i)
+    setting = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        rows = files.read_conflation_json(spark, str(tmp_path))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    seen = spark.sparkContext.statusTracker()
+    stages = [s for job in seen.getJobIdsForGroup("listing") for s in seen.getJobInfo(job).stageIds]
+    tasks = [seen.getStageInfo(s).numTasks for s in stages]
+    assert tasks and max(tasks) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == setting
+    assert sorted(int(r.reach_id) for r in rows.collect()) == list(range(100))
